@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, quality
+from . import bpe, chat, decontam, fixity, langid, quality, topk, toxicity
 from .common import pick, read, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def bpe_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return fixity.audit(pages, fixity.damaged(pages))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), *bpe_files())
 
@@ -30,6 +35,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(rows.unionByName(chat.planted_conversation(spark)))
 
 
+def op6_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(read(spark, sf_dir, "documents"), doc_id="long", text="string")
     model = quality.train(docs, read(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
@@ -37,6 +46,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(read(spark, sf_dir, "documents"), doc_id="long", text="string")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = langid.documents_of(read(spark, sf_dir, "documents"))
     model = langid.train(docs, remainder(F.col("doc_id"), 3) != 1)
@@ -44,7 +60,12 @@ def op9_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_byte_bpe, op5_chat_format, op7_quality_rules, op9_language_backoff)}
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_ALL = (op1_warc_fixity, op2_byte_bpe, op5_chat_format, op6_impact_topk, op7_quality_rules, op8_toxicity_automata, op9_language_backoff, op10_template_decontamination)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _ESCAPED = "replace(text, '\\', '\\\\')"
 for _c in chat.CONTROLS:
@@ -52,6 +73,8 @@ for _c in chat.CONTROLS:
 _HAS_CONTROL = " or ".join(f"contains(text, '{c}')" for c in chat.CONTROLS)
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_fixity": fixity.AUDIT_SQL,
+    "op6_impact_topk": topk.TOPK_SQL,
     "op5_chat_format": f"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
