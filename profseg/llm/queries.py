@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fixity, langid, quality, topk, toxicity
+from . import bpe, chat, decontam, fixity, langid, quality, setsketch, topk, toxicity
 from .common import pick, read, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), *bpe_files())
 
 
+def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {"conv_id": "long", "turn": "long", "role": "string", "text": "string"}
     rows = pick(read(spark, sf_dir, "conversations"), **columns)
@@ -64,7 +68,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_warc_fixity, op2_byte_bpe, op5_chat_format, op6_impact_topk, op7_quality_rules, op8_toxicity_automata, op9_language_backoff, op10_template_decontamination)
+_ALL = (op1_warc_fixity, op2_byte_bpe, op4_setsketch_dedup, op5_chat_format, op6_impact_topk, op7_quality_rules, op8_toxicity_automata, op9_language_backoff, op10_template_decontamination)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _ESCAPED = "replace(text, '\\', '\\\\')"
@@ -74,6 +78,7 @@ _HAS_CONTROL = " or ".join(f"contains(text, '{c}')" for c in chat.CONTROLS)
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_fixity": fixity.AUDIT_SQL,
+    "op4_setsketch_dedup": setsketch.NEAR_SQL,
     "op6_impact_topk": topk.TOPK_SQL,
     "op5_chat_format": f"""
 with turns as (
