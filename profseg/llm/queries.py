@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fixity, langid, quality, setsketch, topk, toxicity
+from . import bpe, chat, decontam, fixity, langid, lm, quality, setsketch, topk, toxicity
 from .common import pick, read, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), *bpe_files())
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lm.documents_of(read(spark, sf_dir, "documents"))
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    return lm.score(docs, held_out, lm.train(docs, ~held_out))
+
+
 def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -68,7 +74,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_warc_fixity, op2_byte_bpe, op4_setsketch_dedup, op5_chat_format, op6_impact_topk, op7_quality_rules, op8_toxicity_automata, op9_language_backoff, op10_template_decontamination)
+_ALL = (op1_warc_fixity, op2_byte_bpe, op3_suffix_tree_lm, op4_setsketch_dedup, op5_chat_format, op6_impact_topk, op7_quality_rules, op8_toxicity_automata, op9_language_backoff, op10_template_decontamination)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _ESCAPED = "replace(text, '\\', '\\\\')"
