@@ -34,6 +34,10 @@ def f1_columns(tp: Column, n_pred: Column, n_true: Column) -> tuple[Column, Colu
     return p, r, share(2 * tp, n_pred + n_true)
 
 
+def _at_most(limit: float):
+    return lambda x: x <= limit
+
+
 def boundary_scores(pred: DataFrame, true: DataFrame, tolerances: tuple[float, ...] = TOLERANCES) -> DataFrame:
     """Per target of either frame (target, boundary): counts, precision, recall and F1 at each tolerance."""
     lists = lambda df, name: df.filter("boundary is not null").groupBy("target").agg(F.array_sort(F.collect_list("boundary")).alias(name))
@@ -42,7 +46,7 @@ def boundary_scores(pred: DataFrame, true: DataFrame, tolerances: tuple[float, .
     rows = both.select("target", F.size("pred").cast("long").alias("n_pred"), F.size("true").cast("long").alias("n_true"), matched_costs(F.col("pred"), F.col("true")).alias("_c"))
     for t in tolerances:
         n = name_of(t)
-        rows = rows.withColumn(f"tp_{n}", F.size(F.filter("_c", lambda c, t=t: c <= t)).cast("long"))
+        rows = rows.withColumn(f"tp_{n}", F.size(F.filter("_c", _at_most(t))).cast("long"))
         p, r, f = f1_columns(F.col(f"tp_{n}"), F.col("n_pred"), F.col("n_true"))
         rows = rows.withColumns({f"fp_{n}": F.col("n_pred") - F.col(f"tp_{n}"), f"fn_{n}": F.col("n_true") - F.col(f"tp_{n}"), f"precision_{n}": p, f"recall_{n}": r, f"f1_{n}": f})
     return rows.drop("_c")

@@ -292,9 +292,10 @@ def smooth_labels(unary: np.ndarray, edges: list[tuple[int, int, float]], streng
 def smooth_segments(p: DataFrame, graph: DataFrame, strength: float, region: str | None = None) -> DataFrame:
     """(target, segment_id, cluster_id) by iterated conditional modes over the segment graph. p: target, segment_id, p.
     The sweeps are sequential; a column `region` of connected parts splits the work where there are several."""
-    first, second = ("a", "a_segment"), ("b", "b_segment")
-    rows = p.withColumn("_part", F.col(region) if region else F.lit(0))
-    edges = graph.join(rows.select(F.col("target").alias("a"), F.col("segment_id").alias("a_segment"), "_part"), list(first)).select("_part", *first, *second, "weight")
+    part = F.col(region) if region else F.lit(0)
+    rows = p.withColumn("_part", part)
+    owners = p.select(F.col("target").alias("a"), F.col("segment_id").alias("a_segment"), part.alias("_of"))
+    edges = graph.join(owners, ["a", "a_segment"]).select("_of", "a", "a_segment", "b", "b_segment", "weight")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(["target", "segment_id"]).reset_index(drop=True)
@@ -303,4 +304,4 @@ def smooth_segments(p: DataFrame, graph: DataFrame, strength: float, region: str
         unary = -np.log(np.clip(np.stack(left["p"].to_numpy()), 1e-10, 1.0))
         return left[["target", "segment_id"]].assign(cluster_id=smooth_labels(unary, sorted(links), strength))
 
-    return rows.groupBy("_part").cogroup(edges.groupBy("_part")).applyInPandas(run, f"target {dict(p.dtypes)['target']}, segment_id int, cluster_id int")
+    return rows.groupBy("_part").cogroup(edges.groupBy("_of")).applyInPandas(run, f"target {dict(p.dtypes)['target']}, segment_id int, cluster_id int")

@@ -47,12 +47,15 @@ def spectrum(depth: np.ndarray, values: np.ndarray, step: float) -> tuple[np.nda
 def segment_spectra(rows: DataFrame, sensors: list[str], step: float = STEP) -> DataFrame:
     """(target, segment_id, sensor, freq, amp) of every segment and sensor that has a spectrum."""
 
+    names = ["target", "segment_id", "sensor", "freq", "amp"]
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        parts: list[tuple] = []
+        key = (group["target"].iloc[0], group["segment_id"].iloc[0])
         for s in sensors:
             if (found := spectrum(group["depth"].to_numpy(float), group[s].to_numpy(float), step)) is not None:
-                parts.append(pd.DataFrame({"target": group["target"].iloc[0], "segment_id": group["segment_id"].iloc[0], "sensor": s, "freq": found[0], "amp": found[1]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"target": [], "segment_id": [], "sensor": [], "freq": [], "amp": []})
+                parts += [(*key, s, f, a) for f, a in zip(found[0].tolist(), found[1].tolist(), strict=True)]
+        return pd.DataFrame(parts, columns=names)
 
     return rows.select("target", "segment_id", "depth", *sensors).groupBy("target", "segment_id").applyInPandas(run, f"target {dict(rows.dtypes)['target']}, segment_id int, sensor string, freq double, amp double")
 

@@ -467,3 +467,186 @@ def strata_fallback(spark, sf):
     strata = tb.event_strata(spark, sf)
     main = strata.filter("target % 3 <> 0")
     return main.unionByName(strata.join(main, "target", "left_anti")).select("target", "top", "unit")
+
+
+_KEEP = ", c as (select coalesce(pr.target, tr.target) as target, coalesce(p, []) as p, coalesce(t, []) as t from pr full join tr on pr.target = tr.target)"
+_MATCH = """, pr as (select t.target, list_sort(list(boundary)) as p from marks t group by 1), tr as (select target, list_sort(list(top)) as t from (select distinct target, top from strata where top > 0) group by 1),
+u as (select coalesce(pr.target, tr.target) as target, coalesce(p, []) as p, coalesce(t, []) as t from pr full join tr on pr.target = tr.target),
+pi as (select target, unnest(p) as v, unnest(range(1, len(p) + 1)) as i from u), ti as (select target, unnest(t) as v, unnest(range(1, len(t) + 1)) as j from u),
+ps as (select pi.target, list({{'i': i, 'j': j, 'c': abs(pi.v - ti.v)}} order by abs(pi.v - ti.v), i, j) as l from pi join ti on pi.target = ti.target group by 1),
+mt as (select target, list_reduce(list_transform(l, lambda x: [x]), lambda k, x: case when len(list_filter(k, lambda y: y.i = x[1].i or y.j = x[1].j)) > 0 then k else list_concat(k, x) end) as m from ps),
+sc as (select u.target, len(p)::bigint as n_pred, len(t)::bigint as n_true, coalesce(list_transform(m, lambda x: x.c), []) as c from u left join mt on mt.target = u.target),
+tp as (select *, len(list_filter(c, lambda x: x <= 6))::bigint as tp_6, len(list_filter(c, lambda x: x <= 24))::bigint as tp_24 from sc)
+""".replace("{{", "{").replace("}}", "}")
+
+
+def _score_sql(tolerance: str, tp: str) -> str:
+    return f"{tp} as tp_{tolerance}, n_pred - {tp} as fp_{tolerance}, n_true - {tp} as fn_{tolerance}, " + r(**{f"precision_{tolerance}": f"coalesce({tp} / nullif(n_pred, 0), 0)", f"recall_{tolerance}": f"coalesce({tp} / nullif(n_true, 0), 0)", f"f1_{tolerance}": f"coalesce(2 * {tp} / nullif(n_pred + n_true, 0), 0)"})
+
+
+ORACLE_SQL["match_boundaries"] = tb.SQL + _MATCH + f"select target, n_pred, n_true, {_score_sql('6_0', 'tp_6')}, {_score_sql('24_0', 'tp_24')} from tp"
+ORACLE_SQL["pooled_scores"] = tb.SQL + _MATCH + f""", l as (select 6.0::double as tolerance, tp_6 as tp, n_pred, n_true from tp union all select 24.0, tp_24, n_pred, n_true from tp)
+select tolerance + 0.0 as tolerance, {r(pooled_precision='sum(tp) / sum(n_pred)', pooled_recall='sum(tp) / sum(n_true)', pooled_f1='2 * sum(tp) / (sum(n_pred) + sum(n_true))', mean_f1='avg(coalesce(2 * tp / nullif(n_pred + n_true, 0), 0))', median_f1='median(coalesce(2 * tp / nullif(n_pred + n_true, 0), 0))')} from l group by tolerance"""
+
+
+# What SQL doesn't express: sequential recursions, transforms and fits. Tests hold these against brute force.
+
+from ..operators import detect, model, spectral  # noqa: E402
+
+
+@query()
+def bocpd_univariate(spark, sf):
+    return detect.change_points(tb.events(spark, sf).select("target", "depth", "value"), ["value"], beta=500.0)
+
+
+@query()
+def bocpd_hazard_spec(spark, sf):
+    """Depth-aware hazard with a least thickness and the contrast factor, on smoothed signals."""
+    return detect.change_points(_spec(spark, sf), ["value"], beta=500.0, smooth="tv")
+
+
+@query()
+def bocpd_run_length_drops(spark, sf):
+    return detect.change_points(tb.events(spark, sf).select("target", "depth", "value"), ["value"], beta=500.0, method="drops", min_separation=5)
+
+
+@query()
+def bocpd_multivariate(spark, sf):
+    rows = clean.collapse(tb.items(spark, sf), 14.0, tb.SENSORS)
+    return detect.change_points(rows, tb.SENSORS)
+
+
+@query()
+def bocpd_two_pass(spark, sf):
+    """Change points once, their density among the nearest neighbours, and once more with it as a factor."""
+    rows = _spec(spark, sf).select("target", "depth", "value", "h", "least_run")
+    first = detect.change_points(rows, ["value"], beta=500.0).select(F.col("target").cast("long").alias("target"), F.col("boundary_depth").alias("boundary")).filter("boundary is not null")
+    places = tb.locations(spark, sf)
+    grid = rows.join(places.select("target"), "target", "left_semi")
+    density = hazards.neighbour_density(places, first, grid, 3, 12.0)
+    factored = hazards.with_rate_factor(rows.join(density, ["target", "depth"], "left").fillna(0.0, ["density"]), "density", 1.0, "factor")
+    return detect.change_points(factored, ["value"], beta=500.0)
+
+
+@query()
+def bocpd_grid(spark, sf):
+    """A grid of priors, all combinations in one shuffle by profile, ranked by F1."""
+    from .search import grid_search
+
+    rows = tb.events(spark, sf).select("target", "depth", "value")
+    tops = clean.surface_tops(tb.event_strata(spark, sf)).select("target", F.explode("boundaries").alias("boundary"))
+    return rounded(grid_search(rows, "value", tops, {"beta": [250.0, 500.0], "kappa": [0.5, 1.0], "least_run": [0, 4]}, 24.0))
+
+
+@query()
+def feat_fft(spark, sf):
+    return rounded(spectral.band_features(spectral.segment_spectra(_rows(spark, sf), ["value"], 1.0), 0.005, 0.5, ((0.005, 0.05), (0.05, 0.1), (0.1, 0.25), (0.25, 0.5))))
+
+
+@query()
+def fft_peaks(spark, sf):
+    return rounded(spectral.peaks(spectral.segment_spectra(_rows(spark, sf), ["value"], 1.0), 0.005, 0.5))
+
+
+@query()
+def low_pass(spark, sf):
+    return rounded(spectral.low_pass(tb.events(spark, sf).select("target", "depth", "value"), "value", 4.0, 0.05))
+
+
+@query()
+def feat_stft(spark, sf):
+    s = spectral.spectrograms(tb.events(spark, sf).select("target", "depth", "value"), ["value"], 4.0, 128.0, 64.0, 0.01, 0.1, 0.01)
+    return rounded(spectral.segment_power(s, _segments(spark, sf)))
+
+
+def _features(spark, sf):
+    return feat.distribution(_rows(spark, sf), ["value"])
+
+
+_FEATURES = ["value_mean", "value_std", "value_median", "value_iqr", "value_range", "thickness"]
+
+
+@query(_ROWS + f""", fe as (select target, segment_id, avg(value) as value_mean, stddev_pop(value) as value_std, median(value) as value_median, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) as value_iqr, max(value) - min(value) as value_range, first(bottom - top) as thickness from rw group by 1, 2),
+lo as (unpivot (select value_mean, value_std, value_median, value_iqr, value_range, thickness from fe) on columns(*) into name feature value x)
+select feature, count(x)::bigint as n, (count(*) - count(x))::bigint as missing, {r(ratio='(count(*) - count(x)) / count(*)', mean='avg(x)', std='stddev_pop(x)', min='min(x)', max='max(x)')}, coalesce(var_pop(x) < 1e-12, true) as near_constant from lo group by feature""")
+def feature_quality(spark, sf):
+    return rounded(feat.quality(_features(spark, sf), _FEATURES))
+
+
+@query(_ROWS + ", fe as (select target, segment_id from rw group by 1, 2) select count(*)::bigint as n_segments, 0::bigint as n_constant, 0.0::double as missing_share, true as usable from fe")
+def matrix_validation(spark, sf):
+    return feat.validate(_features(spark, sf), _FEATURES)
+
+
+@query(_ROWS + f""", fe as (select target, segment_id, avg(value) as a, stddev_pop(value) as b, first(bottom - top) as c from rw group by 1, 2),
+q as (select quantile_cont(a, [0.25, 0.5, 0.75]) as qa, quantile_cont(b, [0.25, 0.5, 0.75]) as qb, quantile_cont(c, [0.25, 0.5, 0.75]) as qc from fe)
+select target, segment_id, {r(value_mean='(a - qa[2]) / (qa[3] - qa[1])', value_std='(b - qb[2]) / (qb[3] - qb[1])', thickness='(c - qc[2]) / (qc[3] - qc[1])')} from fe, q""")
+def robust_scale(spark, sf):
+    names = ["value_mean", "value_std", "thickness"]
+    return rounded(model.robust_scale(_features(spark, sf).select("target", "segment_id", *names), names)[0])
+
+
+def _matrix(spark, sf):
+    return tb.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+
+
+@query()
+def pca(spark, sf):
+    out = model.pca(_matrix(spark, sf).select("vec_id", "x"), 3)
+    return rounded(out.select("vec_id", *[F.get("x", F.lit(i)).alias(f"pc{i + 1}") for i in range(3)]))
+
+
+@query()
+def gmm_diag(spark, sf):
+    rows = model.pca(_matrix(spark, sf), 4)
+    return model.predict(rows, model.mixture(rows, 5, "diag", seed=1))
+
+
+@query()
+def gmm_bic_sweep(spark, sf):
+    rows = model.pca(_matrix(spark, sf), 3)
+    _, scores = model.select_by_bic(rows, 2, 5, "full", seed=1)
+    return spark.createDataFrame([(k, round(v, 3)) for k, v in scores.items()], "k int, bic double")
+
+
+@query()
+def kmeans(spark, sf):
+    rows = model.pca(_matrix(spark, sf), 4)
+    return model.predict(rows, model.kmeans(rows, 6, seed=1, starts=2)[0])
+
+
+@query()
+def agglomerative(spark, sf):
+    rows = model.robust_scale(_features(spark, sf), ["value_mean", "value_std"])[0]
+    return model.agglomerate(model.as_matrix(rows, ["target", "segment_id"], ["value_mean", "value_std"]), ["target", "segment_id"], 2, "target")
+
+
+@query()
+def smooth_segments(spark, sf):
+    rows, names = model.robust_scale(_features(spark, sf), ["value_mean", "value_std"])
+    m = model.as_matrix(rows, ["target", "segment_id"], names)
+    p = model.predict(m, model.mixture(m, 3, "diag", seed=1), probabilities=True).drop("cluster_id")
+    return model.smooth_segments(p, intervals.segment_graph(_segments(spark, sf), tb.locations(spark, sf), 800.0, 400.0), 1.0)
+
+
+@query(_ROWS + f""", u as (select event_type as unit, value from events_p) select unit, {r(mean='avg(value)', std='stddev_pop(value)')} from u group by unit""")
+def mean_by_unit(spark, sf):
+    return rounded(tb.events(spark, sf).groupBy(F.col("event_type").alias("unit")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")))
+
+
+@query(f", s as (select target, avg(value) / 100 as f1 from events_p group by 1) select (count(*) filter (where f1 < 0.6))::bigint as low, (count(*) filter (where f1 >= 0.6 and f1 < 0.8))::bigint as middle, (count(*) filter (where f1 >= 0.8))::bigint as high, {r(median='median(f1)', mean='avg(f1)', std='stddev_samp(f1)')} from s")
+def score_buckets(spark, sf):
+    s = tb.events(spark, sf).groupBy("target").agg((F.avg("value") / 100).alias("f1"))
+    return rounded(stats.score_buckets(s, "f1"))
+
+
+@query(f", s as (select target, avg(value) as score from events_p group by 1) select target, {r(score='score')} from s order by s.score desc, target limit 10")
+def top_profiles(spark, sf):
+    s = tb.events(spark, sf).groupBy("target").agg(F.avg("value").alias("score"))
+    return rounded(stats.top(s, "score", 10))
+
+
+@query()
+def bootstrap_mean(spark, sf):
+    s = tb.events(spark, sf).groupBy("target").agg(F.avg("value").alias("score"))
+    return stats.bootstrap_mean(s, "score", 1000)
