@@ -13,7 +13,6 @@ from ..functions.scalars import friction_ratio, log1p_clipped, log1p_positive, r
 from .clean import gradient_depth
 
 KEYS = ("target", "segment_id")
-SEGMENT = Window.partitionBy(*KEYS)
 STATS = {"mean": F.avg, "std": F.stddev_pop, "median": lambda c: F.percentile(c, F.lit(0.5)), "min": F.min, "max": F.max}
 
 
@@ -50,7 +49,7 @@ def depth_derivatives(rows: DataFrame, sensors: list[str]) -> DataFrame:
     """Statistics of the gradient on true depths, and roughness: mean |change| over the gap, of each sensor. Duplicate
     depths are averaged; fewer than two leave NULLs."""
     own = rows.groupBy(*KEYS, "depth").agg(*[F.avg(s).alias(s) for s in sensors])
-    w = SEGMENT.orderBy("depth")
+    w = Window.partitionBy(*KEYS).orderBy("depth")
     gap = F.col("depth") - F.lag("depth").over(w)
     cols = {}
     for s in sensors:
@@ -79,7 +78,7 @@ def engineered(rows: DataFrame, cone: str, sleeve: str, ratio: str, friction: st
 def interpolated(points: Column, at: Column) -> Column:
     """The value at a place of sorted points (x, y), linear between them and held at the ends. Binary search isn't needed:
     segments are short, and both neighbours come from one filter each."""
-    below = F.element_at(F.filter(points, lambda p: p["x"] <= at), -1)
+    below = F.try_element_at(F.filter(points, lambda p: p["x"] <= at), F.lit(-1))
     above = F.get(F.filter(points, lambda p: p["x"] > at), F.lit(0))
     line = below["y"] + (above["y"] - below["y"]) * (at - below["x"]) / (above["x"] - below["x"])
     return F.coalesce(line, below["y"], above["y"])

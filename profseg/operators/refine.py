@@ -18,7 +18,7 @@ def with_gradient(df: DataFrame, x: str, step: Column) -> DataFrame:
 
 def separate(indexes: Column, least: Column | int) -> Column:
     """Of sorted indexes, from the left, those at least so far behind the last one kept."""
-    keep = lambda kept, i: F.when((F.size(kept) == 0) | (i - F.element_at(kept, -1) >= least), F.array_append(kept, i)).otherwise(kept)
+    keep = lambda kept, i: F.when((F.size(kept) == 0) | (i - F.try_element_at(kept, F.lit(-1)) >= least), F.array_append(kept, i)).otherwise(kept)
     return F.aggregate(indexes, F.slice(indexes, 1, 0), keep)
 
 
