@@ -7,9 +7,10 @@ agree about as often as the sets overlap. Bands of register values make candidat
 maximum likelihood estimate of the overlap jointly with the known sizes, which only discards pairs far below the threshold;
 the full sets decide.
 
-Candidates of a band are compared without emitting all pairs of a bucket: every member meets one centre, which another hash
-picks in every band, and what is linked becomes one component. Buckets that then still hold several components are worked
-off by comparing members of different components only.
+Candidates of a band are compared without emitting all pairs of a bucket: every member meets the one centre that has most
+in common with other classes, and what is linked becomes one component. In buckets that then still hold several components,
+members of different components are compared, but only where their overlaps with the centre, and how many other shingles
+they share with any class at all, leave room for a link.
 """
 
 from __future__ import annotations
@@ -29,16 +30,16 @@ from .common import ASCII_LOWER, drop_written, pick, written
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Registers, their base and rate; rows of a band and bands. A pair at the threshold shares no band with odds of 2.4e-8.
-REGISTERS, BASE, RATE = 128, 1.02, 20.0
-ROWS, BANDS = 3, 32
+#: Registers, their base and rate; rows of a band and bands. A pair at the threshold shares no band with odds of 1.2e-8.
+REGISTERS, BASE, RATE = 256, 1.02, 20.0
+ROWS, BANDS = 4, 48
 #: Five standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = PERCENT / 100 - 5 * math.sqrt(0.75 * 0.25 / REGISTERS)
 #: Bits of the filter that tells which documents have candidates.
 FILTER_BITS = 1 << 25
 _WORD = re.compile(r"[^ \t-\r]+")
 _GOLDEN, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -131,12 +132,20 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return overlap[np.arange(len(a)), fit.argmax(axis=1)]
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets are linked."""
-    if min(len(a), len(b)) * 100 < PERCENT * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+def class_of(shingles: np.ndarray) -> tuple[bytes, int]:
+    """A digest of a set, and the number by which pairs name its class."""
+    digest = xxhash.xxh3_128_digest(shingles.tobytes())
+    return digest, int.from_bytes(digest[:8], "big", signed=True)
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
+def linked(n_a: int, n_b: int, both: int) -> bool:
+    """Whether sets of these sizes that share so many elements are linked."""
+    return 100 * both >= PERCENT * (n_a + n_b - both)
 
 
 #: Stands for a null id, so that it sorts as the smallest.
@@ -144,7 +153,7 @@ NO_ID = -(2**63)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Per row: key (its id), n_shingles, cls (a digest of its set; null if empty), registers and bands as bytes."""
+    """Per row: key (its id), n_shingles, cls and c (digest and number of its class; null if empty), registers, bands."""
     rows = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +163,10 @@ def profiles(docs: DataFrame) -> DataFrame:
                 sets = [shingler.shingles(t.as_py()) for t in part.column(1)]
                 registers = sketch(sets)
                 bands = band_keys(registers)
-                cls = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array(bands.tolist(), pa.list_(pa.int64()))], ["key", "n_shingles", "cls", "registers", "bands"])
+                classes = [class_of(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in classes], pa.binary()), pa.array([x[1] for x in classes], pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array(bands.tolist(), pa.list_(pa.int64()))], ["key", "n_shingles", "cls", "c", "registers", "bands"])
 
-    return rows.mapInArrow(run, "key long, n_shingles long, cls binary, registers binary, bands array<long>")
+    return rows.mapInArrow(run, "key long, n_shingles long, cls binary, c long, registers binary, bands array<long>")
 
 
 def _bitmap(keys: DataFrame) -> bytes:
@@ -172,40 +181,39 @@ def _bitmap(keys: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """cls and the whole set, as bytes, of rows whose key is probably among `keys`: a filter of fixed size is broadcast,
-    so that few other sets are built and shuffled."""
+def _sets(docs: DataFrame, keys: DataFrame, each: bool) -> DataFrame:
+    """The whole sets of rows whose key is probably among `keys`, by class: as bytes, or `each` shingle a row. A filter
+    of fixed size is broadcast, so that few other sets are built."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
     key = F.coalesce("doc_id", F.lit(NO_ID))
     h = F.pmod(F.xxhash64(key.alias("key")), F.lit(FILTER_BITS))
-    rows = pick(docs, doc_id="long", text="string").select(F.bitmap_bucket_number(h).alias("bucket"), F.bitmap_bit_position(h).alias("bit"), "text")
+    rows = pick(docs, doc_id="long", text="string").select(key.alias("key"), F.bitmap_bucket_number(h).alias("bucket"), F.bitmap_bit_position(h).alias("bit"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bits = Shingler(), np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            bucket, bit = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            row_keys, bucket, bit = (np.asarray(batch.column(i)) for i in range(3))
             there = bits[bucket * 4096 + bit // 8] >> (bit % 8) & 1
-            texts = batch.column(2)
-            sets = [s.tobytes() for i in np.flatnonzero(there).tolist() if len(s := shingler.shingles(texts[i].as_py()))]
-            for i in range(0, len(sets), 256):
-                part = sets[i : i + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in part], pa.binary()), pa.array(part, pa.binary())], ["cls", "shingles"])
-
-    return rows.mapInArrow(run, "cls binary, shingles binary")
-
+            texts = batch.column(3)
+            found = [(int(row_keys[i]), s) for i in np.flatnonzero(there).tolist() if len(s := shingler.shingles(texts[i].as_py()))]
+            for i in range(0, len(found), 256):
+                part = found[i : i + 256]
+                classes = np.array([class_of(s)[1] for _, s in part], np.int64)
+                own = np.array([k for k, _ in part], np.int64)
+                if each:
+                    sizes = [len(s) for _, s in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.repeat(classes, sizes)), pa.array(np.concatenate([s for _, s in part]).view(np.int64))], ["key", "c", "shingle"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(classes), pa.array([s.tobytes() for _, s in part], pa.binary())], ["key", "c", "shingles"])
 
-def _shared_sizes(sets: DataFrame) -> DataFrame:
-    """cls and m: how many of its shingles another class has too."""
+    return rows.mapInArrow(run, "key long, c long, " + ("shingle long" if each else "shingles binary"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cls, shingles in zip(batch.column(0), batch.column(1), strict=True):
-                values = np.frombuffer(shingles.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([cls.as_py()] * len(values), pa.binary()), pa.array(values)], ["cls", "shingle"])
 
-    each = sets.select("cls", "shingles").mapInArrow(run, "cls binary, shingle long")
-    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("cls").alias("cls")).filter("n = 1")
-    return alone.groupBy("cls").agg(F.count("*").alias("alone"))
+def _alone(docs: DataFrame, touched: DataFrame) -> DataFrame:
+    """c and how many of the shingles of a class no other class among `touched` (c, node) has."""
+    each = _sets(docs, touched.select(F.col("node").alias("key")), each=True).select("shingle", "c")
+    alone = each.groupBy("shingle").agg(F.min("c").alias("c"), F.max("c").alias("last")).filter("c = last")
+    return alone.groupBy("c").agg(F.count("*").alias("alone"))
 
 
 def _can_link(m: Column, n_a: Column, n_b: Column) -> Column:
@@ -213,23 +221,43 @@ def _can_link(m: Column, n_a: Column, n_b: Column) -> Column:
     return m * 100 >= (n_a + n_b - m) * PERCENT
 
 
-def _linked_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs of classes (a, b) those that are linked, as their nodes (u, v). Registers first, then the full sets."""
-    of = lambda side: classes.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("node", "registers", "shingles")])
+def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b) whose registers don't rule out a link, with their nodes (u, v), how many shingles they
+    share by the full sets, and whether they are linked."""
+    of = lambda side: classes.select(F.col("c").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("node", "registers", "shingles")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                nodes = [np.asarray(part.column(i)) for i in (0, 3)]
-                registers = [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (1, 4)]
-                sets = [[np.frombuffer(s, np.uint64) for s in part.column(i).to_pylist()] for i in (2, 5)]
+                names = [np.asarray(part.column(i)) for i in (0, 1, 2, 5)]
+                registers = [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (3, 6)]
+                sets = [[np.frombuffer(s, np.uint64) for s in part.column(i).to_pylist()] for i in (4, 7)]
                 sizes = [np.array([len(s) for s in x], float) for x in sets]
-                keep = [i for i in np.flatnonzero(estimate(*registers, *sizes) >= LEAST_ESTIMATE).tolist() if linked(sets[0][i], sets[1][i])]
-                yield pa.RecordBatch.from_arrays([pa.array(n[keep], pa.int64()) for n in nodes], ["u", "v"])
+                near = np.flatnonzero(estimate(*registers, *sizes) >= LEAST_ESTIMATE)
+                both = [overlap(sets[0][i], sets[1][i]) for i in near.tolist()]
+                ok = [linked(len(sets[0][i]), len(sets[1][i]), n) for i, n in zip(near.tolist(), both, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(n[near], pa.int64()) for n in names], pa.array(both, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "u", "v", "overlap", "linked"])
 
     both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    columns = ["node_a", "registers_a", "shingles_a", "node_b", "registers_b", "shingles_b"]
-    return both.select(*columns).mapInArrow(run, "u long, v long").filter("u <> v")
+    columns = ["a", "b", "node_a", "registers_a", "shingles_a", "node_b", "registers_b", "shingles_b"]
+    return both.select(*columns).mapInArrow(run, "a long, b long, u long, v long, overlap long, linked boolean")
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, touched: DataFrame) -> DataFrame:
+    """_compared() over candidate pairs; the sets of only those classes that are in a pair are built again."""
+    pairs = written(pairs.distinct(), "near-pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(touched, "c")
+    named = written(named, "near-named")
+    sets = _sets(docs, named.select(F.col("node").alias("key")), each=False)
+    whole = sets.join(named, "c").filter("key = node").select("c", "node", "registers", "shingles").dropDuplicates(["c"])
+    classes = written(whole, "near-sets")
+    found = written(_compared(pairs, classes), "near-compared")
+    drop_written(classes)
+    return found
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.filter(F.col("linked") & (F.col("u") != F.col("v"))).select("u", "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,41 +294,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(profiles(docs), "near-profiles")
     groups = written(rows.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("node")), "near-groups")
     # the row that stands for each class: that of its smallest id
-    stands = rows.join(groups, "cls").filter("key = node").dropDuplicates(["cls"]).select("cls", "node", "n_shingles", "registers", "bands")
+    stands = rows.filter("cls is not null").join(groups, "cls").filter("key = node").select("c", "node", "n_shingles", "registers", "bands").dropDuplicates(["c"])
     reps = written(stands, "near-representatives")
 
-    banded = reps.select("cls", F.explode("bands").alias("band"))
+    banded = reps.select("c", F.explode("bands").alias("band"))
     busy = written(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "near-bands")
     members = written(banded.join(busy, "band"), "near-members")
-    touched = written(members.select("cls").distinct().join(reps.select("cls", "node", "n_shingles", "registers"), "cls"), "near-touched")
-    sets = _sets(docs, touched.select(F.col("node").alias("key"))).join(touched, "cls").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("node", "n_shingles", "registers", "shingles")])
-    sets = written(sets, "near-sets")
-    alone = _shared_sizes(sets)
-    classes = written(sets.join(alone, "cls", "left").withColumn("m", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone"), "near-classes")
-    drop_written(sets)
-    sized = written(members.join(classes.select("cls", "node", "n_shingles", "m"), "cls"), "near-sized")
+    touched = written(members.select("c").distinct().join(reps.select("c", "node", "n_shingles", "registers"), "c"), "near-touched")
+    shared_part = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+    sized = written(touched.select("c", "node", "n_shingles").join(_alone(docs, touched), "c", "left").select("c", "node", "n_shingles", shared_part.alias("m")), "near-sizes")
+    # a class whose own shingles leave too few for any link is done
+    sized = sized.filter(_can_link(F.col("m"), F.col("n_shingles"), F.col("m")))
+    held = written(members.join(sized, "c"), "near-held")
 
     # a bucket's centre has the largest part of its set in common with other classes; ties by a hash of the band
-    rank = F.struct((F.col("m") / F.col("n_shingles")).alias("part"), F.xxhash64("band", "cls").alias("by"), "cls", "n_shingles", "m")
-    centres = written(sized.groupBy("band").agg(F.max(rank).alias("c")).select("band", F.col("c.cls").alias("c"), F.col("c.n_shingles").alias("c_n"), F.col("c.m").alias("c_m")), "near-centres")
-    star = sized.join(centres, "band").filter((F.col("cls") != F.col("c")) & _can_link(F.least("m", "c_m"), F.col("n_shingles"), F.col("c_n")))
-    pairs = written(star.select(F.col("cls").alias("a"), F.col("c").alias("b")).distinct(), "near-pairs")
-    edges = written(_linked_pairs(pairs, classes), "near-links")
-    labels = written(components(edges), "near-labels")
+    rank = F.struct((F.col("m") / F.col("n_shingles")).alias("part"), F.xxhash64("band", "c").alias("by"), "c", "n_shingles", "m")
+    centres = held.groupBy("band").agg(F.max(rank).alias("x"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("x.c").alias("centre"), F.col("x.n_shingles").alias("n_centre"), F.col("x.m").alias("m_centre"))
+    centres = written(centres, "near-centres")
+    star = held.join(centres, "band").filter((F.col("c") != F.col("centre")) & _can_link(F.least("m", "m_centre"), F.col("n_shingles"), F.col("n_centre")))
+    pairs = star.select(F.col("c").alias("a"), F.col("centre").alias("b"))
+    compared = _checked(docs, pairs, touched)
+    labels = written(components(_links(compared)), "near-labels")
 
     # buckets that still hold several components, without members that can't be linked with the smallest set there
-    label = F.coalesce("label", "node").alias("label")
-    held = sized.join(labels, "node", "left").select("band", "cls", "n_shingles", "m", label)
-    held = written(held, "near-held")
-    ends = held.groupBy("band").agg(F.min("n_shingles").alias("least"))
-    able = held.join(written(ends, "near-ends"), "band").filter(_can_link(F.col("m"), F.col("n_shingles"), F.greatest("least", "m"))).drop("least")
-    able = written(able, "near-able")
-    open_bands = written(able.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band"), "near-open")
-    left = able.join(open_bands, "band")
-    right = left.select("band", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n_shingles", "m", "label")])
-    cross = left.join(right, "band").filter((F.col("label") < F.col("label_b")) & _can_link(F.least("m", "m_b"), F.col("n_shingles"), F.col("n_shingles_b")))
-    rest = cross.select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()
-    more = written(_linked_pairs(written(rest, "near-rest"), classes), "near-links")
+    held = written(held.join(labels, "node", "left").select("band", "c", "n_shingles", "m", F.coalesce("label", "node").alias("label")), "near-labelled")
+    ends = written(held.groupBy("band").agg(F.min("n_shingles").alias("least"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "least"), "near-ends")
+    able = held.join(ends, "band").filter(_can_link(F.col("m"), F.col("n_shingles"), F.greatest("least", "m"))).drop("least")
+    # of a member's m shared shingles `inner` are the centre's, at most, and `outer` are not; both known once compared
+    known = compared.select(F.col("a").alias("c"), F.col("b").alias("centre"), "overlap")
+    able = able.join(centres, "band").join(known, ["c", "centre"], "left")
+    own = F.col("c") == F.col("centre")
+    inner = F.when(own, F.col("m")).otherwise(F.coalesce("overlap", F.least("m", "m_centre")))
+    outer = F.when(own, 0).otherwise(F.col("m") - F.coalesce("overlap", F.lit(0)))
+    able = written(able.select("band", "c", "n_shingles", "m", "label", inner.alias("inner"), outer.alias("outer")), "near-able")
+    still = written(able.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band"), "near-open")
+    left = able.join(still, "band")
+    right = left.select("band", *[F.col(x).alias(f"{x}_b") for x in ("c", "n_shingles", "m", "label", "inner", "outer")])
+    most = F.least("m", "m_b", F.least("inner", "inner_b") + F.least("outer", "outer_b"))
+    cross = left.join(right, "band").filter((F.col("label") < F.col("label_b")) & _can_link(most, F.col("n_shingles"), F.col("n_shingles_b")))
+    more = _links(_checked(docs, cross.select(F.col("c").alias("a"), F.col("c_b").alias("b")), touched))
     if more.head(1):
         stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
         labels = written(components(stars.unionByName(more)), "near-labels")
