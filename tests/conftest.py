@@ -37,7 +37,7 @@ def rows_of(frame) -> list[tuple]:
     def plain(v):
         if v is None or v != v:
             return None
-        return float(v) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "iufb" else v
+        return float(v) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "-") in "iufb" else v
 
     return sorted([tuple(plain(v) for v in row) for row in frame[names].itertuples(index=False)], key=repr)
 
