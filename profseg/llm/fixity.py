@@ -80,11 +80,11 @@ def differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 def descend(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
     """The slots that differ, found by following the differing branches down from the root."""
-    found = differing(ours[-1], theirs[-1])
-    for level in range(len(ours) - 2, -1, -1):
+    found = written(differing(ours[-1], theirs[-1]), "fixity-found")
+    for level in range(len(ours) - 2, -1, -1):  # each level's finding is written: both replicas of the next read it
         suspect = found.select(F.col("node").alias("parent"))
         below = [t.withColumn("parent", F.shiftright("node", FAN_BITS)).join(suspect, "parent", "left_semi") for t in (ours[level], theirs[level])]
-        found = differing(*below)
+        found = written(differing(*below), "fixity-found")
     return found
 
 
