@@ -111,19 +111,36 @@ def adaptive_kappa(df: DataFrame, x: str, floor: float = 0.0, base: float = KAPP
     return out.select("target", "thickness", (F.col("thickness") / F.col("step")).alias("kappa"), F.when(few, short).otherwise(F.col("peak_spacing")).alias("peak_spacing"), F.when(few, short).otherwise(F.col("variation_scale")).alias("variation_scale"), F.when(few, 0).otherwise(F.coalesce("n_strong", F.lit(0))).cast("long").alias("n_strong"))
 
 
-def neighbour_density(targets: DataFrame, points: DataFrame, grid: DataFrame, k: int = 6, bandwidth: float = 1.5) -> DataFrame:
-    """(target, depth, density): Gaussian kernels at the change points (target, boundary) of the k nearest other targets,
-    weighted by 1 / (distance + 1) over the k chosen. targets: (target, x, y), a table of locations; ties by target.
+def nearest(targets: DataFrame, k: int) -> DataFrame:
+    """(target, other, d): the k nearest other targets by (x, y), ties by target; those without coordinates take no part.
 
-    Locations are met pairwise in blocks of a grid of cells only when there are many; here the pairs of all locations are
-    ranked, k of them kept, before any sample is touched.
+    Targets meet those of their own and the eight cells around. A cell is as wide as to hold about two k targets; where the
+    kth found is no farther than one width, no nearer one can lie outside. Only targets for which that fails meet all others.
     """
-    located = targets.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    located = targets.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("target", "x", "y")
+    s = located.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}{n}") for c in ("x", "y") for f, n in ((F.min, 0), (F.max, 1))]).first()
+    spans = [(s.x1 or 0) - (s.x0 or 0), (s.y1 or 0) - (s.y0 or 0)]
+    width = math.sqrt(spans[0] * spans[1] * 2 * k / max(s.n, 1)) or max(spans) * 2 * k / max(s.n, 1) or 1.0
+    cell = lambda c: F.floor(F.col(c) / width)
+    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))"))
+    own = located.withColumns({"cx": cell("x"), "cy": cell("y")})
     other = located.select(F.col("target").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = located.join(other, F.col("target") != F.col("other"))
-    pairs = pairs.withColumn("d", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
-    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("target").orderBy("d", "other"))).filter(F.col("_r") <= k)
-    weighed = near.withColumn("weight", (1 / (F.col("d") + 1)) / F.sum(1 / (F.col("d") + 1)).over(Window.partitionBy("target"))).select("target", "other", "weight")
+    spread = other.withColumn("o", around).select("other", "x2", "y2", (cell("x2") + F.col("o.i")).alias("cx"), (cell("y2") + F.col("o.j")).alias("cy"))
+    d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")).alias("d")
+    place = F.row_number().over(Window.partitionBy("target").orderBy("d", "other"))
+    best = lambda pairs: pairs.select("target", "other", d).withColumn("_r", place).filter(F.col("_r") <= k)
+    close = best(own.join(spread, ["cx", "cy"]).filter("target <> other"))
+    done = close.filter((F.col("_r") == k) & (F.col("d") <= width)).select("target")
+    rest = located.join(done, "target", "left_anti")
+    far = best(rest.join(other, F.col("target") != F.col("other")))
+    return close.join(done, "target", "left_semi").unionByName(far).drop("_r")
+
+
+def neighbour_density(targets: DataFrame, points: DataFrame, grid: DataFrame, k: int = 6, bandwidth: float = 1.5) -> DataFrame:
+    """(target, depth, density): Gaussian kernels at the change points (target, boundary) of the k nearest other targets,
+    weighted by 1 / (distance + 1) over the k chosen. targets: (target, x, y)."""
+    total = F.sum(1 / (F.col("d") + 1)).over(Window.partitionBy("target"))
+    weighed = nearest(targets, k).withColumn("weight", (1 / (F.col("d") + 1)) / total).select("target", "other", "weight")
     marks = weighed.join(points.select(F.col("target").alias("other"), "boundary"), "other").select("target", "weight", "boundary")
     z = (F.col("depth") - F.col("boundary")) / bandwidth
     kernel = F.col("weight") * F.exp(-0.5 * z * z) / (math.sqrt(2 * math.pi) * bandwidth)

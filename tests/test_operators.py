@@ -173,3 +173,19 @@ def test_online_detection(spark, tmp_path):
     got = spark.sql("select * from found").collect()
     assert len(got) == 120
     assert any(r.changed and 58 <= r.depth <= 66 for r in got)
+
+
+def test_nearest_equals_brute_force(spark):
+    from profseg.operators import hazards
+
+    rng = random.Random(10)
+    points = [(i, float(rng.randrange(40)), float(rng.randrange(40))) for i in range(80)] + [(80, 1000.0, 1000.0), (81, None, 2.0)]
+    df = spark.createDataFrame(points, "target long, x double, y double")
+    got = {}
+    for r in hazards.nearest(df, 3).collect():
+        got.setdefault(r.target, set()).add(r.other)
+    for i, x, y in points[:-1]:
+        others = sorted((((x - a) ** 2 + (y - b) ** 2) ** 0.5, j) for j, a, b in points[:-1] if j != i)
+        assert got[i] == {j for _, j in others[:3]}
+    assert hazards.nearest(df.limit(0), 3).count() == 0
+    assert hazards.nearest(df.limit(1), 3).count() == 0
