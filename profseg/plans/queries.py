@@ -650,3 +650,25 @@ def top_profiles(spark, sf):
 def bootstrap_mean(spark, sf):
     s = tb.events(spark, sf).groupBy("target").agg(F.avg("value").alias("score"))
     return stats.bootstrap_mean(s, "score", 1000)
+
+
+@query()
+def detection_run(spark, sf):
+    """A whole run under settings scaled to hours."""
+    from .config import Detection
+    from .pipelines import detect_profiles
+
+    cfg = Detection(feature="value", beta=500.0, expected_thickness=120.0, least_thickness=24.0, smooth="savgol", contrast_window=40.0, refine_radius=24.0, neighbours=3, bandwidth=12.0)
+    return rounded(detect_profiles(tb.events(spark, sf), cfg, 10.0, tb.locations(spark, sf)))
+
+
+@query()
+def clustering_run(spark, sf):
+    """A whole run on weeks of four sensors, scored against the most frequent flags."""
+    from .config import Clustering
+    from .pipelines import cluster_segments
+
+    cfg = Clustering(model_id="demo", sensors=("value",), representation="paa", length=4, derivatives=True, selection="fixed", clusters=(3, 3), components=3, seed=1, least_thickness=60.0)
+    rows = tb.events(spark, sf).select("target", "depth", "value")
+    out, _ = cluster_segments(rows, tb.event_strata(spark, sf), tb.every(rows, 10).select("target", "boundary"), cfg)
+    return rounded(out)
