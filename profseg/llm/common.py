@@ -9,10 +9,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word of the contracts: anything but ASCII blanks.
-WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z lowered: what stands between the blanks 0x20 and 0x09 to 0x0D. For bytes, lower()
+    and split() mean just that."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,3 +55,6 @@ def drop_written(df: DataFrame) -> None:
         if "/profseg-" in path:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,7 +16,6 @@ they share with any class at all, leave room for a link.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, drop_written, pick, written
+from .common import drop_written, pick, words_of, written
 
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -37,7 +36,6 @@ ROWS, BANDS = 4, 48
 LEAST_ESTIMATE = PERCENT / 100 - 5 * math.sqrt(0.75 * 0.25 / REGISTERS)
 #: Bits of the filter that tells which documents have candidates.
 FILTER_BITS = 1 << 25
-_WORD = re.compile(r"[^ \t-\r]+")
 _GOLDEN, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CACHE_ENTRIES = 200_000
 
@@ -53,16 +51,16 @@ class Shingler:
     """Sorted distinct shingle hashes of texts; remembers the hashes of words."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
 
     def words(self, text: str) -> np.ndarray:
         known, out = self.known, []
-        for word in _WORD.findall(text.translate(ASCII_LOWER)):
+        for word in words_of(text):
             h = known.get(word)
             if h is None:
                 if len(known) >= CACHE_ENTRIES:
                     known.clear()
-                h = known[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+                h = known[word] = xxhash.xxh3_64_intdigest(word)
             out.append(h)
         return np.array(out, np.uint64)
 
@@ -328,10 +326,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     outer = F.when(own, 0).otherwise(F.col("m") - F.coalesce("overlap", F.lit(0)))
     able = written(able.select("band", "c", "n_shingles", "m", "label", inner.alias("inner"), outer.alias("outer")), "near-able")
     still = written(able.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band"), "near-open")
-    left = able.join(still, "band")
-    right = left.select("band", *[F.col(x).alias(f"{x}_b") for x in ("c", "n_shingles", "m", "label", "inner", "outer")])
+    left = written(able.join(still, "band").join(reps.select("c", "bands"), "c"), "near-left")
+    right = left.select("band", *[F.col(x).alias(f"{x}_b") for x in ("c", "n_shingles", "m", "label", "inner", "outer", "bands")])
     most = F.least("m", "m_b", F.least("inner", "inner_b") + F.least("outer", "outer_b"))
-    cross = left.join(right, "band").filter((F.col("label") < F.col("label_b")) & _can_link(most, F.col("n_shingles"), F.col("n_shingles_b")))
+    # a pair comes from the first of the bands that it shares
+    first = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True).cast("int")
+    both = (F.col("label") < F.col("label_b")) & _can_link(most, F.col("n_shingles"), F.col("n_shingles_b")) & (F.try_element_at("bands", first) == F.col("band"))
+    cross = left.join(right, "band").filter(both)
     more = _links(_checked(docs, cross.select(F.col("c").alias("a"), F.col("c_b").alias("b")), touched))
     if more.head(1):
         stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
