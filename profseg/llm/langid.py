@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import drop_written, pick, written
 
 #: Texts to learn from (about so many, chosen by a hash), and the most words and n-grams that a model has.
 TRAIN_DOCS, MODEL_WORDS, MODEL_GRAMS = 12_000, 120_000, 60_000
 MAX_GRAM = 4
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES, COUNTER_ENTRIES = 200_000, 150_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -41,57 +41,74 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Table:
+    """Terms with a row of centred log frequencies by language."""
+
+    def __init__(self, rows: list, langs: list[str]):
+        at = {lang: i for i, lang in enumerate(langs)}
+        self.numbers: dict[str, int] = {}
+        for row in rows:
+            self.numbers.setdefault(row.term, len(self.numbers))
+        counts = np.zeros((len(self.numbers), len(langs)), np.float64)
+        for row in rows:
+            counts[self.numbers[row.term], at[row.lang]] = row.n
+        logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
+        self.logs = (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+
+    def row(self, term: str) -> np.ndarray | None:
+        i = self.numbers.get(term)
+        return None if i is None else self.logs[i]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]  # centred log frequencies by language
-    grams: dict[str, np.ndarray]
+    words: Table
+    grams: Table
 
     def of_word(self, word: str) -> np.ndarray | None:
         """What a word adds to the score of each language; None if it isn't made of letters."""
         if not any(c.isalpha() for c in word):
             return None
-        if (found := self.words.get(word)) is not None:
+        if (found := self.words.row(word)) is not None:
             return found
         for n in range(MAX_GRAM, 0, -1):
-            if known := [g for x in grams_of(word, n) if (g := self.grams.get(x)) is not None]:
+            if known := [g for x in grams_of(word, n) if (g := self.grams.row(x)) is not None]:
                 return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to counts of words and n-grams, added up for the batches of a task until they are many."""
-    counts: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        rows = list(counts.items())
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([k[2] for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], ["lang", "size", "term", "n"])
-
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for word, n in Counter(words_of(text)).items():
-                counts[lang, 0, word] += n
-                for size in range(1, MAX_GRAM + 1):
-                    for gram in grams_of(word, size):
-                        counts[lang, size, gram] += n
-            if len(counts) > 300_000:
-                yield flush()
-    if counts:
-        yield flush()
-
-
-def _log_table(rows: list, langs: list[str]) -> dict[str, np.ndarray]:
-    at = {lang: i for i, lang in enumerate(langs)}
-    table: dict[str, np.ndarray] = {}
-    for row in rows:
-        table.setdefault(row.term, np.zeros(len(langs)))[at[row.lang]] = row.n
-    total = sum(table.values(), np.zeros(len(langs)))
-    out = {}
-    for term, n in table.items():
-        logs = np.log((n + 0.5) / (total + 0.5 * len(table)))
-        out[term] = logs - logs.mean()
-    return out
+        return np.zeros(len(self.langs), np.float32)
+
+
+def _summed(add):
+    """A function over batches that adds up counts of (lang, term) in a task, and gives them out when they are many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "term", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for row in zip(*[batch.column(i) for i in range(batch.num_columns)], strict=True):
+                add(counts, *[x.as_py() for x in row])
+                if len(counts) > COUNTER_ENTRIES:
+                    yield flush()
+        if counts:
+            yield flush()
+
+    return run
+
+
+def _add_words(counts: Counter, lang: str, text: str) -> None:
+    for word in words_of(text):
+        counts[lang, word] += 1
+
+
+def _add_grams(counts: Counter, lang: str, word: str, n: int) -> None:
+    for size in range(1, MAX_GRAM + 1):
+        for gram in grams_of(word, size):
+            counts[lang, gram] += n
 
 
 def train(docs: DataFrame, learns: Column, train_docs: int = TRAIN_DOCS, model_words: int = MODEL_WORDS, model_grams: int = MODEL_GRAMS) -> Model:
@@ -102,25 +119,28 @@ def train(docs: DataFrame, learns: Column, train_docs: int = TRAIN_DOCS, model_w
     rows = rows.filter(F.col("text").isNotNull())
     if share < 1:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, size int, term string, n long").groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
-    # the same table serves words and n-grams: the most frequent terms of either, for each language
-    words = counts.filter("size = 0 and n > 1").orderBy(F.desc("n"), "term", "lang").limit(model_words).collect()
-    grams = counts.filter("size > 0 and n > 1").orderBy(F.desc("n"), "term", "lang").limit(model_grams).collect()
-    langs = sorted({r.lang for r in [*words, *grams]})
-    return Model(langs, _log_table(words, langs), _log_table(grams, langs))
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row's doc_id with lang_pred and score; other columns of `docs` but its text are kept."""
+    schema = "lang string, term string, n long"
+    total = lambda df: df.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    words = written(total(rows.select("lang", "text").mapInArrow(_summed(_add_words), schema)), "langid-words")
+    grams = total(words.select("lang", "term", "n").mapInArrow(_summed(_add_grams), schema))
+    top = lambda df, most: df.filter("n > 1").orderBy(F.desc("n"), "term", "lang").limit(most).collect()
+    top_words, top_grams = top(words, model_words), top(grams, model_grams)
+    langs = sorted({r.lang for r in [*top_words, *top_grams]})
+    drop_written(words)
+    return Model(langs, Table(top_words, langs), Table(top_grams, langs))
+
+
+def predict(docs: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
+    """Every row with lang_pred and score; the columns of `docs` are kept, its text only `with_text`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if with_text or c != "text"]
     names = [*keep, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         langs = model.langs
         known: dict[str, int] = {}
-        rows = np.zeros((1024, max(1, len(langs))))
+        rows = np.zeros((1024, max(1, len(langs))), np.float32)
         for batch in batches:
             preds, scores = [], []
             for text in batch.column(batch.schema.get_field_index("text")):
@@ -143,7 +163,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     preds.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                total = rows[ids].sum(axis=0) / math.sqrt(len(ids))
+                total = rows[ids].sum(axis=0, dtype=np.float64) / math.sqrt(len(ids))
                 best = int(total.argmax())
                 preds.append(langs[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))

@@ -26,9 +26,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language of the corpus: not `und`, and with a sure enough score."""
     model = langid.train(langid.documents_of(docs), F.lit(True))
-    found = langid.predict(docs.withColumn("_kept", F.col("text")), model)
+    found = langid.predict(docs, model, with_text=True)
     known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return found.filter(known).withColumnRenamed("_kept", "text").select(*docs.columns)
+    return found.filter(known).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
