@@ -179,6 +179,24 @@ def _bitmap(keys: DataFrame) -> bytes:
     return bytes(out)
 
 
+def marked(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """`docs` with a boolean column: whether the key of a row may be among `keys`. False is certain; a filter of fixed size
+    is broadcast, so that nothing of `docs` is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
+    h = F.pmod(F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))), F.lit(FILTER_BITS))
+    rows = docs.select("*", F.bitmap_bucket_number(h).alias("_bucket"), F.bitmap_bit_position(h).alias("_bit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            *columns, bucket, bit = batch.columns
+            bucket, bit = np.asarray(bucket), np.asarray(bit)
+            there = (bits[bucket * 4096 + bit // 8] >> (bit % 8) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(there)], [*batch.schema.names[:-2], name])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` boolean")
+
+
 def _sets(docs: DataFrame, keys: DataFrame, each: bool) -> DataFrame:
     """The whole sets of rows whose key is probably among `keys`, by class: as bytes, or `each` shingle a row. A filter
     of fixed size is broadcast, so that few other sets are built."""

@@ -32,11 +32,19 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of rows that share that id, one."""
-    kept = written(setsketch.near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies")), "pipeline-kept")
-    found = docs.join(kept, F.equal_null(docs["doc_id"].cast("long"), kept["kept_id"]))
-    single = found.filter("copies = 1").select(*docs.columns)
-    return single.unionByName(found.filter("copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """The document with the smallest id of each group of near-duplicates; of rows that share that id, one.
+
+    Most rows are kept: a filter of fixed size tells those that surely are, and only the others are joined with the ids.
+    """
+    found = written(setsketch.near_duplicates(docs).select(F.coalesce("doc_id", F.lit(setsketch.NO_ID)).alias("key"), "kept"), "pipeline-near")
+    kept = written(found.filter("kept").groupBy("key").agg(F.count("*").alias("copies")), "pipeline-kept")
+    other = found.filter("not kept").select("key").unionByName(kept.filter("copies > 1").select("key")).distinct()
+    rows = setsketch.marked(docs, written(other, "pipeline-other"), "_joined")
+    maybe = rows.filter("_joined").withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(setsketch.NO_ID)))
+    joined = maybe.join(kept.withColumnRenamed("key", "_key"), "_key")
+    once = joined.filter("copies = 1").select(*docs.columns)
+    repeated = joined.filter("copies > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    return rows.filter("not _joined").select(*docs.columns).unionByName(once).unionByName(repeated)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

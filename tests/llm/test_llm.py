@@ -399,3 +399,16 @@ def test_pipeline(spark):
             assert docs.columns == columns
     assert all(b <= a for a, b in zip(kept, kept[1:])) and kept[-1]
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()} == kept[-1]
+
+
+def test_near_stage_keeps_one(spark):
+    from profseg.llm import stages
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text), (3, text + " more"), (4, "else entirely"), (4, "else entirely"), (None, "no id at all"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, kept int")
+    got = stages.keep_one_of_each_group(spark, docs, DATA)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect() if r.doc_id != 5) == [(0, "no id at all"), (1, text), (4, "else entirely"), (6, "")]
+    assert got.filter("doc_id = 5").count() == 1
+    assert stages.keep_one_of_each_group(spark, docs.limit(0), DATA).count() == 0
