@@ -2,14 +2,17 @@
 
 Symbols are the words of the training corpus, the end of a text, and one symbol for all words that it lacks; the event space is
 that of the add-one unigram model (the base) that stands beside it. A context is up to DEPTH symbols before the next, the
-end standing before a text's first. Contexts that make up CONTEXT_SHARE of the corpus are counted with their next symbols; one is
-retained when the divergence of its next-symbol distribution from that of its suffix gains more than it costs, and then so
-are its suffixes. Counts are discounted and what is discounted follows the next shorter suffix, down to the root, whose
-discount is the share of the unseen symbol. A symbol is scored from the longest retained suffix state.
-
-All training texts are counted whole. Shares bound what is broadcast: at most 1 / FREQUENT words, 1 / CONTEXT_SHARE
-contexts a depth, each with 1 / NEXT_SHARE next symbols at most; what a text holds of other words is joined with the corpus
-counts by hash. Null texts count as empty: an end alone. A null id falls into the fold of crc32(''). Repeated rows give
+end standing before a text's first. A symbol that follows a context LEAST times is told apart there, whatever the corpus's
+size; a context is retained when the divergence of its next-symbol distribution from that of its suffix gains more than it
+costs, and then so are its suffixes. Counts are discounted and what is discounted follows the next shorter suffix, down to
+the root, whose discount is the share of the unseen symbol. A symbol is scored from the longest retained suffix state.
+
+All training texts are counted whole. A gram (a context and the symbol behind it) is a 64-bit hash. Grams are counted a
+length at a time; only those whose two shorter grams may occur LEAST times are shuffled, by a filter of fixed size that
+never misses one. The tree is a Parquet table of grams, grown by joins, that grows with the corpus. A log probability is a
+sum over the grams of a text: what a retained context leaves to its suffix, and what a symbol told apart there gains over
+that. The most frequent grams and words are broadcast, at most HEAD and 1 / FREQUENT; the others are joined by hash.
+Null texts count as empty: an end alone. A null id falls into the fold of crc32(''). Repeated rows give
 repeated results; extra columns are ignored. Without training texts N = V = 0 and every symbol is the unseen one.
 """
 
@@ -19,6 +22,8 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +33,16 @@ from pyspark.sql import functions as F
 
 from .common import pick, words_of, written
 
-#: Symbols of a context at most, and the share of all positions that a context must precede.
-DEPTH, CONTEXT_SHARE = 3, 1e-4
-#: Only symbols of this share are told apart behind a context; the others follow the suffix.
-NEXT_SHARE = 1e-5
-#: A word of this share of the training tokens is broadcast.
-FREQUENT = 1e-6
+#: Symbols of a context at most; a symbol needs so many occurrences behind a context to be told apart.
+DEPTH, LEAST = 3, 2
+#: A word of this share of the training tokens is broadcast; of grams, at most HEAD.
+FREQUENT, HEAD = 1e-6, 1_000_000
 #: The gain in nats that a retained context needs, and for each symbol that is told apart behind it.
 LEAST_GAIN, GAIN_A_SYMBOL = 10.0, 2.0
 #: Discount of counts behind contexts.
 DISCOUNT = 0.75
-#: A context is CONTEXT_BITS for each of its symbols, the last one lowest; a pair is a context and NEXT_BITS of a symbol.
-CONTEXT_BITS, NEXT_BITS = 14, 20
+#: Bits of a filter of grams.
+FILTER_BITS = 1 << 27
 CACHE_ENTRIES, COUNTER_ENTRIES, BUFFER = 400_000, 400_000, 1_500_000
 END = b""  # as a key among words, none of which is empty
 
@@ -50,77 +53,118 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class Hashes(dict):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        found = self[word] = word_hash(word)
+        return found
+
+
+END_HASH = word_hash(END)
+
+
 @dataclass
 class Symbols:
-    """Symbols with numbers, the most frequent first, from 1; 0 is any other."""
+    """Frequent symbols with numbers, the most frequent first, from 1; 0 is any other."""
 
     numbers: dict[bytes, int]
     counts: np.ndarray  # by number
-    n_context: int  # numbers up to here occur in contexts, up to n_next behind them
-    n_next: int
 
     @classmethod
-    def of(cls, frequent: dict[bytes, int], n_tokens: int) -> Symbols:
+    def of(cls, frequent: dict[bytes, int]) -> Symbols:
         order = sorted(frequent, key=lambda w: (-frequent[w], w))
-        counts = np.array([0, *(frequent[w] for w in order)], np.int64)
-        enough = lambda share: int((counts[1:] >= max(1.0, share * n_tokens)).sum())
-        return cls({w: i + 1 for i, w in enumerate(order)}, counts, min(enough(CONTEXT_SHARE), (1 << CONTEXT_BITS) - 1), min(enough(NEXT_SHARE), (1 << NEXT_BITS) - 1))
-
-
-def contexts(ids: np.ndarray, starts: np.ndarray, n_context: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For depths 1, 2, ... DEPTH the places that have a context of that many symbols, and these contexts, packed. Texts
-    begin at `starts`; before a text's first symbol stands the end, and nothing before that."""
-    place = np.arange(len(ids)) - np.repeat(starts, np.diff(starts, append=len(ids)))
-    usable = (ids > 0) & (ids <= n_context)
-    end_usable = 0 < end <= n_context
-    at, packed = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-    for back in range(1, DEPTH + 1):
-        inside, edge = place[at] >= back, place[at] == back - 1
-        before = np.maximum(at - back, 0)
-        ok = (inside & usable[before]) | (edge & end_usable)
-        symbol = np.where(inside, ids[before], end)[ok]
-        at, packed = at[ok], packed[ok] | symbol << (CONTEXT_BITS * (back - 1))
-        yield at, packed
+        return cls({w: i + 1 for i, w in enumerate(order)}, np.array([0, *(frequent[w] for w in order)], np.int64))
+
+
+def longer(grams: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The hashes of grams with one more symbol behind each; the empty gram is 0."""
+    x = grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + symbols.view(np.uint64)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
+def grams(hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For contexts of 1, 2, ... DEPTH symbols: the places that have one, and by place the context, and it with the symbol
+    there. Texts begin at `starts`; before a text's first symbol stands the end, and nothing before that."""
+    place = np.arange(len(hashes)) - np.repeat(starts, np.diff(starts, append=len(hashes)))
+    before = np.roll(hashes, 1)
+    before[starts] = END_HASH
+    context = longer(np.zeros(len(hashes), np.int64), before)
+    for depth in range(1, DEPTH + 1):
+        whole = longer(context, hashes)
+        yield place >= depth - 1, context, whole
+        context = np.roll(whole, 1)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in a filter of bits(); False is certain."""
+    bit = keys & (FILTER_BITS - 1)
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bits(keys: DataFrame) -> np.ndarray:
+    """A filter with a bit for each `key`."""
+    bit = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = keys.select(F.shiftright(bit, 15).alias("bucket"), bit.bitwiseAND(F.lit(32767)).alias("bit"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        out[r.bucket * 4096 : r.bucket * 4096 + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
 
 
 @dataclass
 class Tree:
-    """Retained contexts by packed context, sorted, with sums and what is left to their suffix; pairs likewise."""
+    """The most frequent grams of the tree, sorted by hash, and a filter of all."""
 
     symbols: Symbols
-    contexts: np.ndarray
-    left: np.ndarray  # log10 of the share that follows the suffix
-    pairs: np.ndarray
-    scores: np.ndarray  # log10 probabilities of the pairs
+    grams: np.ndarray
+    left: np.ndarray  # log10 of the share that a context leaves to its suffix, 0 for grams that aren't retained contexts
+    gain: np.ndarray  # log10 of what the last symbol gains over that, 0 where it isn't told apart
     root: np.ndarray  # log10 probabilities by number; 0 at 0, which another table tells
+    maybe: np.ndarray
+
+    @property
+    def contexts(self) -> np.ndarray:
+        return self.grams[self.left != 0]
+
+    def find(self, keys: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key stands (-1 if it doesn't), and the places of keys that only the whole table can tell."""
+        found = np.full(len(keys), -1)
+        asked = np.flatnonzero(valid & passes(self.maybe, keys))
+        if not len(self.grams):
+            return found, asked
+        at = np.minimum(np.searchsorted(self.grams, keys[asked]), len(self.grams) - 1)
+        there = self.grams[at] == keys[asked]
+        found[asked[there]] = at[there]
+        return found, asked[~there]
+
+    def read(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of each symbol as far as the tree's head tells, and the places and hashes of grams beyond it. For symbols 0
+        without their root probability."""
+        numbers, hashes = ids
+        out = self.root[numbers].copy()
+        places, rest = [], []
+        found = None
+        for valid, context, whole in grams(hashes, starts):
+            if found is None:
+                found, open_ = self.find(context, valid)
+                places.append(open_)
+                rest.append(context[open_])
+            else:
+                found = np.where(valid, np.roll(found, 1), -1)
+            out[found >= 0] += self.left[found[found >= 0]]
+            found, open_ = self.find(whole, valid)
+            places.append(open_)
+            rest.append(whole[open_])
+            out[found >= 0] += self.gain[found[found >= 0]]
+        return out, np.concatenate(places), np.concatenate(rest)
 
     def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of each symbol; for symbols 0 only the factor of their state, to which their root probability comes."""
-        out = self.root[ids]
-        done = np.zeros(len(ids), bool)
-        factor = np.zeros(len(ids))
-        states = []
-        for at, packed in contexts(ids, starts, self.symbols.n_context, self.symbols.numbers.get(END, 0)):
-            found = _find(self.contexts, packed)
-            states.append((at[found >= 0], packed[found >= 0], found[found >= 0]))
-        for at, packed, found in reversed(states):  # the longest first
-            fresh = ~done[at]
-            at, packed, found = at[fresh], packed[fresh], found[fresh]
-            told = _find(self.pairs, packed << NEXT_BITS | ids[at])
-            hit = (told >= 0) & (ids[at] > 0)
-            if hit.any():
-                out[at[hit]] = self.scores[told[hit]] + factor[at[hit]]
-                done[at[hit]] = True
-            factor[at[~hit]] += self.left[found[~hit]]
-        return np.where(done, out, out + factor)
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where each key stands in a sorted table; -1 if it doesn't."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+        return self.read(ids, starts)[0]
 
 
 def discount_of(once: int, twice: int) -> float:
@@ -128,54 +172,6 @@ def discount_of(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def grow(symbols: Symbols, counted: dict[int, dict[int, int]], root: np.ndarray) -> Tree:
-    """The tree of the contexts that the divergence test keeps. counted: packed context to counts by next symbol, 0 for
-    all that aren't told apart. root: probabilities by symbol number."""
-    depth_of = lambda c: -(-c.bit_length() // CONTEXT_BITS)
-    suffix = lambda c: c & ((1 << CONTEXT_BITS * (depth_of(c) - 1)) - 1)
-    sums = {c: sum(n.values()) for c, n in counted.items()}
-    keep: set[int] = set()
-    for c, following in counted.items():
-        below = suffix(c)
-        if below and below not in counted:
-            continue
-
-        def of_suffix(s: int, below: int = below) -> float:
-            return counted[below].get(s, 0) / sums[below] if below else float(root[s])
-
-        told = {s: n for s, n in following.items() if s}
-        rest, rest_below = following.get(0, 0), 1 - sum(map(of_suffix, told))
-        gain = sum(n * math.log(n / sums[c] / p) for s, n in told.items() if (p := of_suffix(s)) > 0)
-        if rest and rest_below > 1e-12:
-            gain += rest * math.log(rest / sums[c] / rest_below)
-        if gain >= LEAST_GAIN + GAIN_A_SYMBOL * len(told):
-            while c:
-                keep.add(c)
-                c = suffix(c)
-    keep = {c for c in keep if c in counted}
-    left, prob = {}, {}
-    for c in sorted(keep, key=depth_of):
-        told = {s: n for s, n in counted[c].items() if s}
-        left[c] = (sums[c] - sum(n - min(DISCOUNT, n) for n in told.values())) / sums[c]
-        for s, n in told.items():
-            p, x, share = None, suffix(c), 1.0
-            while p is None:
-                if not x:
-                    p = float(root[s])
-                elif (x, s) in prob:
-                    p = prob[x, s]
-                else:
-                    if x in left:
-                        share *= left[x]
-                    x = suffix(x)
-            prob[c, s] = (n - min(DISCOUNT, n)) / sums[c] + left[c] * share * p
-    packed = np.array(sorted(left), np.int64)
-    pairs = sorted((c << NEXT_BITS | s, p) for (c, s), p in prob.items())
-    logs = np.log10(np.maximum(root, 1e-300))
-    logs[0] = 0.0
-    return Tree(symbols, packed, np.log10([left[c] for c in packed.tolist()]), np.array([k for k, _ in pairs], np.int64), np.log10([p for _, p in pairs]), logs)
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -193,58 +189,107 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def numbered(texts: list[list[bytes]], symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol numbers of texts, each with its end, and where each text begins."""
-    get, end = symbols.numbers.get, symbols.numbers.get(END, 0)
-    ids: list[int] = []
-    starts = []
-    for words in texts:
-        starts.append(len(ids))
-        ids += [get(w, 0) for w in words]
-        ids.append(end)
-    return np.array(ids, np.int64), np.array(starts, np.int64)
+def numbered(texts: list[list[bytes]], symbols: Symbols | None, known: Hashes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol numbers (0 without `symbols`) and hashes of texts, each with its end, and where each text begins."""
+    known = Hashes() if known is None else known
+    words = [w for text in texts for w in (*text, END)]
+    numbers = list(map(symbols.numbers.get, words, repeat(0))) if symbols else [0] * len(words)
+    sizes = np.array([len(text) + 1 for text in texts], np.int64)
+    return np.array([numbers, [known[w] for w in words]], np.int64), np.cumsum(sizes) - sizes
+
 
+def _gram_counts(depth: int, shared):
+    """Texts to counts of contexts of `depth` symbols with the next one, where the filter passes both shorter grams."""
 
-def _pair_counts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = shared.value
-        end = symbols.numbers.get(END, 0)
-        keys, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        known, waiting, counts = Hashes(), [], None
 
-        def merge() -> None:
-            nonlocal keys, counts
-            fresh, n = np.unique(np.concatenate(waiting), return_counts=True)
+        def merge():
+            nonlocal counts
+            parts = [(c, w, np.ones(len(c), np.int64)) for c, w in waiting] + ([counts] if counts else [])
             waiting.clear()
-            both, where = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
-            keys, counts = both, np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
+            c, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            whole = longer(c, w)
+            order = np.argsort(whole)
+            first = np.flatnonzero(np.diff(whole[order], prepend=~whole[order][:1]))
+            counts = (c[order][first], w[order][first], np.add.reduceat(n[order], first)) if len(first) else (c, w, n)
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, counts
-            out = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["pair", "n"])
-            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            nonlocal counts
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in counts], ["c", "w", "n"])
+            counts = None
             return out
 
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                ids, starts = numbered([words_of(t.as_py()) for t in part.column(0)], symbols)
-                following = np.where(ids <= symbols.n_next, ids, 0)
-                for at, packed in contexts(ids, starts, symbols.n_context, end):
-                    waiting.append(packed << NEXT_BITS | following[at])
-                if sum(map(len, waiting)) > BUFFER:
+                (_, hashes), starts = numbered([words_of(t.as_py()) for t in part.column(0)], None, known)
+                *_, (_, _, suffix), (valid, context, _) = [(None, None, None), *islice(grams(hashes, starts), depth)]
+                if shared:
+                    valid &= passes(shared.value, context) & passes(shared.value, suffix)
+                waiting.append((context[valid], hashes[valid]))
+                if sum(len(c) for c, _ in waiting) > BUFFER:
                     merge()
-                    if len(keys) > 2 * BUFFER:
+                    if len(counts[0]) > BUFFER:
                         yield flush()
         if waiting:
             merge()
-        if len(keys):
+        if counts and len(counts[0]):
             yield flush()
 
     return run
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """`rows` (c, sc, w, n, total) with key and skey, the grams of c and of its suffix sc with w."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, sc, w = (np.asarray(batch.column(i)) for i in range(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(longer(c, w)), pa.array(longer(sc, w))], ["c", "sc", "w", "n", "total", "key", "skey"])
+
+    return rows.select("c", "sc", "w", "n", "total").mapInArrow(run, "c long, sc long, w long, n long, total long, key long, skey long")
+
+
+def grow(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """The tree's grams (key, n, left, gain) of the texts of `rows`. level: the words and the end as grams (key, n, skey 0,
+    p their root probability)."""
+    root, levels, contexts, filter_ = level, [], [], None
+    for depth in range(1, DEPTH + 1):
+        raw = rows.select("text").mapInArrow(_gram_counts(depth, filter_), "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+        # how often a context precedes a symbol is how often it occurs
+        raw = raw.join(level.select(F.col("key").alias("c"), F.col("n").alias("total"), F.col("skey").alias("sc")), "c")
+        below = level.select(F.col("key").alias("skey"), F.col("p").alias("below"))
+        level = written(_keyed(raw).join(below, "skey").withColumn("p", F.col("n") / F.col("total")), f"lm-level-{depth}")
+        sums = level.groupBy("c").agg(F.first("sc").alias("sc"), F.first("total").alias("total"), F.sum(F.col("n") * F.log(F.col("p") / F.col("below"))).alias("gain"), F.sum("n").alias("told"), F.sum("below").alias("below"), F.count("*").alias("symbols"))
+        rest, rest_below = F.col("total") - F.col("told"), 1 - F.col("below")
+        gain = F.col("gain") + F.when((rest > 0) & (rest_below > 1e-12), rest * F.log(rest / F.col("total") / rest_below)).otherwise(0.0)
+        left = (rest + DISCOUNT * F.col("symbols")) / F.col("total")
+        contexts.append(written(sums.select("c", "sc", "total", (gain >= LEAST_GAIN + GAIN_A_SYMBOL * F.col("symbols")).alias("keep"), left.alias("left")), f"lm-contexts-{depth}"))
+        levels.append(level)
+        if depth < DEPTH:
+            filter_ = rows.sparkSession.sparkContext.broadcast(bits(level))
+    kept: list[DataFrame] = []
+    for table in reversed(contexts):
+        if kept:
+            needed = kept[0].select(F.col("sc").alias("c")).distinct().withColumn("needed", F.lit(True))
+            table = table.join(needed, "c", "left").withColumn("keep", F.col("keep") | F.coalesce("needed", F.lit(False)))
+        kept.insert(0, written(table.filter("keep").select("c", "sc", "total", "left"), "lm-kept"))
+    parts, known = [], root.select("key", F.col("p").alias("q"))
+    for level, table in zip(levels, kept, strict=True):
+        parts.append(table.select(F.col("c").alias("key"), F.col("total").alias("n"), F.log10("left").alias("left"), F.lit(0.0).alias("gain")))
+        told = level.select("c", "n", "key", "skey").join(table.select("c", "total", "left"), "c").join(known.select(F.col("key").alias("skey"), F.col("q").alias("q_below")), "skey")
+        told = told.withColumn("q", (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("q_below"))
+        told = written(told.select("key", "n", "q", (F.log10("q") - F.log10("q_below") - F.log10("left")).alias("gain")), "lm-told")
+        parts.append(told.select("key", "n", F.lit(0.0).alias("left"), "gain"))
+        known = told
+    whole = reduce(DataFrame.unionByName, parts)
+    return written(whole.groupBy("key").agg(F.max("n").alias("n"), F.sum("left").alias("left"), F.sum("gain").alias("gain")), "lm-tree")
+
+
 @dataclass
 class Model:
-    tree: Tree
+    tree: Tree  # its head
+    grams: DataFrame  # key, value: the grams of the tree beyond the head
     frequent: dict[bytes, int]
     words: DataFrame  # h (hash of the word), n: all words of the training texts that aren't frequent
     ends: int
@@ -267,20 +312,36 @@ def train(docs: DataFrame, learns: Column) -> Model:
     n_tokens, n_distinct, discount = total.n + ends, total.v + bool(ends), discount_of(total.once, total.twice)
     least = max(1.0, FREQUENT * n_tokens)
     frequent = {bytes(r.word): r.n for r in words.filter(F.col("n") >= least).collect()} | ({END: ends} if ends else {})
-    symbols = Symbols.of(frequent, n_tokens)
-
-    shared = docs.sparkSession.sparkContext.broadcast(symbols)
-    pairs = rows.select("text").mapInArrow(_pair_counts(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = written(pairs.select(F.shiftright("pair", NEXT_BITS).alias("context"), F.col("pair").bitwiseAND(F.lit((1 << NEXT_BITS) - 1)).alias("next"), "n"), "lm-pairs")
-    common = pairs.groupBy("context").agg(F.sum("n").alias("total")).filter(F.col("total") >= max(2.0, CONTEXT_SHARE * n_tokens)).select("context")
-    # a symbol seen once behind a context isn't told apart there
-    told = pairs.withColumn("next", F.when(F.col("n") > 1, F.col("next")).otherwise(0)).join(common, "context").groupBy("context", "next").agg(F.sum("n").alias("n"))
-    counted: dict[int, dict[int, int]] = {}
-    for r in told.groupBy("context").agg(F.collect_list(F.struct("next", "n")).alias("following")).toLocalIterator():
-        counted[r.context] = {x.next: x.n for x in r.following}
-    root = np.maximum(symbols.counts - discount, 0) / max(1, n_tokens)
+    symbols = Symbols.of(frequent)
     rare = words.filter(F.col("n") < least).select(F.xxhash64("word").alias("h"), "n")
-    return Model(grow(symbols, counted, root), frequent, rare, ends, n_tokens, n_distinct, discount)
+
+    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.asarray(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(longer(np.zeros(len(h), np.int64), h)), batch.column(1)], ["key", "n"])
+
+    every = words.select(F.xxhash64("word").alias("h"), "n").unionByName(docs.sparkSession.createDataFrame([(END_HASH, ends)] if ends else [], "h long, n long"))
+    # a word that occurs less often is in no gram that counts
+    level = every.filter(F.col("n") >= LEAST).mapInArrow(unigrams, "key long, n long")
+    level = written(level.select("key", "n", F.lit(0).cast("long").alias("skey"), ((F.col("n") - discount) / float(max(1, n_tokens))).alias("p")), "lm-unigrams")
+    whole = grow(rows, level)
+    # halves of octaves of counts, the highest first, as many as fit the head
+    octave = F.floor(2 * F.log2("n")).alias("octave")
+    size, lowest = 0, None
+    for r in whole.groupBy(octave).count().orderBy(F.desc("octave")).collect():
+        size += r["count"]
+        if size > HEAD:
+            break
+        lowest = r.octave
+    in_head = F.lit(False) if lowest is None else octave >= lowest
+    head = whole.filter(in_head).select("key", "left", "gain").toArrow()
+    keys = head.column("key").to_numpy()
+    order = np.argsort(keys)
+    root = np.log10(np.maximum(np.maximum(symbols.counts - discount, 0) / max(1, n_tokens), 1e-300))
+    root[0] = 0.0
+    tree = Tree(symbols, keys[order], head.column("left").to_numpy()[order], head.column("gain").to_numpy()[order], root, bits(whole))
+    beyond = whole.filter(~in_head).select("key", (F.col("left") + F.col("gain")).alias("value"))
+    return Model(tree, beyond, frequent, rare, ends, n_tokens, n_distinct, discount)
 
 
 def _read(shared):
@@ -293,14 +354,17 @@ def _read(shared):
         symbols = tree.symbols
         logs = np.log10(symbols.counts + 1.0)
         uid = TaskContext.get().partitionId() << 40
+        known = Hashes()
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 texts = [words_of(t.as_py()) for t in part.column(2)]
-                ids, starts = numbered(texts, symbols)
+                ids, starts = numbered(texts, symbols, known)
+                numbers = ids[0]
+                scores, places, keys = tree.read(ids, starts)
                 sums = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)  # noqa: B023, E731
                 others: list[list[int]] = [[] for _ in texts]
                 times: list[list[int]] = [[] for _ in texts]
-                rare = np.flatnonzero(ids == 0)
+                rare = np.flatnonzero(numbers == 0)
                 owner = np.searchsorted(starts, rare, "right") - 1
                 lengths = np.array([len(words) for words in texts])
                 inside = rare - starts[owner] < lengths[owner]  # the end may be a symbol 0 too
@@ -309,11 +373,14 @@ def _read(shared):
                 for i, k in zip(owner.tolist(), (rare - starts[owner]).tolist(), strict=True):
                     groups.setdefault(i, Counter())[texts[i][k]] += 1
                 for i, rest in groups.items():
-                    others[i] = [word_hash(w) for w in rest]
+                    others[i] = [known[w] for w in rest]
                     times[i] = list(rest.values())
-                columns = [pa.array(np.arange(uid, uid + len(texts))), pa.array(sums(np.ones(len(ids), np.int64))), pa.array(sums((ids > 0).astype(np.int64))), pa.array(sums(logs[ids])), pa.array(sums(tree.log10(ids, starts))), pa.array(others, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
+                places = np.searchsorted(starts, places, "right") - 1
+                keys = keys[np.argsort(places, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=len(texts)))])
+                columns = [pa.array(np.arange(uid, uid + len(texts))), pa.array(sums(np.ones(len(numbers), np.int64))), pa.array(sums((numbers > 0).astype(np.int64))), pa.array(sums(logs[numbers])), pa.array(sums(scores)), pa.array(others, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))]
                 uid += len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "held_out", "uid", "n_tokens", "n_known", "base", "score", "others", "times"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "held_out", "uid", "n_tokens", "n_known", "base", "score", "others", "times", "grams"])
 
     return run
 
@@ -321,16 +388,17 @@ def _read(shared):
 def score(docs: DataFrame, held_out: Column, model: Model) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model.tree)
-    schema = "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base double, score double, others array<long>, times array<int>"
+    schema = "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base double, score double, others array<long>, times array<int>, grams array<long>"
     rows = written(docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(_read(shared), schema), "lm-rows")
     others = rows.select("uid", F.explode(F.arrays_zip(F.col("others").alias("h"), F.col("times").alias("times"))).alias("w")).select("uid", "w.h", "w.times")
     counted = others.join(model.words, "h")
     root = F.col("times") * F.log10((F.col("n") - model.discount) / float(max(1, model.n_tokens)))
     more = counted.groupBy("uid").agg(F.sum("times").cast("long").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("base_more"), F.sum(root).alias("score_more"))
-    joined = rows.select("doc_id", "held_out", "uid", "n_tokens", "n_known", "base", "score").join(more, "uid", "left")
+    grams_more = rows.select("uid", F.explode("grams").alias("key")).join(model.grams, "key").groupBy("uid").agg(F.sum("value").alias("grams_more"))
+    joined = rows.select("doc_id", "held_out", "uid", "n_tokens", "n_known", "base", "score").join(more, "uid", "left").join(grams_more, "uid", "left")
     n_known = F.col("n_known") + F.coalesce("known", F.lit(0))
     base = F.col("base") + F.coalesce("base_more", F.lit(0.0)) - F.col("n_tokens") * math.log10(model.n_tokens + model.n_distinct + 1)
-    whole = F.col("score") + F.coalesce("score_more", F.lit(0.0)) + (F.col("n_tokens") - n_known) * math.log10(model.unseen)
+    whole = F.col("score") + F.coalesce("score_more", F.lit(0.0)) + F.coalesce("grams_more", F.lit(0.0)) + (F.col("n_tokens") - n_known) * math.log10(model.unseen)
     return joined.select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
 
 

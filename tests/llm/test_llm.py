@@ -173,6 +173,23 @@ def test_lm_is_a_distribution(spark):
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_lm_contexts_grow_with_the_corpus(spark, monkeypatch):
+    # a phrase of content words that is far below 1e-4 of all tokens, yet recurs
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(200))) for i in range(500)]
+    rows += [(1000 + i, "rare phrase stands here") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "rare phrase stands here"), (2, "rare here stands phrase")], "doc_id long, text string")
+    scores = []
+    for head in (lm.HEAD, 0, 20):  # the grams beyond the head are joined, to the same result
+        monkeypatch.setattr(lm, "HEAD", head)
+        m = lm.train(df, F.lit(True))
+        assert head or not len(m.tree.grams)
+        scores.append({r.doc_id: r.score for r in lm.score(asked, F.lit(True), m).collect()})
+    assert scores[0][1] > scores[0][2] + 6
+    assert all(s == pytest.approx(scores[0], abs=1e-9) for s in scores)
+
+
 def test_lm_edge_cases(spark, odd, none):
     got = lm.score(lm.documents_of(odd), F.lit(True), lm.train(lm.documents_of(odd), F.lit(False))).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and r.train_tokens == 0 and r.n_known == 0 for r in got)
