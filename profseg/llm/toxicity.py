@@ -38,6 +38,7 @@ CONTEXT, CACHE_ENTRIES = 6, 500_000
 CUES = frozenset("said says wrote writes quote quoted quotes called calls word words term terms named dit écrit cite mot mots appelé sagte schrieb zitat wort wörter genannt dijo escribió cita palabra palabras llamó".split())
 _WORD = re.compile(r"[^\W_]+")
 _PART = re.compile(r"[^\W_]+|[\"“”«»„\n]")
+CLOSES = {'"': '"', "“": "”\"", "«": "»", "„": "“”\"", "»": "«"}
 FEATURES = ("abuse", "misspelt", "quoted", "density", "weight")
 
 
@@ -45,6 +46,20 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def quotations(parts: list[str]) -> list[bool]:
+    """Which parts stand between quotation marks that open and close on one line."""
+    inside, opened = [False] * len(parts), {}
+    for i, part in enumerate(parts):
+        if part == "\n":
+            opened.clear()
+        elif mark := next((m for m in opened if part in CLOSES[m]), None):
+            begin = opened.pop(mark)
+            inside[begin:i] = [True] * (i - begin)
+        elif part in CLOSES:
+            opened[part] = i
+    return inside
+
+
 @dataclass
 class Node:
     children: dict[str, int] = field(default_factory=dict)
@@ -63,7 +78,7 @@ class Matcher:
     def __init__(self, terms: list[str], stems: list[str], clean: frozenset[str] = frozenset()):
         self.nodes, self.clean = [Node()], clean
         for text, is_stem in [*((t, False) for t in terms), *((s, True) for s in stems)]:
-            at, edits = 0, 0 if is_stem else edits_for(text)
+            at, edits = 0, edits_for(text)
             self.nodes[0].edits = max(self.nodes[0].edits, edits)
             for c in text:
                 at = self.nodes[at].children.get(c) or self._grow(at, c)
@@ -94,7 +109,10 @@ class Matcher:
                     waiting.append((child, edits + 1))
         return places
 
-    def _state(self, places: dict[int, int], stem: str | None) -> int:
+    def _state(self, places: dict[int, int], stem: tuple[int, str] | None) -> int:
+        """stem: the fewest edits within which the letters so far, or fewer, are a stem."""
+        begun = [(e, s) for n, e in places.items() if (s := self.nodes[n].stem) and e <= edits_for(s)]
+        stem = min([*begun, *([stem] if stem else [])], default=None)
         key = (tuple(sorted(places.items())), stem)
         if key not in self.states:
             self.states[key] = len(self.steps)
@@ -104,8 +122,8 @@ class Matcher:
             exact = [t for e, t in ends if e == 0]
             if exact:
                 self.accepts.append((exact[0], 0, False))
-            elif stem:
-                self.accepts.append((stem, 0, True))
+            elif stem and (stem[0] == 0 or not ends or stem[0] < min(ends)[0]):
+                self.accepts.append((stem[1], stem[0], True))
             else:
                 self.accepts.append((min(ends)[1], min(ends)[0], False) if ends else None)
         return self.states[key]
@@ -122,8 +140,6 @@ class Matcher:
             for letter, child in self.nodes[at].children.items():
                 if letter == c:
                     reach(child, edits)
-                    if edits == 0 and self.nodes[child].stem and not stem:
-                        stem = self.nodes[child].stem
                 else:
                     reach(child, edits + 1)
             reach(at, edits + 1)
@@ -179,10 +195,9 @@ class Reader:
             return [0.0] * len(FEATURES)
         abuse = misspelt = quoted = 0
         weight = 0.0
-        inside, since_cue = False, CONTEXT
-        for part in _PART.findall(text.lower()):
+        since_cue, parts = CONTEXT, _PART.findall(text.lower())
+        for part, inside in zip(parts, quotations(parts), strict=True):
             if not part[0].isalnum():
-                inside = part in "“«„" or (not inside if part == '"' else False)
                 continue
             found = hit(part)
             if found:
@@ -217,8 +232,8 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_terms(rows: list[tuple[str, int, int, int]], n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Terms and stems with their log odds from (term, stem, toxic, clean) counts. A stem stands for its longer stems and
-    for its words; one that covers a single word is left to that word."""
+    """Terms and stems with their log odds from (term, stem, toxic, clean) counts. A stem stands for its longer stems; one
+    that covers a single word is left to that word. The words of a stem stay terms, so that their misspellings match."""
     odds = {(t, s): math.log(((x + 0.1) / (n_toxic + 1)) / ((c + 0.1) / (n_clean + 1))) for t, s, x, c in rows}
     toxic = {(t, s): x for t, s, x, _ in rows}
     stems: dict[str, float] = {}
@@ -228,7 +243,7 @@ def choose_terms(rows: list[tuple[str, int, int, int]], n_toxic: int, n_clean: i
         longest = max((x for (w, s), x in toxic.items() if not s and w.startswith(term)), default=0)
         if toxic[term, 1] > 1.2 * longest:
             stems[term] = odds[term, 1]
-    terms = {t: o for (t, s), o in odds.items() if not s and not any(t[:n] in stems for n in range(1, len(t) + 1))}
+    terms = {t: o for (t, s), o in odds.items() if not s}
     return terms, stems
 
 

@@ -346,6 +346,22 @@ def test_toxicity_matcher_equals_distance():
         assert (found and found[1]) == (best and best[0])
 
 
+def test_toxicity_misspelt_stems():
+    rows = [("bomentela", 0, 5, 0), ("bomentori", 0, 5, 0), ("bomente", 1, 10, 0), ("qurilo", 0, 5, 0), ("quravi", 0, 5, 0), ("qur", 1, 10, 0)]
+    terms, stems = toxicity.choose_terms(rows, 20, 20)
+    matcher = toxicity.Matcher(sorted(terms), sorted(stems), frozenset(["bomantor"]))
+    assert matcher.match("bomenteki") == ("bomente", 0, True) and matcher.match("bomemteki") == ("bomente", 1, True)
+    assert matcher.match("bmenteki") == ("bomente", 1, True) and matcher.match("qirilo") == ("qurilo", 1, False)
+    assert matcher.match("bomantor") is None and matcher.match("bamemteki") is None and matcher.match("qiravolo") is None
+
+
+def test_toxicity_quotation_needs_a_close():
+    model = toxicity.Model({"wretch": 3.0}, {}, frozenset(), np.zeros(6))
+    far = "a b c d e f g h "
+    for text, quoted in ((f'a 5" board {far} wretch', 0), (f'"{far} wretch" he', 1), (f"„{far} wretch“ er", 1), (f"“{far} wretch\n” x", 0), (f"«{far} wretch» x", 1)):
+        assert toxicity.Reader(model).features(text)[2] == pytest.approx(math.log1p(quoted))
+
+
 def test_toxicity_edge_cases(spark, odd):
     for labels in ([], [(4, 1)], [(4, 1), (5, 0)]):
         model = toxicity.train(odd.select("doc_id", "text"), labels_of(spark, labels, "toxic"), F.lit(True))
