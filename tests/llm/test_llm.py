@@ -401,6 +401,13 @@ def test_decontamination(spark):
     assert decontam.matches(docs, bench.limit(0)).count() == 0 and decontam.matches(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_values_may_become_equal(spark):
+    item = "A farmer keeps 3 goats in one field and 5 sheep in the other field behind the old barn"
+    docs = spark.createDataFrame([(1, item.replace("3", "4").replace("5", "4"))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.exact) for r in decontam.matches(docs, bench).collect()] == [(1, 7, False)]
+
+
 def test_decontamination_equals_brute_force(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: decontam.canonical(r.text)[0] for r in bench.collect()}
