@@ -408,6 +408,14 @@ def test_decontamination_values_may_become_equal(spark):
     assert [(r.doc_id, r.item_id, r.exact) for r in decontam.matches(docs, bench).collect()] == [(1, 7, False)]
 
 
+def test_decontamination_few_words(spark):
+    sums, short, question = "12 + 30 = 42 , 7 + 8 = 15 , 9 + 2 = 11", "add 3 and 4 to 5", "What is heavier than lead"
+    docs = [(1, "see " + sums + " done"), (2, sums.replace("12", "13").replace("7", "6").replace("9", "8").replace("3", "1")), (3, "please " + short), (4, "1) " + question), (5, "so " + question.replace("lead", "gold"))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, sums), (8, short), (9, question)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.exact) for r in decontam.matches(docs, bench).collect()) == [(1, 7, True), (3, 8, True), (4, 9, True)]
+
+
 def test_decontamination_equals_brute_force(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: decontam.canonical(r.text)[0] for r in bench.collect()}
