@@ -2,8 +2,8 @@
 
 A record is the WARC response of a page; its leaf is the page's slot in key order. The records of a slot are hashed with
 their number of copies into four XOR lanes, so that a slot is a sum that combines before the shuffle, however many rows
-share an id. Sixteen neighbouring slots form a node, sixteen nodes the next, up to one root. Each node carries the
-offsets of its range. Two replicas are compared from the root down: only the children of nodes whose hashes differ are
+share an id. Sixteen neighbouring slots form a node, sixteen nodes the next, up to one root. A node's digest is that
+of its contents. Its seal, which replicas are compared by, also covers its slot, and the slot, begin and size of each child's range. Two replicas are compared from the root down: only the children of nodes whose hashes differ are
 looked at, so intact branches cost nothing below the node that proves them.
 
 Null ids count as id -1, null urls and bodies as empty. Repeated rows are copies that a replica must hold as often.
@@ -38,14 +38,18 @@ def leaves(pages: DataFrame) -> DataFrame:
     lanes = [F.bit_xor(F.conv(F.substring("h", 1 + i * LANE_DIGITS, LANE_DIGITS), 16, 10).cast("long")).alias(f"lane{i}") for i in range(LANES)]
     slots = counted.groupBy("node").agg(*lanes, F.sum("copies").alias("records"), F.sum(F.col("copies") * F.col("size")).alias("bytes"))
     digest = F.sha2(F.concat_ws(",", *[F.col(f"lane{i}").cast("string") for i in range(LANES)], F.col("records").cast("string")), 256)
-    return slots.select("node", "records", "bytes", digest.alias("digest"))
+    return slots.select("node", "records", "bytes", digest.alias("digest")).withColumn("seal", F.sha2(F.concat_ws(":", "node", "bytes", "digest"), 256))
 
 
 def parents(nodes: DataFrame) -> DataFrame:
     """The next level: a group is the at most sixteen children of a node."""
-    child = F.array_sort(F.collect_list(F.struct("node", "digest")))
+    child = F.array_sort(F.collect_list(F.struct("node", "digest", "bytes", "seal")))
     grouped = nodes.groupBy(F.shiftright("node", FAN_BITS).alias("node")).agg(child.alias("children"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
-    return grouped.select("node", "records", "bytes", F.sha2(F.concat_ws("", F.transform("children", lambda c: c["digest"])), 256).alias("digest"))
+    # each child's slot, begin of its range in the parent's, size and seal
+    start = lambda i: F.aggregate(F.slice("children", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x["bytes"])
+    sealed = F.concat_ws(",", F.transform("children", lambda c, i: F.concat_ws(":", c["node"], start(i), c["bytes"], c["seal"])))
+    digest = F.sha2(F.concat_ws("", F.transform("children", lambda c: c["digest"])), 256)
+    return grouped.select("node", "records", "bytes", digest.alias("digest"), F.sha2(sealed, 256).alias("seal"))
 
 
 def levels_over(*leaf_tables: DataFrame) -> int:
@@ -73,8 +77,8 @@ def build(levels: list[DataFrame], height: int, name: str) -> list[DataFrame]:
 
 
 def differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Nodes whose hashes differ or that one replica lacks: node and both digests."""
-    both = ours.select("node", F.col("digest").alias("ours")).join(theirs.select("node", F.col("digest").alias("theirs")), "node", "full_outer")
+    """Nodes whose seals differ or that one replica lacks: node and both seals."""
+    both = ours.select("node", F.col("seal").alias("ours")).join(theirs.select("node", F.col("seal").alias("theirs")), "node", "full_outer")
     return both.filter(~F.equal_null("ours", "theirs"))
 
 

@@ -132,6 +132,16 @@ def test_fixity_finds_damage(spark):
     assert {r.status for r in fixity.audit(ours, ours.limit(0)).collect()} == {"missing"}
 
 
+def test_fixity_finds_moved_records(spark):
+    rows = [(i, f"u{i}", f"body {i}") for i in range(0, 6000, 5)]
+    moved = [(i + 1 if i == 40 else i + 256 if 5120 <= i < 5376 else i, u, h) for i, u, h in rows if not 5376 <= i < 5632]
+    rows = [r for r in rows if not 5376 <= r[0] < 5632]
+    ours, theirs = (spark.createDataFrame(x, "page_id long, url string, html string") for x in (rows, moved))
+    got = {r.page_id: r.status for r in fixity.audit(ours, theirs).collect() if r.status != "intact"}
+    want = {40: "missing", 41: "extra"} | {i: "missing" for i in range(5120, 5376, 5)} | {i + 256: "extra" for i in range(5120, 5376, 5)}
+    assert got == want
+
+
 # language model
 
 
