@@ -1,11 +1,15 @@
-"""What several operators of this package share: column picking, fold remainders, the shared folder."""
+"""What several operators of this package share: column picking, fold remainders, the shared folder, filters of keys."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +35,13 @@ def remainder(key: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as the session names it. Only where all run on one machine may it be
+    a temporary one: elsewhere each executor would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"profseg-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -47,11 +55,88 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table that written() made and that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/profseg-" in path:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that no later plan reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/profseg-" in path:
+                target = context._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def keep_rows(docs: DataFrame, reads: list[str], masks: Callable[[], Callable[..., np.ndarray]]) -> DataFrame:
+    """The rows of `docs` whose mask is true, with all their columns, whatever their names; nothing is shuffled. `masks` makes
+    a function in each task, from a batch's arrays of the columns `reads` to its mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = masks()
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                yield part.filter(pa.array(mask(*[part.column(part.schema.get_field_index(c)) for c in reads]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+#: A row's identity among those of its table: 128 bits of its id and text. Rows alike in both are repeats of one row.
+ROW_ID = ("_row_a", "_row_b")
+
+
+def row_id(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    both = [F.col(doc_id).cast("long"), F.col(text).cast("string")]
+    return [F.xxhash64(F.lit(salt), *both, *[x.isNull() for x in both]).alias(name) for salt, name in zip((17, 71), ROW_ID, strict=True)]
+
+
+class Filter:
+    """A Bloom filter of 64-bit hashes, of 16 to 32 bits a key, but never more than MOST_BITS: beyond that it lets more pass,
+    which costs time and no results. False is certain."""
+
+    LEAST_BITS, MOST_BITS, PROBES = 1 << 20, 1 << 30, 4
+
+    def __init__(self, size: int, bits: np.ndarray):
+        self.size, self.bits = size, bits
+
+    @staticmethod
+    def probes(key: Column, size: int) -> Column:
+        """The bits of a key; size is a power of two."""
+        low, step = key.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(key, 32).bitwiseOR(F.lit(1).cast("long"))
+        return F.array(*[(low + step * F.lit(i)).bitwiseAND(F.lit(size - 1).cast("long")) for i in range(Filter.PROBES)])
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Filter:
+        """Of the `key` column (long) of a table; its bits are put together in the executors, a bucket a row."""
+        n, size = keys.count(), cls.LEAST_BITS
+        while size < min(16 * n, cls.MOST_BITS):
+            size *= 2
+        bit = keys.select(F.explode(cls.probes(F.col("key"), size)).alias("bit"))
+        rows = bit.select(F.shiftright("bit", 15).alias("bucket"), F.col("bit").bitwiseAND(F.lit(32767)).alias("bit"))
+        bits = np.zeros(size // 8, np.uint8)
+        for r in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+            bits[r.bucket * 4096 : r.bucket * 4096 + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+        return cls(size, bits)
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key (int64) may be one of the filter's."""
+        out = np.ones(len(keys), bool)
+        low, step = keys & 0xFFFFFFFF, keys >> 32 & 0xFFFFFFFF | 1
+        for i in range(self.PROBES):
+            bit = low + i * step & self.size - 1
+            out &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def broadcast_filter(keys: DataFrame) -> Broadcast:
+    return keys.sparkSession.sparkContext.broadcast(Filter.of(keys))
+
+
+def parted(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs` in two parts: the rows that are certainly not among `rows` (of ROW_ID), and the few others, these with their
+    ROW_ID. Only the others need a join, so that no text of the first part is shuffled."""
+    shared = broadcast_filter(rows.select(F.col(ROW_ID[0]).alias("key")))
+    named = docs.select("*", *row_id())
+
+    def those(inside: bool):
+        return lambda: lambda keys: shared.value.passes(np.asarray(keys)) == inside
+
+    without = keep_rows(named, [ROW_ID[0]], those(False)).drop(*ROW_ID)
+    return without, keep_rows(named, [ROW_ID[0]], those(True))

@@ -1,8 +1,9 @@
 """Language identification by words first, then by character n-grams.
 
 Per language the log frequency of known words; a word that no language has is scored by its longest known character
-n-grams, from MAX_GRAM letters down to one. Word and n-gram counts come from a sample of the labelled texts of a
-documented size; every whole text is then scored.
+n-grams, from MAX_GRAM letters down to one. Word and n-gram counts come from a sample of the labelled texts of each
+language, of a documented size, in which every word and n-gram counts that occurs twice in a language; every whole text is
+then scored.
 
 Nulls, empty texts and texts without a letter are `und` with score 0; so is everything if nothing could be learned.
 Ties go to the smaller language name. Rows with a null id are learned from or not as crc32('') says. Extra columns are
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, pick, written
+from .common import drop_written, keep_rows, pick, written
 
-#: Texts to learn from (about so many, chosen by a hash), and the most words and n-grams that a model has.
-TRAIN_DOCS, MODEL_WORDS, MODEL_GRAMS = 12_000, 120_000, 60_000
+#: Texts of each language to learn from, about so many, chosen by a hash.
+TRAIN_DOCS = 3_000
 MAX_GRAM = 4
-CACHE_ENTRIES, COUNTER_ENTRIES = 200_000, 150_000
+#: Words that a worker remembers; between texts it forgets them all once they are more, which changes no result.
+CACHE_ENTRIES = 120_000
+COUNTER_ENTRIES = 150_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,18 +45,17 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Table:
-    """Terms with a row of centred log frequencies by language."""
+    """Terms with a row of centred log frequencies by language, from a table of (lang, term, n)."""
 
-    def __init__(self, rows: list, langs: list[str]):
+    def __init__(self, rows: pa.Table, langs: list[str]):
         at = {lang: i for i, lang in enumerate(langs)}
+        columns = [at[x] for x in rows.column("lang").to_pylist()]
         self.numbers: dict[str, int] = {}
-        for row in rows:
-            self.numbers.setdefault(row.term, len(self.numbers))
+        numbers = [self.numbers.setdefault(x, len(self.numbers)) for x in rows.column("term").to_pylist()]
         counts = np.zeros((len(self.numbers), len(langs)), np.float64)
-        for row in rows:
-            counts[self.numbers[row.term], at[row.lang]] = row.n
-        logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
-        self.logs = (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+        counts[numbers, columns] = rows.column("n").to_numpy()
+        logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts))) if counts.size else counts
+        self.logs = (logs - logs.mean(axis=1, keepdims=True) if counts.size else logs).astype(np.float32)
 
     def row(self, term: str) -> np.ndarray | None:
         i = self.numbers.get(term)
@@ -111,66 +113,84 @@ def _add_grams(counts: Counter, lang: str, word: str, n: int) -> None:
             counts[lang, gram] += n
 
 
-def train(docs: DataFrame, learns: Column, train_docs: int = TRAIN_DOCS, model_words: int = MODEL_WORDS, model_grams: int = MODEL_GRAMS) -> Model:
-    """A model from the rows of `docs` (text, lang) where `learns` is true. Its size is bounded by the parameters."""
+def train(docs: DataFrame, learns: Column, train_docs: int = TRAIN_DOCS) -> Model:
+    """A model from the rows of `docs` (text, lang) where `learns` is true. The sample bounds its size."""
     rows = docs.filter(learns & F.col("lang").isNotNull())
-    n = rows.select("doc_id").count()
-    share = min(1.0, train_docs / max(1, n))
-    rows = rows.filter(F.col("text").isNotNull())
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    shares = written(rows.groupBy("lang").agg((F.lit(float(train_docs)) / F.count("*")).alias("share")), "langid-shares")
+    sampled = rows.filter(F.col("text").isNotNull()).join(shares, "lang")
+    sampled = sampled.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
     schema = "lang string, term string, n long"
     total = lambda df: df.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    words = written(total(rows.select("lang", "text").mapInArrow(_summed(_add_words), schema)), "langid-words")
-    grams = total(words.select("lang", "term", "n").mapInArrow(_summed(_add_grams), schema))
-    top = lambda df, most: df.filter("n > 1").orderBy(F.desc("n"), "term", "lang").limit(most).collect()
-    top_words, top_grams = top(words, model_words), top(grams, model_grams)
-    langs = sorted({r.lang for r in [*top_words, *top_grams]})
-    drop_written(words)
-    return Model(langs, Table(top_words, langs), Table(top_grams, langs))
-
-
-def predict(docs: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
-    """Every row with lang_pred and score; the columns of `docs` are kept, its text only `with_text`."""
+    words = written(total(sampled.select("lang", "text").mapInArrow(_summed(_add_words), schema)), "langid-words")
+    grams = total(words.mapInArrow(_summed(_add_grams), schema))
+    found_words, found_grams = words.filter("n > 1").toArrow(), grams.filter("n > 1").toArrow()
+    langs = sorted({*found_words.column("lang").unique().to_pylist(), *found_grams.column("lang").unique().to_pylist()})
+    drop_written(words, shares)
+    return Model(langs, Table(found_words, langs), Table(found_grams, langs))
+
+
+class Reader:
+    """Judges texts; remembers what words add."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1024, max(1, len(model.langs))), np.float32)
+
+    def _learn(self, word: str) -> int:
+        found = self.model.of_word(word)
+        i = -1 if found is None else len(self.known)
+        if i >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        if i >= 0:
+            self.rows[i] = found
+        self.known[word] = i
+        return i
+
+    def judge(self, text: str | None) -> tuple[str, float]:
+        """The language of a text, and how sure it is among the others."""
+        langs = self.model.langs
+        if len(self.known) >= CACHE_ENTRIES:  # only here: the numbers of a text's words hold until it ends
+            self.known.clear()
+            self.rows = self.rows[:1024].copy()
+        get = self.known.get
+        ids = [i if (i := get(w)) is not None else self._learn(w) for w in words_of(text or "")] if langs else []
+        held = np.array(ids, np.int64)
+        held = held[held >= 0]
+        if not len(held):
+            return UNKNOWN, 0.0
+        total = self.rows[held].sum(axis=0, dtype=np.float64) / math.sqrt(len(held))
+        best = int(total.argmax())
+        return langs[best], float(1 / np.exp(total - total[best]).sum())
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """Every row of `docs` (doc_id, text): doc_id, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if with_text or c != "text"]
-    names = [*keep, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        langs = model.langs
-        known: dict[str, int] = {}
-        rows = np.zeros((1024, max(1, len(langs))), np.float32)
+        reader = Reader(shared.value)
         for batch in batches:
-            preds, scores = [], []
-            for text in batch.column(batch.schema.get_field_index("text")):
-                ids = []
-                for word in words_of(text.as_py() or "") if langs else ():
-                    i = known.get(word)
-                    if i is None:
-                        if len(known) >= CACHE_ENTRIES:
-                            known.clear()
-                        found = model.of_word(word)
-                        i = -1 if found is None else len(known)
-                        if i >= len(rows):
-                            rows = np.concatenate([rows, np.zeros_like(rows)])
-                        if i >= 0:
-                            rows[i] = found
-                        known[word] = i
-                    if i >= 0:
-                        ids.append(i)
-                if not ids:
-                    preds.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = rows[ids].sum(axis=0, dtype=np.float64) / math.sqrt(len(ids))
-                best = int(total.argmax())
-                preds.append(langs[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names)
-
-    kinds = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
+            found = [reader.judge(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of `docs` whose text is in a known language with at least this score, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def masks():
+        reader = Reader(shared.value)
+
+        def mask(texts: pa.Array) -> np.ndarray:
+            found = [reader.judge(text.as_py()) for text in texts]
+            return np.array([lang != UNKNOWN and score >= least_score for lang, score in found], bool)
+
+        return mask
+
+    return keep_rows(docs, ["text"], masks)
 
 
 def documents_of(docs: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def op8_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = langid.documents_of(read(spark, sf_dir, "documents"))
     model = langid.train(docs, remainder(F.col("doc_id"), 3) != 1)
-    found = langid.predict(docs.select("doc_id", "text"), model)
+    found = langid.predict(docs, model)
     return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
