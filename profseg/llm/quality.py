@@ -215,3 +215,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
     scored = with_stats(docs).select(*keep, model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` that the model doesn't reject, with all their columns, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))
+    scored = score(rows, model)
+    # not a filter, which would be pushed below the statistics and repeat them for each rule
+    passed = scored.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("predicted"))))
+    return passed.select("_row.*")

@@ -9,8 +9,8 @@ the full sets decide.
 
 Candidates of a band are compared without emitting all pairs of a bucket: every member meets the one centre that has most
 in common with other classes, and what is linked becomes one component. In buckets that then still hold several components,
-members of different components are compared, but only where their overlaps with the centre, and how many other shingles
-they share with any class at all, leave room for a link.
+members of different components are compared, but only where their sizes, their overlaps with the centre, and how many other
+shingles they share with any class at all, leave room for a link; large buckets are split among tasks.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, pick, words_of, written
+from .common import ROW_ID, broadcast_filter, drop_written, keep_rows, pick, row_id, words_of, written
 
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -32,10 +32,10 @@ PERCENT = 75
 #: Registers, their base and rate; rows of a band and bands. A pair at the threshold shares no band with odds of 1.2e-8.
 REGISTERS, BASE, RATE = 256, 1.02, 20.0
 ROWS, BANDS = 4, 48
-#: Five standard deviations of the estimate below the threshold.
-LEAST_ESTIMATE = PERCENT / 100 - 5 * math.sqrt(0.75 * 0.25 / REGISTERS)
-#: Bits of the filter that tells which documents have candidates.
-FILTER_BITS = 1 << 25
+#: Six standard deviations of the estimate below the threshold: odds of 1e-9.
+LEAST_ESTIMATE = PERCENT / 100 - 6 * math.sqrt(0.75 * 0.25 / REGISTERS)
+#: Sets of sizes that differ by more than this factor can't be linked; members of a bucket, of like size, in one task.
+SIZE_STEP, SPLIT = 1.34, 2000
 _GOLDEN, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CACHE_ENTRIES = 200_000
 
@@ -130,10 +130,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return overlap[np.arange(len(a)), fit.argmax(axis=1)]
 
 
-def class_of(shingles: np.ndarray) -> tuple[bytes, int]:
-    """A digest of a set, and the number by which pairs name its class."""
-    digest = xxhash.xxh3_128_digest(shingles.tobytes())
-    return digest, int.from_bytes(digest[:8], "big", signed=True)
+def class_of(shingles: np.ndarray) -> bytes:
+    """A digest of a set, which names its class."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -146,88 +145,49 @@ def linked(n_a: int, n_b: int, both: int) -> bool:
     return 100 * both >= PERCENT * (n_a + n_b - both)
 
 
-#: Stands for a null id, so that it sorts as the smallest.
-NO_ID = -(2**63)
-
-
 def profiles(docs: DataFrame) -> DataFrame:
-    """Per row: key (its id), n_shingles, cls and c (digest and number of its class; null if empty), registers, bands."""
-    rows = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text")
+    """Per row: doc_id, ROW_ID, n_shingles, cls (digest of its set; null if empty), registers, bands."""
+    rows = pick(docs, doc_id="long", text="string").select("doc_id", *row_id(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                sets = [shingler.shingles(t.as_py()) for t in part.column(1)]
+                sets = [shingler.shingles(t.as_py()) for t in part.column(3)]
                 registers = sketch(sets)
                 bands = band_keys(registers)
-                classes = [class_of(s) if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in classes], pa.binary()), pa.array([x[1] for x in classes], pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array(bands.tolist(), pa.list_(pa.int64()))], ["key", "n_shingles", "cls", "c", "registers", "bands"])
-
-    return rows.mapInArrow(run, "key long, n_shingles long, cls binary, c long, registers binary, bands array<long>")
-
-
-def _bitmap(keys: DataFrame) -> bytes:
-    """A bit for each hash of a key; FILTER_BITS bits, whatever the number of keys."""
-    h = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-    rows = keys.select(F.bitmap_bucket_number(h).alias("bucket"), F.bitmap_bit_position(h).alias("bit"))
-    found = rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    size = 4096
-    out = bytearray((FILTER_BITS // 32768 + 2) * size)
-    for r in found:
-        out[r.bucket * size : r.bucket * size + len(r.bits)] = r.bits
-    return bytes(out)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], ["doc_id", *ROW_ID, "n_shingles", "cls", "registers", "bands"])
 
+    return rows.mapInArrow(run, f"doc_id long, {ROW_ID[0]} long, {ROW_ID[1]} long, n_shingles long, cls binary, registers binary, bands array<long>")
 
-def marked(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """`docs` with a boolean column: whether the key of a row may be among `keys`. False is certain; a filter of fixed size
-    is broadcast, so that nothing of `docs` is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
-    h = F.pmod(F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))), F.lit(FILTER_BITS))
-    rows = docs.select("*", F.bitmap_bucket_number(h).alias("_bucket"), F.bitmap_bit_position(h).alias("_bit"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            *columns, bucket, bit = batch.columns
-            bucket, bit = np.asarray(bucket), np.asarray(bit)
-            there = (bits[bucket * 4096 + bit // 8] >> (bit % 8) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(there)], [*batch.schema.names[:-2], name])
-
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` boolean")
-
-
-def _sets(docs: DataFrame, keys: DataFrame, each: bool) -> DataFrame:
-    """The whole sets of rows whose key is probably among `keys`, by class: as bytes, or `each` shingle a row. A filter
-    of fixed size is broadcast, so that few other sets are built."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    h = F.pmod(F.xxhash64(key.alias("key")), F.lit(FILTER_BITS))
-    rows = pick(docs, doc_id="long", text="string").select(key.alias("key"), F.bitmap_bucket_number(h).alias("bucket"), F.bitmap_bit_position(h).alias("bit"), "text")
+def _sets(docs: DataFrame, wanted: DataFrame, each: bool) -> DataFrame:
+    """The whole sets of the rows that stand for the classes `wanted` (c, ROW_ID): as bytes, or `each` shingle a row. A
+    filter goes first, so that only the texts of such rows are joined."""
+    shared = broadcast_filter(wanted.select(F.col(ROW_ID[0]).alias("key")))
+    named = pick(docs, doc_id="long", text="string").select(*row_id(), "text")
+    maybe = keep_rows(named, [ROW_ID[0]], lambda: lambda keys: shared.value.passes(np.asarray(keys)))
+    rows = maybe.join(wanted.select("c", *ROW_ID), list(ROW_ID)).select("c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bits = Shingler(), np.frombuffer(shared.value, np.uint8)
+        shingler = Shingler()
         for batch in batches:
-            row_keys, bucket, bit = (np.asarray(batch.column(i)) for i in range(3))
-            there = bits[bucket * 4096 + bit // 8] >> (bit % 8) & 1
-            texts = batch.column(3)
-            found = [(int(row_keys[i]), s) for i in np.flatnonzero(there).tolist() if len(s := shingler.shingles(texts[i].as_py()))]
-            for i in range(0, len(found), 256):
-                part = found[i : i + 256]
-                classes = np.array([class_of(s)[1] for _, s in part], np.int64)
-                own = np.array([k for k, _ in part], np.int64)
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                sets = [shingler.shingles(t.as_py()) for t in part.column(1)]
                 if each:
-                    sizes = [len(s) for _, s in part]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.repeat(classes, sizes)), pa.array(np.concatenate([s for _, s in part]).view(np.int64))], ["key", "c", "shingle"])
+                    names = np.repeat(np.asarray(part.column(0)), [len(s) for s in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["c", "shingle"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(classes), pa.array([s.tobytes() for _, s in part], pa.binary())], ["key", "c", "shingles"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["c", "shingles"])
 
-    return rows.mapInArrow(run, "key long, c long, " + ("shingle long" if each else "shingles binary"))
+    return rows.mapInArrow(run, "c long, shingle long" if each else "c long, shingles binary")
 
 
 def _alone(docs: DataFrame, touched: DataFrame) -> DataFrame:
-    """c and how many of the shingles of a class no other class among `touched` (c, node) has."""
-    each = _sets(docs, touched.select(F.col("node").alias("key")), each=True).select("shingle", "c")
+    """c and how many of the shingles of a class no other class among `touched` has."""
+    each = _sets(docs, touched, each=True)
     alone = each.groupBy("shingle").agg(F.min("c").alias("c"), F.max("c").alias("last")).filter("c = last")
     return alone.groupBy("c").agg(F.count("*").alias("alone"))
 
@@ -238,42 +198,52 @@ def _can_link(m: Column, n_a: Column, n_b: Column) -> Column:
 
 
 def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes (a, b) whose registers don't rule out a link, with their nodes (u, v), how many shingles they
-    share by the full sets, and whether they are linked."""
-    of = lambda side: classes.select(F.col("c").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("node", "registers", "shingles")])
+    """Pairs of classes (a, b) whose registers don't rule out a link, with how many shingles they share by the full sets,
+    and whether they are linked."""
+    of = lambda side: classes.select(F.col("c").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("registers", "shingles")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                names = [np.asarray(part.column(i)) for i in (0, 1, 2, 5)]
-                registers = [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (3, 6)]
-                sets = [[np.frombuffer(s, np.uint64) for s in part.column(i).to_pylist()] for i in (4, 7)]
+                names = [np.asarray(part.column(i)) for i in (0, 1)]
+                registers = [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 4)]
+                sets = [[np.frombuffer(s, np.uint64) for s in part.column(i).to_pylist()] for i in (3, 5)]
                 sizes = [np.array([len(s) for s in x], float) for x in sets]
                 near = np.flatnonzero(estimate(*registers, *sizes) >= LEAST_ESTIMATE)
                 both = [overlap(sets[0][i], sets[1][i]) for i in near.tolist()]
                 ok = [linked(len(sets[0][i]), len(sets[1][i]), n) for i, n in zip(near.tolist(), both, strict=True)]
-                yield pa.RecordBatch.from_arrays([*[pa.array(n[near], pa.int64()) for n in names], pa.array(both, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "u", "v", "overlap", "linked"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(n[near], pa.int64()) for n in names], pa.array(both, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "overlap", "linked"])
 
     both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    columns = ["a", "b", "node_a", "registers_a", "shingles_a", "node_b", "registers_b", "shingles_b"]
-    return both.select(*columns).mapInArrow(run, "a long, b long, u long, v long, overlap long, linked boolean")
+    return both.select("a", "b", "registers_a", "shingles_a", "registers_b", "shingles_b").mapInArrow(run, "a long, b long, overlap long, linked boolean")
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, touched: DataFrame) -> DataFrame:
     """_compared() over candidate pairs; the sets of only those classes that are in a pair are built again."""
     pairs = written(pairs.distinct(), "near-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(touched, "c")
-    named = written(named, "near-named")
-    sets = _sets(docs, named.select(F.col("node").alias("key")), each=False)
-    whole = sets.join(named, "c").filter("key = node").select("c", "node", "registers", "shingles").dropDuplicates(["c"])
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(touched, "c"), "near-named")
+    # repeats of the row that stands for a class give its set again
+    whole = _sets(docs, named, each=False).join(named.select("c", "registers"), "c").dropDuplicates(["c"])
     classes = written(whole, "near-sets")
     found = written(_compared(pairs, classes), "near-compared")
-    drop_written(classes)
+    drop_written(classes, pairs, named)
     return found
 
 
 def _links(compared: DataFrame) -> DataFrame:
-    return compared.filter(F.col("linked") & (F.col("u") != F.col("v"))).select("u", "v")
+    return compared.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _split(left: DataFrame) -> DataFrame:
+    """Pairs of members of one band, each once, of different labels and like size: the columns of `left` and, ending in _b,
+    those of the other. Members meet by size; where many are of like size, each task has a part of them."""
+    step = F.floor(F.log("n_shingles") / F.lit(math.log(SIZE_STEP))).cast("int")
+    sized = left.withColumn("step", step)
+    parts = sized.groupBy("band", "step").agg(F.ceil(F.count("*") / F.lit(float(SPLIT))).cast("int").alias("parts"))
+    ours = sized.join(parts, ["band", "step"]).withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int")).drop("parts")
+    theirs = sized.select("band", *[F.col(x).alias(f"{x}_b") for x in left.columns if x != "band"], F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"))
+    theirs = theirs.join(parts, ["band", "step"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return ours.join(theirs, ["band", "step", "part"]).filter(F.col("label") < F.col("label_b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -300,42 +270,43 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id and kept (the id is the component's smallest).
+def grouped(docs: DataFrame) -> DataFrame:
+    """Per row of `docs`: doc_id, ROW_ID, n_shingles, label (a number of its component, null without shingles) and component_id
+    (the smallest id in it, null if no row there has one).
 
-    Rows with the same id are one document. A null id sorts as the smallest and reads back as null. Texts without a word
-    have no shingles, are linked with nothing and are kept. Repeated rows and copies are one class; extra columns of
-    `docs` are ignored.
+    Components are of classes, whatever the ids of their rows: rows that share an id, or have none, are together only if
+    their sets link them. Repeated rows and copies are one class; extra columns of `docs` are ignored.
     """
     rows = written(profiles(docs), "near-profiles")
-    groups = written(rows.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("node")), "near-groups")
-    # the row that stands for each class: that of its smallest id
-    stands = rows.filter("cls is not null").join(groups, "cls").filter("key = node").select("c", "node", "n_shingles", "registers", "bands").dropDuplicates(["c"])
-    reps = written(stands, "near-representatives")
+    # a row stands for each class; a class is a number from here on
+    stands = F.min(F.struct(*ROW_ID, "n_shingles", "registers", "bands")).alias("x")
+    classes = rows.filter("cls is not null").groupBy("cls").agg(stands, F.min("doc_id").alias("least")).select("cls", "least", "x.*")
+    reps = written(classes.withColumn("c", F.monotonically_increasing_id()), "near-representatives")
 
     banded = reps.select("c", F.explode("bands").alias("band"))
     busy = written(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "near-bands")
     members = written(banded.join(busy, "band"), "near-members")
-    touched = written(members.select("c").distinct().join(reps.select("c", "node", "n_shingles", "registers"), "c"), "near-touched")
+    touched = written(members.select("c").distinct().join(reps.select("c", *ROW_ID, "n_shingles", "registers"), "c"), "near-touched")
     shared_part = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
-    sized = written(touched.select("c", "node", "n_shingles").join(_alone(docs, touched), "c", "left").select("c", "node", "n_shingles", shared_part.alias("m")), "near-sizes")
+    sized = written(touched.select("c", "n_shingles").join(_alone(docs, touched), "c", "left").select("c", "n_shingles", shared_part.alias("m")), "near-sizes")
     # a class whose own shingles leave too few for any link is done
     sized = sized.filter(_can_link(F.col("m"), F.col("n_shingles"), F.col("m")))
     held = written(members.join(sized, "c"), "near-held")
+    drop_written(busy, members)
 
     # a bucket's centre has the largest part of its set in common with other classes; ties by a hash of the band
     rank = F.struct((F.col("m") / F.col("n_shingles")).alias("part"), F.xxhash64("band", "c").alias("by"), "c", "n_shingles", "m")
     centres = held.groupBy("band").agg(F.max(rank).alias("x"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("x.c").alias("centre"), F.col("x.n_shingles").alias("n_centre"), F.col("x.m").alias("m_centre"))
     centres = written(centres, "near-centres")
     star = held.join(centres, "band").filter((F.col("c") != F.col("centre")) & _can_link(F.least("m", "m_centre"), F.col("n_shingles"), F.col("n_centre")))
-    pairs = star.select(F.col("c").alias("a"), F.col("centre").alias("b"))
-    compared = _checked(docs, pairs, touched)
+    compared = _checked(docs, star.select(F.col("c").alias("a"), F.col("centre").alias("b")), touched)
     labels = written(components(_links(compared)), "near-labels")
 
     # buckets that still hold several components, without members that can't be linked with the smallest set there
-    held = written(held.join(labels, "node", "left").select("band", "c", "n_shingles", "m", F.coalesce("label", "node").alias("label")), "near-labelled")
-    ends = written(held.groupBy("band").agg(F.min("n_shingles").alias("least"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "least"), "near-ends")
-    able = held.join(ends, "band").filter(_can_link(F.col("m"), F.col("n_shingles"), F.greatest("least", "m"))).drop("least")
+    named = written(held.join(labels.withColumnRenamed("node", "c"), "c", "left").select("band", "c", "n_shingles", "m", F.coalesce("label", "c").alias("label")), "near-labelled")
+    drop_written(held)
+    ends = written(named.groupBy("band").agg(F.min("n_shingles").alias("least"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "least"), "near-ends")
+    able = named.join(ends, "band").filter(_can_link(F.col("m"), F.col("n_shingles"), F.greatest("least", "m"))).drop("least")
     # of a member's m shared shingles `inner` are the centre's, at most, and `outer` are not; both known once compared
     known = compared.select(F.col("a").alias("c"), F.col("b").alias("centre"), "overlap")
     able = able.join(centres, "band").join(known, ["c", "centre"], "left")
@@ -345,21 +316,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     able = written(able.select("band", "c", "n_shingles", "m", "label", inner.alias("inner"), outer.alias("outer")), "near-able")
     still = written(able.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band"), "near-open")
     left = written(able.join(still, "band").join(reps.select("c", "bands"), "c"), "near-left")
-    right = left.select("band", *[F.col(x).alias(f"{x}_b") for x in ("c", "n_shingles", "m", "label", "inner", "outer", "bands")])
     most = F.least("m", "m_b", F.least("inner", "inner_b") + F.least("outer", "outer_b"))
     # a pair comes from the first of the bands that it shares
     first = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True).cast("int")
-    both = (F.col("label") < F.col("label_b")) & _can_link(most, F.col("n_shingles"), F.col("n_shingles_b")) & (F.try_element_at("bands", first) == F.col("band"))
-    cross = left.join(right, "band").filter(both)
+    cross = _split(left).filter(_can_link(most, F.col("n_shingles"), F.col("n_shingles_b")) & (F.try_element_at("bands", first) == F.col("band")))
     more = _links(_checked(docs, cross.select(F.col("c").alias("a"), F.col("c_b").alias("b")), touched))
     if more.head(1):
         stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
         labels = written(components(stars.unionByName(more)), "near-labels")
 
-    nodes = written(groups.join(labels, "node", "left").select("cls", F.coalesce("label", "node").alias("label")), "near-nodes")
-    out = rows.select("key", "n_shingles", "cls").join(nodes, "cls", "left").select("key", "n_shingles", F.coalesce("label", "key").alias("component"))
-    unmasked = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(unmasked("key").alias("doc_id"), "n_shingles", unmasked("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+    joined = reps.select("cls", "c", "least").join(labels.withColumnRenamed("node", "c"), "c", "left").select("cls", "least", F.coalesce("label", "c").alias("label"))
+    nodes = written(joined, "near-nodes")
+    least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
+    nodes = written(nodes.select("cls", "label").join(least, "label"), "near-components")
+    drop_written(reps, touched, named, able, left)
+    return rows.select("doc_id", *ROW_ID, "n_shingles", "cls").join(nodes, "cls", "left").drop("cls")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles, component_id and kept (the id is the component's smallest).
+
+    Texts without a word have no shingles, are linked with nothing and are kept. Rows without an id take part; they are
+    kept, with a null component_id, where no row of their component has one. grouped() says the rest.
+    """
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return grouped(docs).select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null("doc_id", component).alias("kept"))
 
 
 NEAR_SQL = r"""
