@@ -12,15 +12,18 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pick
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory is emptied, which changes no result.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 #: Pre-tokens of more characters aren't remembered.
 CACHE_CHARS = 40
+#: Texts whose ids a worker holds at once, and so many ids beyond which it gives them out earlier.
+SLICE_ROWS, SLICE_IDS = 256, 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -97,24 +100,38 @@ class Codec:
 def _codec_batches(vocabulary: list[bytes], pattern: str, with_ids: bool):
     model = serialise(vocabulary)
 
+    fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary, pattern, model)
         names = list(map(str, range(len(vocabulary))))
+        keys, counts, digests, back, buffers = [], [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(buffers))))
+            for held in (keys, counts, digests, back, buffers):
+                held.clear()
+            return pa.RecordBatch.from_arrays(columns, fields)
+
+        waiting = 0
         for batch in batches:
-            counts, digests, back, all_ids = [], [], [], []
-            for text in batch.column(1):
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = codec.encode(text.as_py() or "")
+                keys.append(key.as_py())
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
-            fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-                fields.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, fields)
+                    buffers.append(np.array(ids, np.int32))
+                waiting += len(ids)
+                if len(keys) >= SLICE_ROWS or waiting >= SLICE_IDS:
+                    yield flush()
+                    waiting = 0
+        if keys:
+            yield flush()
 
     return run
 
@@ -123,7 +140,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     """Ids of every whole text, and what decoding them gives, as digests; `with_ids` adds the ids themselves.
 
     The vocabulary (its file's size bounds it) is read on the driver and sent to the workers with the function. No
-    shuffle: a lost task re-encodes its own split. Memory is one batch and one bounded cache a worker.
+    shuffle: a lost task re-encodes its own split. A worker holds one input batch, the ids of a slice of it and one bounded
+    cache.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return pick(docs, doc_id="long", text="string").mapInArrow(_codec_batches(read_ranks(ranks_path), pattern, with_ids), schema)
