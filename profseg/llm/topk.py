@@ -1,17 +1,18 @@
 """Exact top-k inner products by an impact-ordered index, score at a time.
 
-Components become integers floor(SCALE * x). A block of candidates is indexed by impact: the posting segments of a
-dimension hold the candidates whose component has one quantised magnitude. For a block of queries, all segments of the
-highest impact are added to the partial scores first, then those of the next; after each impact a bound holds what the
-segments still unread can add: the smaller of largest unread magnitude times the query's L1 norm and the product of the
-query's norm and the norm of the candidate's unread part. Processing stops only when that bound proves that few
-candidates can still be among the k best; these are scored exactly. Each block gives its k best, the k best of those are
+Components become integers floor(SCALE * x). A block of candidates is an inverted index: for each dimension and each of a
+few quantised magnitudes (impacts) a segment of postings, the candidates whose component has that impact, with its value.
+Segments are processed by descending impact, those of all dimensions for one before the next, and added to the partial
+scores of the queries that are still open. After each impact a bound holds what unread postings can add to a candidate's
+score: the smaller of largest unread magnitude times the query's L1 norm and the product of the query's norm and the norm
+of the candidate's unread part. A query is closed, and reads no further postings, only when that bound proves that few
+candidates can still be among its k best; these are scored exactly. Each block gives its k best, the k best of those are
 the answer.
 
-Vectors that are null or hold null or non-finite components take no part; vectors meet only others of their length. A
-repeated query id asks once, with its smallest vector; repeated candidates count as often as they are there; rows with
-the query's own id are never its candidates. Rows with null ids take no part. Ties go to the smaller id. Scores beyond
-64 bits are cut to the nearest that fits.
+Vectors that are null or hold null or non-finite components take no part, nor do those that SCALE makes infinite; vectors
+meet only others of their length. A repeated query id asks once, with its smallest vector; repeated candidates count as
+often as they are there; rows with the query's own id are never its candidates. Rows with null ids take no part. Ties go to
+the smaller id. Scores beyond 64 bits are cut to the nearest that fits. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +29,16 @@ from pyspark.sql.window import Window
 from .common import pick, written
 
 SCALE = 1024
-#: Vectors in a packed block, candidate blocks that a copy of the queries meets, quantised impacts.
-BLOCK, BLOCKS_PER_COPY, IMPACTS = 2048, 128, 8
-#: Stop reading segments when at most so many times k candidates a query can still be members.
+#: Vectors in a packed block, candidate blocks that a copy of the queries meets, quantised impacts, queries at a time.
+BLOCK, BLOCKS_PER_COPY, IMPACTS, QUERIES = 2048, 128, 8, 256
+#: A query is closed when at most so many times k candidates can still be its members.
 ENOUGH = 6
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the vectors that take part."""
     rows = pick(vectors, vec_id="long", embedding="array<double>").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * SCALE < F.lit(float("inf"))))
     return rows.filter(finite)
 
 
@@ -68,21 +69,22 @@ def pack(vectors: DataFrame) -> DataFrame:
 
 
 class Block:
-    """An impact-ordered index of a block of candidates."""
+    """An impact-ordered inverted index of a block of candidates."""
 
     def __init__(self, ids: np.ndarray, whole: np.ndarray):
         self.ids, self.whole = ids, whole
+        self.read = 0  # postings processed so far, one for each query that a posting is added for
         size = np.abs(whole)
         self.largest = float(size.max(initial=0.0))
-        # impact i holds magnitudes in (edge[i + 1], edge[i]]; quantiles of the block, so that segments are alike in size
+        # impact i holds magnitudes in (edge[i - 1], edge[i]]; quantiles of the block, so that segments are alike in size
         edges = np.unique(np.quantile(size, np.linspace(0, 1, IMPACTS + 1))) if size.size else np.array([0.0])
-        self.segments: list[tuple[np.ndarray, float, np.ndarray]] = []
-        unread = np.ones(size.shape, bool)
-        for low in edges[-2::-1] if len(edges) > 1 else [-1.0]:
-            here = unread & ((size > low) | (low == edges[0]))
-            unread &= ~here
-            rest = np.where(unread, size, 0.0)
-            self.segments.append((np.where(here, whole, 0.0).T, float(rest.max(initial=0.0)), np.sqrt((rest * rest).sum(axis=1))))
+        impact = np.maximum(np.searchsorted(edges, size), 1)
+        self.impacts: list[tuple[list[tuple[int, np.ndarray, np.ndarray]], float, np.ndarray]] = []
+        for i in range(len(edges) - 1 if len(edges) > 1 else 1, 0, -1):
+            here = (impact == i) & (whole != 0)  # zeros add nothing: they have no posting
+            rest = np.where(impact < i, size, 0.0)
+            segments = [(d, at := np.flatnonzero(here[:, d]).astype(np.int32), whole[at, d]) for d in np.flatnonzero(here.any(axis=0)).tolist()]
+            self.impacts.append((segments, float(rest.max(initial=0.0)), np.sqrt((rest * rest).sum(axis=1))))
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
         """(query_id, vec_id, score) of each query's k best in this block, ties to smaller ids."""
@@ -92,28 +94,36 @@ class Block:
         if most >= 2.0**52:  # partial sums in doubles aren't exact: every candidate is a possible member
             yield from self._exact_wide(query_ids, queries, k)
             return
-        own = self.ids[None, :] == query_ids[:, None]
-        others = (~own).sum(axis=1)
-        partial = np.zeros((len(queries), len(self.ids)))
+        for i in range(0, len(queries), QUERIES):
+            yield from self._at_a_time(query_ids[i : i + QUERIES], queries[i : i + QUERIES], k)
+
+    def _at_a_time(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+        open_ = np.arange(len(queries))
+        partial = np.zeros((len(self.ids), len(queries)))  # a row a candidate, a column an open query
         l1, l2 = np.abs(queries).sum(axis=1), np.sqrt((queries * queries).sum(axis=1))
         keep = min(k, len(self.ids))
-        possible = ~own
-        for at, (postings, largest, norms) in enumerate(self.segments):
-            partial += queries @ postings
-            if at == len(self.segments) - 1:
-                rest = np.zeros((len(queries), 1))
+        for segments, largest, norms in self.impacts:
+            asked = queries[open_]
+            for d, at, values in segments:
+                partial[at] += values[:, None] * asked[:, d]
+                self.read += len(at) * len(open_)
+            own = self.ids[:, None] == query_ids[open_]
+            if largest:
+                rest = np.minimum(largest * l1[open_], norms[:, None] * l2[open_]) * (1 + 1e-9) + 1e-6
             else:
-                rest = np.minimum(largest * l1[:, None], l2[:, None] * norms[None, :]) * (1 + 1e-9) + 1e-6
+                rest = np.zeros((1, len(open_)))
             floor = np.where(own, -np.inf, partial - rest)
-            least = np.partition(floor, len(self.ids) - keep, axis=1)[:, len(self.ids) - keep]
-            possible = ~own & (partial + rest >= least[:, None])
-            if possible.sum() <= ENOUGH * k * len(queries):
+            least = np.partition(floor, len(self.ids) - keep, axis=0)[len(self.ids) - keep]
+            possible = ~own & (partial + rest >= least)
+            closed = possible.sum(axis=0) <= ENOUGH * k if largest else np.ones(len(open_), bool)
+            for j in np.flatnonzero(closed).tolist():
+                members = np.flatnonzero(possible[:, j])
+                scores = self.whole[members] @ asked[j]
+                for m in np.lexsort((self.ids[members], -scores))[:k]:
+                    yield int(query_ids[open_[j]]), int(self.ids[members[m]]), int(scores[m])
+            if closed.all():
                 break
-        for i in np.flatnonzero(others):
-            members = np.flatnonzero(possible[i])
-            scores = self.whole[members] @ queries[i]
-            for j in np.lexsort((self.ids[members], -scores))[:k]:
-                yield int(query_ids[i]), int(self.ids[members[j]]), int(scores[j])
+            open_, partial = open_[~closed], partial[:, ~closed]
 
     def _exact_wide(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
         rows = [(int(i), [int(x) for x in row]) for i, row in zip(self.ids, self.whole, strict=True)]
