@@ -1,6 +1,7 @@
 """Toxicity by a learned lexicon, matched through Levenshtein automata.
 
-Words and word stems that labelled toxic texts hold far more often than clean ones form a lexicon of bounded size. Its trie
+Words and word stems that labelled toxic texts hold far more often than clean ones form a lexicon, all of them: the sample
+of labelled rows bounds it. Its trie
 is intersected with Levenshtein automata of the terms; the intersection is determinised as words are read, so that a word
 costs a table lookup a character. A misspelling counts unless clean texts use it as a word. Each hit is weighed by its
 context: inside quotation marks or close behind a word of reporting it is quotation, else abuse. A logistic regression over
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import drop_written, pick, written
 from .quality import sample
 
-#: Labelled rows to learn from; terms of the lexicon; letters of stems; rows of four that teach terms, not the regression.
-TRAIN_ROWS, LEXICON_TERMS = 24_000, 4_000
+#: Labelled rows to learn from; letters of stems; rows of four that teach terms, not the regression.
+TRAIN_ROWS = 24_000
 STEM_LETTERS = range(4, 9)
 TERM_FOLDS, FOLDS = 3, 4
 #: A term needs so many toxic texts and at most this share of clean texts among those that hold it, at equal class sizes.
@@ -35,6 +36,7 @@ LEAST_TOXIC, MOST_CLEAN = 3, 0.02
 #: Edits for terms from these lengths on.
 ONE_EDIT, TWO_EDITS = 5, 9
 CONTEXT, CACHE_ENTRIES = 6, 500_000
+#: Words of reporting in the languages at hand, the default of a parameter of train().
 CUES = frozenset("said says wrote writes quote quoted quotes called calls word words term terms named dit écrit cite mot mots appelé sagte schrieb zitat wort wörter genannt dijo escribió cita palabra palabras llamó".split())
 _WORD = re.compile(r"[^\W_]+")
 _PART = re.compile(r"[^\W_]+|[\"“”«»„\n]")
@@ -163,6 +165,7 @@ class Model:
     stems: dict[str, float]
     clean: frozenset[str]
     weights: np.ndarray  # the intercept, then FEATURES
+    cues: frozenset[str] = CUES
 
     def matcher(self) -> Matcher:
         return Matcher(sorted(self.terms), sorted(self.stems), self.clean)
@@ -207,7 +210,7 @@ class Reader:
                     abuse += found[1] == 0
                     misspelt += found[1] > 0
                     weight = max(weight, (self.model.stems if found[2] else self.model.terms)[found[0]] / (1 + found[1]))
-            since_cue = 0 if part in CUES else since_cue + 1
+            since_cue = 0 if part in self.model.cues else since_cue + 1
         return [math.log1p(abuse), math.log1p(misspelt), math.log1p(quoted), math.log1p(100 * (abuse + misspelt) / len(words)), weight]
 
 
@@ -236,12 +239,15 @@ def choose_terms(rows: list[tuple[str, int, int, int]], n_toxic: int, n_clean: i
     that covers a single word is left to that word. The words of a stem stay terms, so that their misspellings match."""
     odds = {(t, s): math.log(((x + 0.1) / (n_toxic + 1)) / ((c + 0.1) / (n_clean + 1))) for t, s, x, c in rows}
     toxic = {(t, s): x for t, s, x, _ in rows}
+    longest: dict[str, int] = {}  # the most toxic texts that one word under a stem has
+    for (word, is_stem), x in toxic.items():
+        for n in STEM_LETTERS if not is_stem else ():
+            longest[word[:n]] = max(longest.get(word[:n], 0), x)
     stems: dict[str, float] = {}
     for term, _ in sorted((k for k in odds if k[1]), key=lambda k: (len(k[0]), k[0])):
         if any(term[:n] in stems for n in range(1, len(term))):
             continue
-        longest = max((x for (w, s), x in toxic.items() if not s and w.startswith(term)), default=0)
-        if toxic[term, 1] > 1.2 * longest:
+        if toxic[term, 1] > 1.2 * longest.get(term, 0):
             stems[term] = odds[term, 1]
     terms = {t: o for (t, s), o in odds.items() if not s}
     return terms, stems
@@ -269,7 +275,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         free = [f for f in free if f not in against]
 
 
-def train(docs: DataFrame, labels: DataFrame, learns: Column, train_rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learns: Column, train_rows: int = TRAIN_ROWS, cues: frozenset[str] = CUES) -> Model:
     """A model from labelled documents (doc_id, text) where `learns` (of the labels) is true."""
     spark = docs.sparkSession
     labelled = sample(docs, labels, "toxic", learns, train_rows)
@@ -279,13 +285,15 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, train_rows: int =
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         share = n_toxic / max(1, n_toxic + n_clean)
-        return Model({}, {}, frozenset(), np.array([math.log(max(share, 1e-12) / max(1 - share, 1e-12)), *[0.0] * len(FEATURES)]))
+        return Model({}, {}, frozenset(), np.array([math.log(max(share, 1e-12) / max(1 - share, 1e-12)), *[0.0] * len(FEATURES)]), cues)
     counts = teaching.select("text", "y").mapInArrow(_term_counts, "term string, stem int, toxic long, clean long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # clean stems serve no purpose, clean words tell which misspellings are words
+    counts = written(counts.filter((F.col("stem") == 0) | (F.col("toxic") >= LEAST_TOXIC)), "toxicity-counts")
     rate = F.col("toxic") / n_toxic
     pure = (F.col("toxic") >= LEAST_TOXIC) & (F.col("clean") / n_clean <= MOST_CLEAN * (rate + F.col("clean") / n_clean))
-    chosen = counts.filter(pure).orderBy(F.desc("toxic"), "term", "stem").limit(LEXICON_TERMS).collect()
+    chosen = counts.filter(pure).collect()
     terms, stems = choose_terms([(r.term, r.stem, r.toxic, r.clean) for r in chosen], n_toxic, n_clean)
-    model = Model(terms, stems, frozenset(), np.zeros(1 + len(FEATURES)))
+    model = Model(terms, stems, frozenset(), np.zeros(1 + len(FEATURES)), cues)
     shared = spark.sparkContext.broadcast(model)
 
     def misspellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,9 +302,10 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, train_rows: int =
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([w for w in words if (m := matcher.match(w)) and m[1]], pa.string())], ["term"])
 
-    # clean words within the edits of a term: no more than the neighbourhood of a bounded lexicon
+    # clean words within the edits of a term, of the sample's words
     clean = counts.filter("stem = 0 and clean > 0").select("term").mapInArrow(misspellings, "term string").collect()
     model.clean = frozenset(r.term for r in clean)
+    drop_written(counts)
     rows = features(labelled.filter(fold >= TERM_FOLDS).select("doc_id", "y", "text"), model).groupBy("doc_id").agg(F.min(F.struct("features", "y")).alias("row")).select("doc_id", "row.*").collect()
     rows.sort(key=lambda r: r.doc_id)
     # priors: no hits is clean, one hit of a strong term is toxic; they matter only if the calibration rows are few
