@@ -103,14 +103,12 @@ class Filter:
         return F.array(*[(low + step * F.lit(i)).bitwiseAND(F.lit(size - 1).cast("long")) for i in range(Filter.PROBES)])
 
     @classmethod
-    def of(cls, keys: DataFrame) -> Filter:
+    def of(cls, keys: DataFrame, most_bits: int = MOST_BITS) -> Filter:
         """Of the `key` column (long) of a table; its bits are put together in the executors, a bucket a row."""
-        n, size = keys.count(), cls.LEAST_BITS
-        while size < min(16 * n, cls.MOST_BITS):
-            size *= 2
+        size = 1 << min(max(16 * keys.count(), cls.LEAST_BITS) - 1, most_bits // 2).bit_length()
         bit = keys.select(F.explode(cls.probes(F.col("key"), size)).alias("bit"))
         rows = bit.select(F.shiftright("bit", 15).alias("bucket"), F.col("bit").bitwiseAND(F.lit(32767)).alias("bit"))
-        bits = np.zeros(size // 8, np.uint8)
+        bits = np.zeros(max(4096, size // 8), np.uint8)
         for r in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
             bits[r.bucket * 4096 : r.bucket * 4096 + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
         return cls(size, bits)
@@ -125,18 +123,32 @@ class Filter:
         return out
 
 
-def broadcast_filter(keys: DataFrame) -> Broadcast:
-    return keys.sparkSession.sparkContext.broadcast(Filter.of(keys))
+def broadcast_filter(keys: DataFrame, most_bits: int = Filter.MOST_BITS) -> Broadcast:
+    return keys.sparkSession.sparkContext.broadcast(Filter.of(keys, most_bits))
 
 
-def parted(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`docs` in two parts: the rows that are certainly not among `rows` (of ROW_ID), and the few others, these with their
-    ROW_ID. Only the others need a join, so that no text of the first part is shuffled."""
+#: Rows of ROW_ID that are broadcast as they are, about 100 bytes each; of more, a filter is, and the rest are joined.
+BROADCAST_ROWS = 300_000
+
+
+def standing_for(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of `docs` (with ROW_ID) that are among `rows`, with the columns of both. No text of other rows is shuffled."""
+    if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(rows), list(ROW_ID))
+    return _maybe(docs, rows, True).join(rows, list(ROW_ID))
+
+
+def _maybe(docs: DataFrame, rows: DataFrame, inside: bool) -> DataFrame:
+    """Rows of `docs` (with ROW_ID) that may be among `rows`, or are certainly not."""
     shared = broadcast_filter(rows.select(F.col(ROW_ID[0]).alias("key")))
-    named = docs.select("*", *row_id())
+    return keep_rows(docs, [ROW_ID[0]], lambda: lambda keys: shared.value.passes(np.asarray(keys)) == inside)
 
-    def those(inside: bool):
-        return lambda: lambda keys: shared.value.passes(np.asarray(keys)) == inside
 
-    without = keep_rows(named, [ROW_ID[0]], those(False)).drop(*ROW_ID)
-    return without, keep_rows(named, [ROW_ID[0]], those(True))
+def parted(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs` in two parts: rows that are certainly not among `rows` (of ROW_ID), and the few others, these with their ROW_ID. Only
+    the others need a join, so that no text of the first part is shuffled."""
+    named = docs.select("*", *row_id())
+    if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        ids = F.broadcast(rows.select(*ROW_ID).distinct())
+        return named.join(ids, list(ROW_ID), "left_anti").select(*docs.columns), named.join(ids, list(ROW_ID), "left_semi")
+    return _maybe(named, rows, False).drop(*ROW_ID), _maybe(named, rows, True)
