@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, broadcast_filter, drop_written, keep_rows, pick, row_id, words_of, written
+from .common import ROW_ID, drop_written, pick, row_id, standing_for, words_of, written
 
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -37,7 +37,7 @@ LEAST_ESTIMATE = PERCENT / 100 - 6 * math.sqrt(0.75 * 0.25 / REGISTERS)
 #: Sets of sizes that differ by more than this factor can't be linked; members of a bucket, of like size, in one task.
 SIZE_STEP, SPLIT = 1.34, 2000
 _GOLDEN, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -164,12 +164,9 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, each: bool) -> DataFrame:
-    """The whole sets of the rows that stand for the classes `wanted` (c, ROW_ID): as bytes, or `each` shingle a row. A
-    filter goes first, so that only the texts of such rows are joined."""
-    shared = broadcast_filter(wanted.select(F.col(ROW_ID[0]).alias("key")))
+    """The whole sets of the rows that stand for the classes `wanted` (c, ROW_ID): as bytes, or `each` shingle a row."""
     named = pick(docs, doc_id="long", text="string").select(*row_id(), "text")
-    maybe = keep_rows(named, [ROW_ID[0]], lambda: lambda keys: shared.value.passes(np.asarray(keys)))
-    rows = maybe.join(wanted.select("c", *ROW_ID), list(ROW_ID)).select("c", "text")
+    rows = standing_for(named, wanted.select("c", *ROW_ID)).select("c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
