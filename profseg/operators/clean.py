@@ -13,6 +13,14 @@ def by_depth(*more: str) -> Window:
     return Window.partitionBy("target").orderBy("depth", *more)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many partitions as the session shuffles to, or has cores for. What follows costs time and
+    not bytes, so that partitions must not be joined by their small size: an explicit number isn't."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def collapse(df: DataFrame, step: float, sensors: list[str]) -> DataFrame:
     """Overlapping pushes on one grid: mean of each sensor by rounded depth (half to even)."""
     grid = (F.rint(F.col("depth") / step) * step).alias("depth")

@@ -2,7 +2,11 @@
 
 The forward pass over run lengths and the search for the most probable segmentation are one loop: the segmentation up to a
 sample needs the run-length posterior of that sample only, so that memory grows with the length of a profile, not its
-square. The recursion is sequential in depth; profiles are independent and spread over the cluster.
+square. Runs are held by where they begin, the oldest first, so that a sample changes them in place. The recursion is
+sequential in depth; profiles are independent and spread over the cluster.
+
+Time grows with the square of a profile's length, unless runs of less than `least_share` of the posterior are dropped: then
+with its length times the runs that are left. What is dropped at one sample is less than least_share times their number.
 """
 
 from __future__ import annotations
@@ -12,9 +16,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .clean import spread
+
 LARGEST = 1.0 - 1e-12
 
 
@@ -25,22 +31,46 @@ class ScalarModel:
     def __init__(self, n: int, mean: float = 0.0, kappa: float = 1.0, alpha: float = 1.0, beta: float = 0.1):
         runs = np.arange(n + 1)
         self.kappa, self.alpha = kappa + runs, alpha + runs / 2
-        half = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in self.alpha])
-        self.fixed = half - 0.5 * np.log(2 * np.pi * self.alpha)
-        self.mean, self.beta, self.prior = np.array([mean]), np.array([beta]), (mean, beta)
+        half = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in self.alpha.tolist()])
+        self.fixed = half - 0.5 * np.log(2 * np.pi * self.alpha) - 0.5 * np.log((self.kappa + 1) / (self.alpha * self.kappa))
+        self.grown = 2 * (self.kappa + 1) / self.kappa
+        self.prior = (mean, beta)
+        self.mean, self.beta, self.run = np.empty(n + 1), np.empty(n + 1), np.arange(n, -1, -1)
+        self.mean[0], self.beta[0] = self.prior
+        self.size, self.whole = 1, True
+
+    def _of(self, table: np.ndarray) -> np.ndarray:
+        """A table by run length for the runs at hand, the oldest first."""
+        return table[self.size - 1 :: -1] if self.whole else table[self.run[: self.size]]
+
+    def log_densities(self, x: float) -> np.ndarray:
+        """By run, the oldest first."""
+        k = self.size
+        off = (x - self.mean[:k]) ** 2
+        return self._of(self.fixed) - 0.5 * np.log(self.beta[:k]) - (self._of(self.alpha) + 0.5) * np.log1p(off / (self._of(self.grown) * self.beta[:k]))
 
     def log_density(self, x: float) -> np.ndarray:
-        k = len(self.mean)
-        kappa, alpha = self.kappa[:k], self.alpha[:k]
-        scale = self.beta * (kappa + 1) / (alpha * kappa)
-        return self.fixed[:k] - 0.5 * np.log(scale) - (alpha + 0.5) * np.log1p((x - self.mean) ** 2 / (2 * alpha * scale))
+        """By run length."""
+        return self.log_densities(x)[::-1]
 
     def learn(self, x: float) -> None:
-        k = len(self.mean)
-        kappa = self.kappa[:k]
-        beta = self.beta + 0.5 * kappa * (x - self.mean) ** 2 / (kappa + 1)
-        mean = (kappa * self.mean + x) / (kappa + 1)
-        self.mean, self.beta = np.concatenate([[self.prior[0]], mean]), np.concatenate([[self.prior[1]], beta])
+        k = self.size
+        kappa = self._of(self.kappa)
+        off = (x - self.mean[:k]) / (kappa + 1)
+        self.beta[:k] += 0.5 * kappa * (kappa + 1) * off * off
+        self.mean[:k] += off
+        if not self.whole:
+            self.run[:k] += 1
+            self.run[k] = 0
+        self.mean[k], self.beta[k] = self.prior
+        self.size += 1
+
+    def keep(self, runs: np.ndarray, lengths: np.ndarray) -> None:
+        """Only these runs (places, the oldest first), of these lengths."""
+        for held in (self.mean, self.beta):
+            held[: len(runs)] = held[runs]
+        self.run[: len(runs)] = lengths
+        self.size, self.whole = len(runs), False
 
 
 class VectorModel:
@@ -68,6 +98,12 @@ class VectorModel:
         distance = self._forms(x)[2] / grown
         return self.fixed[:k] - 0.5 * (self.logdet + d * np.log(grown)) - (df + d) / 2 * np.log1p(distance / df)
 
+    def log_densities(self, x: np.ndarray) -> np.ndarray:
+        return self.log_density(x)[::-1]
+
+    def keep(self, runs: np.ndarray, lengths: np.ndarray) -> None:
+        raise ValueError("vectors keep all runs: least_share must be 0")
+
     def learn(self, x: np.ndarray) -> None:
         kappa = self.kappa[: len(self.mean)]
         off, turned, form = self._forms(x)
@@ -88,8 +124,8 @@ class Detection:
 
 
 def _log_sum(x: np.ndarray) -> float:
-    top = x.max(initial=-np.inf)
-    return float(top + np.log(np.exp(x - top).sum())) if np.isfinite(top) else -np.inf
+    top = float(x.max()) if len(x) else -math.inf
+    return top + math.log(float(np.exp(x - top).sum())) if top > -math.inf else -math.inf
 
 
 def separated(indexes: list[int], least: int) -> list[int]:
@@ -101,41 +137,56 @@ def separated(indexes: list[int], least: int) -> list[int]:
     return kept
 
 
-def detect(x: np.ndarray, model, hazard: np.ndarray, least_run: int = 0, factors: tuple[np.ndarray, ...] = (), posterior: Callable[[int, np.ndarray], None] | None = None) -> Detection:
-    """Run the recursion over samples x with a hazard for each sample, 0 for run lengths below least_run."""
+def detect(x: np.ndarray, model, hazard: np.ndarray, least_run: int = 0, factors: tuple[np.ndarray, ...] = (), posterior: Callable[[int, np.ndarray, np.ndarray], None] | None = None, least_share: float = 0.0) -> Detection:
+    """Run the recursion over samples x with a hazard for each sample, 0 for run lengths below least_run. `posterior` is
+    called with each sample's place, run lengths and their shares."""
     n = len(x)
-    log_run = np.zeros(1)
+    base = np.clip(hazard, 0.0, LARGEST)
+    for f in factors:
+        base = np.clip(base * f, 0.0, LARGEST)
+    log_run = np.zeros(n + 1)  # by run, the oldest first
+    begins = np.arange(n + 1)  # where each begins
+    k = 1
     p_change, runs = np.zeros(n), np.zeros(n, np.int64)
     best = np.full(n + 1, -np.inf)  # log probability of the best segmentation of the first z samples
     best[0] = 0.0
     origin = np.zeros(n + 1, np.int64)  # where its last segment begins, from 1; 0: one segment
     begun = np.full(n + 1, -np.inf)  # by j: p(r_j = 0) and the best segmentation before
     evidence = 0.0
-    base = np.clip(hazard, 0.0, LARGEST)
-    for f in factors:
-        base = np.clip(base * f, 0.0, LARGEST)
     with np.errstate(divide="ignore"):
         for t in range(n):
-            z = t + 1
-            joint = log_run + model.log_density(x[t])
-            h = base[t]
-            gate = min(least_run, z)
-            grown = joint.copy()
-            grown[gate:] += np.log1p(-h)
-            fresh = _log_sum(joint[gate:]) + math.log(h) if h > 0 and gate < z else -np.inf
-            log_run = np.concatenate([[fresh], grown])
-            evidence = _log_sum(log_run)
-            share = np.exp(log_run - evidence)
-            p_change[t], runs[t] = share[0], int(share.argmax())
+            z, h = t + 1, float(base[t])
+            log_run[:k] += model.log_densities(x[t])
+            # runs of at least least_run may end here
+            able = k if not least_run else int(np.searchsorted(begins[:k], z - min(least_run, z), "left"))
+            fresh = _log_sum(log_run[:able]) + math.log(h) if h > 0 and able else -math.inf
+            log_run[:able] += math.log1p(-h)
+            log_run[k], begins[k] = fresh, z
+            k += 1
+            evidence = _log_sum(log_run[:k])
+            share = np.exp(log_run[:k] - evidence)
+            p_change[t] = share[-1]
+            runs[t] = z - begins[k - 1 - int(share[::-1].argmax())]
             if posterior:
-                posterior(t, share)
+                posterior(t, z - begins[:k], share)
             logs = np.log(share)
-            paths = np.concatenate([logs[z - 1 : 0 : -1] + begun[1:z], logs[z : z + 1]])
-            k = int(np.argmax(paths))
-            if np.isfinite(paths[k]):
-                best[z], origin[z] = paths[k], (k + 1 if k < z - 1 else 0)
-            begun[z] = logs[0] + best[z - 1]
+            first = 1 if begins[0] == 0 else 0  # the segmentation without an end is considered last
+            paths = logs[first:-1] + begun[begins[first : k - 1]]
+            j = int(paths.argmax()) if len(paths) else -1
+            whole = float(logs[0]) if first else -math.inf
+            if j >= 0 and paths[j] >= whole and paths[j] > -math.inf:
+                best[z], origin[z] = paths[j], begins[first + j]
+            elif whole > -math.inf:
+                best[z], origin[z] = whole, 0
+            begun[z] = logs[-1] + best[z - 1]
             model.learn(x[t])
+            if least_share and t % 32 == 31:
+                kept = np.flatnonzero(share >= least_share)
+                if len(kept) < 0.75 * k:
+                    kept = kept if len(kept) and kept[-1] == k - 1 else np.append(kept, k - 1)
+                    model.keep(kept, z - begins[kept])
+                    log_run[: len(kept)], begins[: len(kept)] = log_run[kept], begins[kept]
+                    k = len(kept)
     found, z = [], n
     while z > 0 and origin[z]:
         found.append(int(origin[z]) - 1)
@@ -182,15 +233,16 @@ SMOOTH_FROM, SMOOTH_FULL = 0.080, 0.150
 WEIGHTS, WINDOWS = (0.05, 0.30), (0.30, 1.00)
 
 
-def adaptive_smooth(x: np.ndarray, step: float, kind: str = "tv") -> np.ndarray:
-    """Smooth rough signals only, the more the rougher, by total variation or a moving polynomial."""
+def adaptive_smooth(x: np.ndarray, step: float, kind: str = "tv", most: float = WEIGHTS[1]) -> np.ndarray:
+    """Smooth rough signals only, the more the rougher, by total variation (of weight `most` at most) or a moving
+    polynomial."""
     rough = float(np.std(np.diff(x))) if len(x) > 1 else 0.0
     if rough < SMOOTH_FROM:
         return x
     share = min(1.0, (rough - SMOOTH_FROM) / (SMOOTH_FULL - SMOOTH_FROM))
     between = lambda ends: ends[0] + share * (ends[1] - ends[0])
     if kind == "tv":
-        return total_variation(x, between(WEIGHTS))
+        return total_variation(x, between((WEIGHTS[0], most)))
     if kind != "savgol":
         raise ValueError(f"unknown smoothing: {kind}")
     size = odd_window(max(5, round(between(WINDOWS) / step) | 1), len(x))
@@ -212,37 +264,83 @@ def standard(x: np.ndarray) -> np.ndarray:
 RESULT = "target string, boundary_index long, boundary_depth double, p_change double, n long, log_evidence double"
 
 
-def change_points(df: DataFrame, sensors: list[str], mean_from_signal: bool = True, kappa: float = 1.0, alpha: float = 1.0, beta: float = 0.1, min_separation: int = 1, method: str = "map", smooth: str | None = None) -> DataFrame:
+@dataclass
+class Profile:
+    """The samples of a group in order of depth."""
+
+    target: str
+    depth: np.ndarray
+    columns: dict[str, np.ndarray]
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Profile:
+        depth = table.column("depth").to_numpy()
+        order = np.argsort(depth, kind="stable")
+        others = {c: np.asarray(table.column(c).to_numpy(), float)[order] for c in table.column_names if c not in ("target", "depth")}
+        return cls(str(table.column("target")[0].as_py()), depth[order], others)
+
+    @property
+    def step(self) -> float:
+        return float(np.median(np.diff(self.depth))) if len(self.depth) > 1 else 0.02
+
+
+def run_profile(p: Profile, sensors: list[str], mean_from_signal: bool, kappa: float, alpha: float, beta: float, smooth: str | None, posterior=None, least_share: float = 0.0) -> Detection:
+    """The detection of one profile: one sensor by its signal, several as standardised vectors."""
+    n = len(p.depth)
+    signals = np.stack([fill(p.columns[s]) for s in sensors], axis=1)
+    h = p.columns.get("h", np.full(n, np.nan))
+    h = np.where(np.isfinite(h), h, 1 / max(n, 1))
+    least = int(p.columns["least_run"][0]) if "least_run" in p.columns else 0
+    factors = (p.columns["factor"],) if "factor" in p.columns else ()
+    if len(sensors) == 1:
+        x = signals[:, 0]
+        x = adaptive_smooth(x, p.step, smooth) if smooth else x
+        model = ScalarModel(n, float(np.median(x)) if mean_from_signal else 0.0, kappa, alpha, beta)
+    else:
+        x = standard(signals)
+        spread_ = (np.cov(x, rowvar=False) if n > 1 else np.zeros((x.shape[1],) * 2)) + 1e-6 * np.eye(x.shape[1])
+        model = VectorModel(n, np.zeros(x.shape[1]), spread_, kappa)
+    return detect(x, model, h, least, factors, posterior, least_share)
+
+
+def _spec(df: DataFrame, sensors: list[str]) -> DataFrame:
+    columns = [c for c in ("h", "least_run", "factor") if c in df.columns]
+    return spread(df.select("target", df["depth"].cast("double").alias("depth"), *[df[s].cast("double").alias(s) for s in sensors], *columns), "target")
+
+
+def change_points(df: DataFrame, sensors: list[str], mean_from_signal: bool = True, kappa: float = 1.0, alpha: float = 1.0, beta: float = 0.1, min_separation: int = 1, method: str = "map", smooth: str | None = None, least_share: float = 0.0) -> DataFrame:
     """Change points of every profile: a row each, and one with NULLs for a profile without any.
 
     df: target, depth, the sensors, and from the hazard spec the columns h (NULL: 1 / n), least_run and factor, each
     optional. One sensor: its signal, centred at its median; several: standardised vectors. One shuffle by target.
     """
-    columns = [c for c in ("h", "least_run", "factor") if c in df.columns]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("depth", kind="stable")
-        n = len(group)
-        depth = group["depth"].to_numpy(float)
-        signals = np.stack([fill(group[s].to_numpy(float)) for s in sensors], axis=1)
-        step = float(np.median(np.diff(depth))) if n > 1 else 0.02
-        h = group["h"].to_numpy(float) if "h" in columns else np.full(n, np.nan)
-        h = np.where(np.isfinite(h), h, 1 / max(n, 1))
-        least = int(group["least_run"].iloc[0]) if "least_run" in columns else 0
-        factors = (group["factor"].to_numpy(float),) if "factor" in columns else ()
-        if len(sensors) == 1:
-            x = signals[:, 0]
-            x = adaptive_smooth(x, step, smooth) if smooth else x
-            model = ScalarModel(n, float(np.median(x)) if mean_from_signal else 0.0, kappa, alpha, beta)
-        else:
-            x = standard(signals)
-            spread = (np.cov(x, rowvar=False) if n > 1 else np.zeros((x.shape[1],) * 2)) + 1e-6 * np.eye(x.shape[1])
-            model = VectorModel(n, np.zeros(x.shape[1]), spread, kappa)
-        found = detect(x, model, h, least, factors)
-        at = found.boundaries.tolist() if method == "map" else drops(found.run)
-        at = separated(at, max(min_separation, 1))
-        rows = [(i, depth[i], found.p_change[i]) for i in at] or [(None, None, None)]
-        out = pd.DataFrame(rows, columns=["boundary_index", "boundary_depth", "p_change"]).astype({"boundary_index": "Int64"})
-        return out.assign(target=str(group["target"].iloc[0]), n=n, log_evidence=found.log_evidence)[["target", "boundary_index", "boundary_depth", "p_change", "n", "log_evidence"]]
-
-    return df.select("target", "depth", *sensors, *columns).groupBy("target").applyInPandas(run, RESULT)
+    def run(table: pa.Table) -> pa.Table:
+        p = Profile.of(table)
+        found = run_profile(p, sensors, mean_from_signal, kappa, alpha, beta, smooth, None, least_share)
+        at = separated(found.boundaries.tolist() if method == "map" else drops(found.run), max(min_separation, 1))
+        rows = [(p.target, i, float(p.depth[i]), float(found.p_change[i]), len(p.depth), found.log_evidence) for i in at] or [(p.target, None, None, None, len(p.depth), found.log_evidence)]
+        kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+        return pa.table({c.split()[0]: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(zip(RESULT.split(", "), kinds, strict=True))})
+
+    return _spec(df, sensors).groupBy("target").applyInArrow(run, RESULT)
+
+
+def posteriors(df: DataFrame, sensors: list[str], floor: float = 1e-6, **settings) -> DataFrame:
+    """(target, depth, i, run, p): the run-length posterior of every sample, shares from the floor on."""
+    settings = {"mean_from_signal": True, "kappa": 1.0, "alpha": 1.0, "beta": 0.1, "smooth": None} | settings
+
+    def run(table: pa.Table) -> pa.Table:
+        p, places, lengths, shares = Profile.of(table), [], [], []
+
+        def take(t: int, run: np.ndarray, share: np.ndarray) -> None:
+            kept = share >= floor
+            places.append(np.full(int(kept.sum()), t))
+            lengths.append(run[kept])
+            shares.append(share[kept])
+
+        run_profile(p, sensors, posterior=take, **settings)
+        at = np.concatenate(places)
+        return pa.table({"target": pa.array([p.target] * len(at)), "depth": p.depth[at], "i": at, "run": np.concatenate(lengths), "p": np.concatenate(shares)})
+
+    return _spec(df, sensors).groupBy("target").applyInArrow(run, "target string, depth double, i long, run long, p double")

@@ -52,6 +52,29 @@ def boundary_scores(pred: DataFrame, true: DataFrame, tolerances: tuple[float, .
     return rows.drop("_c")
 
 
+def scores_by(points: DataFrame, name: str, names: list, true: DataFrame, tolerances: tuple[float, ...] = TOLERANCES) -> DataFrame:
+    """boundary_scores() of several runs at once: points (name, target, boundary) of runs whose names are listed, so that runs
+    without any points count too. Per name and target."""
+    key = F.struct(name, "target").alias("target")
+    every = true.withColumn(name, F.explode(F.array(*[F.lit(n) for n in names])))
+    scores = boundary_scores(points.select(key, "boundary"), every.select(key, "boundary"), tolerances)
+    return scores.select(F.col(f"target.{name}").alias(name), F.col("target.target").alias("target"), *[c for c in scores.columns if c != "target"])
+
+
+def pooled_by(scores: DataFrame, name: str, tolerances: tuple[float, ...] = TOLERANCES) -> DataFrame:
+    """A row a name: pooled precision, recall and F1 and the mean F1 of profiles at each tolerance."""
+    sums = [F.sum("n_pred").alias("n_pred"), F.sum("n_true").alias("n_true")]
+    for t in tolerances:
+        sums += [F.sum(f"tp_{name_of(t)}").alias(f"_tp_{name_of(t)}"), F.avg(f"f1_{name_of(t)}").alias(f"mean_f1_{name_of(t)}")]
+    rows = scores.groupBy(name).agg(*sums)
+    out = []
+    for t in tolerances:
+        n = name_of(t)
+        p, r, f = f1_columns(F.col(f"_tp_{n}"), F.col("n_pred"), F.col("n_true"))
+        out += [p.alias(f"precision_{n}"), r.alias(f"recall_{n}"), f.alias(f"f1_{n}"), F.col(f"mean_f1_{n}")]
+    return rows.select(name, "n_pred", "n_true", *out)
+
+
 def pooled_scores(scores: DataFrame, tolerances: tuple[float, ...] = TOLERANCES) -> DataFrame:
     """One row a tolerance: precision, recall and F1 of all boundaries together, mean and median F1 of profiles."""
     rows = scores.select("n_pred", "n_true", F.explode(F.array(*[F.struct(F.lit(float(t)).alias("tolerance"), F.col(f"tp_{name_of(t)}").alias("tp"), F.col(f"f1_{name_of(t)}").alias("f1")) for t in tolerances])).alias("s"))

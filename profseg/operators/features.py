@@ -62,16 +62,26 @@ def depth_derivatives(rows: DataFrame, sensors: list[str]) -> DataFrame:
     return own.withColumns(cols).groupBy(*KEYS).agg(*out)
 
 
-def engineered(rows: DataFrame, cone: str, sleeve: str, ratio: str, friction: str) -> DataFrame:
-    """Statistics of the friction ratio, the logarithm of the cone resistance and logarithms of the normalised pair."""
-    own = rows.withColumns({"rf": friction_ratio(F.col(sleeve), F.col(cone)), "log_qc": log1p_clipped(F.col(cone)), "log_nqt": log1p_positive(F.col(ratio)), "log_nfr": log1p_positive(F.col(friction))})
-    q = lambda c, p: F.percentile(c, F.lit(p))
+def engineered(rows: DataFrame, cone: str = "SCPT_RES", sleeve: str = "SCPT_FRES", ratio: str = "SCPT_NQT", friction: str = "SCPT_NFR") -> DataFrame:
+    """Statistics of the friction ratio, the logarithm of the cone resistance and logarithms of the normalised pair; NULL
+    where `rows` lacks a column that they need."""
+    there = lambda *c: all(x in rows.columns for x in c)
+    none = F.lit(None).cast("double")
+    made = {
+        "Rf": friction_ratio(F.col(sleeve), F.col(cone)) if there(cone, sleeve) else none,
+        "log_qc": log1p_clipped(F.col(cone)) if there(cone) else none,
+        f"log_{ratio}": log1p_positive(F.col(ratio)) if there(ratio) else none,
+        f"log_{friction}": log1p_positive(F.col(friction)) if there(friction) else none,
+    }
+    own = rows.select(*KEYS, *[v.alias(f"_{k}") for k, v in made.items()])
+    q = lambda c, p: F.percentile(f"_{c}", F.lit(p))
     out = []
-    for c in ("rf", "log_qc"):
-        out += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), q(c, 0.5).alias(f"{c}_median"), q(c, 0.25).alias(f"{c}_q25"), q(c, 0.75).alias(f"{c}_q75")]
-    out.append((q("rf", 0.75) - q("rf", 0.25)).alias("rf_iqr"))
-    for c in ("log_nqt", "log_nfr"):
-        out += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
+    for c in made:
+        out += [F.avg(f"_{c}").alias(f"{c}_mean"), F.stddev_pop(f"_{c}").alias(f"{c}_std")]
+        if c in ("Rf", "log_qc"):
+            out += [q(c, 0.5).alias(f"{c}_median"), q(c, 0.25).alias(f"{c}_q25"), q(c, 0.75).alias(f"{c}_q75")]
+        if c == "Rf":
+            out.append((q(c, 0.75) - q(c, 0.25)).alias("Rf_iqr"))
     return own.groupBy(*KEYS).agg(*out)
 
 
@@ -125,18 +135,67 @@ def widen(long: DataFrame, arrays: dict[str, str], sensors: list[str], length: i
     return long.groupBy(*KEYS).agg(*out)
 
 
-def hybrid(rows: DataFrame, sensors: list[str], length: int, cone: str, sleeve: str, ratio: str, friction: str) -> DataFrame:
-    """Geometry, distribution, shapes with derivatives, true-depth derivatives and engineered features, side by side."""
-    drop = ("top", "bottom", "thickness", "n_rows")
+#: The names of geometry() in a hybrid matrix, in order.
+GEOMETRY = {"top": "seg_top_depth", "bottom": "seg_bottom_depth", "mid": "seg_mid_depth", "thickness": "seg_thickness", "log_thickness": "seg_log_thickness", "n_rows": "seg_n_rows", "row_density": "seg_row_density", "profile_min": "profile_min_depth", "profile_max": "profile_max_depth", "profile_range": "profile_depth_range", "rel_top": "seg_rel_top_profile", "rel_mid": "seg_rel_mid_profile", "rel_bottom": "seg_rel_bottom_profile"}
+DISTRIBUTION = ("mean", "std", "min", "max", "q10", "q25", "median", "q75", "q90", "iqr", "range")
+DERIVATIVE = ("mean", "std", "median", "min", "max", "abs_mean")
+ENGINEERED = ("Rf_mean", "Rf_std", "Rf_median", "Rf_q25", "Rf_q75", "Rf_iqr", "log_qc_mean", "log_qc_std", "log_qc_median", "log_qc_q25", "log_qc_q75")
+#: What a definition's extra_derived adds.
+EXTRA = {"Rf": ("Rf_mean", "Rf_std", "Rf_median"), "log_qc": ("log_qc_mean", "log_qc_std")}
+
+
+def matrix_columns(kind: str, sensors: list[str], length: int = 32, derivatives: bool = False, stats: tuple[str, ...] = tuple(STATS), thickness: bool = False, extra: tuple[str, ...] = (), ratio: str = "SCPT_NQT", friction: str = "SCPT_NFR", values: list[str] | None = None) -> list[str]:
+    """The columns of a feature matrix in order, each once. `values` are the names of what fft and stft have by sensor."""
+    if kind == "summary":
+        names = [f"{s}_{k}" for s in sensors for k in stats if k in STATS]
+    elif kind in ("resample", "paa"):
+        base, change = ("r", "d") if kind == "resample" else ("paa", "paa_d")
+        names = [shape_name(s, k, i, length) for s in sensors for k in (base, change)[: 1 + derivatives] for i in range(length)]
+    elif kind == "hybrid":
+        names = list(GEOMETRY.values())
+        for s in sensors:
+            names += [f"{s}_{k}" for k in DISTRIBUTION] + [shape_name(s, k, i, length) for k in ("r", "dr") for i in range(length)]
+            names += [f"d_{s}_dz_{k}" for k in DERIVATIVE] + [f"{s}_roughness"]
+        return list(dict.fromkeys([*names, *ENGINEERED, *[f"log_{c}_{k}" for c in (ratio, friction) for k in ("mean", "std")]]))
+    elif kind in ("fft", "stft"):
+        names = [f"{kind}_{s}_{v}" for s in sensors for v in values or []]
+    else:
+        raise ValueError(f"unknown representation: {kind}")
+    more = [c for name in EXTRA if name in extra for c in EXTRA[name]]
+    return list(dict.fromkeys([*names, *["thickness"] * thickness, *more]))
+
+
+def hybrid(rows: DataFrame, sensors: list[str], length: int = 24, cone: str = "SCPT_RES", sleeve: str = "SCPT_FRES", ratio: str = "SCPT_NQT", friction: str = "SCPT_NFR") -> DataFrame:
+    """Geometry, distribution, shapes with derivatives, true-depth derivatives and engineered features, side by side under
+    the names of matrix_columns(), with top, bottom, thickness and n_rows."""
+    keys = list(KEYS)
+    own = geometry(rows).withColumns({new: F.col(old) for old, new in GEOMETRY.items()}).select(*keys, "top", "bottom", "thickness", "n_rows", *GEOMETRY.values())
     shape = shapes(rows, sensors, length).withColumn("d", derivative(F.col("shape"), length))
-    out = geometry(rows).join(distribution(rows, sensors).drop(*drop), list(KEYS))
-    for more in (widen(shape, {"shape": "r", "d": "dr"}, sensors, length), depth_derivatives(rows, sensors), engineered(rows, cone, sleeve, ratio, friction)):
-        out = out.join(more, list(KEYS))
-    return out
+    change = depth_derivatives(rows, sensors).withColumnsRenamed({f"{s}_grad_{k}": f"d_{s}_dz_{k}" for s in sensors for k in DERIVATIVE})
+    parts = (distribution(rows, sensors).drop("top", "bottom", "thickness", "n_rows"), widen(shape, {"shape": "r", "d": "dr"}, sensors, length), change, engineered(rows, cone, sleeve, ratio, friction))
+    for more in parts:  # all dealt by the same keys: joined where they are
+        own = own.join(more, keys)
+    return own.select(*keys, "top", "bottom", "thickness", "n_rows", *matrix_columns("hybrid", sensors, length, ratio=ratio, friction=friction))
 
 
-def pivot_sensors(long: DataFrame, value: str, sensors: list[str]) -> DataFrame:
-    return long.groupBy(*KEYS).pivot("sensor", sensors).agg(F.first(value))
+def pivot_sensors(long: DataFrame, values: list[str], sensors: list[str], keys: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Long rows (keys, sensor, values) to a column for each sensor and value, named prefix_sensor_value. Keys may be NULL, which
+    is a key like any other; a sensor without a row leaves NULLs."""
+    pick = lambda s, v: F.first(F.when(F.col("sensor") == s, F.col(v)), ignorenulls=True).alias(f"{prefix}{s}_{v}")
+    return long.groupBy(*(keys or KEYS)).agg(*[pick(s, v) for s in sensors for v in values])
+
+
+def frequency_name(freq: float) -> str:
+    """Fixed form: 0.25 is pwr_0_25."""
+    return f"pwr_{freq:.2f}".replace(".", "_")
+
+
+def wide_power(power: DataFrame, sensors: list[str], grid: list[float], prefix: str = "stft_", keys: list[str] | None = None) -> DataFrame:
+    """Powers (keys, sensor, freq, power, n_windows) to columns prefix_sensor_pwr_0_25 and prefix_sensor_n_windows."""
+    keys = keys or list(KEYS)
+    at = lambda f: F.first(F.when(F.round("freq", 6) == round(f, 6), F.col("power")), ignorenulls=True).alias(frequency_name(f))
+    rows = power.groupBy(*keys, "sensor").agg(F.max("n_windows").alias("n_windows"), *[at(f) for f in grid])
+    return pivot_sensors(rows, ["n_windows", *[frequency_name(f) for f in grid]], sensors, keys, prefix)
 
 
 def quality(features: DataFrame, names: list[str]) -> DataFrame:

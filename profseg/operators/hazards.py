@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import settled
 from .clean import by_depth, gradient_uniform, step_of
 
 LARGEST = 1.0 - 1e-12
@@ -88,52 +89,69 @@ def contrast_parameters(iqr: Column, noise: Column, threshold: float = 2.5) -> d
 KAPPA = {"base": 0.6, "least": 0.5, "most": 2.5, "quantile": 0.8, "weights": (0.5, 0.35, 0.15)}
 
 
-def adaptive_kappa(df: DataFrame, x: str, floor: float = 0.0, base: float = KAPPA["base"], least: float = KAPPA["least"], most: float = KAPPA["most"], quantile: float = KAPPA["quantile"]) -> DataFrame:
-    """(target, thickness, kappa, peak_spacing, variation_scale, n_strong): a thickness prior of each profile, blended of a
-    base, the spacing of strong gradient peaks and IQR over the upper quartile of the gradient."""
+def kappa_inputs(df: DataFrame, x: str, quantile: float = KAPPA["quantile"]) -> DataFrame:
+    """(target, step, n, iqr, g75, spacing, n_strong): what a profile's thickness prior is blended of."""
     w, whole = by_depth(), Window.partitionBy("target")
     rows = df.join(step_of(df), "target").withColumn("_g", F.abs(gradient_uniform(x, F.col("step"))))
     rows = rows.withColumns({"_q": F.percentile("_g", F.lit(quantile)).over(whole), "_b": F.lag("_g").over(w), "_a": F.lead("_g").over(w)})
     strong = (F.col("_g") > F.col("_b")) & (F.col("_g") >= F.col("_a")) & (F.col("_g") >= F.col("_q"))
-    peaks = rows.filter(strong).withColumn("_d", F.col("depth") - F.lag("depth").over(w))
-    spacing = peaks.groupBy("target").agg(F.percentile("_d", F.lit(0.5)).alias("spacing"), F.count("*").alias("n_strong"))
-    scale = rows.groupBy("target").agg(F.first("step").alias("step"), F.count("*").alias("n"), (F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))).alias("iqr"), F.percentile("_g", F.lit(0.75)).alias("g75"))
+    # the depth of the strong peak before, without a second pass over the samples
+    before = F.last(F.when(strong, F.col("depth")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_d", F.when(strong, F.col("depth") - before)).withColumn("_s", strong)
+    quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
+    out = rows.groupBy("target").agg(F.first("step").alias("step"), F.count("*").alias("n"), (F.get(quartiles, F.lit(1)) - F.get(quartiles, F.lit(0))).alias("iqr"), F.percentile("_g", F.lit(0.75)).alias("g75"), F.percentile("_d", F.lit(0.5)).alias("spacing"), F.count_if("_s").alias("n_strong"))
+    return out
+
+
+def blended(floor: float = 0.0, base: float = KAPPA["base"], least: float = KAPPA["least"], most: float = KAPPA["most"]) -> dict[str, Column]:
+    """thickness, peak_spacing and variation_scale of the columns of kappa_inputs()."""
     low = F.greatest(F.lit(float(floor)), F.lit(float(least)), F.col("step"))
     high = F.greatest(low, F.lit(float(most)))
-    both = scale.join(spacing, "target", "left")
-    both = both.withColumn("peak_spacing", clip(F.coalesce("spacing", F.lit(base)), low, high))
-    both = both.withColumn("variation_scale", clip(F.when(F.col("g75") > 0, F.col("iqr") / F.col("g75")).otherwise(base), low, high))
+    spacing = clip(F.coalesce("spacing", F.lit(float(base))), low, high)
+    scale = clip(F.when(F.col("g75") > 0, F.col("iqr") / F.col("g75")).otherwise(float(base)), low, high)
     a, b, c = KAPPA["weights"]
-    blend = clip(a * base + b * F.col("peak_spacing") + c * F.col("variation_scale"), low, high)
-    short = F.lit(max(floor, base))
-    few = F.col("n") < 3
-    out = both.withColumn("thickness", F.when(few, short).otherwise(blend))
-    return out.select("target", "thickness", (F.col("thickness") / F.col("step")).alias("kappa"), F.when(few, short).otherwise(F.col("peak_spacing")).alias("peak_spacing"), F.when(few, short).otherwise(F.col("variation_scale")).alias("variation_scale"), F.when(few, 0).otherwise(F.coalesce("n_strong", F.lit(0))).cast("long").alias("n_strong"))
+    few, short = F.col("n") < 3, F.lit(float(max(floor, base)))
+    whole = clip(a * base + b * spacing + c * scale, low, high)
+    return {name: F.when(few, short).otherwise(v) for name, v in (("thickness", whole), ("peak_spacing", spacing), ("variation_scale", scale))}
+
+
+def adaptive_kappa(df: DataFrame, x: str, floor: float = 0.0, base: float = KAPPA["base"], least: float = KAPPA["least"], most: float = KAPPA["most"], quantile: float = KAPPA["quantile"]) -> DataFrame:
+    """(target, thickness, kappa, peak_spacing, variation_scale, n_strong): a thickness prior of each profile, blended of a
+    base, the spacing of strong gradient peaks and IQR over the upper quartile of the gradient."""
+    parts = blended(floor, base, least, most)
+    rows = kappa_inputs(df, x, quantile).withColumns(parts)
+    strong = F.when(F.col("n") < 3, 0).otherwise(F.col("n_strong")).cast("long").alias("n_strong")
+    return rows.select("target", "thickness", (F.col("thickness") / F.col("step")).alias("kappa"), "peak_spacing", "variation_scale", strong)
 
 
 def nearest(targets: DataFrame, k: int) -> DataFrame:
     """(target, other, d): the k nearest other targets by (x, y), ties by target; those without coordinates take no part.
 
-    Targets meet those of their own and the eight cells around. A cell is as wide as to hold about two k targets; where the
-    kth found is no farther than one width, no nearer one can lie outside. Only targets for which that fails meet all others.
+    Targets meet those of their own and the eight cells around. Where the kth found is no farther than one width of a cell,
+    no nearer one can lie outside; the other targets try again with cells twice as wide, until the cells hold all. The first
+    cells are narrow, so that crowded places are settled before the cells grow.
     """
-    located = targets.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("target", "x", "y")
+    located = settled(targets.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("target", "x", "y"))
     s = located.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}{n}") for c in ("x", "y") for f, n in ((F.min, 0), (F.max, 1))]).first()
     spans = [(s.x1 or 0) - (s.x0 or 0), (s.y1 or 0) - (s.y0 or 0)]
-    width = math.sqrt(spans[0] * spans[1] * 2 * k / max(s.n, 1)) or max(spans) * 2 * k / max(s.n, 1) or 1.0
-    cell = lambda c: F.floor(F.col(c) / width)
+    width = (math.sqrt(spans[0] * spans[1] * 2 * k / max(s.n, 1)) or max(spans) * 2 * k / max(s.n, 1) or 1.0) / 2
     around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))"))
-    own = located.withColumns({"cx": cell("x"), "cy": cell("y")})
     other = located.select(F.col("target").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    spread = other.withColumn("o", around).select("other", "x2", "y2", (cell("x2") + F.col("o.i")).alias("cx"), (cell("y2") + F.col("o.j")).alias("cy"))
     d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")).alias("d")
     place = F.row_number().over(Window.partitionBy("target").orderBy("d", "other"))
-    best = lambda pairs: pairs.select("target", "other", d).withColumn("_r", place).filter(F.col("_r") <= k)
-    close = best(own.join(spread, ["cx", "cy"]).filter("target <> other"))
-    done = close.filter((F.col("_r") == k) & (F.col("d") <= width)).select("target")
-    rest = located.join(done, "target", "left_anti")
-    far = best(rest.join(other, F.col("target") != F.col("other")))
-    return close.join(done, "target", "left_semi").unionByName(far).drop("_r")
+    out, rest = None, located
+    while True:
+        at = [(F.floor(F.col(c) / width)) for c in ("x", "y", "x2", "y2")]
+        asking = rest.withColumns({"cx": at[0], "cy": at[1]}).withColumn("o", around).select("target", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+        pairs = asking.join(other.withColumns({"cx": at[2], "cy": at[3]}), ["cx", "cy"]).filter("target <> other")
+        best = settled(pairs.select("target", "other", d).withColumn("_r", place).filter(F.col("_r") <= k))
+        whole = width > max(spans)
+        done = best if whole else best.join(best.filter((F.col("_r") == k) & (F.col("d") <= width)).select("target"), "target", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        rest = settled(rest.join(done.select("target").distinct(), "target", "left_anti"))
+        if whole or rest.isEmpty():
+            return out.drop("_r")
+        width *= 2
 
 
 def neighbour_density(targets: DataFrame, points: DataFrame, grid: DataFrame, k: int = 6, bandwidth: float = 1.5) -> DataFrame:

@@ -47,35 +47,53 @@ def segments(cuts: DataFrame) -> DataFrame:
     return rows.select("target", "segment_id", "s.top", "s.bottom", (F.col("s.bottom") - F.col("s.top")).alias("thickness"))
 
 
+def _under(df: DataFrame, tops: DataFrame, at: str, strict: bool = False) -> DataFrame:
+    """Rows of `df` with `_s`, the last of the structs `_s` of `tops` (target, depth, _s) whose depth isn't below that in
+    `at` (`strict`: lies above it). A union sorted in each target: no pair of row and interval is made."""
+    rows = df.withColumns({"_at": F.col(at), "_kind": F.lit(0 if strict else 1)})
+    marks = tops.select("target", F.col("depth").alias("_at"), F.lit(1 if strict else 0).alias("_kind"), "_s")
+    order = Window.partitionBy("target").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    return both.withColumn("_s", F.last("_s", ignorenulls=True).over(order)).filter(F.col("_kind") == (0 if strict else 1)).drop("_at", "_kind")
+
+
 def assign(df: DataFrame, segs: DataFrame, inclusive: bool = False) -> DataFrame:
-    """Samples with their segment. A segment holds its top but not its bottom, the last one both; inclusive: each both."""
+    """Samples with their segment. A segment holds its top but not its bottom, the last one both; inclusive: each both, so
+    that a sample on a bound is in both segments. Segments of a target don't overlap."""
     last = F.col("segment_id") == F.max("segment_id").over(Window.partitionBy("target"))
-    own = segs.withColumn("_last", F.lit(True) if inclusive else last)
-    inside = (F.col("depth") >= F.col("seg_top")) & ((F.col("depth") < F.col("seg_bottom")) | (F.col("_last") & (F.col("depth") <= F.col("seg_bottom"))))
-    own = own.select("target", "segment_id", F.col("top").alias("seg_top"), F.col("bottom").alias("seg_bottom"), "_last")
-    return df.join(own, "target").filter(inside).drop("_last")
+    own = segs.withColumn("_last", last).select("target", F.col("top").alias("depth"), F.struct("segment_id", F.col("top").alias("seg_top"), F.col("bottom").alias("seg_bottom"), "_last").alias("_s"))
+    ends = F.lit(True) if inclusive else F.col("_s._last")
+    inside = (F.col("depth") < F.col("_s.seg_bottom")) | (ends & (F.col("depth") <= F.col("_s.seg_bottom")))
+    found = _under(df, own, "depth").filter(inside)
+    if inclusive:  # the segment that ends where a sample lies, if another begins there
+        above = _under(df, own, "depth", strict=True).filter((F.col("depth") == F.col("_s.seg_bottom")) & ~F.col("_s._last"))
+        found = found.unionByName(above)
+    return found.select(*[c for c in df.columns], "_s.segment_id", "_s.seg_top", "_s.seg_bottom")
 
 
 def dominant_unit(segs: DataFrame, strata: DataFrame) -> DataFrame:
     """Segments with the unit of the stratum that overlaps most; the first of equals, NULL without overlap.
-    strata: target, top, bottom, unit, file_pos."""
-    s = strata.select("target", F.col("top").alias("_t"), F.col("bottom").alias("_b"), "unit", "file_pos")
+    strata: target, top, bottom, unit, file_pos, in any order, overlapping or not. Segments and strata meet in cells of the
+    width of a target's average interval, so that few pairs don't overlap."""
+    keys = ["target", "segment_id", "top", "bottom"]
+    size = segs.groupBy("target").agg(F.greatest(F.avg(F.col("bottom") - F.col("top")), F.lit(1e-9)).alias("_w"))
+    cells = lambda df, top, bottom: df.join(size, "target").withColumn("_cell", F.explode(F.sequence(F.floor(F.col(top) / F.col("_w")), F.floor(F.col(bottom) / F.col("_w"))))).drop("_w")
+    ends = segs.groupBy("target").agg(F.min("top").alias("_lo"), F.max("bottom").alias("_hi"))
+    s = strata.select("target", F.col("top").alias("_t"), F.col("bottom").alias("_b"), "unit", "file_pos").join(ends, "target").filter((F.col("_b") > F.col("_lo")) & (F.col("_t") < F.col("_hi")))
+    s = s.withColumns({"_from": F.greatest("_t", "_lo"), "_to": F.least("_b", "_hi")})
     overlap = F.least("bottom", "_b") - F.greatest("top", "_t")
+    # a pair that shares several cells counts in each alike: the largest overlap is the same
     best = F.max_by("unit", F.struct(overlap, -F.col("file_pos")))
-    keys = ["target", "segment_id", "top", "bottom"]
-    found = segs.join(s, "target").filter(overlap > 0).groupBy(*keys).agg(best.alias("unit"))
+    found = cells(segs, "top", "bottom").join(cells(s, "_from", "_to"), ["target", "_cell"]).filter(overlap > 0).groupBy(*keys).agg(best.alias("unit"))
     return segs.join(found, keys, "left")
 
 
 def asof_unit(df: DataFrame, strata: DataFrame) -> DataFrame:
     """Samples with the unit of the last stratum whose top isn't below them, if its bottom isn't above. A union sorted in
     each target: no pair of sample and stratum is made."""
-    tops = strata.select("target", F.col("top").alias("depth"), F.lit(0).alias("_kind"), F.struct("bottom", "unit").alias("_s"))
-    rows = df.withColumn("_kind", F.lit(1))
-    both = rows.unionByName(tops, allowMissingColumns=True)
-    order = Window.partitionBy("target").orderBy("depth", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_s", F.last("_s", ignorenulls=True).over(order)).filter("_kind = 1")
-    return found.withColumn("unit", F.when(F.col("depth") <= F.col("_s.bottom"), F.col("_s.unit"))).drop("_kind", "_s")
+    tops = strata.select("target", F.col("top").alias("depth"), F.struct("bottom", "unit").alias("_s"))
+    found = _under(df, tops, "depth")
+    return found.withColumn("unit", F.when(F.col("depth") <= F.col("_s.bottom"), F.col("_s.unit"))).drop("_s")
 
 
 def within_distance(points: DataFrame, radius: float) -> DataFrame:
@@ -112,3 +130,26 @@ def coordinate_outliers(points: DataFrame, factor: float = 3.0) -> DataFrame:
     rows = points.crossJoin(F.broadcast(ends))  # one row
     ok = lambda c: F.col(c).between(F.col(f"{c}1") - factor * (F.col(f"{c}3") - F.col(f"{c}1")), F.col(f"{c}3") + factor * (F.col(f"{c}3") - F.col(f"{c}1")))
     return rows.filter((F.col("n") < 4) | (ok("x") & ok("y"))).select(*points.columns)
+
+
+def least_distance(points: DataFrame) -> DataFrame:
+    """One row: the smallest positive distance of two targets, NULL if there is none. Locations are distinct points first;
+    each meets its nearest one by cells."""
+    from .hazards import nearest
+
+    places = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y").distinct()
+    named = places.select(F.struct("x", "y").alias("target"), "x", "y")
+    return nearest(named, 1).agg(F.min("d").alias("least_distance"))
+
+
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Samples with the label of their segment; without one NULL. A segment with two labels is an error."""
+    keys = ["target", "segment_id"]
+    count = F.count("*").over(Window.partitionBy(*keys))
+    ok = F.when(count > 1, F.raise_error(F.concat_ws(" ", F.lit("labels of a segment repeat:"), *[F.col(k).cast("string") for k in keys]))).otherwise(F.lit(True))
+    return rows.join(labels.withColumn("_ok", ok).filter("_ok").drop("_ok"), keys, "left")
+
+
+def with_location(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows with the coordinates of their target (x, y and what else `places` has), NULL where it has none."""
+    return rows.join(places, "target", "left")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 
 def robust_scale(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
     """Median imputation, then (x - median) / IQR with 1 for an IQR of 0; exact percentiles, columns without a value are
@@ -141,7 +143,16 @@ def kmeans(df: DataFrame, k: int, seed: int = 0, starts: int = 10, turns: int =
 
 
 def mixture(df: DataFrame, k: int, kind: str = "diag", seed: int = 0, ridge: float = 1e-6, turns: int = 100, tolerance: float = 1e-3) -> Mixture:
-    """Gaussian mixture by EM from k-means; stops when the mean log likelihood gains less than the tolerance."""
+    """Gaussian mixture by EM from k-means; stops when the mean log likelihood gains less than the tolerance. The matrix is
+    held for the passes over it."""
+    held = df.select("x").persist()
+    try:
+        return _fitted(held, k, kind, seed, ridge, turns, tolerance)
+    finally:
+        held.unpersist()
+
+
+def _fitted(df: DataFrame, k: int, kind: str, seed: int, ridge: float, turns: int, tolerance: float) -> Mixture:
     n = df.count()
     if not 1 <= k <= n:
         raise ValueError(f"k must lie between 1 and the {n} rows")
@@ -180,14 +191,14 @@ def mixture(df: DataFrame, k: int, kind: str = "diag", seed: int = 0, ridge: flo
 
 def select_by_bic(df: DataFrame, least: int, most: int, kind: str = "diag", seed: int = 0, ridge: float = 1e-6) -> tuple[Mixture, dict[int, float]]:
     """The mixture of the smallest BIC over numbers of clusters; of equals the smaller number."""
-    n = df.count()
-    best, scores = None, {}
-    for k in range(max(1, least), min(most, n) + 1):
-        model = mixture(df, k, kind, seed, ridge)
-        scores[k] = model.bic
-        if best is None or model.bic < best.bic:
-            best = model
-    return best, scores
+    held = df.select("x").persist()
+    try:
+        n = held.count()
+        fits = {k: mixture(held, k, kind, seed, ridge) for k in range(max(1, least), min(most, n) + 1)}
+    finally:
+        held.unpersist()
+    best = min(fits, key=lambda k: (fits[k].bic, k), default=None)
+    return fits.get(best), {k: m.bic for k, m in fits.items()}
 
 
 def predict(df: DataFrame, model: Mixture | np.ndarray, probabilities: bool = False) -> DataFrame:
@@ -213,14 +224,15 @@ def predict(df: DataFrame, model: Mixture | np.ndarray, probabilities: bool = Fa
     return df.mapInPandas(run, keep + ", cluster_id int" + ", p array<double>" * probabilities)
 
 
-def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of Ward's agglomeration of the rows into k clusters, numbered by first row. Nearest-neighbour chains."""
+def ward(x: np.ndarray, k: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Labels of Ward's agglomeration of the rows (each standing for `sizes` of them) into k clusters, numbered by first row.
+    Nearest-neighbour chains."""
     n = len(x)
     if n == 0:
         return np.zeros(0, int)
-    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    size, alive = np.ones(n) if sizes is None else sizes.astype(float), np.ones(n, bool)
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2) * (2 * size[:, None] * size[None] / (size[:, None] + size[None]))
     np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n), np.ones(n, bool)
     merges, chain = [], []
     while alive.sum() > 1:
         if not chain:
@@ -252,17 +264,51 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
     return np.array([names.setdefault(root(i), len(names)) for i in range(n)])
 
 
-def agglomerate(df: DataFrame, keys: list[str], k: int, group: str | None = None) -> DataFrame:
-    """cluster_id by Ward's method within each group (all rows are one without). The method needs all distances of a group
-    in one task, so a group must fit there: segments, not samples."""
+#: Rows whose distances one task holds.
+EXACT_ROWS = 2000
+
+
+def agglomerate(df: DataFrame, keys: list[str], k: int, group: str | None = None, exact_rows: int = EXACT_ROWS, seed: int = 0) -> DataFrame:
+    """cluster_id by Ward's method, of all rows or within each group.
+
+    The method needs all distances at once. Up to `exact_rows` rows are agglomerated as they are; more are first brought to
+    that many k-means centres over the whole cluster, which Ward's method then joins by their sizes, and each row takes the
+    label of its centre. Groups are exact and must have no more rows than that.
+    """
     kinds = dict(df.dtypes)
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", cluster_id int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > exact_rows:
+            raise ValueError(f"a group of {len(pdf)} rows is more than exact_rows={exact_rows}")
         pdf = pdf.sort_values(keys).reset_index(drop=True)
         return pdf[keys].assign(cluster_id=ward(np.stack(pdf["x"].to_numpy()), k))
 
-    grouped = df.groupBy(group) if group else df.groupBy()
-    return grouped.applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", cluster_id int")
+    if group:
+        return df.groupBy(group).applyInPandas(run, named)
+    if df.limit(exact_rows + 1).count() <= exact_rows:
+        return df.groupBy().applyInPandas(run, named)
+    centres, _ = kmeans(df, exact_rows, seed, starts=1, turns=10)
+    sizes = predict(df, centres).groupBy("cluster_id").agg(F.count("*").alias("n")).toPandas()
+    used = sizes.sort_values("cluster_id")["cluster_id"].to_numpy()
+    joined = ward(centres[used], k, sizes.sort_values("cluster_id")["n"].to_numpy())
+    label = F.element_at(F.create_map(*[F.lit(int(v)) for pair in zip(used, joined, strict=True) for v in pair]), F.col("cluster_id"))
+    return predict(df, centres).select(*keys, label.cast("int").alias("cluster_id"))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, region) of the nodes of `edges` (u, v): the smallest node that each can reach. Each turn every node takes the
+    smallest label around it and the label of its label, and is written; turns grow with the logarithm of a path's length."""
+    both = settled(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = settled(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("region")))
+    while True:
+        around = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("region").alias("low"))
+        least = labels.join(around, "node").select("node", "region", F.least("region", "low").alias("to"))
+        further = labels.select(F.col("node").alias("to"), F.col("region").alias("next"))
+        new = settled(least.join(further, "to").select("node", F.least("to", "next").alias("region"), (F.least("to", "next") < F.col("region")).alias("changed")))
+        labels = new.drop("changed")
+        if new.filter("changed").isEmpty():
+            return labels
 
 
 def smooth_labels(unary: np.ndarray, edges: list[tuple[int, int, float]], strength: float, sweeps: int = 20) -> np.ndarray:
@@ -289,19 +335,57 @@ def smooth_labels(unary: np.ndarray, edges: list[tuple[int, int, float]], streng
     return labels
 
 
-def smooth_segments(p: DataFrame, graph: DataFrame, strength: float, region: str | None = None) -> DataFrame:
+def smooth_segments(p: DataFrame, graph: DataFrame, strength: float, exact_segments: int = 20_000, sweeps: int = 20) -> DataFrame:
     """(target, segment_id, cluster_id) by iterated conditional modes over the segment graph. p: target, segment_id, p.
-    The sweeps are sequential; a column `region` of connected parts splits the work where there are several."""
-    part = F.col(region) if region else F.lit(0)
-    rows = p.withColumn("_part", part)
-    owners = p.select(F.col("target").alias("a"), F.col("segment_id").alias("a_segment"), part.alias("_of"))
-    edges = graph.join(owners, ["a", "a_segment"]).select("_of", "a", "a_segment", "b", "b_segment", "weight")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["target", "segment_id"]).reset_index(drop=True)
-        at = {k: i for i, k in enumerate(zip(left["target"], left["segment_id"], strict=True))}
-        links = [(at[a, s], at[b, t], w) for a, s, b, t, w in right[["a", "a_segment", "b", "b_segment", "weight"]].itertuples(index=False) if (a, s) in at and (b, t) in at]
-        unary = -np.log(np.clip(np.stack(left["p"].to_numpy()), 1e-10, 1.0))
-        return left[["target", "segment_id"]].assign(cluster_id=smooth_labels(unary, sorted(links), strength))
+    Connected parts of the graph don't meet. Parts of at most `exact_segments` segments take one task each, in row order.
+    Larger ones are swept by joins: in a turn those segments change at once whose hash of turn and segment is the largest
+    among their neighbours, so that no two neighbours do and the cost never grows. Segments without neighbours keep the most
+    probable cluster.
+    """
+    kind = dict(p.dtypes)["target"]
+    node = lambda a, b: F.struct(F.col(a).alias("target"), F.col(b).cast("int").alias("segment_id"))
+    edges = settled(graph.select(node("a", "a_segment").alias("u"), node("b", "b_segment").alias("v"), "weight"))
+    unary = F.transform("p", lambda x: -F.log(F.least(F.greatest(x, F.lit(1e-10)), F.lit(1.0))))
+    first = F.array_position(F.col("cost"), F.array_min("cost")).cast("int") - 1
+    rows = settled(p.select(node("target", "segment_id").alias("node"), unary.alias("cost")).withColumn("cluster_id", first))
+    regions = settled(connected(edges))
+    sizes = regions.groupBy("region").agg(F.count("*").alias("n"))
+    small, large = (settled(regions.join(sizes.filter(c), "region").select("node", "region")) for c in (f"n <= {exact_segments}", f"n > {exact_segments}"))
+    alone = rows.join(regions, "node", "left_anti").select("node", "cluster_id")
+    named = f"node struct<target:{kind},segment_id:int>, cluster_id int"
 
-    return rows.groupBy("_part").cogroup(edges.groupBy("_of")).applyInPandas(run, f"target {dict(p.dtypes)['target']}, segment_id int, cluster_id int")
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        order = sorted(range(len(left)), key=lambda i: (left["node"].iloc[i]["target"], left["node"].iloc[i]["segment_id"]))
+        at = {(n["target"], n["segment_id"]): j for j, n in enumerate(left["node"].iloc[order])}
+        links = [(at[u["target"], u["segment_id"]], at[v["target"], v["segment_id"]], w) for u, v, w in zip(right["u"], right["v"], right["weight"], strict=True)]
+        costs = np.stack([left["cost"].iloc[i] for i in order])
+        return pd.DataFrame({"node": [dict(left["node"].iloc[i]) for i in order], "cluster_id": smooth_labels(costs, sorted(links), strength, sweeps)})
+
+    exact = rows.join(small, "node")
+    inner = edges.join(small.select(F.col("node").alias("u"), F.col("region").alias("part")), "u").join(rows.select(F.col("node").alias("v")), "v", "left_semi").join(rows.select(F.col("node").alias("u")), "u", "left_semi")
+    done = exact.groupBy("region").cogroup(inner.groupBy("part")).applyInPandas(run, named)
+    parts = [alone, done]
+    if not large.isEmpty():
+        sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
+        sides = settled(sides.join(large.select(F.col("node").alias("u")), "u", "left_semi"))
+        now = rows.join(large, "node", "left_semi")
+        for turn in range(3 * sweeps):
+            rank = lambda c, turn=turn: F.xxhash64(F.lit(turn), F.col(f"{c}.target"), F.col(f"{c}.segment_id"))
+            near = sides.join(now.select(F.col("node").alias("v"), F.col("cluster_id").alias("label")), "v")
+            sums = near.groupBy("u", "label").agg(F.sum("weight").alias("w"), F.max(rank("v")).alias("r"))
+            pulls = sums.groupBy(F.col("u").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("label", "w"))).alias("pulls"), F.max("r").alias("most"))
+            joined = now.join(pulls, "node", "left")
+            cost = F.transform("cost", lambda c, i: c - strength * F.coalesce(F.try_element_at("pulls", i), F.lit(0.0)))
+            best = F.array_position(cost, F.array_min(cost)).cast("int") - 1
+            free = rank("node") > F.col("most")
+            moved = joined.select("node", "cost", F.when(free, best).otherwise(F.col("cluster_id")).alias("cluster_id"), (free & (best != F.col("cluster_id"))).alias("changed"), (best != F.col("cluster_id")).alias("wants"))
+            moved = settled(moved)
+            now = moved.select("node", "cost", "cluster_id")
+            if moved.filter("changed or wants").isEmpty():
+                break
+        parts.append(now.select("node", "cluster_id"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.select("node.target", "node.segment_id", "cluster_id")

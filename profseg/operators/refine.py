@@ -22,29 +22,58 @@ def separate(indexes: Column, least: Column | int) -> Column:
     return F.aggregate(indexes, F.slice(indexes, 1, 0), keep)
 
 
-def snap(points: DataFrame, samples: DataFrame, radius: int, strength: float | None = None, drop_quantile: float | None = None, nearest: bool = False, separation: int = 0) -> DataFrame:
+def _near(points: DataFrame, samples: DataFrame, radius: int | Column, most: int) -> DataFrame:
+    """Points with the samples (j, g, peak) at most `radius` (never above `most`) from them. The window is spread over index
+    cells, so that a point meets the samples around it, not its whole profile."""
+    width = 2 * most + 1
+    s = samples.select("target", F.col("i").alias("j"), "g", "peak", F.floor(F.col("i") / width).alias("cell"))
+    cells = points.withColumn("cell", F.explode(F.sequence(F.floor((F.col("i") - most) / width), F.floor((F.col("i") + most) / width))))
+    return cells.join(s, ["target", "cell"]).filter(F.abs(F.col("i") - F.col("j")) <= radius).drop("cell")
+
+
+def snap(points: DataFrame, samples: DataFrame, radius: int, strength: float | None = None, drop_quantile: float | Column | None = None, nearest: bool = False, separation: int = 0) -> DataFrame:
     """(target, indexes): change points (target, i) moved to the steepest sample within `radius` samples, or to the
     nearest peak of the gradient there; only if that is `strength` times as steep; flat ones dropped; duplicates and
     points too close behind another merged."""
-    s = samples.select("target", F.col("i").alias("j"), "g", "peak", F.col("g").alias("_g"))
-    own = samples.select("target", "i", F.col("g").alias("g0"))
-    # the window is spread over index cells, so that a point meets the samples around it, not its whole profile
-    width = 2 * radius + 1
-    cells = points.select("target", "i").join(own, ["target", "i"]).withColumn("cell", F.explode(F.sequence(F.floor((F.col("i") - radius) / width), F.floor((F.col("i") + radius) / width))))
-    near = cells.join(s.withColumn("cell", F.floor(F.col("j") / width)), ["target", "cell"]).filter(F.abs(F.col("i") - F.col("j")) <= radius)
+    one = {"name": "", "radius": radius, "strength": strength, "drop": drop_quantile, "nearest": nearest, "separation": separation}
+    return snap_variants(points, samples, [one]).drop("variant")
+
+
+def snap_variants(points: DataFrame, samples: DataFrame, variants: list[dict], keys: list[str] | None = None) -> DataFrame:
+    """(keys, variant, target, indexes): the points under each variant of snap(), all in one pass over points and samples. A
+    variant has a name, radius, strength, drop, nearest and separation; drop may be a column of the points."""
+    keys = keys or []
+    lit = lambda v, kind: v if isinstance(v, Column) else F.lit(v).cast(kind)
+    rows = [F.struct(F.lit(v["name"]).alias("variant"), F.lit(v["radius"]).alias("radius"), lit(v.get("strength"), "double").alias("strength"), lit(v.get("drop"), "double").alias("drop"), F.lit(bool(v.get("nearest"))).alias("nearest"), F.lit(int(v.get("separation") or 0)).alias("separation")) for v in variants]
+    asked = points.select(*keys, "target", "i", F.explode(F.array(*rows)).alias("v")).select(*keys, "target", "i", "v.*")
+    own = [*keys, "variant", "target", "i"]
+    near = _near(asked, samples, F.col("radius"), max(v["radius"] for v in variants))
     steepest = F.max_by("j", F.struct("g", -F.col("j")))
     closest = F.min_by("j", F.when(F.col("peak"), F.struct(F.abs(F.col("j") - F.col("i")), "j")))
-    to = F.coalesce(closest, steepest) if nearest else steepest
-    moved = near.groupBy("target", "i").agg(F.first("g0").alias("g0"), to.alias("j"))
-    moved = moved.join(s.select("target", "j", F.col("g").alias("g1")), ["target", "j"])
-    if strength is not None:
-        stay = (F.col("g0") > 0) & (F.col("g1") < strength * F.col("g0"))
-        moved = moved.select("target", F.when(stay, F.col("i")).otherwise(F.col("j")).alias("j"), F.when(stay, F.col("g0")).otherwise(F.col("g1")).alias("g1"))
-    if drop_quantile is not None:
-        floor = samples.groupBy("target").agg(F.percentile("g", F.lit(drop_quantile)).alias("floor"))
-        moved = moved.join(floor, "target").filter(F.col("g1") >= F.col("floor"))
-    out = moved.groupBy("target").agg(F.array_sort(F.collect_set("j")).alias("indexes"))
-    return out.withColumn("indexes", separate(F.col("indexes"), separation)) if separation else out
+    to = F.when(F.first("nearest"), F.coalesce(closest, steepest)).otherwise(steepest)
+    here = F.max(F.when(F.col("i") == F.col("j"), F.col("g"))).alias("g0")
+    moved = near.groupBy(*own).agg(here, to.alias("j"), F.collect_list(F.struct("j", "g")).alias("all"), *[F.first(c).alias(c) for c in ("strength", "drop", "separation")])
+    g1 = F.get(F.filter("all", lambda x: x["j"] == F.col("j")), F.lit(0))["g"]
+    moved = moved.withColumn("g1", g1).drop("all")
+    stay = F.col("strength").isNotNull() & (F.col("g0") > 0) & (F.col("g1") < F.col("strength") * F.col("g0"))
+    moved = moved.withColumns({"j": F.when(stay, F.col("i")).otherwise(F.col("j")), "g1": F.when(stay, F.col("g0")).otherwise(F.col("g1"))})
+    if any(v.get("drop") is not None for v in variants):
+        # the quantiles of each profile's gradients that some point asks for
+        asked_for = moved.filter("drop is not null").select("target", "drop").distinct()
+        wanted = asked_for.groupBy("target").agg(F.array_sort(F.collect_set("drop")).alias("quantiles"))
+        sorted_g = samples.join(wanted, "target").groupBy("target").agg(F.array_sort(F.collect_list("g")).alias("gs"), F.first("quantiles").alias("quantiles"))
+        floors = sorted_g.select("target", F.explode("quantiles").alias("drop"), "gs").select("target", "drop", linear_quantile(F.col("gs"), F.col("drop")).alias("floor"))
+        moved = moved.join(floors, ["target", "drop"], "left").filter(F.col("drop").isNull() | (F.col("g1") >= F.col("floor")))
+    out = moved.groupBy(*keys, "variant", "target").agg(F.array_sort(F.collect_set("j")).alias("indexes"), F.first("separation").alias("separation"))
+    return out.select(*keys, "variant", "target", F.when(F.col("separation") > 0, separate(F.col("indexes"), F.col("separation"))).otherwise(F.col("indexes")).alias("indexes"))
+
+
+def linear_quantile(ordered: Column, q: Column) -> Column:
+    """The quantile of a sorted array, linear between its values."""
+    at = q * (F.size(ordered) - 1)
+    low = F.get(ordered, F.floor(at).cast("int"))
+    high = F.get(ordered, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
 
 
 def confident(points: DataFrame, probability: str, quantile: float) -> DataFrame:
@@ -55,8 +84,7 @@ def confident(points: DataFrame, probability: str, quantile: float) -> DataFrame
 
 def two_radii(points: DataFrame, samples: DataFrame, small: int, large: int, ratio: float) -> DataFrame:
     """(target, i, j): the peak within the large radius if it is `ratio` times as steep as that in the small one."""
-    s = samples.select("target", F.col("i").alias("j"), "g")
-    near = points.select("target", "i").join(s, "target").filter(F.abs(F.col("i") - F.col("j")) <= large)
+    near = _near(points.select("target", "i"), samples, large, large)
     order = F.struct("g", -F.col("j"))
     inner = F.abs(F.col("i") - F.col("j")) <= small
     best = near.groupBy("target", "i").agg(F.max(order).alias("far"), F.max(F.when(inner, order)).alias("close"))
@@ -68,6 +96,13 @@ def augment(points: DataFrame, samples: DataFrame, quantile: float, distance: in
     point."""
     floor = samples.filter("peak").groupBy("target").agg(F.percentile("g", F.lit(quantile)).alias("floor"))
     steep = samples.filter("peak").join(floor, "target").filter(F.col("g") >= F.col("floor")).select("target", "i")
-    marks = points.select("target", F.col("i").alias("p"))
-    free = steep.join(marks, (steep["target"] == marks["target"]) & (F.abs(steep["i"] - marks["p"]) < distance), "left_anti")
+    # steep samples and points in order: the point before and the one behind tell the distance
+    marks = points.select("target", "i", F.lit(True).alias("mark"))
+    both = marks.unionByName(steep.withColumn("mark", F.lit(False)))
+    order = Window.partitionBy("target").orderBy("i")
+    point = F.when(F.col("mark"), F.col("i"))
+    before = F.last(point, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    behind = F.first(point, ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    far = F.coalesce(F.col("i") - before >= distance, F.lit(True)) & F.coalesce(behind - F.col("i") >= distance, F.lit(True))
+    free = both.withColumn("_far", far).filter("not mark and _far").select("target", "i")
     return points.select("target", "i").unionByName(free).distinct()

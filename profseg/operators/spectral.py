@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .clean import spread
+from .intervals import assign
+
 #: Grid step, band and band edges in cycles a depth unit, samples at least.
 STEP, LOW, HIGH, SPLIT, LEAST = 0.02, 0.25, 8.0, 2.0, 8
 BANDS = ((0.25, 1.0), (1.0, 2.0), (2.0, 4.0), (4.0, 8.0))
@@ -57,7 +60,7 @@ def segment_spectra(rows: DataFrame, sensors: list[str], step: float = STEP) ->
                 parts += [(*key, s, f, a) for f, a in zip(found[0].tolist(), found[1].tolist(), strict=True)]
         return pd.DataFrame(parts, columns=names)
 
-    return rows.select("target", "segment_id", "depth", *sensors).groupBy("target", "segment_id").applyInPandas(run, f"target {dict(rows.dtypes)['target']}, segment_id int, sensor string, freq double, amp double")
+    return spread(rows.select("target", "segment_id", "depth", *sensors), "target", "segment_id").groupBy("target", "segment_id").applyInPandas(run, f"target {dict(rows.dtypes)['target']}, segment_id int, sensor string, freq double, amp double")
 
 
 def band_features(spectra: DataFrame, low: float = LOW, high: float = HIGH, bands: tuple[tuple[float, float], ...] = BANDS) -> DataFrame:
@@ -89,7 +92,7 @@ def low_pass(df: DataFrame, sensor: str, step: float = STEP, cutoff: float = HIG
         parts[np.fft.rfftfreq(len(y), step) > cutoff] = 0
         return pd.DataFrame({"target": group["target"].iloc[0], "depth": grid, "value": np.fft.irfft(parts, len(y)) + y.mean()})
 
-    return df.select("target", "depth", sensor).groupBy("target").applyInPandas(run, f"target {dict(df.dtypes)['target']}, depth double, value double")
+    return spread(df.select("target", "depth", sensor), "target").groupBy("target").applyInPandas(run, f"target {dict(df.dtypes)['target']}, depth double, value double")
 
 
 def frequency_grid(low: float = 0.25, high: float = 5.0, step: float = 0.25) -> np.ndarray:
@@ -122,17 +125,38 @@ def spectrograms(df: DataFrame, sensors: list[str], step: float = 0.05, window:
                 parts.append(pd.DataFrame({"target": group["target"].iloc[0], "sensor": s, "window_depth": np.repeat(at, len(grid)), "freq": np.tile(grid, len(at)), "power": power.ravel()}))
         return pd.concat(parts) if parts else pd.DataFrame({"target": [], "sensor": [], "window_depth": [], "freq": [], "power": []})
 
-    out = df.select("target", "depth", *sensors).groupBy("target").applyInPandas(run, f"target {dict(df.dtypes)['target']}, sensor string, window_depth double, freq double, power double")
+    out = spread(df.select("target", "depth", *sensors), "target").groupBy("target").applyInPandas(run, f"target {dict(df.dtypes)['target']}, sensor string, window_depth double, freq double, power double")
     return out.withColumn("power", F.nanvl("power", F.lit(None).cast("double")))
 
 
 def segment_power(spectra: DataFrame, segs: DataFrame, least_windows: int = 1, normalise: bool = False) -> DataFrame:
     """(target, segment_id, sensor, freq, power, n_windows): mean power of the windows whose centre lies in a segment."""
-    own = segs.select("target", "segment_id", "top", "bottom")
-    inside = spectra.join(own, "target").filter(F.col("window_depth").between(F.col("top"), F.col("bottom")))
+    # each window once, whatever the frequencies and segments: as samples to their segments
+    windows = spectra.groupBy("target", "sensor", F.col("window_depth").alias("depth")).agg(F.collect_list(F.struct("freq", "power")).alias("bins"))
+    inside = assign(windows, segs, inclusive=True).select("target", "segment_id", "sensor", F.col("depth").alias("window_depth"), F.explode("bins").alias("b")).select("target", "segment_id", "sensor", "window_depth", "b.freq", "b.power")
     keys = ["target", "segment_id", "sensor"]
     out = inside.groupBy(*keys, "freq").agg(F.avg("power").alias("power"), F.sum("power").alias("_s"), F.count_distinct("window_depth").alias("n_windows"))
     if normalise:
         totals = out.groupBy(*keys).agg(F.sum("_s").alias("_t"))
         out = out.join(totals, keys).withColumn("power", F.when(F.col("_t") > 0, F.col("power") / F.col("_t")).otherwise(F.col("power"))).drop("_t")
     return out.drop("_s").withColumn("power", F.when(F.col("n_windows") >= least_windows, F.col("power")))
+
+
+def profile_power(df: DataFrame, sensor: str, step: float = STEP) -> DataFrame:
+    """(target, freq, power): the squared amplitudes of whole profiles on an even grid, their mean taken off."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = even(group["depth"].to_numpy(float), group[sensor].to_numpy(float), step)
+        if found is None:
+            return pd.DataFrame({"target": [], "freq": [], "power": []})
+        y = found[1]
+        return pd.DataFrame({"target": group["target"].iloc[0], "freq": np.fft.rfftfreq(len(y), step), "power": np.abs(np.fft.rfft(y - y.mean())) ** 2})
+
+    return spread(df.select("target", "depth", sensor), "target").groupBy("target").applyInPandas(run, f"target {dict(df.dtypes)['target']}, freq double, power double")
+
+
+def mean_spectrum(power: DataFrame, units: DataFrame) -> DataFrame:
+    """(unit, sensor, freq, power, n): mean power of the segments of each unit at each frequency.
+    power: target, segment_id, sensor, freq, power; units: target, segment_id, unit. NULL units are one group."""
+    rows = power.join(units.select("target", "segment_id", "unit"), ["target", "segment_id"])
+    return rows.groupBy("unit", "sensor", "freq").agg(F.avg("power").alias("power"), F.count("power").alias("n"))

@@ -28,13 +28,21 @@ class Detection:
     drop_quantile: float | None = None
     least_separation: float = 0.0
     neighbours: int = 0
+    neighbour_strength: float = 1.0
     bandwidth: float = 1.5
+    least_share: float = 0.0  # runs below this share of the posterior are dropped
 
 
 BASELINE = Detection(expected_thickness=0.6)
 CANDIDATE = Detection(adaptive_thickness=True, least_thickness=0.75, refine_radius=0.3, smooth="savgol")
 
 
+#: The words of definitions.
+SOURCES = ("ground_truth", "bocpd_estimate", "perfect_recall")
+ALGORITHMS = ("gmm", "kmeans", "agglomerative")
+REPRESENTATIONS = ("summary", "resample", "paa", "hybrid", "fft", "stft")
+
+
 @dataclass(frozen=True)
 class Clustering:
     """A clustering run."""
@@ -58,8 +66,18 @@ class Clustering:
     smoothing: float | None = None  # strength of the smoothing between locations
     radius: float = 0.0
     sigma: float = 1.0
+    derived: tuple[str, ...] = ()  # Rf, log_qc
+    columns: tuple[str, str, str, str] = ("SCPT_RES", "SCPT_FRES", "SCPT_NQT", "SCPT_NFR")  # cone, sleeve, normalised pair
+    spectral: dict = field(default_factory=dict)  # settings of the spectral representations
     extra: dict = field(default_factory=dict)
 
+    def check(self) -> Clustering:
+        """This, if its words are known."""
+        for name, value, known in (("boundary_source", self.source, SOURCES), ("model_type", self.algorithm, ALGORITHMS), ("representation", self.representation, REPRESENTATIONS)):
+            if value not in known:
+                raise ValueError(f"unknown {name}: {value}; there are: {', '.join(known)}")
+        return self
+
     @classmethod
     def of(cls, model: dict, feature_set: dict) -> Clustering:
         """From a model definition and its feature set."""
@@ -85,5 +103,23 @@ class Clustering:
             smoothing=float(spatial.get("lambda", 1.0)) if model.get("use_spatial_mrf") else None,
             radius=float(spatial.get("max_distance_m", 0.0)),
             sigma=float(spatial.get("sigma_m", 1.0)),
+            derived=tuple(feature_set.get("extra_derived") or ()),
+            spectral={k: v for k, v in shape.items() if k.endswith(("_m", "_per_m"))},
             extra={k: v for k, v in model.items() if k not in {f.name for f in fields(cls)}},
         )
+
+
+def summary_of(feature_set: dict) -> dict:
+    """What a list of feature sets shows of one: representation, its size, statistics and number of columns, and labels."""
+    shape = feature_set.get("representation") or {}
+    kind, length, bins = shape.get("type", "summary"), shape.get("length"), shape.get("bins")
+    stats = list(feature_set.get("segment_stats", []))
+    low, high, bands = shape.get("min_frequency_cycles_per_m", 0.25), shape.get("max_frequency_cycles_per_m", 8.0), shape.get("bands_cycles_per_m", [])
+    size, setting = {
+        "summary": ("-", f"stats: {', '.join(stats) or '-'}"),
+        "resample": (length or "-", f"length={length or '-'}"),
+        "fft": (len(bands) if isinstance(bands, list) else "-", f"{low}-{high} cyc/m"),
+        "row_local": ("-", "row-level local features"),
+    }.get(kind, (bins or "-", f"bins={bins or '-'}"))
+    label = kind if kind in ("summary", "row_local") else f"{kind if kind in ('resample', 'fft') else 'paa'} ({setting})"
+    return {"representation_type": kind, "representation_length": length, "representation_bins": bins, "include_derivatives": bool(shape.get("include_derivatives", False)), "segment_stats": stats, "selected_columns_count": len(feature_set.get("columns", [])), "representation_size_label": str(size), "representation_config_label": setting, "comparison_representation_label": label}

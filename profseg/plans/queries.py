@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..operators import clean, evaluate, hazards, intervals, refine, stats
 from ..operators import features as feat
+from ..sources import tables
 from . import testbed as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -457,16 +458,40 @@ def clip_to_depth(spark, sf):
 
 @query("select e.event_id, e.user_id as target from events e join (select user_id, first(event_type order by event_id) as t from events group by 1) f on f.user_id = e.user_id and f.t = e.event_type")
 def first_type_semi(spark, sf):
-    rows = tb.table(spark, sf, "events")
-    first = rows.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("event_type"))
-    return rows.join(first, ["user_id", "event_type"], "left_semi").select("event_id", F.col("user_id").alias("target"))
+    rows = tb.events(spark, sf)
+    table = rows.select(F.col("target").alias("Target"), F.col("event_type").alias("PointID"), F.col("depth").alias("Top"), F.col("depth").alias("Bottom"), F.col("event_type").alias("UNIT"), F.col("event_id").alias("file_pos"))
+    return tables.strata(table).select(F.col("file_pos").alias("event_id"), "target")
 
 
 @query(", a as (select * from strata where target % 3 <> 0) select target, top, unit from a union all select target, top, unit from strata s where not exists (select 1 from a where a.target = s.target)")
 def strata_fallback(spark, sf):
     strata = tb.event_strata(spark, sf)
-    main = strata.filter("target % 3 <> 0")
-    return main.unionByName(strata.join(main, "target", "left_anti")).select("target", "top", "unit")
+    return tables.with_fallback(strata.filter("target % 3 <> 0"), strata).select("target", "top", "unit")
+
+
+@query(" select l_suppkey::varchar as target, round(l_quantity, 6) + 0.0 as depth, round(case when l_linenumber % 5 > 0 then l_discount end, 6) + 0.0 as a, count(*)::bigint as n from lineitem where l_linenumber % 7 > 0 group by all")
+def measurement_scan(spark, sf):
+    """Text columns with blanks and words among the numbers, as a CSV file has them."""
+    raw = tb.table(spark, sf, "lineitem").select(F.concat(F.lit(""), F.col("l_suppkey").cast("string")).alias("Target"), F.when(F.col("l_linenumber") % 7 > 0, F.concat(F.lit(" "), F.col("l_quantity").cast("string"))).otherwise("none").alias("Depth"), F.when(F.col("l_linenumber") % 5 > 0, F.col("l_discount").cast("string")).otherwise("x").alias("a"))
+    return rounded(tables.measurements(raw, ["a"]).groupBy("target", "depth", "a").agg(F.count("*").alias("n")))
+
+
+@query(" select s_nationkey::varchar as target, round(first(s_acctbal order by s_suppkey), 6) + 0.0 as x, null::double as y, round(first(s_suppkey order by s_suppkey)::double, 6) + 0.0 as z from supplier group by s_nationkey")
+def first_locations(spark, sf):
+    raw = tb.table(spark, sf, "supplier").select(F.concat(F.lit(" "), F.col("s_nationkey").cast("string"), F.lit(" ")).alias("Target"), F.col("s_acctbal").alias("X"), F.lit("-").alias("Y"), F.col("s_suppkey").alias("Z"), F.col("s_suppkey").alias("file_pos"))
+    return rounded(tables.locations(raw))
+
+
+@query(" select distinct target::varchar as target, round(boundary + 1e-10, 6) + 0.0 as boundary from marks")
+def boundary_table(spark, sf):
+    rows = tb.every(tb.events(spark, sf).select("target", "depth"), 10)
+    return rounded(tables.boundaries(rows.select(F.col("target").alias("TARGET"), F.col("boundary").alias("Depth_M")).unionByName(rows.select(F.col("target").alias("TARGET"), F.col("boundary").alias("Depth_M")))))
+
+
+@query(" select target, 'no coordinates' as reason from (select distinct target from events_p) e where not exists (select 1 from locations l where l.target = e.target)")
+def excluded_targets(spark, sf):
+    rows = tb.events(spark, sf)
+    return tables.excluded(rows, "no coordinates", tables.pick_targets(rows, located=tb.locations(spark, sf), need_some=True).select("target").distinct())
 
 
 _KEEP = ", c as (select coalesce(pr.target, tr.target) as target, coalesce(p, []) as p, coalesce(t, []) as t from pr full join tr on pr.target = tr.target)"
@@ -489,6 +514,136 @@ ORACLE_SQL["pooled_scores"] = tb.SQL + _MATCH + f""", l as (select 6.0::double a
 select tolerance + 0.0 as tolerance, {r(pooled_precision='sum(tp) / sum(n_pred)', pooled_recall='sum(tp) / sum(n_true)', pooled_f1='2 * sum(tp) / (sum(n_pred) + sum(n_true))', mean_f1='avg(coalesce(2 * tp / nullif(n_pred + n_true, 0), 0))', median_f1='median(coalesce(2 * tp / nullif(n_pred + n_true, 0), 0))')} from l group by tolerance"""
 
 
+@query(f" select {r(least_distance='min(d)')} from (select sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as d from locations a join locations b on a.target < b.target) where d > 0")
+def least_distance(spark, sf):
+    return rounded(intervals.least_distance(tb.locations(spark, sf)))
+
+
+@query(_ROWS + " select event_id, rw.target, rw.segment_id, case when rw.segment_id % 4 <> 1 then 1.5 + (rw.target + rw.segment_id) % 3 end as cluster_id from rw")
+def labelled_rows(spark, sf):
+    rows = _rows(spark, sf)
+    labels = rows.select("target", "segment_id").distinct().filter("segment_id % 4 <> 1").withColumn("cluster_id", F.lit(1.5) + (F.col("target") + F.col("segment_id")) % 3)
+    return intervals.with_labels(rows, labels).select("event_id", "target", "segment_id", "cluster_id")
+
+
+@query(f" select event_id, e.target, {r(x='x', y='y')} from events_p e left join locations l on l.target = e.target")
+def located_rows(spark, sf):
+    return rounded(intervals.with_location(tb.events(spark, sf).select("event_id", "target"), tb.locations(spark, sf)).select("event_id", "target", "x", "y"))
+
+
+@query(_SEG + f" select target::varchar as target, 'reference' as side, {r(top='top', bottom='bottom')}, unit from strata union all select target::varchar, 'predicted', {r(top='top', bottom='bottom')}, 'c' || segment_id % 3 from sg where target % 2 = 0")
+def interval_frames(spark, sf):
+    from .charts import interval_frames as frames
+
+    segs = _segments(spark, sf).filter("target % 2 = 0").withColumn("predicted_unit", F.concat(F.lit("c"), (F.col("segment_id") % 3).cast("string")))
+    return rounded(frames(tb.event_strata(spark, sf), segs))
+
+
+_CHART = """case when q >= 160 then case when ic < 1.31 then 7 when ic < 2.05 then 8 else 9 end else case when ic < 1.31 then 6 when ic < 2.05 then 5 when ic < 2.60 then 4 when ic < 2.95 then 3 when ic < 3.60 then 2 else 1 end end"""
+
+
+@query(f", g as (select i::int as i, j::int as j, 0.1 * pow(100::double, i / 39.0::double) as f, pow(1000::double, j / 39.0::double) as q from range(40) a(i), range(40) b(j)), z as (select *, sqrt(pow(3.47 - log10(q), 2) + pow(log10(f) + 1.22, 2)) as ic from g) select i, j, {r(q='q', f='f')}, {_CHART} as zone from z")
+def soil_grid(spark, sf):
+    from .charts import soil_grid as grid
+
+    return rounded(grid(spark, 40))
+
+
+@query(_ZONE + f" select target % 5 as label, {r(q='q', f='f', ic='ic')}, {_CHART} as zone from z")
+def soil_scatter(spark, sf):
+    from .charts import soil_scatter as scatter
+
+    p = tb.item_profiles(spark, sf).select((F.col("target") % 5).alias("label"), (F.col("l_quantity") * 5).alias("q"), (F.col("l_discount") * 50).alias("f"))
+    return rounded(scatter(p, "q", "f", "label"))
+
+
+@query(_GRAD + ", mg as (select m.target, m.i, pk.g from marks m join pk on pk.target = m.target and pk.i = m.i), f as (select target, quantile_cont(g, 0.6) as f from mg group by 1) select mg.target, mg.i from mg join f on f.target = mg.target where g >= f")
+def refine_confident(spark, sf):
+    rows = tb.events(spark, sf).select("target", "depth")
+    points = tb.every(rows, 10).join(_samples(spark, sf).select("target", "i", "g"), ["target", "i"])
+    return refine.confident(points, "g", 0.6).select("target", F.col("i").cast("long").alias("i"))
+
+
+@query(_STEP + f""", fl as (select target, depth, i, case when event_id % 7 = 0 then null else value end as v from enum),
+fw as (select *, last_value(case when v is not null then i end ignore nulls) over b as pi, last_value(v ignore nulls) over b as pv, first_value(case when v is not null then i end ignore nulls) over a as ni, first_value(v ignore nulls) over a as nv from fl
+  window b as (partition by target order by depth rows between unbounded preceding and current row), a as (partition by target order by depth rows between current row and unbounded following)),
+fz as (select target, depth, coalesce(v, pv + (nv - pv) * (i - pi) / nullif(ni - pi, 0), pv, nv, 0) as x from fw),
+fg as (select fz.target, x - lag(x) over w as d, abs(coalesce((lead(x) over w - lag(x) over w) / (2 * step), (lead(x) over w - x) / step, (x - lag(x) over w) / step)) as g from fz join st on st.target = fz.target window w as (partition by fz.target order by depth))
+select target, {r(abs_grad_mean='avg(g)', abs_grad_std='stddev_pop(g)', abs_grad_q75='quantile_cont(g, 0.75)', abs_grad_q95='quantile_cont(g, 0.95)', roughness='stddev_pop(d)')} from fg group by target""")
+def gradient_stats(spark, sf):
+    rows = tb.events(spark, sf).withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value"))).select("target", "depth", "value")
+    return rounded(stats.gradient_stats(rows, "value"))
+
+
+_CASES = "target % 13 as n_pred, target % 7 as n_true, (target % 10) / 10.0::double as p, (target // 10 % 10) / 10.0::double as rc, case when target % 5 > 0 then (target % 9) / 10.0::double end as iqr, (target % 4) * 0.05::double as ro, (target % 6) + 0.5::double as snr, (target % 9) * 0.5::double as th, (target % 12)::double as span"
+_TEXTS = ["over-segmented: too many boundaries, precision suffers", "under-segmented: layers missed, recall suffers", "boundaries found where the reference has none", "many spurious boundaries", "many reference boundaries missed", "little contrast in the signal", "rough signal", "low signal-to-noise ratio: no contrast factor", "prior of thick layers: thin ones may be suppressed", "prior at its floor: finer than the reference", "short profile"]
+_RULES = ["n_true > 0 and n_pred > 1.5 * n_true", "n_true > 0 and n_pred < 0.55 * n_true", "n_true = 0 and n_pred > 2", "p < 0.45 and rc > 0.65 and not (n_true > 0 and n_pred > 1.5 * n_true)", "rc < 0.45 and p > 0.65 and not (n_true > 0 and n_pred < 0.55 * n_true)", "iqr < 0.35", "ro > 0.09", "snr < 2.5", "th > 3 and rc < 0.55", "th <= 0.6 and p < 0.6", "span < 6"]
+_FOUND = ", ".join(f"case when {rule} then '{text}' end" for rule, text in zip(_RULES, _TEXTS, strict=True))
+
+
+@query(f", c as (select target, {_CASES} from (select distinct target from events_p)), f as (select target, p, array_to_string(list_filter([{_FOUND}], lambda x: x is not null), '; ') as t from c) select target, case when t <> '' then t when p >= 0.75 then 'signal and model match well' else 'no single cause stands out' end as findings from f")
+def diagnosis(spark, sf):
+    t = F.col("target")
+    rows = tb.events(spark, sf).select("target").distinct()
+    found = stats.diagnosis(t % 13, t % 7, (t % 10) / 10, (F.floor(t / 10) % 10) / 10, (t % 10) / 10, F.when(t % 5 > 0, (t % 9) / 10), (t % 4) * 0.05, (t % 6) + 0.5, (t % 9) * 0.5, (t % 12).cast("double"))
+    return rows.select("target", F.array_join(found, "; ").alias("findings"))
+
+
+@query(f", k as (select target, count(*)::double as n, max(depth) - min(depth) as span from events_p group by 1) select {r(kappa_median='median(n)', kappa_min='min(n)', kappa_max='max(n)', thickness_median='median(span)')} from k")
+def prior_summary(spark, sf):
+    rows = tb.events(spark, sf).groupBy("target").agg(F.count("*").cast("double").alias("n"), (F.max("depth") - F.min("depth")).alias("span"))
+    return rounded(stats.prior_summary(rows, "n", "span"))
+
+
+@query(f""", k as (select target, avg(value) as y, count(*)::double as a, max(depth) - min(depth) as b, case when target % 3 > 0 then min(value) end as c, (target % 2)::double as d from events_p group by 1),
+l as (unpivot (select target, y, a, b, c, d from k) on a, b, c, d into name col value x),
+w as (select col, rank() over (partition by col order by x) + (count(*) over (partition by col, x) - 1) / 2.0::double as ra, rank() over (partition by col order by y) + (count(*) over (partition by col, y) - 1) / 2.0::double as rb from l where col <> 'd')
+select col as column, {r(rho='corr(ra, rb)')}, count(*)::bigint as n from w group by col""")
+def score_correlations(spark, sf):
+    """Of four columns one has gaps and one too few values."""
+    rows = tb.events(spark, sf).groupBy("target").agg(F.avg("value").alias("y"), F.count("*").alias("a"), (F.max("depth") - F.min("depth")).alias("b"), F.min("value").alias("c"))
+    rows = rows.withColumns({"c": F.when(F.col("target") % 3 > 0, F.col("c")), "d": F.col("target") % 2})
+    return rounded(stats.score_correlations(rows, "y", ["a", "b", "c", "d"]))
+
+
+@query(_ROWS + f""", eg as (select target, segment_id, case when value > 50 then (100 - value) / value end as rf, ln(1 + value) as lq, case when event_id % 5 > 0 then ln(1 + value) end as ln_ from rw)
+select target, segment_id, {r(Rf_mean='avg(rf)', Rf_std='stddev_pop(rf)', Rf_median='median(rf)', Rf_q25='quantile_cont(rf, 0.25)', Rf_q75='quantile_cont(rf, 0.75)', Rf_iqr='quantile_cont(rf, 0.75) - quantile_cont(rf, 0.25)', log_qc_mean='avg(lq)', log_qc_std='stddev_pop(lq)', log_qc_median='median(lq)', log_qc_q25='quantile_cont(lq, 0.25)', log_qc_q75='quantile_cont(lq, 0.75)', log_ratio_mean='avg(ln_)', log_ratio_std='stddev_pop(ln_)')}, null::double as log_none_mean, null::double as log_none_std from eg group by 1, 2""")
+def feat_engineered(spark, sf):
+    """Logarithms of a cone, a friction ratio where the cone is above 50, a ratio with gaps, and a column that isn't there."""
+    rows = _rows(spark, sf).withColumns({"sleeve": F.when(F.col("value") > 50, 100 - F.col("value")), "ratio": F.when(F.col("event_id") % 5 > 0, F.col("value"))})
+    return rounded(feat.engineered(rows, "value", "sleeve", "ratio", "none"))
+
+
+@query(_ROWS + f""", o as (select target, segment_id, first(top) as t, first(bottom) as b, count(*)::double as n, avg(value) as mu, stddev_pop(value) as sd, min(value) as lo, max(value) as hi, median(value) as md, quantile_cont(value, [0.1, 0.25, 0.75, 0.9]) as q from rw group by 1, 2), pe as (select target, min(depth) as pl, max(depth) as ph from rw group by 1),
+h as (select target, segment_id, depth, value as x, depth - lag(depth) over w as h1, lead(depth) over w - depth as h2, lag(value) over w as x0, lead(value) over w as x2 from rw window w as (partition by target, segment_id order by depth)),
+g as (select *, coalesce((h1 * h1 * x2 - h2 * h2 * x0 + (h2 * h2 - h1 * h1) * x) / (h1 * h2 * (h1 + h2)), (x2 - x) / h2, (x - x0) / h1) as g, abs(x - x0) / h1 as ro from h),
+d as (select target, segment_id, avg(g) as g1, stddev_pop(g) as g2, median(g) as g3, min(g) as g4, max(g) as g5, avg(abs(g)) as g6, avg(ro) as g7 from g group by 1, 2)
+select o.target, o.segment_id, {r(seg_top_depth='t', seg_bottom_depth='b', seg_mid_depth='(t + b) / 2', seg_thickness='b - t', seg_log_thickness='ln(1 + b - t)', seg_n_rows='n', seg_row_density='n / (b - t)', profile_min_depth='pl', profile_max_depth='ph', profile_depth_range='ph - pl', seg_rel_top_profile='(t - pl) / (ph - pl)', seg_rel_mid_profile='((t + b) / 2 - pl) / (ph - pl)', seg_rel_bottom_profile='(b - pl) / (ph - pl)', value_mean='mu', value_std='sd', value_min='lo', value_max='hi', value_q10='q[1]', value_q25='q[2]', value_median='md', value_q75='q[3]', value_q90='q[4]', value_iqr='q[3] - q[2]', value_range='hi - lo', d_value_dz_mean='g1', d_value_dz_std='g2', d_value_dz_median='g3', d_value_dz_min='g4', d_value_dz_max='g5', d_value_dz_abs_mean='g6', value_roughness='g7', log_qc_mean='null::double')} from o join pe using (target) join d using (target, segment_id)""")
+def feat_hybrid(spark, sf):
+    """The columns of the hybrid matrix but its shapes, which feat_resample holds."""
+    out = feat.hybrid(_rows(spark, sf), ["value"], 8)
+    names = [c for c in feat.matrix_columns("hybrid", ["value"], 8) if not c.startswith(("value_r0", "value_dr", "Rf_", "log_")) or c == "log_qc_mean"]
+    return rounded(out.select("target", "segment_id", *[F.col(c).cast("double").alias(c) for c in names]))
+
+
+def _three(spark, sf):
+    rows = tb.events(spark, sf).select("target", "depth")
+    tops = clean.surface_tops(tb.event_strata(spark, sf)).select("target", F.explode("boundaries").alias("boundary"))
+    return {f"m{n}": evaluate.boundary_scores(tb.every(rows, n), tops, (24.0,)) for n in (5, 10)}
+
+
+@query(_STEP + f""", k as (select target, count(*)::bigint as n_samples, max(depth) - min(depth) as span, avg(value) as mu, var_pop(value) as vr from events_p group by 1),
+p5 as (select target, count(*) as n from marks5 group by 1), p10 as (select target, count(*) as n from marks group by 1), tr as (select target, count(distinct top) as n from strata where top > 0 group by 1)
+select k.target, n_samples, coalesce(tr.n, 0)::bigint as true_boundaries, coalesce(p5.n, 0)::bigint as m5_boundaries, coalesce(p10.n, 0)::bigint as m10_boundaries, {r(depth_span_m='span', value_mean='mu', value_var='vr', true_layer_m='span / (coalesce(tr.n, 0) + 1)', m5_layer_m='span / (coalesce(p5.n, 0) + 1)', m10_layer_m='span / (coalesce(p10.n, 0) + 1)')}
+from k left join tr on tr.target = k.target left join p5 on p5.target = k.target left join p10 on p10.target = k.target""")
+def method_comparison(spark, sf):
+    """Two sets of points side by side; their scores are those of match_boundaries."""
+    known = stats.profile_statistics(tb.events(spark, sf).select("target", "depth", "value"), ["value"])
+    out = stats.compare_methods(_three(spark, sf), known, "value", (24.0,), 24.0)
+    return rounded(out.select("target", "n_samples", "true_boundaries", "m5_boundaries", "m10_boundaries", "depth_span_m", "value_mean", "value_var", "true_layer_m", "m5_layer_m", "m10_layer_m"))
+
+
+
 # What SQL doesn't express: sequential recursions, transforms and fits. Tests hold these against brute force.
 
 from ..operators import detect, model, spectral  # noqa: E402
@@ -528,14 +683,62 @@ def bocpd_two_pass(spark, sf):
     return detect.change_points(factored, ["value"], beta=500.0)
 
 
+#: A depth unit is a day, a usual step ten hours: what turns settings in metres into hours.
+UNIT, STEP = 24.0, 10.0
+
+
+def _tops(spark, sf):
+    return clean.surface_tops(tb.event_strata(spark, sf)).select("target", F.explode("boundaries").alias("boundary"))
+
+
 @query()
 def bocpd_grid(spark, sf):
-    """A grid of priors, all combinations in one shuffle by profile, ranked by F1."""
-    from .search import grid_search
+    """The quick grid of detection settings, ranked by F1."""
+    from .search import GRIDS, grid_search
 
     rows = tb.events(spark, sf).select("target", "depth", "value")
-    tops = clean.surface_tops(tb.event_strata(spark, sf)).select("target", F.explode("boundaries").alias("boundary"))
-    return rounded(grid_search(rows, "value", tops, {"beta": [250.0, 500.0], "kappa": [0.5, 1.0], "least_run": [0, 4]}, 24.0))
+    return rounded(grid_search(rows, "value", _tops(spark, sf), GRIDS["quick"], STEP, UNIT, beta=500.0))
+
+
+@query()
+def ablation(spark, sf):
+    """The experiments one after the other, and the best of them with its neighbours' points."""
+    from .search import ABLATION, scaled
+    from .search import ablation as run
+
+    rows = tb.events(spark, sf).select("target", "depth", "value")
+    chosen = {k: scaled(v, "value", UNIT, beta=500.0) for k, v in ABLATION.items()}
+    places = tb.locations(spark, sf)
+    return rounded(run(rows, _tops(spark, sf), chosen, STEP, places, (12.0, 24.0, 48.0))[1])
+
+
+@query()
+def refine_sweep(spark, sf):
+    """All refinements of one written detection."""
+    from .search import ABLATION, scaled
+    from .search import refine_sweep as run
+
+    rows = tb.events(spark, sf).select("target", "depth", "value")
+    cfg = scaled(ABLATION["uni_Ic_k30_minthick05"], "value", UNIT, beta=500.0)
+    return rounded(run(rows, _tops(spark, sf), cfg, STEP, UNIT, tolerances=(12.0, 24.0, 48.0)))
+
+
+@query()
+def detection_analysis(spark, sf):
+    """Scores of profiles with their statistics and findings."""
+    from .config import Detection
+    from .pipelines import detection_tables
+
+    rows = tb.events(spark, sf)
+    tables = detection_tables(rows, tb.every(rows, 10), _tops(spark, sf), Detection(feature="value", least_thickness=24.0), STEP, tb.locations(spark, sf), (12.0, 24.0), 24.0)
+    return rounded(tables["analysis"].withColumn("findings", F.array_join("findings", "; ")))
+
+
+@query()
+def posterior_heat(spark, sf):
+    from .charts import posterior_map
+
+    return rounded(posterior_map(tb.events(spark, sf).select("target", "depth", "value"), ["value"], beta=500.0))
 
 
 @query()
@@ -573,9 +776,10 @@ def feature_quality(spark, sf):
     return rounded(feat.quality(_features(spark, sf), _FEATURES))
 
 
-@query(_ROWS + ", fe as (select target, segment_id from rw group by 1, 2) select count(*)::bigint as n_segments, 0::bigint as n_constant, 0.0::double as missing_share, true as usable from fe")
+@query(_ROWS + f", fe as (select segment_id, avg(value) as a from rw group by target, segment_id) select count(*)::bigint as n_segments, 1::bigint as n_constant, {r(missing_share='count(*) filter (where segment_id % 3 = 0) / (3.0 * count(*))')}, count(*) > 1 as usable from fe")
 def matrix_validation(spark, sf):
-    return feat.validate(_features(spark, sf), _FEATURES)
+    rows = _features(spark, sf).select("value_mean", F.lit(4.0).alias("constant"), F.when(F.col("segment_id") % 3 > 0, F.col("value_mean")).alias("gaps"))
+    return rounded(feat.validate(rows, ["value_mean", "constant", "gaps"]))
 
 
 @query(_ROWS + f""", fe as (select target, segment_id, avg(value) as a, stddev_pop(value) as b, first(bottom - top) as c from rw group by 1, 2),
@@ -629,9 +833,24 @@ def smooth_segments(spark, sf):
     return model.smooth_segments(p, intervals.segment_graph(_segments(spark, sf), tb.locations(spark, sf), 800.0, 400.0), 1.0)
 
 
-@query(_ROWS + f""", u as (select event_type as unit, value from events_p) select unit, {r(mean='avg(value)', std='stddev_pop(value)')} from u group by unit""")
+_POWER = ", pw as (select target, segment_id, (event_id % 4)::double as freq, value as power from rw), un as (select target, segment_id, case when segment_id % 3 > 0 then 'u' || segment_id % 3 end as unit from (select distinct target, segment_id from rw))"
+
+
+@query(_ROWS + _POWER + f" select unit, 'value' as sensor, freq + 0.0 as freq, {r(power='avg(power)')}, count(power)::bigint as n from pw join un using (target, segment_id) group by unit, freq")
 def mean_by_unit(spark, sf):
-    return rounded(tb.events(spark, sf).groupBy(F.col("event_type").alias("unit")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")))
+    rows = _rows(spark, sf)
+    power = rows.select("target", "segment_id", F.lit("value").alias("sensor"), (F.col("event_id") % 4).cast("double").alias("freq"), F.col("value").alias("power"))
+    units = rows.select("target", "segment_id").distinct().withColumn("unit", F.when(F.col("segment_id") % 3 > 0, F.concat(F.lit("u"), (F.col("segment_id") % 3).cast("string"))))
+    return rounded(spectral.mean_spectrum(power, units))
+
+
+@query(_ROWS + _POWER + ", pn as (select target, segment_id, unit, round(freq) as f, avg(power) as p, 1 as n from pw join un using (target, segment_id) group by 1, 2, 3, 4) select target, segment_id, unit, max(n)::bigint as stft_value_n_windows, " + r(**{f"stft_value_pwr_{i}_00": f"max(p) filter (where f = {i})" for i in range(4)}) + " from pn group by 1, 2, 3")
+def wide_power(spark, sf):
+    """Powers by unit as columns; a unit may be NULL."""
+    rows = _rows(spark, sf)
+    units = rows.select("target", "segment_id").distinct().withColumn("unit", F.when(F.col("segment_id") % 3 > 0, F.concat(F.lit("u"), (F.col("segment_id") % 3).cast("string"))))
+    power = rows.groupBy("target", "segment_id", (F.col("event_id") % 4).cast("double").alias("freq")).agg(F.avg("value").alias("power")).join(units, ["target", "segment_id"]).withColumns({"sensor": F.lit("value"), "n_windows": F.lit(1).cast("long")})
+    return rounded(feat.wide_power(power, ["value"], [0.0, 1.0, 2.0, 3.0], keys=["target", "segment_id", "unit"]))
 
 
 @query(f", s as (select target, avg(value) / 100 as f1 from events_p group by 1) select (count(*) filter (where f1 < 0.6))::bigint as low, (count(*) filter (where f1 >= 0.6 and f1 < 0.8))::bigint as middle, (count(*) filter (where f1 >= 0.8))::bigint as high, {r(median='median(f1)', mean='avg(f1)', std='stddev_samp(f1)')} from s")
@@ -664,7 +883,7 @@ def detection_run(spark, sf):
 
 @query()
 def clustering_run(spark, sf):
-    """A whole run on weeks of four sensors, scored against the most frequent flags."""
+    """A whole run on one sensor, scored against the weeks' most frequent event types."""
     from .config import Clustering
     from .pipelines import cluster_segments
 
@@ -672,3 +891,33 @@ def clustering_run(spark, sf):
     rows = tb.events(spark, sf).select("target", "depth", "value")
     out, _ = cluster_segments(rows, tb.event_strata(spark, sf), tb.every(rows, 10).select("target", "boundary"), cfg)
     return rounded(out)
+
+
+def _representation(spark, sf, kind, **more):
+    from .config import Clustering
+    from .pipelines import boundaries_of, run_clustering
+
+    cfg = Clustering(model_id=kind, sensors=("value",), representation=kind, length=4, selection="fixed", clusters=(3, 3), components=3, seed=1, least_thickness=60.0, source="perfect_recall", **more)
+    rows = tb.events(spark, sf).select("target", "depth", "value")
+    strata = tb.event_strata(spark, sf)
+    cuts = boundaries_of(cfg, strata, recall=tb.every(rows, 10))
+    return run_clustering(rows, strata, cuts, cfg, tb.locations(spark, sf))
+
+
+@query()
+def clustering_hybrid(spark, sf):
+    """Measurements labelled by clusters of hybrid features."""
+    return rounded(_representation(spark, sf, "hybrid").clustered_measurements)
+
+
+@query()
+def clustering_stft(spark, sf):
+    """Scores of clusters of spectrogram features."""
+    grid = {"depth_step_m": 4.0, "window_m": 128.0, "overlap_m": 64.0, "min_frequency_cycles_per_m": 0.01, "max_frequency_cycles_per_m": 0.1, "frequency_step_cycles_per_m": 0.01}
+    return rounded(_representation(spark, sf, "stft", spectral=grid).metrics)
+
+
+@query()
+def clustering_smoothed(spark, sf):
+    """Segments under smoothing between near locations."""
+    return rounded(_representation(spark, sf, "summary", smoothing=1.0, radius=800.0, sigma=400.0).clustered_segments)

@@ -1,62 +1,220 @@
-"""Searches over detection settings: combinations times profiles in one shuffle."""
+"""Searches over detection settings: grids, ablations and sweeps of refinements."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from itertools import product
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import detect, evaluate
+from ..operators import clean, detect, evaluate, hazards, refine
+from ..sources.shared import settled
+from .config import Detection
+from .pipelines import detect_profiles
 
-#: Axes of the three grids.
-GRIDS: dict[str, dict[str, list]] = {
-    "quick": {"kappa": [0.5, 0.75, 1.0, 1.5, 2.0], "beta": [0.05, 0.1, 0.2], "least_run": [0, 25]},
-    "standard": {"kappa": [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0], "beta": [0.02, 0.05, 0.1, 0.2, 0.4], "least_run": [0, 25], "alpha": [0.5, 1.0, 2.0]},
+
+@dataclass(frozen=True)
+class Axes:
+    """What a grid varies: pairs of (least soft, least hard) thickness, (smoothing, its largest weight), whether flat points are
+    dropped by signal-to-noise ratio, radius of refinement, base hazard, automatic contrast."""
+
+    thickness: list[tuple[float, float]]
+    smoothing: list[tuple[str | None, float]]
+    drop: list[bool]
+    radius: list[float]
+    base: list[str]
+    contrast: list[bool]
+
+    def combinations(self) -> list[dict]:
+        rows = product(self.thickness, self.smoothing, self.drop, self.radius, self.base, self.contrast)
+        return [{"soft": t[0], "hard": t[1], "smooth": s[0], "weight": s[1], "drop": d, "radius": r, "base": b, "contrast": c} for t, s, d, r, b, c in rows]
+
+
+#: Axes of the three grids, in depth units.
+_PAIRS = [(0.50, 0.50), (1.00, 0.50), (1.00, 1.00), (1.50, 0.50), (1.50, 1.50)]
+_MORE_PAIRS = [*_PAIRS, (0.75, 0.75), (1.25, 1.25), (2.00, 2.00)]
+_SMOOTHING = [(None, 0.30), ("tv", 0.30), ("savgol", 0.30)]
+_MORE_SMOOTHING = [(None, 0.30), ("tv", 0.15), ("tv", 0.30), ("tv", 0.50), ("savgol", 0.30)]
+GRIDS = {
+    "quick": Axes(_PAIRS, _SMOOTHING, [True, False], [0.5], ["const"], [False]),
+    "standard": Axes(_MORE_PAIRS, _MORE_SMOOTHING, [True, False], [0.3, 0.5, 0.7], ["const"], [False]),
+    "extended": Axes(_MORE_PAIRS, _MORE_SMOOTHING, [True, False], [0.3, 0.5, 0.7], ["const", "depth"], [False, True]),
 }
-GRIDS["extended"] = GRIDS["standard"] | {"smooth": [None, "tv"], "min_separation": [1, 25]}
+#: Base and largest thickness of the adaptive prior, growth with depth, contrast window, and the tolerances.
+BASE_THICKNESS, MOST_THICKNESS, GROWTH, CONTRAST_WINDOW = 1.0, 30.0, 0.05, 0.5
+TOLERANCES = (0.5, 1.0, 2.0)
+#: Settings that one task runs over a profile.
+CHUNK = 8
+
+
+def _inputs(df: DataFrame, x: str, axes: Axes, step: float, unit: float) -> DataFrame:
+    """Samples with what the settings share: contrast, its strength, and the thickness prior for each soft floor."""
+    rows = df.select("target", F.col("depth").cast("double").alias("depth"), F.col(x).cast("double").alias("x"))
+    parts = hazards.kappa_inputs(rows, "x")
+    pairs = sorted(set(axes.thickness))
+    thick = [hazards.blended(max(s, h) * unit, BASE_THICKNESS * unit, s * unit, max(MOST_THICKNESS, 4 * s) * unit)["thickness"] for s, h in pairs]
+    own = parts.select("target", "iqr", "step", F.array(*thick).alias("thick"))
+    noise = hazards.local_noise(rows, "x", max(2, round(0.15 * unit / step)))
+    auto = hazards.contrast_parameters(F.col("iqr"), F.col("local_noise"))
+    own = own.join(noise, "target").select("target", "step", "thick", auto["contrast_strength"].alias("strength"), auto["drop_quantile"].alias("drop"))
+    contrast = hazards.lr_contrast(rows, "x", max(1, round(CONTRAST_WINDOW * unit / step)))
+    return contrast.join(own, "target")
 
 
-def combinations(axes: dict[str, list]) -> list[dict]:
-    return [dict(zip(axes, values, strict=True)) for values in product(*axes.values())]
+def _factor(contrast: np.ndarray, strength: float) -> np.ndarray:
+    """The factor of hazards.with_rate_factor() over one profile."""
+    raw = np.clip(1 + strength * (contrast / max(float(contrast.mean()), 1e-12) - 1), 1e-3, 100)
+    return raw / raw.mean() if raw.mean() > 0 else np.ones(len(raw))
 
 
-def grid_search(df: DataFrame, sensor: str, truth: DataFrame, axes: dict[str, list], tolerance: float = 1.0) -> DataFrame:
-    """A row for each combination with its pooled scores, ranked by F1; ties by combination. df: target, depth, sensor.
+def _detections(rows: DataFrame, settings: list[dict], pairs: list[tuple[float, float]], unit: float, prior: dict) -> DataFrame:
+    """(setting, target, i): change points under every setting. A profile's samples go to a task once for CHUNK settings, which
+    share its gaps' filling and its smoothing."""
+    chunks = -(-len(settings) // CHUNK)
+    dealt = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
-    Profiles and combinations are spread over tasks together, so that a grid of hundreds on a few profiles fills the
-    cluster as well as one setting on many.
+    def run(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk")[0].as_py()
+        thick = np.array(table.column("thick")[0].as_py(), float)
+        p = detect.Profile.of(table.select(["target", "depth", "x", "contrast", "step", "strength"]))
+        step, strength, n = float(p.columns["step"][0]), float(p.columns["strength"][0]), len(p.depth)
+        x, smoothed = detect.fill(p.columns["x"]), {}
+        centre = float(np.median(x))
+        out: list[tuple[int, int]] = []
+        for at in range(chunk * CHUNK, min(len(settings), (chunk + 1) * CHUNK)):
+            s = settings[at]
+            key = (s["smooth"], s["weight"])
+            if key not in smoothed:
+                smoothed[key] = detect.adaptive_smooth(x, step, s["smooth"], s["weight"]) if s["smooth"] else x
+            prior_thickness = thick[pairs.index((s["soft"], s["hard"]))]
+            if s["base"] == "const":
+                h = np.full(n, 1 / max(prior_thickness / step, 1.0))
+            else:
+                h = np.clip(step / np.maximum(0.5 * unit, prior_thickness + GROWTH * p.depth), 1e-12, detect.LARGEST)
+            factors = (_factor(p.columns["contrast"], strength),) if s["contrast"] and strength > 0 else ()
+            least = max(1, round(s["hard"] * unit / step))
+            found = detect.detect(smoothed[key], detect.ScalarModel(n, centre, **prior), h, round(s["hard"] * unit / step), factors)
+            out += [(at, i) for i in detect.separated(found.boundaries.tolist(), least)]
+        return pa.table({"setting": pa.array([a for a, _ in out], pa.int32()), "target": pa.array([p.target] * len(out), pa.string()), "i": pa.array([i for _, i in out], pa.int32())})
+
+    return clean.spread(dealt, "target", "chunk").groupBy("target", "chunk").applyInArrow(run, "setting int, target string, i int")
+
+
+def grid_search(df: DataFrame, sensor: str, truth: DataFrame, axes: Axes, step: float = 0.02, unit: float = 1.0, tolerances: tuple[float, ...] = TOLERANCES, **prior: float) -> DataFrame:
+    """A row for each combination of a grid with its pooled and mean scores at three tolerances, rounded to four places, ranked by
+    F1 at the middle, the narrow and the wide one; of equals the earlier combination. df: target, depth, sensor; truth: target,
+    boundary. `unit` turns thicknesses, radii and tolerances into the depth unit of df, `step` is its usual step.
+
+    Points are found once for each setting of the detection and refined under all of its combinations in one pass.
     """
-    combos = combinations(axes)
-    kinds = dict(df.dtypes)
-    rows = df.select("target", "depth", sensor).withColumn("combo", F.explode(F.sequence(F.lit(0), F.lit(len(combos) - 1))))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("depth", kind="stable")
-        combo = int(group["combo"].iloc[0])
-        c = combos[combo]
-        depth, x = group["depth"].to_numpy(float), detect.fill(group[sensor].to_numpy(float))
-        n = len(x)
-        if c.get("smooth"):
-            x = detect.adaptive_smooth(x, float(np.median(np.diff(depth))) if n > 1 else 0.02, c["smooth"])
-        prior = {k: c[k] for k in ("kappa", "alpha", "beta") if k in c}
-        found = detect.detect(x, detect.ScalarModel(n, float(np.median(x)), **prior), np.full(n, 1 / n), int(c.get("least_run", 0)))
-        at = detect.separated(found.boundaries.tolist(), int(c.get("min_separation", 1)))
-        return pd.DataFrame({"combo": combo, "target": group["target"].iloc[0], "boundary": depth[at] if at else [np.nan]})
-
-    points = rows.groupBy("combo", "target").applyInPandas(run, f"combo int, target {kinds['target']}, boundary double")
-    key = F.struct("combo", "target").alias("target")
-    pred = points.select(key, F.nanvl("boundary", F.lit(None).cast("double")).alias("boundary"))
-    every = points.select("combo", "target").distinct()
-    true = truth.join(every, "target").select(key, "boundary")
-    scores = evaluate.boundary_scores(pred, true, (tolerance,))
-    name = evaluate.name_of(tolerance)
-    sums = scores.groupBy(F.col("target.combo").alias("combo")).agg(F.sum(f"tp_{name}").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("n_true").alias("n_true"), F.avg(f"f1_{name}").alias("mean_f1"))
-    p, r, f = evaluate.f1_columns(F.col("tp"), F.col("n_pred"), F.col("n_true"))
-    names = F.element_at(F.array(*[F.lit(", ".join(f"{k}={v}" for k, v in c.items())) for c in combos]), F.col("combo") + 1)
-    out = sums.select("combo", names.alias("settings"), p.alias("precision"), r.alias("recall"), f.alias("f1"), "mean_f1")
+    combos = axes.combinations()
+    of_detection = ("soft", "hard", "smooth", "weight", "base", "contrast")
+    settings = [dict(t) for t in dict.fromkeys(tuple((k, c[k]) for k in of_detection) for c in combos)]
+    pairs = sorted(set(axes.thickness))
+    named = df.withColumn("target", F.col("target").cast("string"))
+    rows = settled(_inputs(named, sensor, axes, step, unit))
+    raw = settled(_detections(rows, settings, pairs, unit, prior))
+    samples = refine.with_gradient(rows.select("target", "depth", "x", "step"), "x", F.col("step"))
+    samples = settled(samples.withColumn("i", F.col("i").cast("int")))
+    own = rows.groupBy("target").agg(F.first("drop").alias("drop"))
+    points = raw.join(own, "target")
+    variants = [{"name": f"{d}/{r}", "radius": max(1, round(r * unit / step)), "drop": F.col("drop") if d else None, "separation": 0} for d, r in product(axes.drop, axes.radius)]
+    moved = refine.snap_variants(points, samples, variants, ["setting"])
+    gap = F.element_at(F.array(*[F.lit(max(1, round(s["hard"] * unit / step))) for s in settings]), F.col("setting") + 1)
+    kept = moved.select("setting", "variant", "target", F.explode(refine.separate(F.col("indexes"), gap)).alias("i"))
+    number = {(settings.index({k: c[k] for k in of_detection}), f"{c['drop']}/{c['radius']}"): n for n, c in enumerate(combos)}
+    key = F.concat_ws("|", "setting", "variant")
+    combo = F.element_at(F.create_map(*[F.lit(v) for (s, v_), n in number.items() for v in (f"{s}|{v_}", n)]), key)
+    found = kept.select(combo.alias("combo"), "target", "i").join(samples.select("target", "i", F.col("depth").alias("boundary")), ["target", "i"])
+    true = truth.select(F.col("target").cast("string").alias("target"), "boundary").join(own.select("target"), "target", "left_semi")
+    scaled = tuple(t * unit for t in tolerances)
+    scores = evaluate.pooled_by(evaluate.scores_by(found.select("combo", "target", "boundary"), "combo", list(range(len(combos))), true, scaled), "combo", scaled)
+    values = F.array(*[F.struct(*[F.lit(v).cast("string" if k in ("smooth", "base") else "boolean" if k in ("drop", "contrast") else "double").alias(k) for k, v in c.items()]) for c in combos])
+    out = scores.withColumn("settings", F.element_at(values, F.col("combo") + 1)).select("combo", "settings.*", *[F.round(c, 4).alias(c) for c in scores.columns if c.split("_")[0] in ("f1", "precision", "recall", "mean")])
+    f1 = [F.desc(f"f1_{evaluate.name_of(scaled[i])}") for i in (1, 0, 2)]
     # a row a combination: one small window
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("f1"), F.desc("mean_f1"), "combo")))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(*f1, "combo")))
+
+
+#: The experiments of the ablation, thicknesses in depth units (kappa of 30 samples on a 0.02 grid is 0.6).
+ABLATION = {
+    "baseline_paper": Detection(contrast=False),
+    "uni_Ic_k30_const": Detection(contrast=False, expected_thickness=0.6),
+    "uni_Ic_depth": Detection(contrast=False, base="depth"),
+    "uni_Ic_k30_minthick05": Detection(contrast=False, expected_thickness=0.6, least_thickness=0.5),
+    "uni_Ic_depth_minthick05": Detection(contrast=False, base="depth", least_thickness=0.5),
+    "uni_Ic_k30_const_refine": Detection(contrast=False, expected_thickness=0.6, refine_radius=0.7),
+    "uni_Ic_k30_minthick05_refine": Detection(contrast=False, expected_thickness=0.6, least_thickness=0.5, refine_radius=0.7),
+    "uni_Ic_depth_minthick05_refine": Detection(contrast=False, base="depth", least_thickness=0.5, refine_radius=0.7),
+    "uni_Ic_k30_minthick05_refine_r03": Detection(contrast=False, expected_thickness=0.6, least_thickness=0.5, refine_radius=0.3),
+}
+
+
+def scaled(cfg: Detection, feature: str, unit: float, **more) -> Detection:
+    """A setting in another depth unit, for another feature."""
+    lengths = ("expected_thickness", "least_thickness", "contrast_window", "refine_radius", "least_separation", "bandwidth")
+    return replace(cfg, feature=feature, **{k: v * unit for k in lengths if (v := getattr(cfg, k)) is not None}, **more)
+
+
+def ablation(df: DataFrame, truth: DataFrame, experiments: dict[str, Detection], step: float = 0.02, places: DataFrame | None = None, tolerances: tuple[float, ...] = TOLERANCES, neighbours: int = 6, strength: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Every experiment, and the best of them by pooled F1 at the middle tolerance (the first of equals) once more with the density
+    of its own points around as a factor. Points (method, target, boundary) and a row of pooled scores a method."""
+    named = lambda name, points: points.select(F.lit(name).alias("method"), F.col("target").cast("string").alias("target"), "boundary")
+    true = truth.select(F.col("target").cast("string").alias("target"), "boundary")
+    points = None
+    for name, cfg in experiments.items():
+        part = named(name, detect_profiles(df, cfg, step))
+        points = part if points is None else points.unionByName(part)
+    points = settled(points)
+    score = lambda p, names: evaluate.pooled_by(evaluate.scores_by(p, "method", names, true, tolerances), "method", tolerances)
+    table = settled(score(points, list(experiments)))
+    if places is None:
+        return points, table
+    f1 = {r.method: r[f"f1_{evaluate.name_of(tolerances[1])}"] for r in table.collect()}
+    best = max(experiments, key=lambda name: f1[name])
+    again = replace(experiments[best], neighbours=neighbours, neighbour_strength=strength)
+    spatial = settled(named(f"{best}__spatial", detect_profiles(df, again, step, places)))
+    return points.unionByName(spatial), table.unionByName(score(spatial, [f"{best}__spatial"]))
+
+
+#: The refinements of the sweep, radii in depth units, and the quantiles of change probabilities to keep from.
+REFINEMENTS = [
+    *[{"radius": r} for r in (0.3, 0.5, 0.7, 1.0)],
+    *[{"radius": r, "nearest": True} for r in (0.3, 0.5, 0.7, 1.0, 1.5)],
+    {"radius": 0.7, "nearest": True, "strength": 1.5},
+    {"radius": 1.0, "nearest": True, "strength": 1.5},
+    {"radius": 0.7, "strength": 2.0},
+]
+SEPARATION = 0.5
+
+
+def refinement_name(v: dict) -> str:
+    parts = [f"r{v['radius']:.1f}", "nearest_peak" if v.get("nearest") else "argmax"]
+    return "_".join([*parts, *[f"{k}{v[key]}" for k, key in (("sr", "strength"), ("dq", "drop")) if v.get(key) is not None]])
+
+
+def refine_sweep(df: DataFrame, truth: DataFrame, cfg: Detection, step: float = 0.02, unit: float = 1.0, refinements: list[dict] | None = None, quantiles: tuple[float, ...] = (0.25, 0.5), tolerances: tuple[float, ...] = TOLERANCES) -> DataFrame:
+    """A row of pooled scores for the raw points, for each refinement of them, and for those whose change probability reaches a
+    quantile of their profile's. Points are found once and written; all refinements are one pass over them."""
+    raw = settled(detect_profiles(df, replace(cfg, refine_radius=0.0), step, with_probability=True))
+    rows = df.select(F.col("target").cast("string").alias("target"), F.col("depth").cast("double").alias("depth"), F.col(cfg.feature).cast("double").alias("x"))
+    samples = settled(refine.with_gradient(rows.join(clean.step_of(rows), "target"), "x", F.col("step")))
+    chosen = refinements if refinements is not None else REFINEMENTS
+    variants = [v | {"name": refinement_name(v), "radius": max(1, round(v["radius"] * unit / step)), "separation": max(1, round(SEPARATION * unit / step))} for v in chosen]
+    moved = refine.snap_variants(raw, samples, variants).select("variant", "target", F.explode("indexes").alias("i"))
+    moved = moved.join(samples.select("target", "i", F.col("depth").alias("boundary")), ["target", "i"]).select("variant", "target", "boundary")
+    parts = raw.select(F.lit("base_no_refine").alias("variant"), "target", "boundary").unionByName(moved)
+    for q in quantiles:
+        parts = parts.unionByName(refine.confident(raw, "p_change", q).select(F.lit(f"posterior_q{q}").alias("variant"), "target", "boundary"))
+    names = ["base_no_refine", *[v["name"] for v in variants], *[f"posterior_q{q}" for q in quantiles]]
+    true = truth.select(F.col("target").cast("string").alias("target"), "boundary")
+    return evaluate.pooled_by(evaluate.scores_by(parts, "variant", names, true, tolerances), "variant", tolerances)
+
+
+def top(table: DataFrame, n: int = 10, by: Column | None = None) -> DataFrame:
+    """The first rows of a ranked table."""
+    return table.orderBy(by if by is not None else F.col("rank")).limit(n)

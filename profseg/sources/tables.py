@@ -9,21 +9,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import as_number
+from .shared import settled
+
+__all__ = ["Dataset", "settled"]
 
 #: Column names of the measurement files and what they are called here.
 MEASURED = {"SCPT_ICBE": "Ic", "SCPT_NQT": "Qtn", "SCPT_NFR": "Fr", "SCPT_QT": "Qt", "SCPT_RES": "qc", "SCPT_FRES": "fs", "SCPT_PWP2": "u2", "SCPT_NU2": "U2"}
 BOUNDARY_HEADERS = ("boundary_depth", "depth", "depth_m")
 
 
+#: Names of the files of the known dataset profiles.
+PROFILES = {
+    "default": {"cpt": "CPT_clean.csv", "strata": "Input_Strata_merged_boundaries.csv", "locations": "Input_Location_clean.csv", "perfect_recall": "perfect_recall.csv"},
+    "new_location": {"cpt": "2_CPT_clean.csv", "strata": "2_Input_Strata_only_loc_targets.csv", "locations": "2_Input_Location.csv", "perfect_recall": "new_dataset_51_profiles_high_recall.csv"},
+}
+
+
 @dataclass(frozen=True)
 class Dataset:
-    """Where the files of a dataset lie; prefixes tell several in one folder apart."""
+    """Where the files of a dataset lie; prefixes tell several in one folder apart, a profile names its files."""
 
     root: str
     prefix: str = ""
+    profile: str = "default"
 
     def path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{self.prefix}{name}"
+        if self.profile not in PROFILES:
+            raise ValueError(f"unknown dataset profile: {self.profile}; there are: {', '.join(PROFILES)}")
+        return f"{self.root.rstrip('/')}/{self.prefix}{PROFILES[self.profile].get(name, name)}"
+
+    def missing(self, spark: SparkSession, names: tuple[str, ...] = ("cpt", "strata", "locations")) -> list[str]:
+        """Those of the named files that aren't there, by whatever file system the root names."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        paths = [(name, jvm.org.apache.hadoop.fs.Path(self.path(name))) for name in names]
+        return [name for name, path in paths if not path.getFileSystem(conf).exists(path)]
+
+    def check(self, spark: SparkSession, names: tuple[str, ...] = ("cpt", "strata", "locations")) -> Dataset:
+        """This, if its files are there."""
+        if missing := self.missing(spark, names):
+            raise FileNotFoundError(f"{self.root} lacks {', '.join(self.path(n).rsplit('/', 1)[1] for n in missing)}")
+        return self
+
+    def boundary_files(self, spark: SparkSession) -> list[str]:
+        """Names of the CSV files under boundaries/, sorted; none without that folder."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root.rstrip('/')}/boundaries")
+        system = folder.getFileSystem(conf)
+        if not system.exists(folder):
+            return []
+        return sorted(s.getPath().getName() for s in system.listStatus(folder) if s.getPath().getName().endswith(".csv"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -89,17 +123,21 @@ def boundaries(df: DataFrame) -> DataFrame:
     return rows.dropna().distinct()
 
 
-def pick_targets(df: DataFrame, include: list | None = None, exclude: list | None = None, first: int | None = None, located: DataFrame | None = None) -> DataFrame:
-    """Rows of chosen targets: some, all but some, the first by name, those with coordinates."""
+def pick_targets(df: DataFrame, include: list | None = None, exclude: list | None = None, first: int | None = None, located: DataFrame | None = None, need_some: bool = False) -> DataFrame:
+    """Rows of chosen targets: some, all but some, the first by name, those with coordinates. No rows left is an error if some are
+    needed."""
     out = df
     if include:
         out = out.filter(F.col("target").isin(include))
     if exclude:
         out = out.filter(~F.col("target").isin(exclude))
     if located is not None:
-        out = out.join(located.filter(F.col("x").isNotNull() & F.col("y").isNotNull()), "target", "left_semi")
+        finite = [F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in ("x", "y")]
+        out = out.join(located.filter(finite[0] & finite[1]), "target", "left_semi")
     if first is not None:
         out = out.join(out.select("target").distinct().orderBy("target").limit(first), "target", "left_semi")
+    if need_some and out.isEmpty():
+        raise ValueError("no targets are left by the filters")
     return out
 
 
@@ -109,4 +147,13 @@ def excluded(df: DataFrame, reason: str, kept: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A table as Parquet, or as CSV with a header, arrays and structs of it as JSON."""
+    if kind == "csv":
+        df = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
     df.write.mode("overwrite").option("header", True).format(kind).save(path)
+
+
+def write_all(tables: dict[str, DataFrame], root: str, kind: str = "parquet") -> None:
+    """Each table under its name."""
+    for name, df in tables.items():
+        write(df, f"{root.rstrip('/')}/{name}", kind)
