@@ -8,8 +8,9 @@ costs, and then so are its suffixes. Counts are discounted and what is discounte
 the root, whose discount is the share of the unseen symbol. A symbol is scored from the longest retained suffix state.
 
 All training texts are counted whole. A gram (a context and the symbol behind it) is a 64-bit hash. Grams are counted a
-length at a time; only those whose two shorter grams may occur LEAST times are shuffled, by a filter of fixed size that
-never misses one. The tree is a Parquet table of grams, grown by joins, that grows with the corpus. A log probability is a
+length at a time; only those whose two shorter grams may occur LEAST times are shuffled, by a filter that never misses one,
+packed by context so that a context takes its bytes once. The tree is a Parquet table of grams, grown by joins, that grows
+with the corpus. A log probability is a
 sum over the grams of a text: what a retained context leaves to its suffix, and what a symbol told apart there gains over
 that. The most frequent grams and words are broadcast, at most HEAD and 1 / FREQUENT; the others are joined by hash.
 Null texts count as empty: an end alone. A null id falls into the fold of crc32(''). Repeated rows give
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, words_of, written
+from .common import Filter, drop_written, pick, words_of, written
 
 #: Symbols of a context at most; a symbol needs so many occurrences behind a context to be told apart.
 DEPTH, LEAST = 3, 2
@@ -41,9 +42,12 @@ FREQUENT, HEAD = 1e-6, 1_000_000
 LEAST_GAIN, GAIN_A_SYMBOL = 10.0, 2.0
 #: Discount of counts behind contexts.
 DISCOUNT = 0.75
-#: Bits of a filter of grams.
-FILTER_BITS = 1 << 27
-CACHE_ENTRIES, COUNTER_ENTRIES, BUFFER = 400_000, 400_000, 1_500_000
+#: Bits of a filter of grams at most: with more grams it lets more pass, which costs shuffles and no results.
+FILTER_BITS = 1 << 28
+CACHE_ENTRIES, COUNTER_ENTRIES, BUFFER = 300_000, 300_000, 1_500_000
+#: Occurrences that a bucket counts. A context with more than a quarter of that is split by its next symbols into so many parts;
+#: at most MOST_SPLIT contexts of a length are.
+BUCKET_TOKENS, MOST_SPLIT = 1_000_000, 100_000
 END = b""  # as a key among words, none of which is empty
 
 
@@ -100,22 +104,6 @@ def grams(hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
         context = np.roll(whole, 1)
 
 
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key may be in a filter of bits(); False is certain."""
-    bit = keys & (FILTER_BITS - 1)
-    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def bits(keys: DataFrame) -> np.ndarray:
-    """A filter with a bit for each `key`."""
-    bit = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = keys.select(F.shiftright(bit, 15).alias("bucket"), bit.bitwiseAND(F.lit(32767)).alias("bit"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
-        out[r.bucket * 4096 : r.bucket * 4096 + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
 @dataclass
 class Tree:
     """The most frequent grams of the tree, sorted by hash, and a filter of all."""
@@ -125,7 +113,7 @@ class Tree:
     left: np.ndarray  # log10 of the share that a context leaves to its suffix, 0 for grams that aren't retained contexts
     gain: np.ndarray  # log10 of what the last symbol gains over that, 0 where it isn't told apart
     root: np.ndarray  # log10 probabilities by number; 0 at 0, which another table tells
-    maybe: np.ndarray
+    maybe: Filter
 
     @property
     def contexts(self) -> np.ndarray:
@@ -134,7 +122,7 @@ class Tree:
     def find(self, keys: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each key stands (-1 if it doesn't), and the places of keys that only the whole table can tell."""
         found = np.full(len(keys), -1)
-        asked = np.flatnonzero(valid & passes(self.maybe, keys))
+        asked = np.flatnonzero(valid & self.maybe.passes(keys))
         if not len(self.grams):
             return found, asked
         at = np.minimum(np.searchsorted(self.grams, keys[asked]), len(self.grams) - 1)
@@ -198,68 +186,144 @@ def numbered(texts: list[list[bytes]], symbols: Symbols | None, known: Hashes |
     return np.array([numbers, [known[w] for w in words]], np.int64), np.cumsum(sizes) - sizes
 
 
-def _gram_counts(depth: int, shared):
-    """Texts to counts of contexts of `depth` symbols with the next one, where the filter passes both shorter grams."""
+@dataclass
+class Frequent:
+    """Hashes of frequent words, sorted, and their numbers by frequency, from 1."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, waiting, counts = Hashes(), [], None
+    hashes: np.ndarray
+    numbers: np.ndarray
+
+    @classmethod
+    def of(cls, symbols: Symbols) -> Frequent:
+        hashes = np.array([word_hash(w) for w in symbols.numbers], np.int64)
+        order = np.argsort(hashes)
+        return cls(hashes[order], np.array(list(symbols.numbers.values()), np.int32)[order])
+
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of words, 0 for those that aren't frequent."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], 0)
+
+    def by_number(self) -> np.ndarray:
+        out = np.zeros(len(self.hashes) + 1, np.int64)
+        out[self.numbers] = self.hashes
+        return out
+
+
+#: A part of a bucket: grams in order of their contexts, each context and its suffix once with the number of its grams (sizes),
+#: frequent last words by number (others: the hashes of the rest), and counts. Numbers are compressed.
+PACKED = "bucket int, grams long, c binary, sc binary, sizes binary, numbers binary, others binary, n binary"
+COUNTED = "c long, sc long, n long, key long, skey long"
+
+
+def _packed(bucket: int, c: np.ndarray, sc: np.ndarray, w: np.ndarray, n: np.ndarray, frequent: Frequent) -> tuple:
+    first = np.flatnonzero(np.diff(c, prepend=~c[:1]))
+    numbers = frequent.number(w)
+    small = lambda x: pa.compress(x.astype(np.int32).tobytes(), "zstd", asbytes=True)
+    return bucket, len(c), c[first].tobytes(), sc[first].tobytes(), small(np.diff(first, append=len(c))), small(numbers), w[numbers == 0].tobytes(), small(n)
 
-        def merge():
-            nonlocal counts
-            parts = [(c, w, np.ones(len(c), np.int64)) for c, w in waiting] + ([counts] if counts else [])
-            waiting.clear()
-            c, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            whole = longer(c, w)
-            order = np.argsort(whole)
-            first = np.flatnonzero(np.diff(whole[order], prepend=~whole[order][:1]))
-            counts = (c[order][first], w[order][first], np.add.reduceat(n[order], first)) if len(first) else (c, w, n)
+
+def _unpacked(row: dict, by_number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """c, sc, w and n of a packed part."""
+    small = lambda data, k: np.frombuffer(pa.decompress(data, 4 * k, "zstd", asbytes=True), np.int32)
+    c, sc, others = (np.frombuffer(row[x], np.int64) for x in ("c", "sc", "others"))
+    sizes, numbers = small(row["sizes"], len(c)), small(row["numbers"], row["grams"])
+    w = by_number[numbers]
+    w[numbers == 0] = others
+    return np.repeat(c, sizes), np.repeat(sc, sizes), w, small(row["n"], row["grams"]).astype(np.int64)
+
+
+def _summed(c: np.ndarray, sc: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each gram once, with its whole count, in order of its hash; the hashes last."""
+    whole = longer(c, w)
+    order = np.argsort(whole)
+    first = np.flatnonzero(np.diff(whole[order], prepend=~whole[order][:1]))
+    if not len(first):
+        return c, sc, w, n, whole
+    picked = order[first]
+    return c[picked], sc[picked], w[picked], np.add.reduceat(n[order], first), whole[picked]
+
+
+def _gram_counts(depth: int, passing, frequent, buckets: int, heavy: tuple[np.ndarray, np.ndarray]):
+    """Texts to packed counts of contexts of `depth` symbols with the next one, where the filter passes both shorter grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, waiting, held = Hashes(), [], 0
+        words: Frequent = frequent.value
+        split, parts = heavy
 
         def flush() -> pa.RecordBatch:
-            nonlocal counts
-            out = pa.RecordBatch.from_arrays([pa.array(x) for x in counts], ["c", "w", "n"])
-            counts = None
-            return out
+            c, sc, w, n, _ = _summed(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+            waiting.clear()
+            # a context is dealt whole, but those with very many occurrences in parts
+            part = np.zeros(len(c), np.int64)
+            if len(split):
+                at = np.minimum(np.searchsorted(split, c), len(split) - 1)
+                part = np.where(split[at] == c, (w.view(np.uint64) % parts[at].astype(np.uint64)).astype(np.int64), 0)
+            bucket = (longer(c, part).view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((c, bucket))
+            c, sc, w, n, bucket = (x[order] for x in (c, sc, w, n, bucket))
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            rows = [_packed(b, *(x[ends[b] : ends[b + 1]] for x in (c, sc, w, n)), words) for b in np.unique(bucket).tolist()]
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], [x.split()[0] for x in PACKED.split(", ")])
 
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 (_, hashes), starts = numbered([words_of(t.as_py()) for t in part.column(0)], None, known)
-                *_, (_, _, suffix), (valid, context, _) = [(None, None, None), *islice(grams(hashes, starts), depth)]
-                if shared:
-                    valid &= passes(shared.value, context) & passes(shared.value, suffix)
-                waiting.append((context[valid], hashes[valid]))
-                if sum(len(c) for c, _ in waiting) > BUFFER:
-                    merge()
-                    if len(counts[0]) > BUFFER:
+                levels = [(None, np.zeros(len(hashes), np.int64), longer(np.zeros(len(hashes), np.int64), hashes)), *islice(grams(hashes, starts), depth)]
+                (_, short, suffix), (valid, context, _) = levels[-2], levels[-1]
+                if passing:
+                    valid = valid.copy()
+                    valid[valid] = passing.value.passes(context[valid])
+                    valid[valid] = passing.value.passes(suffix[valid])
+                waiting.append((context[valid], short[valid], hashes[valid], np.ones(int(valid.sum()), np.int64)))
+                held += len(waiting[-1][0])
+                if held > BUFFER:
+                    waiting[:] = [_summed(*(np.concatenate(x) for x in zip(*waiting, strict=True)))[:4]]
+                    held = len(waiting[0][0])
+                    if held > 0.7 * BUFFER:
                         yield flush()
-        if waiting:
-            merge()
-        if counts and len(counts[0]):
+                        held = 0
+        if held:
             yield flush()
 
     return run
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """`rows` (c, sc, w, n, total) with key and skey, the grams of c and of its suffix sc with w."""
+def _bucket_counts(frequent):
+    """The parts of a bucket to its grams that occur LEAST times."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c, sc, w = (np.asarray(batch.column(i)) for i in range(3))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(longer(c, w)), pa.array(longer(sc, w))], ["c", "sc", "w", "n", "total", "key", "skey"])
+    def run(parts: pa.Table) -> pa.Table:
+        by_number = frequent.value.by_number()
+        c, sc, w, n = (np.concatenate(x) for x in zip(*[_unpacked(row, by_number) for row in parts.to_pylist()], strict=True))
+        c, sc, w, n, key = _summed(c, sc, w, n)
+        kept = n >= LEAST
+        c, sc, w, n, key = (x[kept] for x in (c, sc, w, n, key))
+        return pa.table({"c": c, "sc": sc, "n": n, "key": key, "skey": longer(sc, w)})
 
-    return rows.select("c", "sc", "w", "n", "total").mapInArrow(run, "c long, sc long, w long, n long, total long, key long, skey long")
+    return run
 
 
-def grow(rows: DataFrame, level: DataFrame) -> DataFrame:
-    """The tree's grams (key, n, left, gain) of the texts of `rows`. level: the words and the end as grams (key, n, skey 0,
-    p their root probability)."""
-    root, levels, contexts, filter_ = level, [], [], None
+def grow(rows: DataFrame, level: DataFrame, frequent, n_tokens: int) -> DataFrame:
+    """The tree's grams (key, n, left, gain) of the texts of `rows`. level: the words and the end as grams (key, n, p their root
+    probability)."""
+    spark = rows.sparkSession
+    root, levels, contexts, passing = level, [], [], None
+    buckets = max(2 * spark.sparkContext.defaultParallelism, n_tokens // BUCKET_TOKENS)
     for depth in range(1, DEPTH + 1):
-        raw = rows.select("text").mapInArrow(_gram_counts(depth, filter_), "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-        # how often a context precedes a symbol is how often it occurs
-        raw = raw.join(level.select(F.col("key").alias("c"), F.col("n").alias("total"), F.col("skey").alias("sc")), "c")
+        most = max(BUCKET_TOKENS // 4, n_tokens // MOST_SPLIT)
+        found = level.filter(F.col("n") > most).select("key", F.ceil(F.col("n") / F.lit(BUCKET_TOKENS // 4)).alias("parts")).orderBy("key").toArrow()
+        heavy = (found.column("key").to_numpy(), found.column("parts").to_numpy())
+        parts = rows.select("text").mapInArrow(_gram_counts(depth, passing, frequent, buckets, heavy), PACKED)
+        raw = parts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket_counts(frequent), COUNTED)
         below = level.select(F.col("key").alias("skey"), F.col("p").alias("below"))
-        level = written(_keyed(raw).join(below, "skey").withColumn("p", F.col("n") / F.col("total")), f"lm-level-{depth}")
+        # how often a context precedes a symbol is how often it occurs
+        totals = level.select(F.col("key").alias("c"), F.col("n").alias("total"))
+        joined = raw.join(below, "skey").join(totals, "c").select("c", "sc", "total", "key", "skey", "n", "below")
+        level = written(joined.sortWithinPartitions("c"), f"lm-level-{depth}").withColumn("p", F.col("n") / F.col("total"))
         sums = level.groupBy("c").agg(F.first("sc").alias("sc"), F.first("total").alias("total"), F.sum(F.col("n") * F.log(F.col("p") / F.col("below"))).alias("gain"), F.sum("n").alias("told"), F.sum("below").alias("below"), F.count("*").alias("symbols"))
         rest, rest_below = F.col("total") - F.col("told"), 1 - F.col("below")
         gain = F.col("gain") + F.when((rest > 0) & (rest_below > 1e-12), rest * F.log(rest / F.col("total") / rest_below)).otherwise(0.0)
@@ -267,23 +331,28 @@ def grow(rows: DataFrame, level: DataFrame) -> DataFrame:
         contexts.append(written(sums.select("c", "sc", "total", (gain >= LEAST_GAIN + GAIN_A_SYMBOL * F.col("symbols")).alias("keep"), left.alias("left")), f"lm-contexts-{depth}"))
         levels.append(level)
         if depth < DEPTH:
-            filter_ = rows.sparkSession.sparkContext.broadcast(bits(level))
+            passing = spark.sparkContext.broadcast(Filter.of(level.select("key"), FILTER_BITS))
     kept: list[DataFrame] = []
     for table in reversed(contexts):
         if kept:
             needed = kept[0].select(F.col("sc").alias("c")).distinct().withColumn("needed", F.lit(True))
             table = table.join(needed, "c", "left").withColumn("keep", F.col("keep") | F.coalesce("needed", F.lit(False)))
         kept.insert(0, written(table.filter("keep").select("c", "sc", "total", "left"), "lm-kept"))
-    parts, known = [], root.select("key", F.col("p").alias("q"))
+    drop_written(*contexts)
+    parts, known, told_tables = [], root.select("key", F.col("p").alias("q")), []
     for level, table in zip(levels, kept, strict=True):
         parts.append(table.select(F.col("c").alias("key"), F.col("total").alias("n"), F.log10("left").alias("left"), F.lit(0.0).alias("gain")))
         told = level.select("c", "n", "key", "skey").join(table.select("c", "total", "left"), "c").join(known.select(F.col("key").alias("skey"), F.col("q").alias("q_below")), "skey")
         told = told.withColumn("q", (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("q_below"))
         told = written(told.select("key", "n", "q", (F.log10("q") - F.log10("q_below") - F.log10("left")).alias("gain")), "lm-told")
+        drop_written(level)
         parts.append(told.select("key", "n", F.lit(0.0).alias("left"), "gain"))
+        told_tables.append(told)
         known = told
     whole = reduce(DataFrame.unionByName, parts)
-    return written(whole.groupBy("key").agg(F.max("n").alias("n"), F.sum("left").alias("left"), F.sum("gain").alias("gain")), "lm-tree")
+    tree = written(whole.groupBy("key").agg(F.max("n").alias("n"), F.sum("left").alias("left"), F.sum("gain").alias("gain")), "lm-tree")
+    drop_written(root, *kept, *told_tables)
+    return tree
 
 
 @dataclass
@@ -323,8 +392,8 @@ def train(docs: DataFrame, learns: Column) -> Model:
     every = words.select(F.xxhash64("word").alias("h"), "n").unionByName(docs.sparkSession.createDataFrame([(END_HASH, ends)] if ends else [], "h long, n long"))
     # a word that occurs less often is in no gram that counts
     level = every.filter(F.col("n") >= LEAST).mapInArrow(unigrams, "key long, n long")
-    level = written(level.select("key", "n", F.lit(0).cast("long").alias("skey"), ((F.col("n") - discount) / float(max(1, n_tokens))).alias("p")), "lm-unigrams")
-    whole = grow(rows, level)
+    level = written(level.select("key", "n", ((F.col("n") - discount) / float(max(1, n_tokens))).alias("p")), "lm-unigrams")
+    whole = grow(rows, level, docs.sparkSession.sparkContext.broadcast(Frequent.of(symbols)), n_tokens)
     # halves of octaves of counts, the highest first, as many as fit the head
     octave = F.floor(2 * F.log2("n")).alias("octave")
     size, lowest = 0, None
@@ -339,7 +408,7 @@ def train(docs: DataFrame, learns: Column) -> Model:
     order = np.argsort(keys)
     root = np.log10(np.maximum(np.maximum(symbols.counts - discount, 0) / max(1, n_tokens), 1e-300))
     root[0] = 0.0
-    tree = Tree(symbols, keys[order], head.column("left").to_numpy()[order], head.column("gain").to_numpy()[order], root, bits(whole))
+    tree = Tree(symbols, keys[order], head.column("left").to_numpy()[order], head.column("gain").to_numpy()[order], root, Filter.of(whole.select("key"), FILTER_BITS))
     beyond = whole.filter(~in_head).select("key", (F.col("left") + F.col("gain")).alias("value"))
     return Model(tree, beyond, frequent, rare, ends, n_tokens, n_distinct, discount)
 
