@@ -29,6 +29,11 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[df[name].cast(kind).alias(name) for name, kind in types.items()])
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of a key as text, modulo `modulus`; a null key counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(modulus))
@@ -69,13 +74,16 @@ def keep_rows(docs: DataFrame, reads: list[str], masks: Callable[[], Callable[..
     """The rows of `docs` whose mask is true, with all their columns, whatever their names; nothing is shuffled. `masks` makes
     a function in each task, from a batch's arrays of the columns `reads` to its mask."""
 
+    at = [docs.columns.index(c) for c in reads]
+    numbered = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])  # names may hold dots
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = masks()
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                yield part.filter(pa.array(mask(*[part.column(part.schema.get_field_index(c)) for c in reads]), pa.bool_()))
+                yield part.filter(pa.array(mask(*[part.column(i) for i in at]), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 #: A row's identity among those of its table: 128 bits of its id and text. Rows alike in both are repeats of one row.
@@ -116,10 +124,13 @@ class Filter:
     def passes(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key (int64) may be one of the filter's."""
         out = np.ones(len(keys), bool)
+        at = np.arange(len(keys))
         low, step = keys & 0xFFFFFFFF, keys >> 32 & 0xFFFFFFFF | 1
-        for i in range(self.PROBES):
-            bit = low + i * step & self.size - 1
-            out &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+        for i in range(self.PROBES):  # each probe for those that are left
+            bit = low[at] + i * step[at] & self.size - 1
+            there = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            out[at[~there]] = False
+            at = at[there]
         return out
 
 
@@ -150,5 +161,5 @@ def parted(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = docs.select("*", *row_id())
     if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(rows.select(*ROW_ID).distinct())
-        return named.join(ids, list(ROW_ID), "left_anti").select(*docs.columns), named.join(ids, list(ROW_ID), "left_semi")
+        return named.join(ids, list(ROW_ID), "left_anti").select(*own_columns(docs)), named.join(ids, list(ROW_ID), "left_semi")
     return _maybe(named, rows, False).drop(*ROW_ID), _maybe(named, rows, True)
