@@ -44,7 +44,7 @@ LEAST_GAIN, GAIN_A_SYMBOL = 10.0, 2.0
 DISCOUNT = 0.75
 #: Bits of a filter of grams at most: with more grams it lets more pass, which costs shuffles and no results.
 FILTER_BITS = 1 << 28
-CACHE_ENTRIES, COUNTER_ENTRIES, BUFFER = 300_000, 300_000, 1_500_000
+CACHE_ENTRIES, COUNTER_ENTRIES, BUFFER = 200_000, 300_000, 800_000
 #: Occurrences that a bucket counts. A context with more than a quarter of that is split by its next symbols into so many parts;
 #: at most MOST_SPLIT contexts of a length are.
 BUCKET_TOKENS, MOST_SPLIT = 1_000_000, 100_000
@@ -279,7 +279,7 @@ def _gram_counts(depth: int, passing, frequent, buckets: int, heavy: tuple[np.nd
                     valid = valid.copy()
                     valid[valid] = passing.value.passes(context[valid])
                     valid[valid] = passing.value.passes(suffix[valid])
-                waiting.append((context[valid], short[valid], hashes[valid], np.ones(int(valid.sum()), np.int64)))
+                waiting.append((context[valid], short[valid], hashes[valid], np.ones(int(valid.sum()), np.int32)))
                 held += len(waiting[-1][0])
                 if held > BUFFER:
                     waiting[:] = [_summed(*(np.concatenate(x) for x in zip(*waiting, strict=True)))[:4]]
