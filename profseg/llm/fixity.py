@@ -127,27 +127,32 @@ def damaged(pages: DataFrame) -> DataFrame:
     return rows.withColumn("html", F.when(F.pmod("page_id", F.lit(53)) == 7, F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html")))
 
 
+#: Both replicas are built and compared slot by slot; no tree is descended.
 AUDIT_SQL = """
 with rec as (
-  select coalesce(page_id, -1) as node, coalesce(url, '') as url, coalesce(html, '') as html, page_id from pages
-), ours as (
-  select node, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+  select 0 as replica, coalesce(page_id, -1) as node, coalesce(url, '') as url, coalesce(html, '') as html from pages
+  union all
+  select 1, coalesce(page_id, -1), coalesce(url, ''), coalesce(html, '') || case when page_id % 53 = 7 then '!' else '' end from pages where not coalesce(page_id % 97 = 5, false)
+), bodies as (
+  select replica, node, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
     || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html
-    || chr(13) || chr(10) || chr(13) || chr(10) as record, coalesce(page_id % 53 = 7, false) as altered, coalesce(page_id % 97 = 5, false) as lost
-  from rec
+    || chr(13) || chr(10) || chr(13) || chr(10) as record from rec
 ), copies as (
-  select node, sha256(record) as d, strlen(record) as size, count(*) as copies, bool_or(altered) as altered, bool_or(lost) as lost
-  from ours group by all
+  select replica, node, sha256(record) as d, strlen(record) as size, count(*) as copies from bodies group by all
 ), lanes as (
-  select node, sha256(d || ':' || copies) as h, copies, size * copies as bytes, altered, lost from copies
+  select replica, node, sha256(d || ':' || copies) as h, copies, size * copies as bytes from copies
 ), slots as (
-  select node, sha256(concat_ws(',', bit_xor(('0x' || substr(h, 1, 15))::bigint), bit_xor(('0x' || substr(h, 16, 15))::bigint),
+  select replica, node, sha256(concat_ws(',', bit_xor(('0x' || substr(h, 1, 15))::bigint), bit_xor(('0x' || substr(h, 16, 15))::bigint),
     bit_xor(('0x' || substr(h, 31, 15))::bigint), bit_xor(('0x' || substr(h, 46, 15))::bigint), sum(copies)::bigint)) as digest,
-    sum(copies)::bigint as records, sum(bytes)::bigint as bytes, bool_or(altered) as altered, bool_or(lost) as lost
-  from lanes group by node
-), nodes as (
-  select node >> 4 as parent, sha256(string_agg(digest, '' order by node)) as node_digest from slots group by 1
+    sum(copies)::bigint as records, sum(bytes)::bigint as bytes
+  from lanes group by replica, node
+), ours as (
+  select *, coalesce(sum(bytes) over (order by node rows between unbounded preceding and 1 preceding), 0)::bigint as start_offset from slots where replica = 0
+), theirs as (select * from slots where replica = 1),
+nodes as (
+  select node >> 4 as parent, sha256(string_agg(digest, '' order by node)) as node_digest from ours group by 1
 )
-select node as page_id, records, coalesce(sum(bytes) over (order by node rows between unbounded preceding and 1 preceding), 0)::bigint as start_offset,
-  bytes as n_bytes, digest, node_digest, case when lost then 'missing' when altered then 'altered' else 'intact' end as status
-from slots join nodes on node >> 4 = parent"""
+select ours.node as page_id, ours.records, start_offset, ours.bytes as n_bytes, ours.digest, node_digest,
+  case when theirs.node is null then 'missing' when (theirs.digest, theirs.bytes) <> (ours.digest, ours.bytes) then 'altered' else 'intact' end as status
+from ours join nodes on ours.node >> 4 = parent left join theirs on theirs.node = ours.node
+union all select theirs.node, null, null, null, null, null, 'extra' from theirs where not exists (select 1 from ours where ours.node = theirs.node)"""
