@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import own_columns, pick
 
 #: Labelled rows to learn from, about so many, chosen by a hash of the id.
 TRAIN_ROWS = 16_000
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` that the model doesn't reject, with all their columns, whatever their names."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*own_columns(docs)).alias("_row"), F.col("text").cast("string").alias("text"))
     scored = score(rows, model)
     # not a filter, which would be pushed below the statistics and repeat them for each rule
     passed = scored.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("predicted"))))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, quality, setsketch
-from .common import ROW_ID, parted, pick, read, written
+from .common import ROW_ID, own_columns, parted, pick, read, written
 from .queries import bpe_files
 
 #: A language is taken for known from this score on.
@@ -45,7 +45,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     kept, maybe = parted(docs, open_)
     left = maybe.join(open_, list(ROW_ID), "left").filter("_stays is null or _stays")
     left = left.withColumn("_one", F.when(F.col("_stays").isNull(), F.monotonically_increasing_id()))
-    return kept.unionByName(left.dropDuplicates([*ROW_ID, "_one"]).select(*docs.columns))
+    return kept.unionByName(left.dropDuplicates([*ROW_ID, "_one"]).select(*own_columns(docs)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
