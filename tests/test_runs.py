@@ -208,3 +208,15 @@ def test_joined_names_and_counts(spark):
     assert sorted((r.k, r.v_delta) for r in d.collect()) == [("x", 2.0), ("y", None)]
     mean = stats.bootstrap_mean(spark.createDataFrame([(float(i % 2),) for i in range(400)], "v double"), "v", 500).first()
     assert mean["mean"] == 0.5 and 0.43 < mean.low < 0.48 and 0.52 < mean.high < 0.57
+
+
+def test_windowed_means(spark, tmp_path):
+    from profseg.streaming import online
+
+    rows = [("a", f"2024-01-0{1 + i // 4} 0{i}:00:00", float(i)) for i in range(8)] + [("a", "2024-01-01 05:00:00", None)]
+    df = spark.createDataFrame(rows, "target string, at string, value double").withColumn("at", F.col("at").cast("timestamp"))
+    df.write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in")
+    query = online.windowed_means(stream, "at", "value").writeStream.format("memory").queryName("means").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert [(r["mean"], r.n) for r in spark.table("means").orderBy("start").collect()] == [(1.5, 4), (5.5, 4)]
