@@ -108,3 +108,78 @@ def test_smoothing_lowers_energy():
     edges = [(0, 1, 1.0), (1, 2, 1.0)]
     assert model.smooth_labels(unary, edges, 0.0).tolist() == [0, 1, 0]
     assert model.smooth_labels(unary, edges, 1.0).tolist() == [0, 0, 0]
+
+
+def test_run_length_drops():
+    run = np.array([0, 1, 2, 3, 4, 5, 6, 0, 1, 2, 0, 1, 2, 3, 4, 5, 0])
+    assert detect.drops(run) == [7, 16] and detect.drops(run, 2) == [7, 10, 16] and detect.drops(run[:1]) == []
+    assert detect.separated([3, 5, 9, 20], 5) == [3, 9, 20]
+
+
+@pytest.mark.parametrize("window", [5, 9, 15])
+def test_savitzky_golay_fits_polynomials(window):
+    x, half = np.random.default_rng(8).normal(0, 1, 40), window // 2
+    got = detect.savitzky_golay(x, window)
+    place = np.arange(window) - half
+    for i in range(len(x)):
+        begin = min(max(i - half, 0), len(x) - window)
+        fit = np.polyfit(place, x[begin : begin + window], 3)
+        assert got[i] == pytest.approx(np.polyval(fit, i - begin - half), abs=1e-8)
+
+
+def test_total_variation_nears_its_optimum():
+    x = np.concatenate([np.full(30, 0.0), np.full(30, 1.0)]) + np.random.default_rng(9).normal(0, 0.2, 60)
+    cost = lambda u: 0.5 * ((u - x) ** 2).sum() + 0.3 * np.abs(np.diff(u)).sum()
+    best = cost(detect.total_variation(x, 0.3, 20_000))
+    assert best <= cost(detect.total_variation(x, 0.3)) <= 1.1 * best < cost(x)
+
+
+def test_smoothing_ramps():
+    calm, rough = np.sin(np.arange(200) / 40), np.sin(np.arange(200) / 40) + np.random.default_rng(10).normal(0, 0.3, 200)
+    for kind in ("tv", "savgol"):
+        assert detect.adaptive_smooth(calm, 0.02, kind) is calm
+        assert np.diff(detect.adaptive_smooth(rough, 0.02, kind)).std() < 0.5 * np.diff(rough).std()
+    assert np.diff(detect.adaptive_smooth(rough, 0.02, "tv", 0.1)).std() > np.diff(detect.adaptive_smooth(rough, 0.02, "tv")).std()
+    with pytest.raises(ValueError, match="unknown smoothing"):
+        detect.adaptive_smooth(rough, 0.02, "other")
+    assert [detect.odd_window(w, 50) for w in (2, 3, 8, 51, 99)] == [0, 3, 7, 49, 49]
+
+
+def test_pca_and_centres(spark):
+    x = np.random.default_rng(11).normal(0, [3, 2, 1, 0.5], (60, 4))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, x array<double>")
+    got = np.array([r.x for r in model.pca(df, 2).orderBy("id").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]))
+    centres, inertia = model.kmeans(df, 4, seed=1, starts=2)
+    d = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+    assert [r.cluster_id for r in model.predict(df, centres).orderBy("id").collect()] == d.argmin(axis=1).tolist()
+    assert inertia == pytest.approx(d.min(axis=1).sum())
+
+
+def test_mixture_steps_equal_plain_em(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(v, 1, (40, 2)) for v in (0, 5)])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, x array<double>")
+    for kind in ("full", "tied", "diag", "spherical"):
+        m = model.mixture(df, 2, kind, seed=1, tolerance=1e-10, turns=200)
+        logs = m.log_parts(x)
+        r = np.exp(logs - np.logaddexp.reduce(logs, axis=1)[:, None])
+        assert np.allclose(m.weights, r.mean(axis=0), atol=1e-4) and np.allclose(m.means, (r.T @ x) / r.sum(axis=0)[:, None], atol=1e-3)
+        assert m.log_likelihood == pytest.approx(np.logaddexp.reduce(logs, axis=1).sum(), abs=1e-3)
+
+
+def test_band_energies_of_a_sine(spark):
+    depth = np.arange(0, 10, 0.02)
+    rows = spark.createDataFrame([("a", 0, float(d), float(np.sin(2 * np.pi * 1.5 * d) + 0.1 * d)) for d in depth], "target string, segment_id int, depth double, x double")
+    spectra = spectral.segment_spectra(rows, ["x"])
+    got = spectral.band_features(spectra).first()
+    assert got.band_1 > 0.99 and got.dominant_freq == pytest.approx(1.5, abs=0.1) and got.low_high_ratio > 50
+    top = spectral.peaks(spectra).first()
+    assert top.peak_wavelength == pytest.approx(1 / 1.5, abs=0.05)
+    power = spectral.spectrograms(rows, ["x"], window=2.0).groupBy("freq").avg("power").orderBy("avg(power)", ascending=False).first()
+    assert power.freq == pytest.approx(1.5)
+    low = spectral.low_pass(rows, "x", cutoff=1.0).toPandas()
+    assert abs(low["value"] - 0.1 * low["depth"]).median() < 0.1
+    whole = spectral.profile_power(rows, "x").orderBy("power", ascending=False).first()
+    assert whole.freq == pytest.approx(1.5, abs=0.1)
