@@ -52,11 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Spark's setting that the shuffle files of a query go when it ends. Nobody reads them once its table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing but a reread."""
+    """`df` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing but a reread. The
+    shuffle files that made it are deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/profseg-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

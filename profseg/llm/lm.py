@@ -318,12 +318,14 @@ def grow(rows: DataFrame, level: DataFrame, frequent, n_tokens: int) -> DataFram
         found = level.filter(F.col("n") > most).select("key", F.ceil(F.col("n") / F.lit(BUCKET_TOKENS // 4)).alias("parts")).orderBy("key").toArrow()
         heavy = (found.column("key").to_numpy(), found.column("parts").to_numpy())
         parts = rows.select("text").mapInArrow(_gram_counts(depth, passing, frequent, buckets, heavy), PACKED)
-        raw = parts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket_counts(frequent), COUNTED)
+        raw = written(parts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket_counts(frequent), COUNTED).sortWithinPartitions("c"), f"lm-grams-{depth}")
         below = level.select(F.col("key").alias("skey"), F.col("p").alias("below"))
         # how often a context precedes a symbol is how often it occurs
         totals = level.select(F.col("key").alias("c"), F.col("n").alias("total"))
         joined = raw.join(below, "skey").join(totals, "c").select("c", "sc", "total", "key", "skey", "n", "below")
-        level = written(joined.sortWithinPartitions("c"), f"lm-level-{depth}").withColumn("p", F.col("n") / F.col("total"))
+        table = written(joined.sortWithinPartitions("c"), f"lm-level-{depth}")
+        drop_written(raw)
+        level = table.withColumn("p", F.col("n") / F.col("total"))
         sums = level.groupBy("c").agg(F.first("sc").alias("sc"), F.first("total").alias("total"), F.sum(F.col("n") * F.log(F.col("p") / F.col("below"))).alias("gain"), F.sum("n").alias("told"), F.sum("below").alias("below"), F.count("*").alias("symbols"))
         rest, rest_below = F.col("total") - F.col("told"), 1 - F.col("below")
         gain = F.col("gain") + F.when((rest > 0) & (rest_below > 1e-12), rest * F.log(rest / F.col("total") / rest_below)).otherwise(0.0)
