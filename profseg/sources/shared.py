@@ -19,8 +19,18 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Spark's setting that the shuffle files of a query go when it ends: nobody reads them once its table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """`df` written as Parquet and read back: its lineage ends there, and a lost executor costs a reread."""
-    path = f"{folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{folder(spark)}/step-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
