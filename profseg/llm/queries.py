@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fixity, langid, lm, quality, setsketch, topk, toxicity
+from . import bpe, chat, decontam, fixity, langid, lm, pieces, quality, setsketch, topk, toxicity
 from .common import pick, read, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,13 @@ def bpe_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def piece_model() -> str:
+    """The model file of the public vocabulary of pieces."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return fixity.audit(pages, fixity.damaged(pages))
@@ -74,7 +81,11 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_warc_fixity, op2_byte_bpe, op3_suffix_tree_lm, op4_setsketch_dedup, op5_chat_format, op6_impact_topk, op7_quality_rules, op8_toxicity_automata, op9_language_backoff, op10_template_decontamination)
+def op13_piece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(read(spark, sf_dir, "documents"), piece_model())
+
+
+_ALL = (op1_warc_fixity, op2_byte_bpe, op3_suffix_tree_lm, op4_setsketch_dedup, op5_chat_format, op6_impact_topk, op7_quality_rules, op8_toxicity_automata, op9_language_backoff, op10_template_decontamination, op13_piece_chunks)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _ESCAPED = "replace(text, '\\', '\\\\')"
