@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fixity, langid, lm, manifest, pieces, quality, setsketch, topk, toxicity
+from . import bpe, chat, decontam, fixity, langid, lm, manifest, pieces, quality, setsketch, topk, toxicity, variants
 from .common import pick, read, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,11 +85,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.document_proofs(read(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.document_variants(read(spark, sf_dir, "documents"))
+
+
 def op13_piece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(read(spark, sf_dir, "documents"), piece_model())
 
 
-_ALL = (op1_warc_fixity, op2_byte_bpe, op3_suffix_tree_lm, op4_setsketch_dedup, op5_chat_format, op6_impact_topk, op7_quality_rules, op8_toxicity_automata, op9_language_backoff, op10_template_decontamination, op11_merkle_manifest, op13_piece_chunks)
+_ALL = (op1_warc_fixity, op2_byte_bpe, op3_suffix_tree_lm, op4_setsketch_dedup, op5_chat_format, op6_impact_topk, op7_quality_rules, op8_toxicity_automata, op9_language_backoff, op10_template_decontamination, op11_merkle_manifest, op12_spelling_variants, op13_piece_chunks)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _ESCAPED = "replace(text, '\\', '\\\\')"
@@ -102,6 +106,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_setsketch_dedup": setsketch.NEAR_SQL,
     "op6_impact_topk": topk.TOPK_SQL,
     "op11_merkle_manifest": manifest.PROOF_SQL,
+    "op12_spelling_variants": variants.VARIANTS_SQL,
     "op5_chat_format": f"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
