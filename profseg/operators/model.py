@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import settled
+from .linkage import agglomerate, squares, ward
+
+__all__ = ["agglomerate", "ward"]
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
@@ -159,7 +162,7 @@ def _fitted(df: DataFrame, k: int, kind: str, seed: int, ridge: float, turns: in
     centres, _ = kmeans(df, k, seed, starts=1)
 
     def nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        d = squares(x, centres)
         r = np.zeros((len(x), len(centres)))
         r[np.arange(len(x)), d.argmin(axis=1)] = 1.0
         return r, np.zeros(len(x))
@@ -215,7 +218,7 @@ def predict(df: DataFrame, model: Mixture | np.ndarray, probabilities: bool = Fa
                 if probabilities:
                     batch["p"] = list(p)
             else:
-                batch["cluster_id"] = ((x[:, None] - model[None]) ** 2).sum(axis=2).argmin(axis=1) if len(batch) else []
+                batch["cluster_id"] = squares(x, model).argmin(axis=1) if len(batch) else []
             yield batch.drop(columns="x")
 
     keep = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != "x")
@@ -224,78 +227,6 @@ def predict(df: DataFrame, model: Mixture | np.ndarray, probabilities: bool = Fa
     return df.mapInPandas(run, keep + ", cluster_id int" + ", p array<double>" * probabilities)
 
 
-def ward(x: np.ndarray, k: int, sizes: np.ndarray | None = None) -> np.ndarray:
-    """Labels of Ward's agglomeration of the rows (each standing for `sizes` of them) into k clusters, numbered by first row.
-    Nearest-neighbour chains."""
-    n = len(x)
-    if n == 0:
-        return np.zeros(0, int)
-    size, alive = np.ones(n) if sizes is None else sizes.astype(float), np.ones(n, bool)
-    d = ((x[:, None] - x[None]) ** 2).sum(axis=2) * (2 * size[:, None] * size[None] / (size[:, None] + size[None]))
-    np.fill_diagonal(d, np.inf)
-    merges, chain = [], []
-    while alive.sum() > 1:
-        if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
-        a = chain[-1]
-        b = int(np.where(alive, d[a], np.inf).argmin())
-        if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
-            b = chain[-2]
-            chain = chain[:-2]
-            merges.append((float(d[a, b]), a, b))
-            others = alive.copy()
-            others[[a, b]] = False
-            t = size[a] + size[b] + size[others]
-            d[a, others] = d[others, a] = ((size[a] + size[others]) * d[a, others] + (size[b] + size[others]) * d[b, others] - size[others] * d[a, b]) / t
-            size[a] += size[b]
-            alive[b] = False
-        else:
-            chain.append(b)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for _, a, b in sorted(merges, key=lambda m: m[0])[: n - max(1, min(k, n))]:
-        parent[root(b)] = root(a)
-    names: dict[int, int] = {}
-    return np.array([names.setdefault(root(i), len(names)) for i in range(n)])
-
-
-#: Rows whose distances one task holds.
-EXACT_ROWS = 2000
-
-
-def agglomerate(df: DataFrame, keys: list[str], k: int, group: str | None = None, exact_rows: int = EXACT_ROWS, seed: int = 0) -> DataFrame:
-    """cluster_id by Ward's method, of all rows or within each group.
-
-    The method needs all distances at once. Up to `exact_rows` rows are agglomerated as they are; more are first brought to
-    that many k-means centres over the whole cluster, which Ward's method then joins by their sizes, and each row takes the
-    label of its centre. Groups are exact and must have no more rows than that.
-    """
-    kinds = dict(df.dtypes)
-    named = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", cluster_id int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > exact_rows:
-            raise ValueError(f"a group of {len(pdf)} rows is more than exact_rows={exact_rows}")
-        pdf = pdf.sort_values(keys).reset_index(drop=True)
-        return pdf[keys].assign(cluster_id=ward(np.stack(pdf["x"].to_numpy()), k))
-
-    if group:
-        return df.groupBy(group).applyInPandas(run, named)
-    if df.limit(exact_rows + 1).count() <= exact_rows:
-        return df.groupBy().applyInPandas(run, named)
-    centres, _ = kmeans(df, exact_rows, seed, starts=1, turns=10)
-    sizes = predict(df, centres).groupBy("cluster_id").agg(F.count("*").alias("n")).toPandas()
-    used = sizes.sort_values("cluster_id")["cluster_id"].to_numpy()
-    joined = ward(centres[used], k, sizes.sort_values("cluster_id")["n"].to_numpy())
-    label = F.element_at(F.create_map(*[F.lit(int(v)) for pair in zip(used, joined, strict=True) for v in pair]), F.col("cluster_id"))
-    return predict(df, centres).select(*keys, label.cast("int").alias("cluster_id"))
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """(node, region) of the nodes of `edges` (u, v): the smallest node that each can reach. Each turn every node takes the
     smallest label around it and the label of its label, and is written; turns grow with the logarithm of a path's length."""

@@ -206,7 +206,7 @@ def run_clustering(df: DataFrame, strata: DataFrame, boundaries: DataFrame, cfg:
     if cfg.smoothing is not None and cfg.algorithm != "gmm":
         raise ValueError("smoothing needs the probabilities of a mixture")
     if cfg.algorithm == "agglomerative":
-        labels = model.agglomerate(x, keys, cfg.clusters[1], seed=cfg.seed)
+        labels = model.agglomerate(x, keys, cfg.clusters[1])
     elif cfg.algorithm == "kmeans":
         centres = min((model.kmeans(x, k, cfg.seed) for k in range(cfg.clusters[0], cfg.clusters[1] + 1)), key=lambda f: f[1])[0]
         labels = model.predict(x, centres)

@@ -34,3 +34,13 @@ def settled(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that settled() wrote and that no later plan reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.rsplit("/", 1)[1].startswith("step-"):
+                target = context._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

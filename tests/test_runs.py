@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from profseg.operators import detect, evaluate, hazards, intervals, model, refine, stats
+from profseg.operators import detect, evaluate, hazards, intervals, linkage, model, refine, stats
 from profseg.plans import charts, config, pipelines, queries, runs, search
 from profseg.plans import testbed as tb
 from profseg.sources import tables
@@ -98,15 +98,34 @@ def test_grid_equals_single_runs(spark):
 
 
 def test_agglomerate_many_rows(spark):
+    """Mutually nearest pairs over blocks give the labels of the method in memory."""
     rng = np.random.default_rng(6)
-    centres = np.array([[0, 0], [8, 0], [0, 8]])
-    rows = [(i, (centres[i % 3] + rng.normal(0, 0.3, 2)).tolist()) for i in range(300)]
-    df = spark.createDataFrame(rows, "id int, x array<double>")
-    for exact in (2000, 40):
-        got = {r.id: r.cluster_id for r in model.agglomerate(df, ["id"], 3, exact_rows=exact).collect()}
-        assert len({(i % 3, c) for i, c in got.items()}) == 3 and len(set(got.values())) == 3
-    with pytest.raises(Exception, match="exact_rows"):
-        model.agglomerate(df.withColumn("g", F.lit(1)), ["id"], 3, "g", 40).count()
+    x = np.concatenate([rng.normal(0, 1, (4000, 3)), rng.normal(3, 0.5, (950, 3))])
+    x = rng.permutation(np.concatenate([x, x[:50]]))  # some are alike
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(len(x))], "id int, x array<double>").repartition(4)
+    got = {r.id: r.cluster_id for r in model.agglomerate(df, ["id"], 12).collect()}
+    assert [got[i] for i in range(len(x))] == model.ward(x, 12).tolist()
+
+
+def test_agglomerate_groups_ties_and_edges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(linkage, "BLOCK_ROWS", 16)
+    groups = {"a": rng.normal(0, 1, (150, 2)), "b": rng.normal(0, 1, (90, 2)) * 5, "one": np.zeros((1, 2)), "same": np.ones((30, 2)), "few": rng.normal(0, 1, (5, 2))}
+    rows = [(g, i, v.tolist()) for g, part in groups.items() for i, v in enumerate(part)]
+    df = spark.createDataFrame([*rows, ("a", 999, None)], "g string, i int, x array<double>")
+    want = {(g, i): c for g, part in groups.items() for i, c in enumerate(linkage.ward(part, 4) if g != "same" else [0] * 30)}
+    assert {(r.g, r.i): r.cluster_id for r in model.agglomerate(df, ["g", "i"], 4, "g", task_rows=100).collect()} == want
+    grid = spark.createDataFrame([(i, [float(i % 7), float(i // 7)]) for i in range(49)], "i int, x array<double>")  # many ties
+    assert len({r.cluster_id for r in model.agglomerate(grid, ["i"], 5, task_rows=25).collect()}) == 5
+    assert model.agglomerate(grid.limit(0), ["i"], 5).collect() == []
+
+
+def test_dendrogram_heights(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK_ROWS", 32)
+    x = np.random.default_rng(9).normal(0, 1, (200, 4))
+    points = spark.createDataFrame([(0, i, 1, x[i].tolist()) for i in range(len(x))], "g int, id long, size long, x array<double>")
+    got = sorted(r.height for r in linkage.dendrogram(points, 60).collect())
+    assert np.allclose(got, sorted(m[0] for m in linkage.merges_of(x))) and len(got) == 199
 
 
 def test_smoothing_by_joins(spark):
