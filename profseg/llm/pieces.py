@@ -2,10 +2,12 @@
 
 A chunk is a run of whitespace markers and what follows up to the next marker. Where no piece of the model holds a marker
 behind another character, merges never cross chunks, so that a text's ids are those of its chunks, one after the other.
-Each distinct chunk of the corpus is segmented once, into a table of its ids. The most frequent chunks, HEAD_CHUNKS at
-most, are broadcast from it; every other place of a text is joined with the table and its ids come back by position.
+Each distinct chunk that the corpus holds twice is segmented once, into a table of its ids. The most frequent, HEAD_CHUNKS at
+most, are broadcast from it; every other place of a text is joined with the table and its ids come back by position. A
+chunk that occurs once is segmented where it stands, which is once as well; a filter of bounded size tells that it isn't
+in the table. Chunks of more than LONG_BYTES, which hardly ever repeat, are segmented there too, so that no long key is shuffled.
 
-Chunks of more than LONG_BYTES, which hardly ever repeat, are segmented where they stand, so that no long key is shuffled. Nulls count as empty texts,
+Nulls count as empty texts,
 which have the end id alone. Repeated rows give repeated results, a null id is kept, extra columns are ignored, an empty table
 gives an empty one.
 """
@@ -19,15 +21,18 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, drop_written, pick, row_id, written
+from .common import ROW_ID, broadcast_filter, drop_written, pick, row_id, written
 
 MARK = "▁"
 #: Chunks whose ids every task holds, some 40 bytes each.
 HEAD_CHUNKS = 1 << 20
 LONG_BYTES = 200
+#: Bits of the filter at most.
+FILTER_BITS = 1 << 27
 #: Texts that are looked up at a time, and distinct chunks that a counting task holds.
 SLICE_BYTES, COUNTED = 8 << 20, 400_000
 
@@ -123,15 +128,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merged().to_batches(65536)
 
 
+def segmented(own, keys: pa.Array) -> list[list[int]]:
+    return own.encode([MARK + key.replace(" ", MARK) for key in keys.to_pylist()])
+
+
 def chunk_table(docs: DataFrame, model: bytes) -> DataFrame:
-    """(chunk, n, ids) of each distinct chunk of all texts, written. Counts add up in the tasks before the shuffle."""
-    counted = docs.select("text").mapInArrow(_count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    """(chunk, n, ids) of each distinct chunk that all texts together hold twice, written. Counts add up in the tasks before
+    the shuffle."""
+    counted = docs.select("text").mapInArrow(_count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).filter("n > 1")
     marked = marked_model(model)
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = processor(marked)
         for batch in batches:
-            ids = own.encode([MARK + key.replace(" ", MARK) for key in batch.column(0).to_pylist()])
+            ids = segmented(own, batch.column(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["chunk", "n", "ids"])
 
     return written(counted.mapInArrow(segment, "chunk string, n long, ids array<int>"), "pieces-chunks")
@@ -149,8 +159,9 @@ class Head(NamedTuple):
         return np.asarray(pc.index_in(keys, value_set=self.chunks).fill_null(-1))
 
 
-def head_of(table: DataFrame, most: int) -> Head:
-    """The most frequent chunks, `most` at most: all from some count on, found by the numbers of chunks of like count."""
+def head_of(table: DataFrame, most: int) -> tuple[Head, DataFrame]:
+    """The most frequent chunks, `most` at most: all from some count on, found by the numbers of chunks of like count; and the
+    rest of the table."""
     like = F.floor(F.log2("n") * 8)
     left, least = most, None
     for row in sorted(table.groupBy(like.alias("like")).agg(F.count("*").alias("chunks")).collect(), key=lambda r: -r.like):
@@ -158,9 +169,11 @@ def head_of(table: DataFrame, most: int) -> Head:
         if left < 0:
             break
         least = row.like
-    found = table.filter(like >= least if least is not None else F.lit(False)).select("chunk", "ids").toArrow().combine_chunks()
+    inside = like >= least if least is not None else F.lit(False)
+    found = table.filter(inside).select("chunk", "ids").toArrow().combine_chunks()
     words, ids = (found.column(i).combine_chunks() for i in range(2))
-    return Head(words, np.asarray(ids.offsets).astype(np.int64) - (ids.offsets[0].as_py() if len(ids.offsets) else 0), np.asarray(ids.flatten()))
+    head = Head(words, np.asarray(ids.offsets).astype(np.int64) - (ids.offsets[0].as_py() if len(ids.offsets) else 0), np.asarray(ids.flatten()))
+    return head, table.filter(~inside).select("chunk", "ids")
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -169,50 +182,71 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.arange(lengths.sum()) - np.repeat(before - starts, lengths)]
 
 
-def _looked_up(docs: DataFrame, head, make: Callable, schema: str) -> DataFrame:
-    """`make` of each slice's rows: its columns, keys, chunks a text, places in the head and long keys."""
+def _looked_up(docs: DataFrame, shared: tuple, make: Callable, schema: str) -> DataFrame:
+    """`make` of each slice's rows: its columns, keys, chunks a text, places in the head, and which chunks to ask the table for
+    and to segment there."""
+    head, rest = shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = head.value
+        held, inside = head.value, rest.value
         use = make()
         for batch in batches:
             for part in slices(batch, batch.num_columns - 1):
                 keys, counts = chunks(part.column(part.num_columns - 1))
-                yield use(part, keys, counts, held.find(keys), is_long(keys))
+                at = held.find(keys)
+                ask = at < 0
+                ask[ask] = ~is_long(keys.filter(pa.array(ask)))
+                hashes = np.array([xxhash.xxh64_intdigest(key, 42) for key in keys.filter(pa.array(ask)).to_pylist()], np.uint64)  # as Spark's xxhash64
+                ask[ask] = inside.passes(hashes.view(np.int64))
+                yield use(part, keys, counts, at, ask, (at < 0) & ~ask)
 
     return docs.mapInArrow(run, schema)
 
 
-def _asked(docs: DataFrame, head) -> DataFrame:
-    """(ROW_ID, place, chunk): the chunks of a text that the head lacks, numbered."""
+def _asked(docs: DataFrame, shared: tuple) -> DataFrame:
+    """(ROW_ID, place, chunk): the chunks of a text that the table is asked for, numbered."""
 
     def make():
-        def use(part, keys, counts, at, long):
-            gap = at < 0
-            text = np.repeat(np.arange(part.num_rows), counts)[gap]
+        def use(part, keys, counts, at, ask, alone):
+            text = np.repeat(np.arange(part.num_rows), counts)[ask]
             place = np.arange(len(text)) - np.searchsorted(text, text)
-            short = ~long[gap]
-            rows = pa.array(text[short])
-            return pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(place[short].astype(np.int32)), keys.filter(pa.array(gap & ~long))], [*ROW_ID, "place", "chunk"])
+            rows = pa.array(text)
+            return pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(place.astype(np.int32)), keys.filter(pa.array(ask))], [*ROW_ID, "place", "chunk"])
 
         return use
 
-    return _looked_up(docs.select(*ROW_ID, "text"), head, make, "_row_a long, _row_b long, place int, chunk string")
+    return _looked_up(docs.select(*ROW_ID, "text"), shared, make, "_row_a long, _row_b long, place int, chunk string")
+
+
+def _answered(asked: DataFrame, table: DataFrame, model: bytes) -> DataFrame:
+    """(ROW_ID, place, ids). What the filter let pass though the table lacks it is segmented here."""
+    marked = marked_model(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = processor(marked)
+        for batch in batches:
+            *keys, chunk, ids = batch.columns
+            lacks = np.asarray(ids.is_null())
+            if lacks.any():
+                at = np.where(lacks, len(ids) + np.cumsum(lacks) - 1, np.arange(len(ids)))
+                ids = pa.concat_arrays([ids, pa.array(segmented(own, chunk.filter(pa.array(lacks))), ids.type)]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*keys, ids], [*ROW_ID, "place", "ids"])
+
+    joined = asked.join(table, "chunk", "left").select(*ROW_ID, "place", "chunk", "ids")
+    return joined.mapInArrow(run, "_row_a long, _row_b long, place int, ids array<int>")
 
 
-def _known(docs: DataFrame, head, model: bytes) -> DataFrame:
-    """(doc_id, ROW_ID, known, gaps): the ids of a text as bytes, with the number of pieces for each chunk that the join has to
-    bring, and how many of these there are."""
+def _known(docs: DataFrame, shared: tuple, model: bytes) -> DataFrame:
+    """(doc_id, ROW_ID, known): the ids of a text as bytes, with the number of pieces for each chunk that the table is asked for."""
     marked = marked_model(model)
 
     def make():
-        held, own = head.value, processor(marked)
+        held, own = shared[0].value, processor(marked)
         hole = own.get_piece_size()
         kind = np.uint16 if hole < 1 << 16 else np.int32
 
-        def use(part, keys, counts, at, long):
-            alone = np.flatnonzero((at < 0) & long)
-            more = [own.encode(MARK + keys[int(i)].as_py().replace(" ", MARK)) for i in alone]
+        def use(part, keys, counts, at, ask, alone):
+            more = segmented(own, keys.filter(pa.array(alone)))
             flat = np.concatenate([held.flat, [hole], *more]).astype(kind)
             sizes = np.array([len(x) for x in more], np.int64)
             starts, lengths = np.full(len(at), len(held.flat)), np.ones(len(at), np.int64)
@@ -222,13 +256,11 @@ def _known(docs: DataFrame, head, model: bytes) -> DataFrame:
             ids = gather(flat, starts, lengths)
             ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)] * ids.itemsize
             known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(ids.tobytes())])
-            text = np.repeat(np.arange(part.num_rows), counts)
-            gaps = np.bincount(text[~there & ~long], minlength=part.num_rows)
-            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), known.cast(pa.binary()), pa.array(gaps.astype(np.int32))], ["doc_id", *ROW_ID, "known", "gaps"])
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), known.cast(pa.binary())], ["doc_id", *ROW_ID, "known"])
 
         return use
 
-    return _looked_up(docs.select("doc_id", *ROW_ID, "text"), head, make, "doc_id long, _row_a long, _row_b long, known binary, gaps int")
+    return _looked_up(docs.select("doc_id", *ROW_ID, "text"), shared, make, "doc_id long, _row_a long, _row_b long, known binary")
 
 
 def _filled(model: bytes, with_ids: bool) -> Callable:
@@ -272,14 +304,14 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False, h
     model = read_model(model_path)
     rows = pick(docs, doc_id="long", text="string").select("doc_id", *row_id(), "text")
     table = chunk_table(rows, model)
-    head = docs.sparkSession.sparkContext.broadcast(head_of(table, head_chunks))
-    asked = _asked(rows, head).join(table.select("chunk", "ids"), "chunk")
+    head, rest = head_of(table, head_chunks)
+    shared = docs.sparkSession.sparkContext.broadcast(head), broadcast_filter(rest.select(F.xxhash64("chunk").alias("key")), FILTER_BITS)
     # a set, since repeated rows ask for the same
-    brought = asked.groupBy(*ROW_ID).agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("brought"))
+    brought = _answered(_asked(rows, shared), rest, model).groupBy(*ROW_ID).agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("brought"))
     brought = brought.select(*ROW_ID, F.transform("brought", lambda x: x["place"]).alias("place"), F.transform("brought", lambda x: F.size(x["ids"])).alias("sizes"), F.flatten(F.transform("brought", lambda x: x["ids"])).alias("ids"))
     brought = written(brought, "pieces-brought")
     drop_written(table)
-    both = _known(rows, head, model).join(brought, list(ROW_ID), "left").select("doc_id", "known", "place", "sizes", "ids")
+    both = _known(rows, shared, model).join(brought, list(ROW_ID), "left").select("doc_id", "known", "place", "sizes", "ids")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return both.mapInArrow(_filled(model, with_ids), schema)
 

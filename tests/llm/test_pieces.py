@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from profseg.llm import pieces
+from profseg.llm import common, pieces
 from profseg.llm.queries import QUERIES, piece_model
 
 DATA = "/root/testdata/sf0.001"
@@ -37,6 +37,14 @@ def test_ids_and_texts_are_the_librarys(spark, library, head):
     assert sorted(map(tuple, got), key=str) == sorted([(key, *expected(library, text)) for key, text in rows], key=str)
 
 
+def test_filter_that_lets_all_pass(spark, library, monkeypatch):
+    monkeypatch.setattr(pieces, "FILTER_BITS", 2)
+    monkeypatch.setattr(common.Filter, "LEAST_BITS", 1)
+    rows = [(i, text) for i, text in enumerate(odd_texts())]
+    got = pieces.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), piece_model(), head_chunks=0).collect()
+    assert sorted(map(tuple, got)) == [(key, *expected(library, text)) for key, text in rows]
+
+
 def test_repeats_clashing_columns_and_empty_tables(spark, library):
     rows = [(1, "one word and one more", 5, b"x", "y")] * 3 + [(None, "one word", 6, None, None)] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, place int, known binary, chunk string")
