@@ -29,12 +29,12 @@ from .common import ROW_ID, broadcast_filter, drop_written, pick, row_id, writte
 
 MARK = "▁"
 #: Chunks whose ids every task holds, some 40 bytes each.
-HEAD_CHUNKS = 1 << 20
+HEAD_CHUNKS = 1 << 19
 LONG_BYTES = 200
 #: Bits of the filter at most.
 FILTER_BITS = 1 << 27
 #: Texts that are looked up at a time, and distinct chunks that a counting task holds.
-SLICE_BYTES, COUNTED = 8 << 20, 400_000
+SLICE_BYTES, COUNTED = 4 << 20, 400_000
 
 
 def read_model(path: str) -> bytes:
