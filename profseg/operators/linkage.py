@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import dropped, settled
+from .smoothing import connected
 
 #: Clusters of a group whose distances one task holds at the end (32 MB); it changes no result.
 TASK_ROWS = 2000
@@ -229,8 +230,6 @@ def dendrogram(points: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
 def agglomerate(df: DataFrame, keys: list[str], k: int, group: str | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """cluster_id by Ward's method, of all rows or within each group, numbered by first row in the order of the keys; at most k
     clusters. Rows that are alike are one from the start and never told apart. Rows without `x` are in no cluster."""
-    from .model import connected
-
     rows = df.select((F.col(group) if group else F.lit(0)).alias("g"), F.struct(*keys).alias("key"), "x").filter("x is not null")
     rows = settled(rows.orderBy("key").withColumn("id", F.monotonically_increasing_id()))
     points = settled(rows.groupBy("g", "x").agg(F.min("id").alias("id"), F.count("*").alias("size")))

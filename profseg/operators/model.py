@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import settled
 from .linkage import agglomerate, squares, ward
+from .smoothing import connected, smooth_labels, smooth_segments
 
-__all__ = ["agglomerate", "ward"]
+__all__ = ["agglomerate", "connected", "smooth_labels", "smooth_segments", "ward"]
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
@@ -225,98 +225,3 @@ def predict(df: DataFrame, model: Mixture | np.ndarray, probabilities: bool = Fa
     if probabilities and not isinstance(model, Mixture):
         raise ValueError("only a mixture has probabilities")
     return df.mapInPandas(run, keep + ", cluster_id int" + ", p array<double>" * probabilities)
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, region) of the nodes of `edges` (u, v): the smallest node that each can reach. Each turn every node takes the
-    smallest label around it and the label of its label, and is written; turns grow with the logarithm of a path's length."""
-    both = settled(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = settled(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("region")))
-    while True:
-        around = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("region").alias("low"))
-        least = labels.join(around, "node").select("node", "region", F.least("region", "low").alias("to"))
-        further = labels.select(F.col("node").alias("to"), F.col("region").alias("next"))
-        new = settled(least.join(further, "to").select("node", F.least("to", "next").alias("region"), (F.least("to", "next") < F.col("region")).alias("changed")))
-        labels = new.drop("changed")
-        if new.filter("changed").isEmpty():
-            return labels
-
-
-def smooth_labels(unary: np.ndarray, edges: list[tuple[int, int, float]], strength: float, sweeps: int = 20) -> np.ndarray:
-    """Iterated conditional modes: labels in row order, each the first that is cheapest given its neighbours."""
-    near: list[list[tuple[int, float]]] = [[] for _ in unary]
-    for a, b, w in edges:
-        near[a].append((b, w))
-        near[b].append((a, w))
-    labels = unary.argmin(axis=1)
-    for _ in range(sweeps):
-        changed = False
-        for i, neighbours in enumerate(near):
-            if not neighbours:
-                continue
-            cost = unary[i].copy()
-            for j, w in neighbours:
-                cost += strength * w
-                cost[labels[j]] -= strength * w
-            best = int(cost.argmin())
-            changed |= best != labels[i]
-            labels[i] = best
-        if not changed:
-            break
-    return labels
-
-
-def smooth_segments(p: DataFrame, graph: DataFrame, strength: float, exact_segments: int = 20_000, sweeps: int = 20) -> DataFrame:
-    """(target, segment_id, cluster_id) by iterated conditional modes over the segment graph. p: target, segment_id, p.
-
-    Connected parts of the graph don't meet. Parts of at most `exact_segments` segments take one task each, in row order.
-    Larger ones are swept by joins: in a turn those segments change at once whose hash of turn and segment is the largest
-    among their neighbours, so that no two neighbours do and the cost never grows. Segments without neighbours keep the most
-    probable cluster.
-    """
-    kind = dict(p.dtypes)["target"]
-    node = lambda a, b: F.struct(F.col(a).alias("target"), F.col(b).cast("int").alias("segment_id"))
-    edges = settled(graph.select(node("a", "a_segment").alias("u"), node("b", "b_segment").alias("v"), "weight"))
-    unary = F.transform("p", lambda x: -F.log(F.least(F.greatest(x, F.lit(1e-10)), F.lit(1.0))))
-    first = F.array_position(F.col("cost"), F.array_min("cost")).cast("int") - 1
-    rows = settled(p.select(node("target", "segment_id").alias("node"), unary.alias("cost")).withColumn("cluster_id", first))
-    regions = settled(connected(edges))
-    sizes = regions.groupBy("region").agg(F.count("*").alias("n"))
-    small, large = (settled(regions.join(sizes.filter(c), "region").select("node", "region")) for c in (f"n <= {exact_segments}", f"n > {exact_segments}"))
-    alone = rows.join(regions, "node", "left_anti").select("node", "cluster_id")
-    named = f"node struct<target:{kind},segment_id:int>, cluster_id int"
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(range(len(left)), key=lambda i: (left["node"].iloc[i]["target"], left["node"].iloc[i]["segment_id"]))
-        at = {(n["target"], n["segment_id"]): j for j, n in enumerate(left["node"].iloc[order])}
-        links = [(at[u["target"], u["segment_id"]], at[v["target"], v["segment_id"]], w) for u, v, w in zip(right["u"], right["v"], right["weight"], strict=True)]
-        costs = np.stack([left["cost"].iloc[i] for i in order])
-        return pd.DataFrame({"node": [dict(left["node"].iloc[i]) for i in order], "cluster_id": smooth_labels(costs, sorted(links), strength, sweeps)})
-
-    exact = rows.join(small, "node")
-    inner = edges.join(small.select(F.col("node").alias("u"), F.col("region").alias("part")), "u").join(rows.select(F.col("node").alias("v")), "v", "left_semi").join(rows.select(F.col("node").alias("u")), "u", "left_semi")
-    done = exact.groupBy("region").cogroup(inner.groupBy("part")).applyInPandas(run, named)
-    parts = [alone, done]
-    if not large.isEmpty():
-        sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
-        sides = settled(sides.join(large.select(F.col("node").alias("u")), "u", "left_semi"))
-        now = rows.join(large, "node", "left_semi")
-        for turn in range(3 * sweeps):
-            rank = lambda c, turn=turn: F.xxhash64(F.lit(turn), F.col(f"{c}.target"), F.col(f"{c}.segment_id"))
-            near = sides.join(now.select(F.col("node").alias("v"), F.col("cluster_id").alias("label")), "v")
-            sums = near.groupBy("u", "label").agg(F.sum("weight").alias("w"), F.max(rank("v")).alias("r"))
-            pulls = sums.groupBy(F.col("u").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("label", "w"))).alias("pulls"), F.max("r").alias("most"))
-            joined = now.join(pulls, "node", "left")
-            cost = F.transform("cost", lambda c, i: c - strength * F.coalesce(F.try_element_at("pulls", i), F.lit(0.0)))
-            best = F.array_position(cost, F.array_min(cost)).cast("int") - 1
-            free = rank("node") > F.col("most")
-            moved = joined.select("node", "cost", F.when(free, best).otherwise(F.col("cluster_id")).alias("cluster_id"), (free & (best != F.col("cluster_id"))).alias("changed"), (best != F.col("cluster_id")).alias("wants"))
-            moved = settled(moved)
-            now = moved.select("node", "cost", "cluster_id")
-            if moved.filter("changed or wants").isEmpty():
-                break
-        parts.append(now.select("node", "cluster_id"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out.select("node.target", "node.segment_id", "cluster_id")

@@ -128,21 +128,33 @@ def test_dendrogram_heights(spark, monkeypatch):
     assert np.allclose(got, sorted(m[0] for m in linkage.merges_of(x))) and len(got) == 199
 
 
-def test_smoothing_by_joins(spark):
+@pytest.mark.parametrize(("n", "links", "task_nodes"), [(40, 90, 20_000), (40, 60, 9), (9, 14, 1)])
+def test_smoothing_in_row_order_whatever_the_blocks(spark, n, links, task_nodes):
     rng = np.random.default_rng(7)
-    n = 40
     p = rng.dirichlet([1, 1, 1], n)
-    links = sorted({tuple(sorted(map(int, rng.choice(n, 2, replace=False)))) for _ in range(90)})
+    pairs = sorted({tuple(sorted(map(int, rng.choice(n - 1, 2, replace=False)))) for _ in range(links)})
+    weights = rng.uniform(0.5, 1.5, len(pairs))
     table = spark.createDataFrame([(i, 0, p[i].tolist()) for i in range(n)], "target int, segment_id int, p array<double>")
-    graph = spark.createDataFrame([(a, 0, b, 0, 1.0) for a, b in links], "a int, a_segment int, b int, b_segment int, weight double")
+    rows = [(a, 0, b, 0, float(w)) for (a, b), w in zip(pairs, weights, strict=True)]
+    graph = spark.createDataFrame([*rows, (0, 0, 99, 0, 5.0)], "a int, a_segment int, b int, b_segment int, weight double")
     unary = -np.log(np.clip(p, 1e-10, 1))
-    energy = lambda y: sum(unary[i][y[i]] for i in range(n)) + sum(0.8 * (y[a] != y[b]) for a, b in links)
-    exact = {r.target: r.cluster_id for r in model.smooth_segments(table, graph, 0.8).collect()}
-    assert [exact[i] for i in range(n)] == model.smooth_labels(unary, [(a, b, 1.0) for a, b in links], 0.8).tolist()
-    swept = {r.target: r.cluster_id for r in model.smooth_segments(table, graph, 0.8, exact_segments=0).collect()}
-    assert len(swept) == n and energy(swept) <= energy(dict(enumerate(unary.argmin(axis=1))))
-    for i in range(n):  # no single change is better
-        assert all(energy(swept) <= energy(swept | {i: c}) + 1e-9 for c in range(3))
+    got = {r.target: r.cluster_id for r in model.smooth_segments(table, graph, 0.8, task_nodes=task_nodes).collect()}
+    want = model.smooth_labels(unary, [(r[0], r[2], r[4]) for r in rows], 0.8).tolist()
+    assert [got[i] for i in range(n)] == want and want != unary.argmin(axis=1).tolist()
+
+
+def test_smoothing_stops_as_in_memory_and_says_so(spark):
+    """A path whose labels turn one sweep at a time against the row order."""
+    n = 6
+    unary = np.array([[0.9, 0.0]] * (n - 1) + [[0.0, 9.0]])
+    p = np.exp(-unary).tolist()
+    table = spark.createDataFrame([(i, 0, p[i]) for i in range(n)], "target int, segment_id int, p array<double>")
+    graph = spark.createDataFrame([(i, 0, i + 1, 0, 1.0 + i) for i in range(n - 1)], "a int, a_segment int, b int, b_segment int, weight double")
+    links = [(i, i + 1, 1.0 + i) for i in range(n - 1)]
+    with pytest.warns(UserWarning, match="last of 2 sweeps"):
+        got = {r.target: r.cluster_id for r in model.smooth_segments(table, graph, 1.0, sweeps=2, task_nodes=3).collect()}
+    assert [got[i] for i in range(n)] == model.smooth_labels(unary, links, 1.0, 2).tolist() != model.smooth_labels(unary, links, 1.0).tolist()
+    assert model.smooth_segments(table.limit(0), graph, 1.0).collect() == []
 
 
 def strata_of(spark):
