@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
 from .linkage import agglomerate, squares, ward
+from .selection import percentiles
 from .smoothing import connected, smooth_labels, smooth_segments
 
 __all__ = ["agglomerate", "connected", "smooth_labels", "smooth_segments", "ward"]
@@ -23,13 +25,15 @@ __all__ = ["agglomerate", "connected", "smooth_labels", "smooth_segments", "ward
 
 def robust_scale(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
     """Median imputation, then (x - median) / IQR with 1 for an IQR of 0; exact percentiles, columns without a value are
-    dropped. Two passes; the percentiles of all columns come back as one row."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+    dropped. The percentiles of all columns are found together, with no column in one task."""
+    held = settled(df)
+    quartiles = [0.25, 0.5, 0.75]
+    q = percentiles(held, columns, quartiles)
     kept = [c for c in columns if q[c] is not None]
     # imputed values move the quartiles: they count as the median
-    filled = df.withColumns({c: F.coalesce(c, F.lit(float(q[c][1]))) for c in kept})
-    q = filled.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in kept]).first() if kept else {}
-    scaled = {c: (F.col(c) - float(q[c][1])) / (float(q[c][2] - q[c][0]) or 1.0) for c in kept}
+    filled = held.withColumns({c: F.coalesce(c, F.lit(q[c][1])) for c in kept})
+    q = percentiles(filled, kept, quartiles)
+    scaled = {c: (F.col(c) - q[c][1]) / ((q[c][2] - q[c][0]) or 1.0) for c in kept}
     return filled.withColumns(scaled), kept
 
 

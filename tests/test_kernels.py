@@ -5,7 +5,9 @@ import math
 import numpy as np
 import pytest
 
-from profseg.operators import detect, model, spectral
+from pyspark.sql import functions as F
+
+from profseg.operators import detect, model, selection, spectral
 
 
 def matrix_map(x, model_of, hazard, least_run):
@@ -183,3 +185,24 @@ def test_band_energies_of_a_sine(spark):
     assert abs(low["value"] - 0.1 * low["depth"]).median() < 0.1
     whole = spectral.profile_power(rows, "x").orderBy("power", ascending=False).first()
     assert whole.freq == pytest.approx(1.5, abs=0.1)
+
+
+@pytest.mark.parametrize("few", [0, 1, 40, 4096])
+def test_percentiles_by_radix_selection(spark, few):
+    rng = np.random.default_rng(11)
+    n = 700
+    a, b = rng.normal(0, 100, n), rng.integers(-3, 4, n).astype(float)
+    c = np.where(rng.random(n) < 0.6, rng.normal(0, 1e-300, n), 1e300)
+    rows = [(float(a[i]), float(b[i]) if i % 3 else None, float(c[i]), None, 7.0 if i == 5 else None, int(i * 10**15)) for i in range(n)]
+    df = spark.createDataFrame(rows, "a double, `b.x` double, c double, d double, e double, f long").repartition(3)
+    at = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    want = df.agg(*[F.percentile(f"`{x}`", F.array(*map(F.lit, at))).alias(x) for x in df.columns]).first().asDict()
+    assert selection.percentiles(df, df.columns, at, few) == {x: v and list(v) for x, v in want.items()}
+    assert selection.percentiles(df.limit(0), ["a"], at, few) == {"a": None} and selection.percentiles(df, [], at) == {}
+
+
+def test_ordered_bits_order_as_values():
+    x = np.array([-np.inf, -1e300, -1.5, -5e-324, -0.0, 0.0, 5e-324, 1.5, 1e300, np.inf, np.nan])
+    bits = selection.ordered_bits(x)
+    assert (np.diff(bits.astype(object)) >= 0).all() and bits[4] == bits[5]
+    assert [selection.value_of(int(v)) for v in bits[:10]] == x[:10].tolist()
