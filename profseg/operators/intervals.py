@@ -73,7 +73,7 @@ def assign(df: DataFrame, segs: DataFrame, inclusive: bool = False) -> DataFrame
 
 def dominant_unit(segs: DataFrame, strata: DataFrame) -> DataFrame:
     """Segments with the unit of the stratum that overlaps most; the first of equals, NULL without overlap.
-    strata: target, top, bottom, unit, file_pos, in any order, overlapping or not. Segments and strata meet in cells of the
+    strata: target, top, bottom, unit, file_pos (of any type that orders), in any order, overlapping or not. Segments and strata meet in cells of the
     width of a target's average interval, so that few pairs don't overlap."""
     keys = ["target", "segment_id", "top", "bottom"]
     size = segs.groupBy("target").agg(F.greatest(F.avg(F.col("bottom") - F.col("top")), F.lit(1e-9)).alias("_w"))
@@ -83,7 +83,7 @@ def dominant_unit(segs: DataFrame, strata: DataFrame) -> DataFrame:
     s = s.withColumns({"_from": F.greatest("_t", "_lo"), "_to": F.least("_b", "_hi")})
     overlap = F.least("bottom", "_b") - F.greatest("top", "_t")
     # a pair that shares several cells counts in each alike: the largest overlap is the same
-    best = F.max_by("unit", F.struct(overlap, -F.col("file_pos")))
+    best = F.min_by("unit", F.struct(-overlap, "file_pos"))
     found = cells(segs, "top", "bottom").join(cells(s, "_from", "_to"), ["target", "_cell"]).filter(overlap > 0).groupBy(*keys).agg(best.alias("unit"))
     return segs.join(found, keys, "left")
 

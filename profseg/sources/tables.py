@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,8 +69,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def in_file_order(df: DataFrame) -> DataFrame:
-    """With file_pos, which grows in the order of the rows of a file."""
-    return df.withColumn("file_pos", F.monotonically_increasing_id())
+    """With file_pos, which grows in the order of the files' names and of the rows in each: a file's name, where a split of it
+    begins and the row's place in that. How splits are packed into tasks doesn't matter. Tables that are no files go by partition."""
+    row = F.monotonically_increasing_id()
+    try:
+        return df.withColumn("file_pos", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), row.alias("row")))
+    except AnalysisException:
+        return df.withColumn("file_pos", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("split"), row.alias("row")))
 
 
 def need(df: DataFrame, columns: list[str]) -> DataFrame:

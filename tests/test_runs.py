@@ -251,3 +251,25 @@ def test_windowed_means(spark, tmp_path):
     query = online.windowed_means(stream, "at", "value").writeStream.format("memory").queryName("means").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert [(r["mean"], r.n) for r in spark.table("means").orderBy("start").collect()] == [(1.5, 4), (5.5, 4)]
+
+
+def test_order_of_rows_over_several_files_and_splits(spark, tmp_path):
+    """The first point of a target is that of the first file by name, however files are packed and split into tasks."""
+    head = "PointID,Target,Top,Bottom,UNIT\n"
+    (tmp_path / "a.csv").write_text(head + "first,T1,0,1,A\n" + "".join(f"p{i},T{i},{i},{i + 1},A\n" for i in range(2, 40)))
+    (tmp_path / "b.csv").write_text(head + "second,T1,0,2,B\n" + "".join(f"q{i},T{i},{i},{i + 1},{'B' * 50}\n" for i in range(2, 4000)))
+    rows = tables.read_csv(spark, str(tmp_path))
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = {r.target: (r.point_id, r.unit[0]) for r in tables.strata(rows).collect()}
+            order = [(r.file_pos.file.rsplit("/", 1)[1], r.point_id) for r in tables.strata(rows).orderBy("file_pos").collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == {f"T{i}": ("first" if i == 1 else f"p{i}" if i < 40 else f"q{i}", "A" if i < 40 else "B") for i in range(1, 4000)}
+        assert order == [("a.csv", "first"), *[("a.csv", f"p{i}") for i in range(2, 40)], *[("b.csv", f"q{i}") for i in range(40, 4000)]]
+    places = tables.locations(tables.read_csv(spark, str(tmp_path)).select("Target", F.col("Bottom").alias("X"), F.lit("1").alias("Y"), F.lit("").alias("Z")))
+    assert {r.target: r.x for r in places.filter("target in ('T1', 'T50')").collect()} == {"T1": 1.0, "T50": 51.0}
+    segs = spark.createDataFrame([("T1", 0, 0.0, 2.0)], "target string, segment_id int, top double, bottom double")
+    ties = tables.strata(spark.createDataFrame([("p", "T1", "0", "1", "X"), ("p", "T1", "1", "2", "Y")], "PointID string, Target string, Top string, Bottom string, UNIT string").coalesce(1))
+    assert intervals.dominant_unit(segs, ties).first().unit == "X"
