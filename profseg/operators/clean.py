@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,6 +78,34 @@ def depths_at(df: DataFrame, indexes: DataFrame) -> DataFrame:
     return indexes.join(numbered, ["target", "index"])
 
 
+def moving_polynomial(size: int, degree: int = 3) -> np.ndarray:
+    """Weights of a window's samples in the value that its least-squares polynomial has at each of its places."""
+    powers = np.vander(np.arange(size) - size // 2, min(degree, size - 1) + 1, increasing=True).astype(float)
+    q, _ = np.linalg.qr(powers)
+    return q @ q.T
+
+
+def smoothed(df: DataFrame, x: str, window: int, name: str | None = None) -> DataFrame:
+    """`x` by a moving cubic over `window` samples (odd; an even one counts as one more); the ends follow the polynomial of the first
+    and the last window. A profile shorter than that has the largest odd window that fits; below three nothing is smoothed. `x` has
+    no NULLs."""
+    name = name or x
+    if window < 3:
+        return df.withColumn(name, F.col(x))
+    window += 1 - window % 2
+    weights = F.array(*[F.array(*[F.array(*map(F.lit, row)) for row in moving_polynomial(size).tolist()]) for size in range(3, window + 1, 2)])
+    rows = df.withColumns({"_w": F.collect_list(x).over(by_depth().rowsBetween(1 - window, window - 1)), "_i": F.row_number().over(by_depth()) - 1, "_n": F.count("*").over(Window.partitionBy("target"))})
+    size = F.least(F.lit(window), F.col("_n") - 1 + F.col("_n") % 2).cast("int")
+    half = F.shiftright("_size", 1)
+    place = F.when(F.col("_i") < half, F.col("_i")).when(F.col("_i") >= F.col("_n") - half, F.col("_size") - F.col("_n") + F.col("_i")).otherwise(half).cast("int")
+    rows = rows.withColumn("_size", size).withColumn("_place", place)
+    first = F.col("_i") - F.col("_place") - F.greatest(F.lit(0), F.col("_i") - (window - 1))
+    near = F.slice("_w", (first + 1).cast("int"), F.greatest(F.col("_size"), F.lit(1)))
+    own = F.get(F.get(weights, (F.shiftright("_size", 1) - 1).cast("int")), F.col("_place"))
+    total = F.aggregate(F.zip_with(near, own, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return rows.withColumn(name, F.when(F.col("_size") >= 3, total).otherwise(F.col(x))).drop("_w", "_i", "_n", "_size", "_place")
+
+
 def gradient_uniform(x: str, step: Column, order: Window | None = None) -> Column:
     """Central differences on a grid of one step, one-sided at the ends; NULL in a profile of one sample."""
     w = order if order is not None else by_depth()

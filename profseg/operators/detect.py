@@ -312,13 +312,15 @@ def change_points(df: DataFrame, sensors: list[str], mean_from_signal: bool = Tr
     """Change points of every profile: a row each, and one with NULLs for a profile without any.
 
     df: target, depth, the sensors, and from the hazard spec the columns h (NULL: 1 / n), least_run and factor, each
-    optional. One sensor: its signal, centred at its median; several: standardised vectors. One shuffle by target.
+    optional. One sensor: its signal, centred at its median; several: standardised vectors. Points closer than `min_separation` or
+    least_run behind one that is kept are left out. One shuffle by target.
     """
 
     def run(table: pa.Table) -> pa.Table:
         p = Profile.of(table)
         found = run_profile(p, sensors, mean_from_signal, kappa, alpha, beta, smooth, None, least_share)
-        at = separated(found.boundaries.tolist() if method == "map" else drops(found.run), max(min_separation, 1))
+        least = int(p.columns["least_run"][0]) if "least_run" in p.columns else 1
+        at = separated(found.boundaries.tolist() if method == "map" else drops(found.run), max(min_separation, least, 1))
         rows = [(p.target, i, float(p.depth[i]), float(found.p_change[i]), len(p.depth), found.log_evidence) for i in at] or [(p.target, None, None, None, len(p.depth), found.log_evidence)]
         kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
         return pa.table({c.split()[0]: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(zip(RESULT.split(", "), kinds, strict=True))})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import settled
-from .clean import by_depth, gradient_uniform, step_of
+from .clean import by_depth, gradient_uniform, smoothed, step_of
 
 LARGEST = 1.0 - 1e-12
 
@@ -89,10 +89,11 @@ def contrast_parameters(iqr: Column, noise: Column, threshold: float = 2.5) -> d
 KAPPA = {"base": 0.6, "least": 0.5, "most": 2.5, "quantile": 0.8, "weights": (0.5, 0.35, 0.15)}
 
 
-def kappa_inputs(df: DataFrame, x: str, quantile: float = KAPPA["quantile"]) -> DataFrame:
-    """(target, step, n, iqr, g75, spacing, n_strong): what a profile's thickness prior is blended of."""
+def kappa_inputs(df: DataFrame, x: str, quantile: float = KAPPA["quantile"], smooth: int = 0) -> DataFrame:
+    """(target, step, n, iqr, g75, spacing, n_strong): what a profile's thickness prior is blended of, by its signal smoothed over
+    at most so many samples (odd, an even number counts as one less)."""
     w, whole = by_depth(), Window.partitionBy("target")
-    rows = df.join(step_of(df), "target").withColumn("_g", F.abs(gradient_uniform(x, F.col("step"))))
+    rows = smoothed(df, x, smooth - 1 + smooth % 2).join(step_of(df), "target").withColumn("_g", F.abs(gradient_uniform(x, F.col("step"))))
     rows = rows.withColumns({"_q": F.percentile("_g", F.lit(quantile)).over(whole), "_b": F.lag("_g").over(w), "_a": F.lead("_g").over(w)})
     strong = (F.col("_g") > F.col("_b")) & (F.col("_g") >= F.col("_a")) & (F.col("_g") >= F.col("_q"))
     # the depth of the strong peak before, without a second pass over the samples
@@ -115,11 +116,11 @@ def blended(floor: float = 0.0, base: float = KAPPA["base"], least: float = KAPP
     return {name: F.when(few, short).otherwise(v) for name, v in (("thickness", whole), ("peak_spacing", spacing), ("variation_scale", scale))}
 
 
-def adaptive_kappa(df: DataFrame, x: str, floor: float = 0.0, base: float = KAPPA["base"], least: float = KAPPA["least"], most: float = KAPPA["most"], quantile: float = KAPPA["quantile"]) -> DataFrame:
+def adaptive_kappa(df: DataFrame, x: str, floor: float = 0.0, base: float = KAPPA["base"], least: float = KAPPA["least"], most: float = KAPPA["most"], quantile: float = KAPPA["quantile"], smooth: int = 0) -> DataFrame:
     """(target, thickness, kappa, peak_spacing, variation_scale, n_strong): a thickness prior of each profile, blended of a
     base, the spacing of strong gradient peaks and IQR over the upper quartile of the gradient."""
     parts = blended(floor, base, least, most)
-    rows = kappa_inputs(df, x, quantile).withColumns(parts)
+    rows = kappa_inputs(df, x, quantile, smooth).withColumns(parts)
     strong = F.when(F.col("n") < 3, 0).otherwise(F.col("n_strong")).cast("long").alias("n_strong")
     return rows.select("target", "thickness", (F.col("thickness") / F.col("step")).alias("kappa"), "peak_spacing", "variation_scale", strong)
 

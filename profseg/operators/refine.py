@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .clean import by_depth, gradient_uniform
+from .clean import by_depth, gradient_uniform, smoothed
 
 
-def with_gradient(df: DataFrame, x: str, step: Column) -> DataFrame:
-    """Samples with index i (from 0), g = |gradient| and whether they are a local peak of it."""
-    rows = df.select("target", "depth", (F.row_number().over(by_depth()) - 1).alias("i"), F.abs(gradient_uniform(x, step)).alias("g"))
+def with_gradient(df: DataFrame, x: str, step: Column, smooth: int = 0) -> DataFrame:
+    """Samples with index i (from 0), g = |gradient| and whether they are a local peak of it; of the signal smoothed over so many
+    samples."""
+    rows = smoothed(df, x, smooth).select("target", "depth", (F.row_number().over(by_depth()) - 1).alias("i"), F.abs(gradient_uniform(x, step)).alias("g"))
     peak = (F.col("g") > F.lag("g").over(by_depth())) & (F.col("g") >= F.lead("g").over(by_depth()))
     return rows.withColumn("peak", F.coalesce(peak, F.lit(False)))
 

@@ -14,9 +14,14 @@ class Detection:
     alpha: float = 1.0
     beta: float = 0.1
     mean_from_signal: bool = True
+    features: tuple[str, ...] = ()  # several: standardised vectors instead of the feature
     base: str = "const"  # or depth
     expected_thickness: float | None = None  # None: the number of samples
     adaptive_thickness: bool = False
+    adaptive_base: float = 0.6
+    adaptive_least: float = 0.5
+    adaptive_most: float = 2.5
+    adaptive_smooth: int = 11  # samples
     least_thickness: float = 0.0
     smooth: str | None = None
     contrast: bool | None = None  # None: by signal-to-noise ratio
@@ -25,7 +30,9 @@ class Detection:
     refine_radius: float = 0.0
     refine_nearest: bool = False
     refine_ratio: float | None = None
+    refine_smooth: int = 5  # samples
     drop_quantile: float | None = None
+    auto_drop: bool = False  # the drop quantile follows the signal-to-noise ratio
     least_separation: float = 0.0
     neighbours: int = 0
     neighbour_strength: float = 1.0
@@ -33,8 +40,9 @@ class Detection:
     least_share: float = 0.0  # runs below this share of the posterior are dropped
 
 
-BASELINE = Detection(expected_thickness=0.6)
-CANDIDATE = Detection(adaptive_thickness=True, least_thickness=0.75, refine_radius=0.3, smooth="savgol")
+#: The settings of the two standard runs, thicknesses in depth units.
+BASELINE = Detection(mean_from_signal=False, contrast=False)
+CANDIDATE = Detection(mean_from_signal=False, adaptive_thickness=True, adaptive_base=1.0, adaptive_least=0.75, adaptive_most=30.0, adaptive_smooth=0, least_thickness=0.75, smooth="savgol", refine_radius=0.3, refine_smooth=0, auto_drop=True)
 
 
 #: The words of definitions.

@@ -31,15 +31,22 @@ def _noise(rows: DataFrame, step: float) -> DataFrame:
     return both.select("*", *[c.alias(n) for n, c in hazards.contrast_parameters(F.col("iqr"), F.col("local_noise")).items()])
 
 
-def detect_profiles(df: DataFrame, cfg: Detection, step: float = 0.02, places: DataFrame | None = None, with_probability: bool = False) -> DataFrame:
-    """(target, i, boundary) of profiles (target, depth, the feature), and p_change if asked for (without refinement). `step`
-    turns windows into samples; hazards use each profile's own. With neighbours, a second pass has the density of the first
-    one's points around as a factor."""
-    rows = _rows(df, cfg.feature)
+def _prior(rows: DataFrame, cfg: Detection) -> DataFrame:
+    return hazards.adaptive_kappa(rows, "x", cfg.least_thickness, cfg.adaptive_base, cfg.adaptive_least, cfg.adaptive_most, smooth=cfg.adaptive_smooth)
+
+
+def detect_profiles(df: DataFrame, cfg: Detection, step: float = 0.02, places: DataFrame | None = None, with_probability: bool = False, around: DataFrame | None = None) -> DataFrame:
+    """(target, i, boundary) of profiles (target, depth, the feature or features), and p_change if asked for (without refinement).
+    `step` turns windows into samples; hazards use each profile's own. With neighbours, the density of the points (target,
+    boundary) in `around` is a factor; without these, of the points that a first pass finds. Vectors aren't refined."""
+    sensors = list(cfg.features) or [cfg.feature]
+    if len(sensors) > 1 and (cfg.contrast is not False or cfg.adaptive_thickness):
+        raise ValueError("contrast and adaptive thickness are those of one feature")
+    rows = df.select(F.col("target").cast("string").alias("target"), F.col("depth").cast("double").alias("depth"), *[F.col(c).cast("double").alias("x" if len(sensors) == 1 else f"x{i}") for i, c in enumerate(sensors)])
+    signals = ["x"] if len(sensors) == 1 else [f"x{i}" for i in range(len(sensors))]
     spec = rows.join(clean.step_of(rows), "target")
     if cfg.adaptive_thickness:
-        prior = hazards.adaptive_kappa(rows, "x", cfg.least_thickness).select("target", "kappa", "thickness")
-        spec = spec.join(prior, "target")
+        spec = spec.join(_prior(rows, cfg).select("target", "kappa", "thickness"), "target")
     if cfg.base == "depth":
         first = F.col("thickness") if cfg.adaptive_thickness else 1.0
         spec = spec.withColumn("h", hazards.depth_aware(F.col("depth"), F.col("step"), first))
@@ -59,10 +66,10 @@ def detect_profiles(df: DataFrame, cfg: Detection, step: float = 0.02, places: D
         spec = hazards.with_rate_factor(spec, "contrast", strength, "factor")
 
     def found(rows: DataFrame) -> DataFrame:
-        out = detect.change_points(rows, ["x"], cfg.mean_from_signal, cfg.kappa, cfg.alpha, cfg.beta, smooth=cfg.smooth, least_share=cfg.least_share)
+        out = detect.change_points(rows, signals, cfg.mean_from_signal, cfg.kappa, cfg.alpha, cfg.beta, smooth=cfg.smooth, least_share=cfg.least_share)
         return out.filter("boundary_index is not null").select("target", F.col("boundary_index").alias("i"), F.col("boundary_depth").alias("boundary"), "p_change")
 
-    points = found(spec)
+    points = around.select(F.col("target").cast("string").alias("target"), "boundary") if around is not None else found(spec)
     if cfg.neighbours and places is not None:
         near = places.withColumn("target", F.col("target").cast("string"))
         density = hazards.neighbour_density(near, points, rows.join(near, "target", "left_semi"), cfg.neighbours, cfg.bandwidth)
@@ -70,11 +77,16 @@ def detect_profiles(df: DataFrame, cfg: Detection, step: float = 0.02, places: D
         spec = hazards.with_rate_factor(spec, "density", cfg.neighbour_strength, "around")
         spec = spec.withColumn("factor", F.col("around") * F.col("factor") if "factor" in spec.columns else F.col("around")).drop("around", "density")
         points = found(spec)
-    if not cfg.refine_radius:
+    if not cfg.refine_radius or len(sensors) > 1:
         return points if with_probability else points.drop("p_change")
-    samples = refine.with_gradient(rows.join(clean.step_of(rows), "target"), "x", F.col("step"))
-    separation = _samples(cfg.least_separation, step) if cfg.least_separation else 0
-    moved = refine.snap(points, samples, _samples(cfg.refine_radius, step), cfg.refine_ratio, cfg.drop_quantile, cfg.refine_nearest, separation)
+    samples = refine.with_gradient(rows.join(clean.step_of(rows), "target"), "x", F.col("step"), cfg.refine_smooth)
+    apart = cfg.least_separation or cfg.least_thickness
+    separation = _samples(apart, step) if apart else 0
+    drop = cfg.drop_quantile
+    if cfg.auto_drop:
+        points = points.join(_noise(rows, step).select("target", F.col("drop_quantile").alias("_drop")), "target")
+        drop = F.col("_drop")
+    moved = refine.snap(points, samples, _samples(cfg.refine_radius, step), cfg.refine_ratio, drop, cfg.refine_nearest, separation)
     return moved.select("target", F.explode("indexes").alias("i")).join(samples.select("target", "i", F.col("depth").alias("boundary")), ["target", "i"])
 
 
@@ -86,8 +98,7 @@ def diagnostics(df: DataFrame, cfg: Detection, step: float = 0.02, places: DataF
     located = places.withColumn("target", F.col("target").cast("string")) if places is not None else None
     rows = _rows(df, x)
     out = stats.profile_statistics(own, [x], located, point)
-    prior = hazards.adaptive_kappa(rows, "x", cfg.least_thickness)
-    prior = prior.select("target", F.col("thickness").alias("adaptive_thickness_m"), F.col("kappa").alias("adaptive_kappa_samples"), F.col("n_strong").alias("n_strong_peaks"))
+    prior = _prior(rows, cfg).select("target", F.col("thickness").alias("adaptive_thickness_m"), F.col("kappa").alias("adaptive_kappa_samples"), F.col("n_strong").alias("n_strong_peaks"))
     noise = _noise(rows, step).select("target", F.col("snr").alias("auto_snr"), F.col("local_noise").alias("auto_local_noise"), F.col("drop_quantile").alias("auto_drop_quantile"), "contrast_strength")
     out = out.join(prior, "target").join(noise, "target")
     rough = F.col(f"profile_{x}_roughness")

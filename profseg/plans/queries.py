@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as fn
 from ..operators import clean, evaluate, hazards, intervals, refine, stats
@@ -169,6 +171,58 @@ def gradient_depth(spark, sf):
     return rounded(tb.item_profiles(spark, sf).select("target", "depth", clean.gradient_depth("l_quantity").alias("gradient")))
 
 
+def _cubic_sql(x: str, window: int, order: str) -> str:
+    """A moving cubic as SQL: weighted lags for the middle, for either end the weights of its place; profiles have as many samples."""
+    def weights(at: int) -> list[Fraction]:
+        # orthogonal polynomials over the window's places, in fractions
+        places = [Fraction(i - window // 2) for i in range(window)]
+        basis: list[list[Fraction]] = []
+        for power in range(4):
+            v = [p**power for p in places]
+            for b in basis:
+                share = sum(a * c for a, c in zip(v, b, strict=True)) / sum(c * c for c in b)
+                v = [a - share * c for a, c in zip(v, b, strict=True)]
+            basis.append(v)
+        return [sum(b[at] * b[i] / sum(c * c for c in b) for b in basis) for i in range(window)]
+
+    def value(at: int) -> str:
+        return " + ".join(f"{float(w)!r} * " + (f"lag({x}, {at - i}) over {order}" if i < at else f"lead({x}, {i - at}) over {order}" if i > at else x) for i, w in enumerate(weights(at)))
+
+    half = window // 2
+    cases = " ".join([f"when i = {at} then {value(at)}" for at in range(half)] + [f"when m - i = {window - at} then {value(at)}" for at in range(half + 1, window)])
+    return f"case {cases} else {value(half)} end"
+
+
+#: Profiles of eleven samples at least, smoothed.
+_LONG = ", lg as (select e.*, count(*) over (partition by target) as m from enum e qualify m >= 11)"
+
+
+@query(_LONG + f", sm as (select target, depth, i, {_cubic_sql('value', 5, 'w')} as five, {_cubic_sql('value', 11, 'w')} as eleven from lg window w as (partition by target order by depth)) select target, i, {r(depth='depth', five='five', eleven='eleven')} from sm")
+def moving_cubic(spark, sf):
+    rows = tb.events(spark, sf).select("target", "depth", "value", F.count("*").over(Window.partitionBy("target")).alias("m"), (F.row_number().over(clean.by_depth()) - 1).cast("long").alias("i")).filter("m >= 11")
+    return rounded(clean.smoothed(clean.smoothed(rows, "value", 11, "eleven"), "value", 5, "five").select("target", "i", "depth", "five", "eleven"))
+
+
+_SMOOTH_GRAD = (
+    _STEP
+    + _LONG
+    + """, sx as (select target, depth, i, {cubic} as x from lg window w as (partition by target order by depth)), gr as (select e.target, depth, i, x, step, abs(coalesce((lead(x) over w - lag(x) over w) / (2 * step), (lead(x) over w - x) / step, (x - lag(x) over w) / step)) as g
+  from sx e join st on e.target = st.target window w as (partition by e.target order by depth)),
+pk as (select *, coalesce(g > lag(g) over w and g >= lead(g) over w, false) as peak from gr window w as (partition by target order by depth))
+"""
+)
+
+
+def _long_events(spark, sf):
+    return tb.events(spark, sf).select("target", "depth", "value", F.count("*").over(Window.partitionBy("target")).alias("m")).filter("m >= 11").drop("m")
+
+
+@query(_SMOOTH_GRAD.format(cubic=_cubic_sql("value", 5, "w")) + f"select target, i, peak, {r(depth='depth', g='g')} from pk")
+def gradient_peaks_smoothed(spark, sf):
+    rows = _long_events(spark, sf)
+    return rounded(refine.with_gradient(rows.join(clean.step_of(rows), "target"), "value", F.col("step"), smooth=5).withColumn("i", F.col("i").cast("long")))
+
+
 _NOISE = """, ns as (select target, i, case when count(value) over w >= 3 then stddev_pop(value) over w end as s from enum window w as (partition by target order by depth rows between 4 preceding and 4 following)),
 nz as (select target, median(s) filter (where i % 2 = 0) as noise from ns group by target)
 """
@@ -202,6 +256,16 @@ def adaptive_kappa(spark, sf):
     return rounded(hazards.adaptive_kappa(tb.events(spark, sf).select("target", "depth", "value"), "value", base=24.0, most=240.0))
 
 
+@query(_SMOOTH_GRAD.format(cubic=_cubic_sql("value", 11, "w")) + f""", q as (select target, quantile_cont(g, 0.8) as q8, quantile_cont(g, 0.75) as g75, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as iqr, first(step) as step, count(*) as n from pk group by target),
+s as (select pk.target, depth - lag(depth) over (partition by pk.target order by depth) as d from pk join q on pk.target = q.target where peak and g >= q8),
+t as (select target, median(d) as spacing, count(*)::bigint as k from s group by target),
+b as (select q.target, q.step, coalesce(k, 0) as k, greatest(0.5, q.step) as lo, greatest(0.5, q.step, 240) as hi, coalesce(spacing, 24) as spacing, case when g75 > 0 then iqr / g75 else 24 end as scale from q left join t on q.target = t.target),
+c as (select *, least(greatest(spacing, lo), hi) as ps, least(greatest(scale, lo), hi) as vs from b), e as (select *, least(greatest(0.5 * 24 + 0.35 * ps + 0.15 * vs, lo), hi) as th from c)
+select target, {r(thickness='th', kappa='th / step', peak_spacing='ps', variation_scale='vs')}, k as n_strong from e""")
+def adaptive_kappa_smoothed(spark, sf):
+    return rounded(hazards.adaptive_kappa(_long_events(spark, sf), "value", base=24.0, most=240.0, smooth=11))
+
+
 def _spec(spark, sf):
     rows = tb.events(spark, sf).select("target", "depth", "value")
     c = hazards.with_rate_factor(hazards.lr_contrast(rows, "value", 4), "contrast", 0.8, "factor").join(clean.step_of(rows), "target")
@@ -790,6 +854,19 @@ def robust_scale(spark, sf):
     return rounded(model.robust_scale(_features(spark, sf).select("target", "segment_id", *names), names)[0])
 
 
+_SHARES = (0.01, 0.25, 0.5, 0.9)
+_QUANTILES = " union all ".join(f"select '{c}' as name, unnest([{', '.join(map(str, _SHARES))}]) + 0.0 as share, round(unnest(quantile_cont({c}::double, [{', '.join(map(str, _SHARES))}])) + 1e-10, 6) + 0.0 as value from lineitem" for c in tb.SENSORS)
+
+
+@query(" " + _QUANTILES)
+def exact_percentiles(spark, sf):
+    """Percentiles of all columns at once, none of which is in one task."""
+    from ..operators.selection import percentiles
+
+    found = percentiles(tb.table(spark, sf, "lineitem"), tb.SENSORS, list(_SHARES))
+    return rounded(spark.createDataFrame([(c, q, v) for c, values in found.items() for q, v in zip(_SHARES, values, strict=True)], "name string, share double, value double"))
+
+
 def _matrix(spark, sf):
     return tb.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 

@@ -140,29 +140,37 @@ def grid_search(df: DataFrame, sensor: str, truth: DataFrame, axes: Axes, step:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(*f1, "combo")))
 
 
+_PLAIN = Detection(mean_from_signal=False, contrast=False)
+_K30, _DEPTH = replace(_PLAIN, expected_thickness=0.6), replace(_PLAIN, base="depth")
 #: The experiments of the ablation, thicknesses in depth units (kappa of 30 samples on a 0.02 grid is 0.6).
 ABLATION = {
-    "baseline_paper": Detection(contrast=False),
-    "uni_Ic_k30_const": Detection(contrast=False, expected_thickness=0.6),
-    "uni_Ic_depth": Detection(contrast=False, base="depth"),
-    "uni_Ic_k30_minthick05": Detection(contrast=False, expected_thickness=0.6, least_thickness=0.5),
-    "uni_Ic_depth_minthick05": Detection(contrast=False, base="depth", least_thickness=0.5),
-    "uni_Ic_k30_const_refine": Detection(contrast=False, expected_thickness=0.6, refine_radius=0.7),
-    "uni_Ic_k30_minthick05_refine": Detection(contrast=False, expected_thickness=0.6, least_thickness=0.5, refine_radius=0.7),
-    "uni_Ic_depth_minthick05_refine": Detection(contrast=False, base="depth", least_thickness=0.5, refine_radius=0.7),
-    "uni_Ic_k30_minthick05_refine_r03": Detection(contrast=False, expected_thickness=0.6, least_thickness=0.5, refine_radius=0.3),
+    "baseline_paper": _PLAIN,
+    "uni_Ic_k30_const": _K30,
+    "uni_Ic_depth": _DEPTH,
+    "uni_Ic_k30_minthick05": replace(_K30, least_thickness=0.5),
+    "uni_Ic_depth_minthick05": replace(_DEPTH, least_thickness=0.5),
+    "uni_Ic_k30_const_refine": replace(_K30, refine_radius=0.7),
+    "uni_Ic_k30_minthick05_refine": replace(_K30, least_thickness=0.5, refine_radius=0.7),
+    "uni_Ic_depth_minthick05_refine": replace(_DEPTH, least_thickness=0.5, refine_radius=0.7),
+    "uni_Ic_k30_minthick05_refine_r03": replace(_K30, least_thickness=0.5, refine_radius=0.3),
+}
+#: The experiments on vectors, which cost more and are run where asked for.
+MULTIVARIATE = {
+    "mv_logQtn_logFr_const": replace(_PLAIN, features=("logQtn", "logFr")),
+    "mv_logQtn_logFr_depth_minthick": replace(_DEPTH, features=("logQtn", "logFr"), least_thickness=0.5),
+    "mv_logQtn_logFr_U2_depth_minthick": replace(_DEPTH, features=("logQtn", "logFr", "U2"), least_thickness=0.5),
 }
 
 
 def scaled(cfg: Detection, feature: str, unit: float, **more) -> Detection:
     """A setting in another depth unit, for another feature."""
-    lengths = ("expected_thickness", "least_thickness", "contrast_window", "refine_radius", "least_separation", "bandwidth")
+    lengths = ("adaptive_base", "adaptive_least", "adaptive_most", "expected_thickness", "least_thickness", "contrast_window", "refine_radius", "least_separation", "bandwidth")
     return replace(cfg, feature=feature, **{k: v * unit for k in lengths if (v := getattr(cfg, k)) is not None}, **more)
 
 
 def ablation(df: DataFrame, truth: DataFrame, experiments: dict[str, Detection], step: float = 0.02, places: DataFrame | None = None, tolerances: tuple[float, ...] = TOLERANCES, neighbours: int = 6, strength: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """Every experiment, and the best of them by pooled F1 at the middle tolerance (the first of equals) once more with the density
-    of its own points around as a factor. Points (method, target, boundary) and a row of pooled scores a method."""
+    of its points in the targets around as a factor. Points (method, target, boundary) and a row of pooled scores a method."""
     named = lambda name, points: points.select(F.lit(name).alias("method"), F.col("target").cast("string").alias("target"), "boundary")
     true = truth.select(F.col("target").cast("string").alias("target"), "boundary")
     points = None
@@ -177,11 +185,12 @@ def ablation(df: DataFrame, truth: DataFrame, experiments: dict[str, Detection],
     f1 = {r.method: r[f"f1_{evaluate.name_of(tolerances[1])}"] for r in table.collect()}
     best = max(experiments, key=lambda name: f1[name])
     again = replace(experiments[best], neighbours=neighbours, neighbour_strength=strength)
-    spatial = settled(named(f"{best}__spatial", detect_profiles(df, again, step, places)))
+    predicted = points.filter(F.col("method") == best).select("target", "boundary")
+    spatial = settled(named(f"{best}__spatial", detect_profiles(df, again, step, places, around=predicted)))
     return points.unionByName(spatial), table.unionByName(score(spatial, [f"{best}__spatial"]))
 
 
-#: The refinements of the sweep, radii in depth units, and the quantiles of change probabilities to keep from.
+#: The refinements of the sweep, radii in depth units.
 REFINEMENTS = [
     *[{"radius": r} for r in (0.3, 0.5, 0.7, 1.0)],
     *[{"radius": r, "nearest": True} for r in (0.3, 0.5, 0.7, 1.0, 1.5)],
@@ -189,7 +198,13 @@ REFINEMENTS = [
     {"radius": 1.0, "nearest": True, "strength": 1.5},
     {"radius": 0.7, "strength": 2.0},
 ]
-SEPARATION = 0.5
+#: Least separation and samples of smoothing of refinements, the quantiles of change probabilities to keep from, smoothing
+#: windows by radius, ratios of the two radii, and quantiles of peaks that are added.
+SEPARATION, SMOOTH = 0.5, 5
+QUANTILES = (0.0, 0.10, 0.20, 0.30, 0.50)
+SMOOTHINGS = {0.3: (0, 5, 11, 21, 41, 81), 0.7: (5, 11, 21, 41, 81)}
+TWO_RADII, RATIOS = (0.3, 0.7), (1.3, 1.5, 2.0, 3.0)
+ADDED = (0.80, 0.85, 0.90, 0.95)
 
 
 def refinement_name(v: dict) -> str:
@@ -197,20 +212,43 @@ def refinement_name(v: dict) -> str:
     return "_".join([*parts, *[f"{k}{v[key]}" for k, key in (("sr", "strength"), ("dq", "drop")) if v.get(key) is not None]])
 
 
-def refine_sweep(df: DataFrame, truth: DataFrame, cfg: Detection, step: float = 0.02, unit: float = 1.0, refinements: list[dict] | None = None, quantiles: tuple[float, ...] = (0.25, 0.5), tolerances: tuple[float, ...] = TOLERANCES) -> DataFrame:
-    """A row of pooled scores for the raw points, for each refinement of them, and for those whose change probability reaches a
-    quantile of their profile's. Points are found once and written; all refinements are one pass over them."""
+def refine_sweep(df: DataFrame, truth: DataFrame, cfg: Detection, step: float = 0.02, unit: float = 1.0, refinements: list[dict] | None = None, tolerances: tuple[float, ...] = TOLERANCES) -> DataFrame:
+    """A row of pooled scores for the raw points, each refinement of them, refinements of those that are likely enough, refinements
+    of differently smoothed signals, the peaks of two radii, and the points with strong peaks added, refined. Points are found once and
+    written; so are the gradients of each smoothing, and all refinements by one of these are one pass over the points."""
     raw = settled(detect_profiles(df, replace(cfg, refine_radius=0.0), step, with_probability=True))
     rows = df.select(F.col("target").cast("string").alias("target"), F.col("depth").cast("double").alias("depth"), F.col(cfg.feature).cast("double").alias("x"))
-    samples = settled(refine.with_gradient(rows.join(clean.step_of(rows), "target"), "x", F.col("step")))
+    stepped = settled(rows.join(clean.step_of(rows), "target"))
+    windows = sorted({w for own in SMOOTHINGS.values() for w in own} | {SMOOTH})
+    samples = {w: settled(refine.with_gradient(stepped, "x", F.col("step"), w).withColumn("i", F.col("i").cast("long"))) for w in windows}
+    size = lambda length: max(1, round(length * unit / step))
+    variant = lambda name, v: v | {"name": name, "radius": size(v["radius"]), "separation": size(SEPARATION)}
     chosen = refinements if refinements is not None else REFINEMENTS
-    variants = [v | {"name": refinement_name(v), "radius": max(1, round(v["radius"] * unit / step)), "separation": max(1, round(SEPARATION * unit / step))} for v in chosen]
-    moved = refine.snap_variants(raw, samples, variants).select("variant", "target", F.explode("indexes").alias("i"))
-    moved = moved.join(samples.select("target", "i", F.col("depth").alias("boundary")), ["target", "i"]).select("variant", "target", "boundary")
-    parts = raw.select(F.lit("base_no_refine").alias("variant"), "target", "boundary").unionByName(moved)
-    for q in quantiles:
-        parts = parts.unionByName(refine.confident(raw, "p_change", q).select(F.lit(f"posterior_q{q}").alias("variant"), "target", "boundary"))
-    names = ["base_no_refine", *[v["name"] for v in variants], *[f"posterior_q{q}" for q in quantiles]]
+    small = {"radius": TWO_RADII[0]}
+    own = {SMOOTH: [variant(refinement_name(v), v) for v in chosen]}
+    for radius, sizes in SMOOTHINGS.items():
+        for w in sizes:
+            own.setdefault(w, []).append(variant(f"r{radius}_argmax_sw{w}", {"radius": radius}))
+    moved = [refine.snap_variants(raw, samples[w], vs).select("variant", "target", F.explode("indexes").alias("i")) for w, vs in own.items()]
+    # other sets of points, all under the small radius
+    points = raw.select("target", "i", "p_change")
+    sets = [(f"r0.3_argmax_conf_q{q:.2f}", refine.confident(points, "p_change", q).select("target", "i")) for q in QUANTILES]
+    sets += [(f"aug_topg{q:.2f}_r0.3_argmax", refine.augment(points, samples[SMOOTH], q, size(SEPARATION))) for q in ADDED]
+    others = None
+    for name, some in sets:
+        part = some.select(F.lit(name).alias("set"), "target", F.col("i").cast("long").alias("i"))
+        others = part if others is None else others.unionByName(part)
+    moved.append(refine.snap_variants(settled(others), samples[SMOOTH], [variant("", small)], ["set"]).select(F.col("set").alias("variant"), "target", F.explode("indexes").alias("i")))
+    for ratio in RATIOS:
+        far = refine.two_radii(points, samples[SMOOTH], size(TWO_RADII[0]), size(TWO_RADII[1]), ratio)
+        kept = far.groupBy("target").agg(refine.separate(F.array_sort(F.collect_set("j")), size(SEPARATION)).alias("indexes"))
+        moved.append(kept.select(F.lit(f"hybrid_r03_r07_ratio{ratio}").alias("variant"), "target", F.explode("indexes").alias("i")))
+    found = moved[0]
+    for more in moved[1:]:
+        found = found.unionByName(more)
+    placed = found.join(samples[SMOOTH].select("target", "i", F.col("depth").alias("boundary")), ["target", "i"])
+    parts = settled(raw.select(F.lit("base_no_refine").alias("variant"), "target", "boundary").unionByName(placed.select("variant", "target", "boundary")))
+    names = ["base_no_refine", *[v["name"] for vs in own.values() for v in vs], *[name for name, _ in sets], *[f"hybrid_r03_r07_ratio{r}" for r in RATIOS]]
     true = truth.select(F.col("target").cast("string").alias("target"), "boundary")
     return evaluate.pooled_by(evaluate.scores_by(parts, "variant", names, true, tolerances), "variant", tolerances)
 

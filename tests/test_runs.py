@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from profseg.operators import detect, evaluate, hazards, intervals, linkage, model, refine, stats
+from profseg.operators import clean, detect, evaluate, hazards, intervals, linkage, model, refine, stats
 from profseg.plans import charts, config, pipelines, queries, runs, search
 from profseg.plans import testbed as tb
 from profseg.sources import tables
@@ -273,3 +273,56 @@ def test_order_of_rows_over_several_files_and_splits(spark, tmp_path):
     segs = spark.createDataFrame([("T1", 0, 0.0, 2.0)], "target string, segment_id int, top double, bottom double")
     ties = tables.strata(spark.createDataFrame([("p", "T1", "0", "1", "X"), ("p", "T1", "1", "2", "Y")], "PointID string, Target string, Top string, Bottom string, UNIT string").coalesce(1))
     assert intervals.dominant_unit(segs, ties).first().unit == "X"
+
+
+def test_presets_are_the_standard_runs():
+    c, b = config.CANDIDATE, config.BASELINE
+    assert (c.mean_from_signal, c.base, c.contrast, c.smooth, c.neighbours) == (False, "const", None, "savgol", 0)
+    assert (c.adaptive_thickness, c.adaptive_base, c.adaptive_least, c.adaptive_most, c.adaptive_smooth) == (True, 1.0, 0.75, 30.0, 0)
+    assert (c.least_thickness, c.refine_radius, c.refine_smooth, c.refine_ratio, c.auto_drop, c.drop_quantile) == (0.75, 0.3, 0, None, True, None)
+    assert (b.mean_from_signal, b.expected_thickness, b.adaptive_thickness, b.least_thickness, b.refine_radius, b.contrast, b.smooth) == (False, None, False, 0.0, 0.0, False, None)
+    for name, e in search.ABLATION.items():
+        assert not e.mean_from_signal and e.contrast is False and not e.adaptive_thickness and e.smooth is None and e.drop_quantile is None
+        assert e.base == ("depth" if "depth" in name else "const") and e.expected_thickness == (0.6 if "k30" in name else None)
+        assert e.least_thickness == (0.5 if "minthick" in name else 0.0) and e.refine_smooth == 5
+        assert e.refine_radius == (0.3 if "r03" in name else 0.7 if "refine" in name else 0.0)
+    assert [len(e.features) for e in search.MULTIVARIATE.values()] == [2, 2, 3] and all(e.contrast is False for e in search.MULTIVARIATE.values())
+
+
+def test_smoothing_equals_the_plain_form_on_profiles_of_any_length(spark):
+    rng = np.random.default_rng(12)
+    x = {n: rng.normal(0, 1, n) for n in (1, 2, 3, 4, 5, 6, 11, 12, 40)}
+    df = spark.createDataFrame([(n, float(i), float(v)) for n, values in x.items() for i, v in enumerate(values)], "target int, depth double, x double")
+    for window in (0, 3, 5, 10, 11, 41):
+        got = {}
+        for row in clean.smoothed(df, "x", window, "y").orderBy("target", "depth").collect():
+            got.setdefault(row.target, []).append(row.y)
+        for n, values in x.items():
+            size = detect.odd_window(window + 1 - window % 2, n) if window >= 3 else 0
+            assert np.allclose(got[n], detect.savitzky_golay(values, size, min(3, size - 1)) if size else values, atol=1e-9)
+
+
+def test_least_run_holds_between_extracted_points(spark):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([np.full(9, 0.0), np.full(3, 6.0), np.full(3, -6.0), np.full(20, 3.0)]) + rng.normal(0, 0.05, 35)
+    df = spark.createDataFrame([("a", i * 0.1, float(v), 6) for i, v in enumerate(x)], "target string, depth double, x double, least_run int")
+    at = [r.boundary_index for r in detect.change_points(df, ["x"]).collect()]
+    assert at and (np.diff(at) >= 6).all()
+
+
+def test_sweep_has_all_its_rows_and_experiments_on_vectors(spark):
+    rng = np.random.default_rng(14)
+    rows = [(t, i * 0.02, float(level + rng.normal(0, 0.1)), float(-level + rng.normal(0, 0.1))) for t in ("a", "b") for i in range(120) for level in [(0.0, 2.0, -1.0)[i // 40]]]
+    df = spark.createDataFrame(rows, "target string, depth double, Ic double, other double")
+    truth = spark.createDataFrame([(t, b) for t in ("a", "b") for b in (0.8, 1.6)], "target string, boundary double")
+    table = {r.variant: r for r in search.refine_sweep(df, truth, search.ABLATION["uni_Ic_k30_minthick05"], 0.02).collect()}
+    assert len(table) == 1 + 12 + 5 + 11 + 4 + 4
+    assert {"base_no_refine", "r0.7_nearest_peak_sr1.5", "r0.3_argmax_conf_q0.30", "r0.7_argmax_sw81", "r0.3_argmax_sw0", "hybrid_r03_r07_ratio2.0", "aug_topg0.95_r0.3_argmax"} <= set(table)
+    assert table["r0.3_argmax_sw5"].f1_0_5 == table["r0.3_argmax"].f1_0_5 == table["r0.3_argmax_conf_q0.00"].f1_0_5 == 1.0
+    mv = {"mv": search.replace(search.MULTIVARIATE["mv_logQtn_logFr_depth_minthick"], features=("Ic", "other"))}
+    places = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 0.0)], "target string, x double, y double")
+    points, scores = search.ablation(df, truth, mv, 0.02, places)
+    assert {r.method: r.f1_0_5 for r in scores.collect()} == {"mv": 1.0, "mv__spatial": 1.0}
+    assert {r.target for r in points.collect()} == {"a", "b"}
+    auto = pipelines.detect_profiles(df, search.replace(config.CANDIDATE, least_thickness=0.5), 0.02).collect()
+    assert sorted((r.target, round(r.boundary, 1)) for r in auto) == [("a", 0.8), ("a", 1.6), ("b", 0.8), ("b", 1.6)]
