@@ -29,15 +29,25 @@ class ScalarModel:
     data, so that the log-gamma terms are one table by run length."""
 
     def __init__(self, n: int, mean: float = 0.0, kappa: float = 1.0, alpha: float = 1.0, beta: float = 0.1):
+        self.settings = (kappa, alpha)
+        self.prior = (mean, beta)
+        self.mean, self.beta, self.run = np.empty(0), np.empty(0), np.empty(0, int)
+        self.reserve(n)
+        self.mean[0], self.beta[0] = self.prior
+        self.size, self.whole = 1, True
+
+    def reserve(self, n: int) -> None:
+        """Room for runs of n samples."""
+        if n < len(self.mean):
+            return
+        kappa, alpha = self.settings
         runs = np.arange(n + 1)
         self.kappa, self.alpha = kappa + runs, alpha + runs / 2
         half = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in self.alpha.tolist()])
         self.fixed = half - 0.5 * np.log(2 * np.pi * self.alpha) - 0.5 * np.log((self.kappa + 1) / (self.alpha * self.kappa))
         self.grown = 2 * (self.kappa + 1) / self.kappa
-        self.prior = (mean, beta)
-        self.mean, self.beta, self.run = np.empty(n + 1), np.empty(n + 1), np.arange(n, -1, -1)
-        self.mean[0], self.beta[0] = self.prior
-        self.size, self.whole = 1, True
+        more = n + 1 - len(self.mean)
+        self.mean, self.beta, self.run = (np.concatenate([held, np.zeros(more, held.dtype)]) for held in (self.mean, self.beta, self.run))
 
     def _of(self, table: np.ndarray) -> np.ndarray:
         """A table by run length for the runs at hand, the oldest first."""
@@ -84,7 +94,8 @@ class VectorModel:
         df = self.nu - d + 1
         self.fixed = np.array([math.lgamma((f + d) / 2) - math.lgamma(f / 2) - d / 2 * math.log(f * math.pi) for f in df])
         self.prior = (mean, np.linalg.inv(spread), np.linalg.slogdet(spread)[1])
-        self.mean, self.inverse, self.logdet = mean[None, :], self.prior[1][None], np.array([self.prior[2]])
+        # by run, the newest first, with the length of each
+        self.mean, self.inverse, self.logdet, self.run = mean[None, :], self.prior[1][None], np.array([self.prior[2]]), np.zeros(1, int)
 
     def _forms(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         off = x - self.mean
@@ -92,20 +103,22 @@ class VectorModel:
         return off, turned, np.einsum("ki,ki->k", off, turned)
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        k, d = len(self.mean), self.d
-        kappa, df = self.kappa[:k], self.nu[:k] - d + 1
+        d = self.d
+        kappa, df = self.kappa[self.run], self.nu[self.run] - d + 1
         grown = (kappa + 1) / (kappa * df)
         distance = self._forms(x)[2] / grown
-        return self.fixed[:k] - 0.5 * (self.logdet + d * np.log(grown)) - (df + d) / 2 * np.log1p(distance / df)
+        return self.fixed[self.run] - 0.5 * (self.logdet + d * np.log(grown)) - (df + d) / 2 * np.log1p(distance / df)
 
     def log_densities(self, x: np.ndarray) -> np.ndarray:
         return self.log_density(x)[::-1]
 
     def keep(self, runs: np.ndarray, lengths: np.ndarray) -> None:
-        raise ValueError("vectors keep all runs: least_share must be 0")
+        """Only these runs (places, the oldest first), of these lengths: what is held of each is d * d numbers."""
+        at = (len(self.mean) - 1 - runs)[::-1]
+        self.mean, self.inverse, self.logdet, self.run = self.mean[at], self.inverse[at], self.logdet[at], lengths[::-1].astype(int)
 
     def learn(self, x: np.ndarray) -> None:
-        kappa = self.kappa[: len(self.mean)]
+        kappa = self.kappa[self.run]
         off, turned, form = self._forms(x)
         c = kappa / (kappa + 1)
         inverse = self.inverse - (c / (1 + c * form))[:, None, None] * turned[:, :, None] * turned[:, None, :]
@@ -113,6 +126,7 @@ class VectorModel:
         self.mean = np.concatenate([self.prior[0][None], mean])
         self.inverse = np.concatenate([self.prior[1][None], inverse])
         self.logdet = np.concatenate([[self.prior[2]], self.logdet + np.log1p(c * form)])
+        self.run = np.concatenate([[0], self.run + 1])
 
 
 @dataclass
@@ -137,6 +151,110 @@ def separated(indexes: list[int], least: int) -> list[int]:
     return kept
 
 
+#: What Recursion.held() gives, as columns.
+STATE = "t long, best double, evidence double, log_run array<double>, before array<double>, begins array<long>, mean array<double>, beta array<double>, ends array<long>, origins array<long>"
+
+
+class Recursion:
+    """The forward pass and the best segmentation so far, a sample at a time. Everything is held by run, the oldest first: where it
+    begins (from 1; 0 before the first sample), its log share, and the log probability of the best segmentation before it. Of
+    the segmentations only those are kept that some run still leads to, which soon share all but their last boundaries."""
+
+    def __init__(self, model, least_run: int = 0, least_share: float = 0.0, capacity: int = 64):
+        self.model, self.least_run, self.least_share = model, least_run, least_share
+        self.log_run, self.before, self.begins = np.zeros(capacity + 1), np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+        self.k, self.t = 1, 0
+        self.best, self.evidence = 0.0, 0.0
+        self.origin: dict[int, int] = {}  # of the best segmentation of the first z samples: where its last segment begins
+
+    def reserve(self, n: int) -> None:
+        """Room for n runs."""
+        more = n + 1 - len(self.log_run)
+        if more > 0:
+            self.log_run = np.concatenate([self.log_run, np.zeros(more)])
+            self.before = np.concatenate([self.before, np.full(more, -np.inf)])
+            self.begins = np.concatenate([self.begins, np.zeros(more, np.int64)])
+
+    def step(self, x, base: float, posterior: Callable[[int, np.ndarray, np.ndarray], None] | None = None) -> tuple[float, int]:
+        """Take a sample with its hazard: the probability that it begins a segment, and the most probable run length."""
+        k, z = self.k, self.t + 1
+        log_run, begins, before = self.log_run, self.begins, self.before
+        log_run[:k] += self.model.log_densities(x)
+        # runs of at least least_run may end here
+        able = k if not self.least_run else int(np.searchsorted(begins[:k], z - min(self.least_run, z), "left"))
+        fresh = _log_sum(log_run[:able]) + math.log(base) if base > 0 and able else -math.inf
+        log_run[:able] += math.log1p(-base)
+        log_run[k], begins[k] = fresh, z
+        k += 1
+        self.evidence = _log_sum(log_run[:k])
+        share = np.exp(log_run[:k] - self.evidence)
+        p_change, run = float(share[-1]), int(z - begins[k - 1 - int(share[::-1].argmax())])
+        if posterior:
+            posterior(self.t, z - begins[:k], share)
+        logs = np.log(share)
+        first = 1 if begins[0] == 0 else 0  # the segmentation without an end is considered last
+        paths = logs[first:-1] + before[first : k - 1]
+        j = int(paths.argmax()) if len(paths) else -1
+        whole = float(logs[0]) if first else -math.inf
+        last, best, origin = self.best, -math.inf, 0
+        if j >= 0 and paths[j] >= whole and paths[j] > -math.inf:
+            best, origin = float(paths[j]), int(begins[first + j])
+        elif whole > -math.inf:
+            best = whole
+        before[k - 1] = logs[-1] + last
+        self.best = best
+        if origin:
+            self.origin[z] = origin
+        self.model.learn(x)
+        if self.least_share and self.t % 32 == 31:
+            kept = np.flatnonzero(share >= self.least_share)
+            if len(kept) < 0.75 * k:
+                kept = kept if len(kept) and kept[-1] == k - 1 else np.append(kept, k - 1)
+                self.model.keep(kept, z - begins[kept])
+                for held in (log_run, begins, before):
+                    held[: len(kept)] = held[kept]
+                k = len(kept)
+                self.prune(k, z)
+        self.k, self.t = k, z
+        return p_change, run
+
+    def prune(self, k: int, z: int) -> None:
+        """Forget segmentations that no run leads to."""
+        reached: dict[int, int] = {}
+        for end in [z, *(int(b) - 1 for b in self.begins[:k])]:
+            while end > 0 and end not in reached and end in self.origin:
+                reached[end] = self.origin[end]
+                end = reached[end] - 1  # noqa: PLW2901
+        self.origin = reached
+
+    def held(self) -> tuple:
+        """What it takes to go on from here with a scalar model (STATE): a row of numbers and lists."""
+        k, m = self.k, self.model
+        self.prune(k, self.t)
+        lists = [self.log_run[:k], self.before[:k], self.begins[:k], m.mean[:k], m.beta[:k]]
+        return (self.t, self.best, self.evidence, *[v.tolist() for v in lists], list(self.origin), list(self.origin.values()))
+
+    def go_on(self, held: tuple, samples: int) -> None:
+        """Continue from held(), with room for so many more samples."""
+        self.t, self.best, self.evidence, log_run, before, begins, mean, beta, ends, origins = held
+        k = self.k = len(log_run)
+        self.origin = dict(zip(map(int, ends), map(int, origins), strict=True))
+        self.reserve(k + samples)
+        self.model.reserve(max(self.t - int(begins[0]), k) + samples)
+        for to, values in ((self.log_run, log_run), (self.before, before), (self.begins, begins), (self.model.mean, mean), (self.model.beta, beta)):
+            to[:k] = values
+        self.model.size, self.model.whole = k, False
+        self.model.run[:k] = self.t - self.begins[:k]
+
+    def boundaries(self) -> list[int]:
+        """Samples, from 0, where the segments of the best segmentation begin."""
+        found, z = [], self.t
+        while z > 0 and self.origin.get(z):
+            found.append(self.origin[z] - 1)
+            z = self.origin[z] - 1
+        return found[::-1]
+
+
 def detect(x: np.ndarray, model, hazard: np.ndarray, least_run: int = 0, factors: tuple[np.ndarray, ...] = (), posterior: Callable[[int, np.ndarray, np.ndarray], None] | None = None, least_share: float = 0.0) -> Detection:
     """Run the recursion over samples x with a hazard for each sample, 0 for run lengths below least_run. `posterior` is
     called with each sample's place, run lengths and their shares."""
@@ -144,54 +262,12 @@ def detect(x: np.ndarray, model, hazard: np.ndarray, least_run: int = 0, factors
     base = np.clip(hazard, 0.0, LARGEST)
     for f in factors:
         base = np.clip(base * f, 0.0, LARGEST)
-    log_run = np.zeros(n + 1)  # by run, the oldest first
-    begins = np.arange(n + 1)  # where each begins
-    k = 1
+    recursion = Recursion(model, least_run, least_share, n)
     p_change, runs = np.zeros(n), np.zeros(n, np.int64)
-    best = np.full(n + 1, -np.inf)  # log probability of the best segmentation of the first z samples
-    best[0] = 0.0
-    origin = np.zeros(n + 1, np.int64)  # where its last segment begins, from 1; 0: one segment
-    begun = np.full(n + 1, -np.inf)  # by j: p(r_j = 0) and the best segmentation before
-    evidence = 0.0
     with np.errstate(divide="ignore"):
-        for t in range(n):
-            z, h = t + 1, float(base[t])
-            log_run[:k] += model.log_densities(x[t])
-            # runs of at least least_run may end here
-            able = k if not least_run else int(np.searchsorted(begins[:k], z - min(least_run, z), "left"))
-            fresh = _log_sum(log_run[:able]) + math.log(h) if h > 0 and able else -math.inf
-            log_run[:able] += math.log1p(-h)
-            log_run[k], begins[k] = fresh, z
-            k += 1
-            evidence = _log_sum(log_run[:k])
-            share = np.exp(log_run[:k] - evidence)
-            p_change[t] = share[-1]
-            runs[t] = z - begins[k - 1 - int(share[::-1].argmax())]
-            if posterior:
-                posterior(t, z - begins[:k], share)
-            logs = np.log(share)
-            first = 1 if begins[0] == 0 else 0  # the segmentation without an end is considered last
-            paths = logs[first:-1] + begun[begins[first : k - 1]]
-            j = int(paths.argmax()) if len(paths) else -1
-            whole = float(logs[0]) if first else -math.inf
-            if j >= 0 and paths[j] >= whole and paths[j] > -math.inf:
-                best[z], origin[z] = paths[j], begins[first + j]
-            elif whole > -math.inf:
-                best[z], origin[z] = whole, 0
-            begun[z] = logs[-1] + best[z - 1]
-            model.learn(x[t])
-            if least_share and t % 32 == 31:
-                kept = np.flatnonzero(share >= least_share)
-                if len(kept) < 0.75 * k:
-                    kept = kept if len(kept) and kept[-1] == k - 1 else np.append(kept, k - 1)
-                    model.keep(kept, z - begins[kept])
-                    log_run[: len(kept)], begins[: len(kept)] = log_run[kept], begins[kept]
-                    k = len(kept)
-    found, z = [], n
-    while z > 0 and origin[z]:
-        found.append(int(origin[z]) - 1)
-        z = int(origin[z]) - 1
-    return Detection(np.array(sorted(found), np.int64), p_change, runs, evidence)
+        for t, h in enumerate(base.tolist()):
+            p_change[t], runs[t] = recursion.step(x[t], h, posterior)
+    return Detection(np.array(recursion.boundaries(), np.int64), p_change, runs, recursion.evidence)
 
 
 def drops(run: np.ndarray, least_drop: int = 5) -> list[int]:

@@ -155,13 +155,20 @@ def nearest(targets: DataFrame, k: int) -> DataFrame:
         width *= 2
 
 
+#: Bandwidths from a point beyond which its kernel isn't added: less than 1e-14 of its height is left there.
+REACH = 8
+
+
 def neighbour_density(targets: DataFrame, points: DataFrame, grid: DataFrame, k: int = 6, bandwidth: float = 1.5) -> DataFrame:
     """(target, depth, density): Gaussian kernels at the change points (target, boundary) of the k nearest other targets,
-    weighted by 1 / (distance + 1) over the k chosen. targets: (target, x, y)."""
+    weighted by 1 / (distance + 1) over the k chosen. targets: (target, x, y). Samples meet the points in their cell of depth and
+    those beside it, not all of the neighbours'."""
     total = F.sum(1 / (F.col("d") + 1)).over(Window.partitionBy("target"))
     weighed = nearest(targets, k).withColumn("weight", (1 / (F.col("d") + 1)) / total).select("target", "other", "weight")
     marks = weighed.join(points.select(F.col("target").alias("other"), "boundary"), "other").select("target", "weight", "boundary")
+    width = REACH * bandwidth
+    marks = marks.withColumn("cell", F.explode(F.sequence(F.floor(F.col("boundary") / width) - 1, F.floor(F.col("boundary") / width) + 1)))
     z = (F.col("depth") - F.col("boundary")) / bandwidth
-    kernel = F.col("weight") * F.exp(-0.5 * z * z) / (math.sqrt(2 * math.pi) * bandwidth)
-    rows = grid.select("target", "depth").join(marks, "target", "left")
+    kernel = F.when(F.abs(z) <= REACH, F.col("weight") * F.exp(-0.5 * z * z) / (math.sqrt(2 * math.pi) * bandwidth))
+    rows = grid.select("target", "depth", F.floor(F.col("depth") / width).alias("cell")).join(marks, ["target", "cell"], "left")
     return rows.groupBy("target", "depth").agg(F.coalesce(F.sum(kernel), F.lit(0.0)).alias("density"))

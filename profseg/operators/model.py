@@ -87,10 +87,16 @@ class Mixture:
     def log_parts(self, x: np.ndarray) -> np.ndarray:
         """log(weight * density) by row and cluster."""
         out = np.empty((len(x), len(self.weights)))
+        plain = self.kind in ("diag", "spherical")
         for j, (w, m, c) in enumerate(zip(self.weights, self.means, self.covariances, strict=True)):
-            low = np.linalg.cholesky(c)
-            z = np.linalg.solve(low, (x - m).T)
-            out[:, j] = math.log(max(w, 1e-300)) - 0.5 * (len(m) * math.log(2 * math.pi) + (z * z).sum(axis=0)) - np.log(np.diag(low)).sum()
+            if plain:
+                v = np.diag(c)
+                form, half_log = ((x - m) ** 2 / v).sum(axis=1), 0.5 * np.log(v).sum()
+            else:
+                low = np.linalg.cholesky(c)
+                z = np.linalg.solve(low, (x - m).T)
+                form, half_log = (z * z).sum(axis=0), np.log(np.diag(low)).sum()
+            out[:, j] = math.log(max(w, 1e-300)) - 0.5 * (len(m) * math.log(2 * math.pi) + form) - half_log
         return out
 
     @property
@@ -103,40 +109,59 @@ class Mixture:
         return self.parameters * math.log(max(self.n, 1)) - 2 * self.log_likelihood
 
 
-def _shape(second: np.ndarray, sizes: np.ndarray, kind: str, ridge: float) -> np.ndarray:
-    """Covariances of the kind from those of each cluster."""
-    d = second.shape[1]
+def _squares(r: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
+    """What a kind of covariance needs of the second moments: squares of each cluster, products of each, or of all rows."""
+    if kind in ("diag", "spherical"):
+        return r.T @ (x * x)
     if kind == "tied":
-        second = np.repeat(np.einsum("k,kij->ij", sizes, second)[None] / sizes.sum(), len(sizes), axis=0)
-    elif kind == "diag":
-        second = np.stack([np.diag(np.diag(c)) for c in second])
-    elif kind == "spherical":
-        second = np.stack([np.eye(d) * np.diag(c).mean() for c in second])
-    return second + ridge * np.eye(d)
+        return x.T @ x
+    return np.stack([(x * share[:, None]).T @ x for share in r.T])
+
 
+def _covariances(r: np.ndarray, means: np.ndarray, squares: np.ndarray, kind: str, ridge: float) -> np.ndarray:
+    k, d = means.shape
+    if kind in ("diag", "spherical"):
+        v = squares / r[:, None] - means * means
+        out = np.stack([np.diag(row) if kind == "diag" else np.eye(d) * row.mean() for row in v])
+    elif kind == "tied":
+        out = np.repeat(((squares - (means * r[:, None]).T @ means) / r.sum())[None], k, axis=0)
+    else:
+        out = squares / r[:, None, None] - means[:, :, None] * means[:, None, :]
+    return out + ridge * np.eye(d)
 
-def _pass(df: DataFrame, weigh) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Sums over all rows of responsibilities, of rows and of squares by cluster, and of log likelihoods."""
+
+def _pass(df: DataFrame, kind: str, weighers: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """Of each model, sums over all rows of responsibilities, of rows and second moments by cluster, and of log likelihoods: one scan
+    whatever the number of models."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        totals = [None] * len(weighers)
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["x"].to_numpy())
-                r, logs = weigh(x)
-                part = [r.sum(axis=0), r.T @ x, np.einsum("nk,ni,nj->kij", r, x, x), float(logs.sum())]
-                total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
-        if total is not None:
-            yield pd.DataFrame({"r": [total[0]], "s": [total[1].ravel()], "ss": [total[2].ravel()], "l": [total[3]]})
-
-    rows = df.select("x").mapInPandas(run, "r array<double>, s array<double>, ss array<double>, l double").collect()
-    r = np.sum([x.r for x in rows], axis=0)
-    d = len(rows[0].s) // len(r)
-    return r, np.sum([x.s for x in rows], axis=0).reshape(len(r), d), np.sum([x.ss for x in rows], axis=0).reshape(len(r), d, d), sum(x.l for x in rows)
+                for i, weigh in enumerate(weighers):
+                    r, logs = weigh(x)
+                    part = [r.sum(axis=0), r.T @ x, _squares(r, x, kind), float(logs.sum())]
+                    totals[i] = part if totals[i] is None else [a + b for a, b in zip(totals[i], part, strict=True)]
+        if weighers and totals[0] is not None:
+            yield pd.DataFrame({"m": range(len(totals)), "r": [t[0] for t in totals], "s": [t[1].ravel() for t in totals], "ss": [t[2].ravel() for t in totals], "l": [t[3] for t in totals]})
+
+    rows = df.select("x").mapInPandas(run, "m int, r array<double>, s array<double>, ss array<double>, l double").collect()
+    out = []
+    for i in range(len(weighers)):
+        own = [row for row in rows if row.m == i]
+        r = np.sum([row.r for row in own], axis=0)
+        d = len(own[0].s) // len(r)
+        shape = {"diag": (len(r), d), "spherical": (len(r), d), "tied": (d, d), "full": (len(r), d, d)}[kind]
+        out.append((r, np.sum([row.s for row in own], axis=0).reshape(len(r), d), np.sum([row.ss for row in own], axis=0).reshape(shape), sum(row.l for row in own)))
+    return out
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 0, starts: int = 10, turns: int = 50) -> tuple[np.ndarray, float]:
     """Centres and inertia: Spark's own k-means, the best of several starts."""
+    if k == 1:
+        n, mean, cov = _moments(df)
+        return mean[None], float(n * np.trace(cov))
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -150,58 +175,71 @@ def kmeans(df: DataFrame, k: int, seed: int = 0, starts: int = 10, turns: int =
 
 
 def mixture(df: DataFrame, k: int, kind: str = "diag", seed: int = 0, ridge: float = 1e-6, turns: int = 100, tolerance: float = 1e-3) -> Mixture:
-    """Gaussian mixture by EM from k-means; stops when the mean log likelihood gains less than the tolerance. The matrix is
-    held for the passes over it."""
+    """Gaussian mixture by EM from k-means; stops when the mean log likelihood gains less than the tolerance."""
+    return mixtures(df, [k], kind, seed, ridge, turns, tolerance)[k]
+
+
+def mixtures(df: DataFrame, ks: list[int], kind: str = "diag", seed: int = 0, ridge: float = 1e-6, turns: int = 100, tolerance: float = 1e-3) -> dict[int, Mixture]:
+    """Mixtures of all these numbers of clusters. In a turn one scan serves all that haven't stopped, so that there are as many scans as
+    the slowest has turns. The matrix is held for them."""
     held = df.select("x").persist()
     try:
-        return _fitted(held, k, kind, seed, ridge, turns, tolerance)
+        n = held.count()
+        if any(not 1 <= k <= n for k in ks):
+            raise ValueError(f"k must lie between 1 and the {n} rows")
+        return _fitted(held, n, ks, kind, seed, ridge, turns, tolerance)
     finally:
         held.unpersist()
 
 
-def _fitted(df: DataFrame, k: int, kind: str, seed: int, ridge: float, turns: int, tolerance: float) -> Mixture:
-    n = df.count()
-    if not 1 <= k <= n:
-        raise ValueError(f"k must lie between 1 and the {n} rows")
-    centres, _ = kmeans(df, k, seed, starts=1)
-
-    def nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = squares(x, centres)
+def _nearest(centres: np.ndarray):
+    def weigh(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r = np.zeros((len(x), len(centres)))
-        r[np.arange(len(x)), d.argmin(axis=1)] = 1.0
+        r[np.arange(len(x)), squares(x, centres).argmin(axis=1)] = 1.0
         return r, np.zeros(len(x))
 
+    return weigh
+
+
+def _expected(model: Mixture):
+    def weigh(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        logs = model.log_parts(x)
+        top = logs.max(axis=1, keepdims=True)
+        whole = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
+        return np.exp(logs - whole[:, None]), whole
+
+    return weigh
+
+
+def _fitted(df: DataFrame, n: int, ks: list[int], kind: str, seed: int, ridge: float, turns: int, tolerance: float) -> dict[int, Mixture]:
     def fitted(sums: tuple, likelihood: float) -> Mixture:
-        r, s, ss = sums
+        r, s, second, _ = sums
         r = r + 10 * np.finfo(float).eps
         means = s / r[:, None]
-        second = ss / r[:, None, None] - means[:, :, None] * means[:, None, :]
-        return Mixture(r / r.sum(), means, _shape(second, r, kind, ridge), kind, likelihood, n)
+        return Mixture(r / r.sum(), means, _covariances(r, means, second, kind, ridge), kind, likelihood, n)
 
-    model = fitted(_pass(df, nearest)[:3], -math.inf)
+    ks = sorted(set(ks))
+    begun = _pass(df, kind, [_nearest(kmeans(df, k, seed, starts=1)[0]) for k in ks])
+    models = {k: fitted(sums, -math.inf) for k, sums in zip(ks, begun, strict=True)}
+    open_ = ks
     for _ in range(turns):
-
-        def expect(x: np.ndarray, model: Mixture = model) -> tuple[np.ndarray, np.ndarray]:
-            logs = model.log_parts(x)
-            top = logs.max(axis=1, keepdims=True)
-            whole = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
-            return np.exp(logs - whole[:, None]), whole
-
-        *sums, likelihood = _pass(df, expect)
-        done = (likelihood - model.log_likelihood) / n < tolerance
-        model.log_likelihood = likelihood
-        if done:
+        if not open_:
             break
-        model = fitted(tuple(sums), likelihood)
-    return model
+        going = []
+        for k, sums in zip(open_, _pass(df, kind, [_expected(models[k]) for k in open_]), strict=True):
+            gain, models[k].log_likelihood = sums[3] - models[k].log_likelihood, sums[3]
+            if gain / n >= tolerance:
+                models[k] = fitted(sums, sums[3])
+                going.append(k)
+        open_ = going
+    return models
 
 
 def select_by_bic(df: DataFrame, least: int, most: int, kind: str = "diag", seed: int = 0, ridge: float = 1e-6) -> tuple[Mixture, dict[int, float]]:
     """The mixture of the smallest BIC over numbers of clusters; of equals the smaller number."""
     held = df.select("x").persist()
     try:
-        n = held.count()
-        fits = {k: mixture(held, k, kind, seed, ridge) for k in range(max(1, least), min(most, n) + 1)}
+        fits = mixtures(held, list(range(max(1, least), min(most, held.count()) + 1)), kind, seed, ridge)
     finally:
         held.unpersist()
     best = min(fits, key=lambda k: (fits[k].bic, k), default=None)

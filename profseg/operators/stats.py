@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -198,17 +203,28 @@ def compare_methods(methods: dict[str, DataFrame], diagnostics: DataFrame, senso
     return out.withColumns(gains)
 
 
+def _poisson(draws: np.ndarray) -> np.ndarray:
+    """Poisson numbers of mean 1 by inversion of uniform ones."""
+    mass = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(mass, draws, side="right")
+
+
 def bootstrap_mean(df: DataFrame, value: str, resamples: int = 5000, seed: int = 12) -> DataFrame:
-    """Mean with a 95 % interval by resampling. A resample draws Poisson(1) copies of every row, so that rows are never
-    gathered: each row adds to all resamples where it lies."""
-    draw = F.pmod(F.xxhash64("_row", "resample", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    copies, mass, whole = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(8):  # Poisson by inversion
-        whole += mass
-        copies = copies + F.when(draw >= whole, 1).otherwise(0)
-        mass /= k + 1
-    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.monotonically_increasing_id().alias("_row"))
-    drawn = rows.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_k", copies)
-    means = drawn.groupBy("resample").agg(F.try_divide(F.sum(F.col("_v") * F.col("_k")), F.sum("_k")).alias("m"))
+    """Mean with a 95 % interval by resampling. A resample draws Poisson(1) copies of every row, from a stream of numbers that the
+    row's place seeds. A task adds its rows to two sums a resample, which is all that leaves it: no row is repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros(resamples), np.zeros(resamples, np.int64)
+        for batch in batches:
+            for key, v in zip(batch.column(1).to_numpy().tolist(), batch.column(0).to_numpy().tolist(), strict=True):
+                copies = _poisson(np.random.Generator(np.random.Philox(key=[seed, key])).random(resamples))
+                sums += copies * v
+                counts += copies
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(sums), pa.array(counts)], ["resample", "s", "k"])
+
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_row"))
+    parts = rows.mapInArrow(run, "resample int, s double, k long")
+    means = parts.groupBy("resample").agg(F.try_divide(F.sum("s"), F.sum("k")).alias("m"))
     ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return rows.agg(F.avg("_v").alias("mean")).crossJoin(ends)

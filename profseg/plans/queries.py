@@ -764,6 +764,14 @@ def bocpd_grid(spark, sf):
     return rounded(grid_search(rows, "value", _tops(spark, sf), GRIDS["quick"], STEP, UNIT, beta=500.0))
 
 
+@query()
+def bocpd_in_chunks(spark, sf):
+    """Boundaries with the state of each profile carried from chunk to chunk."""
+    from ..streaming.segments import segment_in_chunks
+
+    return rounded(segment_in_chunks(tb.events(spark, sf).select("target", "depth", "value"), "value", 1 / 30, 3, (0.0, 1.0, 1.0, 500.0), chunk_rows=24))
+
+
 @query()
 def ablation(spark, sf):
     """The experiments one after the other, and the best of them with its neighbours' points."""

@@ -206,3 +206,25 @@ def test_ordered_bits_order_as_values():
     bits = selection.ordered_bits(x)
     assert (np.diff(bits.astype(object)) >= 0).all() and bits[4] == bits[5]
     assert [selection.value_of(int(v)) for v in bits[:10]] == x[:10].tolist()
+
+
+@pytest.mark.parametrize("kind", ["full", "tied", "diag", "spherical"])
+def test_mixtures_of_all_numbers_share_their_scans(spark, monkeypatch, kind):
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(m, 0.5, (60, 2)) for m in ((0, 0), (4, 0), (0, 5))])
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(3)
+    scans = []
+    plain = model._pass
+    monkeypatch.setattr(model, "_pass", lambda *a: scans.append(len(a[2])) or plain(*a))
+    together = model.mixtures(df, [1, 2, 3, 4], kind, seed=1)
+    shared, alone = len(scans), []
+    for k in (1, 2, 3, 4):
+        scans.clear()
+        one = model.mixture(df, k, kind, seed=1)
+        alone.append(len(scans))
+        assert abs(one.bic - together[k].bic) < 1e-6 and np.allclose(one.covariances, together[k].covariances)
+    assert shared == max(alone)
+    fit = together[3]
+    r = np.exp(fit.log_parts(x) - np.logaddexp.reduce(fit.log_parts(x), axis=1)[:, None])
+    assert abs(np.logaddexp.reduce(fit.log_parts(x), axis=1).sum() - fit.log_likelihood) < 1e-6 and r.sum(axis=1).round(9).tolist() == [1.0] * len(x)
+    assert min(together, key=lambda k: together[k].bic) == 3

@@ -326,3 +326,32 @@ def test_sweep_has_all_its_rows_and_experiments_on_vectors(spark):
     assert {r.target for r in points.collect()} == {"a", "b"}
     auto = pipelines.detect_profiles(df, search.replace(config.CANDIDATE, least_thickness=0.5), 0.02).collect()
     assert sorted((r.target, round(r.boundary, 1)) for r in auto) == [("a", 0.8), ("a", 1.6), ("b", 0.8), ("b", 1.6)]
+
+
+def test_bootstrap_interval(spark):
+    """Nearly the interval of the normal approximation, the same however often it is taken, also of constants and of nothing."""
+    rng = np.random.default_rng(16)
+    x = rng.normal(5, 2, 600)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").coalesce(2)
+    a, b = (stats.bootstrap_mean(df, "v", 2000).first() for _ in range(2))
+    half = 1.96 * x.std() / math.sqrt(len(x))
+    assert a == b and abs(a["mean"] - x.mean()) < 1e-9
+    assert abs(a.low - (x.mean() - half)) < 0.03 and abs(a.high - (x.mean() + half)) < 0.03
+    same = stats.bootstrap_mean(df.select(F.lit(3.0).alias("v")), "v", 50).first()
+    assert (same["mean"], same.low, same.high) == (3.0, 3.0, 3.0)
+    assert stats.bootstrap_mean(df.limit(0), "v", 50).first().low is None
+
+
+def test_density_by_cells_is_the_whole_sum(spark):
+    rng = np.random.default_rng(17)
+    places = [(f"t{i}", float(rng.uniform(0, 10)), float(rng.uniform(0, 10))) for i in range(6)]
+    points = [(t, float(b)) for t, _, _ in places for b in rng.uniform(-30, 60, 9)]
+    grid = [(t, float(d)) for t, _, _ in places for d in rng.uniform(-30, 60, 25)]
+    make = spark.createDataFrame
+    out = hazards.neighbour_density(make(places, "target string, x double, y double"), make(points, "target string, boundary double"), make(grid, "target string, depth double"), 3, 0.7)
+    for row in out.collect():
+        here = next(p for p in places if p[0] == row.target)
+        near = sorted((math.hypot(here[1] - x, here[2] - y), t) for t, x, y in places if t != here[0])[:3]
+        total = sum(1 / (d + 1) for d, _ in near)
+        want = sum(1 / (d + 1) / total * math.exp(-0.5 * ((row.depth - b) / 0.7) ** 2) / (math.sqrt(2 * math.pi) * 0.7) for d, t in near for u, b in points if u == t)
+        assert abs(row.density - want) < 1e-12
