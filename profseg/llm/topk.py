@@ -9,14 +9,15 @@ of the candidate's unread part. A query is closed, and reads no further postings
 candidates can still be among its k best; these are scored exactly. Each block gives its k best, the k best of those are
 the answer.
 
-Vectors that are null or hold null or non-finite components take no part, nor do those that SCALE makes infinite; vectors
-meet only others of their length. A repeated query id asks once, with its smallest vector; repeated candidates count as
+Vectors that are null or hold null or non-finite components take no part; vectors meet only others of their length. Blocks whose
+partial scores doubles can't hold exactly are scored with integers of any size, every candidate. A repeated query id asks once, with its smallest vector; repeated candidates count as
 often as they are there; rows with the query's own id are never its candidates. Rows with null ids take no part. Ties go to
-the smaller id. Scores beyond 64 bits are cut to the nearest that fits. Extra columns are ignored.
+the smaller id. Scores beyond 64 bits count as the nearest that fits. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -33,22 +34,39 @@ SCALE = 1024
 BLOCK, BLOCKS_PER_COPY, IMPACTS, QUERIES = 2048, 128, 8, 256
 #: A query is closed when at most so many times k candidates can still be its members.
 ENOUGH = 6
+#: Sums below are exact in doubles.
+WIDE = 2.0**52
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the vectors that take part."""
     rows = pick(vectors, vec_id="long", embedding="array<double>").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * SCALE < F.lit(float("inf"))))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return rows.filter(finite)
 
 
+def whole_of(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x), infinite beyond doubles."""
+    with np.errstate(over="ignore"):
+        return np.floor(SCALE * x)
+
+
+def integer_of(x: float) -> int:
+    """floor(SCALE * x), exactly; from 2^53 on doubles are whole themselves."""
+    return math.floor(SCALE * x) if abs(x) < 2.0**53 else SCALE * int(x)
+
+
+def _integers(whole: np.ndarray, vectors: np.ndarray | None) -> list[list[int]]:
+    return [[*map(int, row)] for row in whole.tolist()] if vectors is None else [[*map(integer_of, row)] for row in vectors.tolist()]
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as blocks of at most BLOCK of the same length: (dims, ids, values), ids and values as bytes."""
+    """Vectors as blocks of at most BLOCK of the same length: (dims, ids, whole), ids and components as bytes."""
     waiting: dict[int, tuple[list, list]] = {}
 
     def flush(dims: int) -> pa.RecordBatch:
         ids, values = waiting.pop(dims)
-        whole = np.floor(SCALE * np.array(values, np.float64).reshape(len(ids), dims))
+        whole = np.array(values, np.float64).reshape(len(ids), dims)
         return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([whole.tobytes()], pa.binary())], ["dims", "ids", "whole"])
 
     for batch in batches:
@@ -71,28 +89,32 @@ def pack(vectors: DataFrame) -> DataFrame:
 class Block:
     """An impact-ordered inverted index of a block of candidates."""
 
-    def __init__(self, ids: np.ndarray, whole: np.ndarray):
-        self.ids, self.whole = ids, whole
+    def __init__(self, ids: np.ndarray, whole: np.ndarray, vectors: np.ndarray | None = None):
+        """`whole` holds the integers; `vectors` what they were made of, for those that doubles can't hold."""
+        self.ids, self.whole, self.vectors = ids, whole, vectors
+        self.impacts: list[tuple[list[tuple[int, np.ndarray, np.ndarray]], float, np.ndarray]] = []
         self.read = 0  # postings processed so far, one for each query that a posting is added for
         size = np.abs(whole)
         self.largest = float(size.max(initial=0.0))
+        if self.largest >= WIDE:
+            return
         # impact i holds magnitudes in (edge[i - 1], edge[i]]; quantiles of the block, so that segments are alike in size
         edges = np.unique(np.quantile(size, np.linspace(0, 1, IMPACTS + 1))) if size.size else np.array([0.0])
         impact = np.maximum(np.searchsorted(edges, size), 1)
-        self.impacts: list[tuple[list[tuple[int, np.ndarray, np.ndarray]], float, np.ndarray]] = []
         for i in range(len(edges) - 1 if len(edges) > 1 else 1, 0, -1):
             here = (impact == i) & (whole != 0)  # zeros add nothing: they have no posting
             rest = np.where(impact < i, size, 0.0)
             segments = [(d, at := np.flatnonzero(here[:, d]).astype(np.int32), whole[at, d]) for d in np.flatnonzero(here.any(axis=0)).tolist()]
             self.impacts.append((segments, float(rest.max(initial=0.0)), np.sqrt((rest * rest).sum(axis=1))))
 
-    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int, vectors: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
         """(query_id, vec_id, score) of each query's k best in this block, ties to smaller ids."""
         if not len(self.ids) or not len(queries):
             return
-        most = self.largest * float(np.abs(queries).max(initial=0.0)) * max(1, queries.shape[1])
-        if most >= 2.0**52:  # partial sums in doubles aren't exact: every candidate is a possible member
-            yield from self._exact_wide(query_ids, queries, k)
+        largest = float(np.abs(queries).max(initial=0.0))
+        # partial sums in doubles may not be exact: every candidate is a possible member
+        if max(self.largest, largest) >= WIDE or self.largest * largest * max(1, queries.shape[1]) >= WIDE:
+            yield from self._exact_wide(query_ids, _integers(queries, vectors), k)
             return
         for i in range(0, len(queries), QUERIES):
             yield from self._at_a_time(query_ids[i : i + QUERIES], queries[i : i + QUERIES], k)
@@ -125,13 +147,13 @@ class Block:
                 break
             open_, partial = open_[~closed], partial[:, ~closed]
 
-    def _exact_wide(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-        rows = [(int(i), [int(x) for x in row]) for i, row in zip(self.ids, self.whole, strict=True)]
-        for query_id, query in zip(query_ids.tolist(), queries, strict=True):
-            whole = [int(x) for x in query]
-            scored = sorted((-sum(a * b for a, b in zip(whole, row, strict=True)), i) for i, row in rows if i != query_id)
+    def _exact_wide(self, query_ids: np.ndarray, queries: list[list[int]], k: int) -> Iterator[tuple[int, int, int]]:
+        rows = list(zip(self.ids.tolist(), _integers(self.whole, self.vectors), strict=True))
+        for query_id, whole in zip(query_ids.tolist(), queries, strict=True):
+            cut = lambda score: max(-(2**63), min(2**63 - 1, score))
+            scored = sorted((-cut(sum(a * b for a, b in zip(whole, row, strict=True))), i) for i, row in rows if i != query_id)
             for score, vec_id in scored[:k]:
-                yield query_id, vec_id, max(-(2**63), min(2**63 - 1, -score))
+                yield query_id, vec_id, -score
 
 
 def _pairs(k: int):
@@ -142,11 +164,13 @@ def _pairs(k: int):
                 dims = row["dims"]
                 if row["block"] not in indexes:
                     ids = np.frombuffer(row["ids"], np.int64)
-                    indexes[row["block"]] = Block(ids, np.frombuffer(row["whole"], np.float64).reshape(len(ids), dims))
+                    vectors = np.frombuffer(row["whole"], np.float64).reshape(len(ids), dims)
+                    indexes[row["block"]] = Block(ids, whole_of(vectors), vectors)
                     if len(indexes) > 4:
                         indexes.popitem(last=False)
                 query_ids = np.frombuffer(row["query_ids"], np.int64)
-                found = list(indexes[row["block"]].best(query_ids, np.frombuffer(row["queries"], np.float64).reshape(len(query_ids), dims), k))
+                asked = np.frombuffer(row["queries"], np.float64).reshape(len(query_ids), dims)
+                found = list(indexes[row["block"]].best(query_ids, whole_of(asked), k, asked))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], ["query_id", "vec_id", "score"])
 
     return run

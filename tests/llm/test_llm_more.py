@@ -211,10 +211,31 @@ def test_topk_reads_fewer_postings():
     assert 0 < block.read < 0.6 * whole.size * 60  # brute force reads every component for every query
 
 
-def test_topk_leaves_out_what_overflows(spark):
-    rows = [(100, [1.0, 2.0]), (200, [1e307, 0.0]), (1, [1.7e305, 0.0]), (2, [0.5, 0.25])]
-    got = [(r.query_id, r.vec_id) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 100).collect()]
-    assert sorted(got) == [(100, 1), (100, 2)]
+def test_topk_takes_all_finite_components(spark):
+    rows = [(100, [1.0, 2.0]), (200, [1e307, 0.0]), (1, [1.7e305, 0.0]), (2, [0.5, 0.25]), (3, [-1.7e308, 1e308]), (4, [float("inf"), 0.0]), (5, [None, 1.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 100).collect())
+    most = 2**63 - 1
+    assert got == [(100, 1, 1, most), (100, 2, 3, most), (100, 3, 200, most), (100, 4, 2, 1024 * 512 + 2048 * 256), (200, 1, 1, most), (200, 2, 2, most), (200, 3, 100, most), (200, 4, 3, -(2**63))]
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_topk_over_blocks_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCKS_PER_COPY", 2)
+    rng = np.random.default_rng(21)
+    x = rng.normal(0, 1, (150, 8)).round(2)
+    x[::9] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    whole = np.floor(1024 * x).astype(int)
+    index = [topk.Block(np.arange(i, min(150, i + block)), topk.whole_of(x[i : i + block])) for i in range(0, 150, block)]
+    want, parts = [], {}
+    for q in range(0, 150, 10):
+        order = sorted((-int(whole[q] @ whole[i]), i) for i in range(150) if i != q)[:10]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(order, 1)]
+        for part in index:
+            parts.setdefault(q, []).extend((-s, i) for _, i, s in part.best(np.array([q]), topk.whole_of(x[[q]]), 10))
+        assert sorted(parts[q])[:10] == order
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 10 == 0).collect())
+    assert got == want
 
 
 # classifiers on the labels at hand
