@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,20 +48,48 @@ def spectrum(depth: np.ndarray, values: np.ndarray, step: float) -> tuple[np.nda
     return np.fft.rfftfreq(n, step), 2.0 / n * np.abs(np.fft.rfft((y - y.mean()) * np.hanning(n)))
 
 
-def segment_spectra(rows: DataFrame, sensors: list[str], step: float = STEP) -> DataFrame:
-    """(target, segment_id, sensor, freq, amp) of every segment and sensor that has a spectrum."""
+#: Segments of a target that one call takes.
+TOGETHER = 64
 
-    names = ["target", "segment_id", "sensor", "freq", "amp"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts: list[tuple] = []
-        key = (group["target"].iloc[0], group["segment_id"].iloc[0])
-        for s in sensors:
-            if (found := spectrum(group["depth"].to_numpy(float), group[s].to_numpy(float), step)) is not None:
-                parts += [(*key, s, f, a) for f, a in zip(found[0].tolist(), found[1].tolist(), strict=True)]
-        return pd.DataFrame(parts, columns=names)
+def spectra_of(series: list[np.ndarray], step: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Series on even grids, those of one length transformed together: (places in the list, frequencies, amplitudes, a row a series)."""
+    lengths = np.array([len(y) for y in series], int)
+    out = []
+    for n in np.unique(lengths).tolist():
+        places = np.flatnonzero(lengths == n)
+        y = np.stack([series[i] for i in places])
+        y = y - y.mean(axis=1, keepdims=True)
+        x = step * (np.arange(n) - (n - 1) / 2)
+        y = y - (y @ x / (x @ x))[:, None] * x if n > 1 else y
+        y = y - y.mean(axis=1, keepdims=True)
+        out.append((places, np.fft.rfftfreq(n, step), 2.0 / n * np.abs(np.fft.rfft(y * np.hanning(n), axis=1))))
+    return out
 
-    return spread(rows.select("target", "segment_id", "depth", *sensors), "target", "segment_id").groupBy("target", "segment_id").applyInPandas(run, f"target {dict(rows.dtypes)['target']}, segment_id int, sensor string, freq double, amp double")
+
+def segment_spectra(rows: DataFrame, sensors: list[str], step: float = STEP) -> DataFrame:
+    """(target, segment_id, sensor, freq, amp) of every segment and sensor that has a spectrum. A call takes TOGETHER segments of a
+    target."""
+    def run(table: pa.Table) -> pa.Table:
+        segment, depth = (table.column(c).to_numpy() for c in ("segment_id", "depth"))
+        order = np.argsort(segment, kind="stable")
+        ids, begins = np.unique(segment[order], return_index=True)
+        parts = [order[a:b] for a, b in zip(begins, [*begins[1:], len(order)], strict=True)]
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for at, s in enumerate(sensors):
+            values = table.column(s).to_numpy()
+            found = [(i, f[1]) for i, part in enumerate(parts) if (f := even(depth[part], values[part], step)) is not None]
+            for places, freq, amp in spectra_of([y for _, y in found], step):
+                owners = ids[[found[j][0] for j in places]]
+                for held, new in zip(columns, (np.repeat(owners, len(freq)), np.full(amp.size, at), np.tile(freq, len(owners)), amp.ravel()), strict=True):
+                    held.append(new)
+        segment, sensor, freq, amp = (np.concatenate(c) if c else np.zeros(0) for c in columns)
+        target = table.column("target").slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(amp), int)))
+        names = pa.array(sensors, pa.string()).take(pa.array(sensor.astype(int)))
+        return pa.table({"target": target, "segment_id": pa.array(segment.astype(np.int32)), "sensor": names, "freq": pa.array(freq, pa.float64()), "amp": pa.array(amp, pa.float64())})
+
+    wanted = rows.select("target", F.col("segment_id").cast("int").alias("segment_id"), F.col("depth").cast("double").alias("depth"), *[F.col(s).cast("double").alias(s) for s in sensors], F.floor(F.col("segment_id") / TOGETHER).alias("_b"))
+    return spread(wanted, "target", "_b").groupBy("target", "_b").applyInArrow(run, f"target {dict(rows.dtypes)['target']}, segment_id int, sensor string, freq double, amp double")
 
 
 def band_features(spectra: DataFrame, low: float = LOW, high: float = HIGH, bands: tuple[tuple[float, float], ...] = BANDS) -> DataFrame:
@@ -105,27 +134,40 @@ def spectrograms(df: DataFrame, sensors: list[str], step: float = 0.05, window:
     size = max(LEAST, round(window / step))
     hop = size - min(round(overlap / step), size - 1)
 
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    freq = np.fft.rfftfreq(size, step)
+    # each place of the grid between two frequencies; none outside of them
+    low_at = np.clip(np.searchsorted(freq, grid, "right") - 1, 0, len(freq) - 2)
+    part = (grid - freq[low_at]) / (freq[low_at + 1] - freq[low_at])
+    outside = (grid < freq[0]) | (grid > freq[-1])
+
     def frames(depth: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         found = even(depth, values, step)
         if found is None or len(found[1]) < size:
             return None
         y = detrended(*found)
-        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
         starts = np.arange(0, len(y) - size + 1, hop)
         power = np.abs(np.fft.rfft(y[starts[:, None] + np.arange(size)] * hann)) ** 2 * step / (hann**2).sum()
         power[:, 1 : (-1 if size % 2 == 0 else None)] *= 2
-        freq = np.fft.rfftfreq(size, step)
-        return found[0][0] + (starts + size / 2) * step, np.stack([np.interp(grid, freq, p, np.nan, np.nan) for p in power])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for s in sensors:
-            if (found := frames(group["depth"].to_numpy(float), group[s].to_numpy(float))) is not None:
+        placed = power[:, low_at] + part * (power[:, low_at + 1] - power[:, low_at])
+        placed[:, outside] = np.nan
+        return found[0][0] + (starts + size / 2) * step, placed
+
+    def run(table: pa.Table) -> pa.Table:
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        depth = table.column("depth").to_numpy()
+        for i, s in enumerate(sensors):
+            if (found := frames(depth, table.column(s).to_numpy())) is not None:
                 at, power = found
-                parts.append(pd.DataFrame({"target": group["target"].iloc[0], "sensor": s, "window_depth": np.repeat(at, len(grid)), "freq": np.tile(grid, len(at)), "power": power.ravel()}))
-        return pd.concat(parts) if parts else pd.DataFrame({"target": [], "sensor": [], "window_depth": [], "freq": [], "power": []})
-
-    out = spread(df.select("target", "depth", *sensors), "target").groupBy("target").applyInPandas(run, f"target {dict(df.dtypes)['target']}, sensor string, window_depth double, freq double, power double")
+                for held, new in zip(columns, (np.full(power.size, i), np.repeat(at, len(grid)), np.tile(grid, len(at)), power.ravel()), strict=True):
+                    held.append(new)
+        sensor, at, freqs, power = (np.concatenate(c) if c else np.zeros(0) for c in columns)
+        target = table.column("target").slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(power), int)))
+        names = pa.array(sensors, pa.string()).take(pa.array(sensor.astype(int)))
+        return pa.table({"target": target, "sensor": names, "window_depth": pa.array(at, pa.float64()), "freq": pa.array(freqs, pa.float64()), "power": pa.array(power, pa.float64())})
+
+    numbers = [F.col(c).cast("double").alias(c) for c in ("depth", *sensors)]
+    out = spread(df.select("target", *numbers), "target").groupBy("target").applyInArrow(run, f"target {dict(df.dtypes)['target']}, sensor string, window_depth double, freq double, power double")
     return out.withColumn("power", F.nanvl("power", F.lit(None).cast("double")))
 
 

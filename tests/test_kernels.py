@@ -228,3 +228,20 @@ def test_mixtures_of_all_numbers_share_their_scans(spark, monkeypatch, kind):
     r = np.exp(fit.log_parts(x) - np.logaddexp.reduce(fit.log_parts(x), axis=1)[:, None])
     assert abs(np.logaddexp.reduce(fit.log_parts(x), axis=1).sum() - fit.log_likelihood) < 1e-6 and r.sum(axis=1).round(9).tolist() == [1.0] * len(x)
     assert min(together, key=lambda k: together[k].bic) == 3
+
+
+def test_spectra_of_segments_transformed_together(spark):
+    rng = np.random.default_rng(18)
+    rows, want = [], {}
+    for target in ("a", "b"):
+        for segment in range(70):
+            depth = np.sort(rng.uniform(0, rng.choice([0.05, 0.5, 0.5, 1.3]), rng.integers(1, 40)))
+            for s, values in (("x", rng.normal(0, 1, len(depth))), ("y", np.where(rng.random(len(depth)) < 0.2, np.nan, depth))):
+                if (found := spectral.spectrum(depth, values, 0.02)) is not None:
+                    want |= {(target, segment, s, round(float(f), 9)): float(a) for f, a in zip(*found, strict=True)}
+                rows += [(target, segment, s, float(d), None if np.isnan(v) else float(v)) for d, v in zip(depth, values, strict=True)]
+    df = spark.createDataFrame(rows, "target string, segment_id int, s string, depth double, v double")
+    wide = df.groupBy("target", "segment_id", "depth").pivot("s", ["x", "y"]).agg(F.first("v"))
+    got = {(r.target, r.segment_id, r.sensor, round(r.freq, 9)): r.amp for r in spectral.segment_spectra(wide, ["x", "y"]).collect()}
+    assert got.keys() == want.keys() and len(got) > 500 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert spectral.segment_spectra(wide.limit(0), ["x"]).collect() == []
