@@ -49,13 +49,12 @@ def snap_variants(points: DataFrame, samples: DataFrame, variants: list[dict], k
     asked = points.select(*keys, "target", "i", F.explode(F.array(*rows)).alias("v")).select(*keys, "target", "i", "v.*")
     own = [*keys, "variant", "target", "i"]
     near = _near(asked, samples, F.col("radius"), max(v["radius"] for v in variants))
-    steepest = F.max_by("j", F.struct("g", -F.col("j")))
-    closest = F.min_by("j", F.when(F.col("peak"), F.struct(F.abs(F.col("j") - F.col("i")), "j")))
-    to = F.when(F.first("nearest"), F.coalesce(closest, steepest)).otherwise(steepest)
+    steepest = F.max(F.struct(F.col("g").alias("o1"), (-F.col("j")).alias("o2"), "j", "g"))
+    closest = F.min(F.when(F.col("peak"), F.struct(F.abs(F.col("j") - F.col("i")).alias("o1"), F.col("j").alias("o2"), "j", "g")))
     here = F.max(F.when(F.col("i") == F.col("j"), F.col("g"))).alias("g0")
-    moved = near.groupBy(*own).agg(here, to.alias("j"), F.collect_list(F.struct("j", "g")).alias("all"), *[F.first(c).alias(c) for c in ("strength", "drop", "separation")])
-    g1 = F.get(F.filter("all", lambda x: x["j"] == F.col("j")), F.lit(0))["g"]
-    moved = moved.withColumn("g1", g1).drop("all")
+    moved = near.groupBy(*own).agg(here, steepest.alias("s"), closest.alias("c"), *[F.first(c).alias(c) for c in ("nearest", "strength", "drop", "separation")])
+    at = lambda c: F.when(F.col("nearest"), F.coalesce(f"c.{c}", f"s.{c}")).otherwise(F.col(f"s.{c}"))
+    moved = moved.withColumns({"j": at("j"), "g1": at("g")}).drop("s", "c", "nearest")
     stay = F.col("strength").isNotNull() & (F.col("g0") > 0) & (F.col("g1") < F.col("strength") * F.col("g0"))
     moved = moved.withColumns({"j": F.when(stay, F.col("i")).otherwise(F.col("j")), "g1": F.when(stay, F.col("g0")).otherwise(F.col("g1"))})
     if any(v.get("drop") is not None for v in variants):

@@ -43,6 +43,7 @@ def detect_profiles(df: DataFrame, cfg: Detection, step: float = 0.02, places: D
     if len(sensors) > 1 and (cfg.contrast is not False or cfg.adaptive_thickness):
         raise ValueError("contrast and adaptive thickness are those of one feature")
     rows = df.select(F.col("target").cast("string").alias("target"), F.col("depth").cast("double").alias("depth"), *[F.col(c).cast("double").alias("x" if len(sensors) == 1 else f"x{i}") for i, c in enumerate(sensors)])
+    rows = clean.spread(rows, "target")  # once: windows, statistics and joins by target stay in these partitions
     signals = ["x"] if len(sensors) == 1 else [f"x{i}" for i in range(len(sensors))]
     spec = rows.join(clean.step_of(rows), "target")
     if cfg.adaptive_thickness:

@@ -267,7 +267,7 @@ def adaptive_kappa_smoothed(spark, sf):
 
 
 def _spec(spark, sf):
-    rows = tb.events(spark, sf).select("target", "depth", "value")
+    rows = clean.spread(tb.events(spark, sf).select("target", "depth", "value"), "target")
     c = hazards.with_rate_factor(hazards.lr_contrast(rows, "value", 4), "contrast", 0.8, "factor").join(clean.step_of(rows), "target")
     return c.withColumns({"h": hazards.depth_aware(F.col("depth"), F.col("step"), 48.0, 0.05, 24.0), "least_run": hazards.least_run(24.0, F.col("step"))})
 
@@ -764,6 +764,14 @@ def bocpd_grid(spark, sf):
     return rounded(grid_search(rows, "value", _tops(spark, sf), GRIDS["quick"], STEP, UNIT, beta=500.0))
 
 
+@query()
+def bocpd_long_profiles(spark, sf):
+    """Profiles of twenty users end to end, of more than a thousand samples each."""
+    hours = 24.0 * 366
+    rows = tb.events(spark, sf).select(F.floor(F.col("target") / 20).alias("target"), (F.col("target") % 20 * hours + F.col("depth")).alias("depth"), "value")
+    return rounded(detect.change_points(rows.withColumn("h", F.lit(1 / 30)), ["value"], beta=500.0))
+
+
 @query()
 def bocpd_in_chunks(spark, sf):
     """Boundaries with the state of each profile carried from chunk to chunk."""

@@ -53,7 +53,7 @@ CHUNK = 8
 
 def _inputs(df: DataFrame, x: str, axes: Axes, step: float, unit: float) -> DataFrame:
     """Samples with what the settings share: contrast, its strength, and the thickness prior for each soft floor."""
-    rows = df.select("target", F.col("depth").cast("double").alias("depth"), F.col(x).cast("double").alias("x"))
+    rows = clean.spread(df.select("target", F.col("depth").cast("double").alias("depth"), F.col(x).cast("double").alias("x")), "target")
     parts = hazards.kappa_inputs(rows, "x")
     pairs = sorted(set(axes.thickness))
     thick = [hazards.blended(max(s, h) * unit, BASE_THICKNESS * unit, s * unit, max(MOST_THICKNESS, 4 * s) * unit)["thickness"] for s, h in pairs]
