@@ -150,6 +150,14 @@ def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumn("_ok", ok).filter("_ok").drop("_ok"), keys, "left")
 
 
+def with_first_labels(rows: DataFrame, labels: DataFrame, *order: str) -> DataFrame:
+    """Samples with the first label of their segment by `order` (then by the labels themselves), NULL without one: labels may repeat."""
+    keys = ["target", "segment_id"]
+    others = [c for c in labels.columns if c not in keys and c not in order]
+    first = labels.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order, *others)).alias("_first"))
+    return rows.join(first, keys, "left").select("*", "_first.*").drop("_first")
+
+
 def with_location(rows: DataFrame, places: DataFrame) -> DataFrame:
     """Rows with the coordinates of their target (x, y and what else `places` has), NULL where it has none."""
     return rows.join(places, "target", "left")

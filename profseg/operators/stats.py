@@ -130,6 +130,17 @@ def change_counts(df: DataFrame, before: str, after: str, tolerance: float = 1e-
     return df.agg(F.count_if(d > tolerance).alias("improved"), F.count_if(F.abs(d) <= tolerance).alias("same"), F.count_if(d < -tolerance).alias("worse"))
 
 
+def largest_changes(df: DataFrame, before: str, after: str, n: int = 5) -> DataFrame:
+    """(kind, rank, target, before, after, change): the n largest gains and the n largest losses, ties by target; changes of 0 are
+    neither."""
+    rows = df.select("target", F.col(before).alias("before"), F.col(after).alias("after"), (F.col(after) - F.col(before)).alias("change")).filter("change <> 0")
+    parts = []
+    for kind, order in (("gain", F.desc("change")), ("loss", F.asc("change"))):
+        own = rows.filter("change > 0" if kind == "gain" else "change < 0").orderBy(order, "target").limit(n)
+        parts.append(own.select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(order, "target")).alias("rank"), "target", "before", "after", "change"))
+    return parts[0].unionByName(parts[1])
+
+
 def diagnosis(n_pred: Column, n_true: Column, precision: Column, recall: Column, f1: Column, iqr: Column, roughness: Column, snr: Column, thickness: Column, span: Column) -> Column:
     """Findings about a profile's result, as texts. A NULL statistic has no finding.
 

@@ -772,6 +772,38 @@ def bocpd_long_profiles(spark, sf):
     return rounded(detect.change_points(rows.withColumn("h", F.lit(1 / 30)), ["value"], beta=500.0))
 
 
+_HALVES = ", hv as (select target, avg(value) filter (where i % 2 = 0) as a, avg(value) filter (where i % 2 = 1) as b from enum group by target)"
+
+
+def _halves(spark, sf):
+    i = F.row_number().over(clean.by_depth()) - 1
+    rows = tb.events(spark, sf).select("target", "value", (i % 2).alias("odd"))
+    return rows.groupBy("target").agg(F.avg(F.when(F.col("odd") == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("odd") == 1, F.col("value"))).alias("b"))
+
+
+@query(_HALVES + " select count(*) filter (where b - a > 1e-9)::bigint as improved, count(*) filter (where abs(b - a) <= 1e-9)::bigint as same, count(*) filter (where b - a < -1e-9)::bigint as worse from hv")
+def change_counts(spark, sf):
+    return stats.change_counts(_halves(spark, sf), "a", "b")
+
+
+@query(
+    _HALVES
+    + f""", ch as (select target, a, b, b - a as d from hv), rk as (select 'gain' as kind, row_number() over (order by d desc, target)::int as rank, * from ch where d > 0
+union all select 'loss', row_number() over (order by d, target)::int, * from ch where d < 0) select kind, rank, target, {r(before='a', after='b', change='d')} from rk where rank <= 5"""
+)
+def largest_changes(spark, sf):
+    return rounded(stats.largest_changes(_halves(spark, sf), "a", "b"))
+
+
+@query(_ROWS + ", lb as (select target, segment_id, 'L' || event_id % 3 as label, min(depth) as d from rw where segment_id % 4 > 0 group by all), fl as (select target, segment_id, first(label order by d, label) as label from lb group by 1, 2) select rw.target, rw.segment_id, fl.label, count(*)::bigint as n from rw left join fl using (target, segment_id) group by all")
+def first_labels(spark, sf):
+    """Segments with several labels, or none."""
+    rows = _rows(spark, sf)
+    label = F.concat(F.lit("L"), (F.col("event_id") % 3).cast("string")).alias("label")
+    labels = rows.filter("segment_id % 4 > 0").groupBy("target", "segment_id", label).agg(F.min("depth").alias("d"))
+    return intervals.with_first_labels(rows.select("target", "segment_id"), labels, "d").groupBy("target", "segment_id", "label").agg(F.count("*").alias("n"))
+
+
 @query()
 def bocpd_in_chunks(spark, sf):
     """Boundaries with the state of each profile carried from chunk to chunk."""

@@ -7,7 +7,7 @@ import re
 import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN = "model_id string, run string, started double, elapsed double, input string, boundary_source string, nmi double, ari double, accuracy double, config string"
@@ -28,6 +28,13 @@ def best(runs: DataFrame) -> DataFrame:
     return runs.groupBy("model_id").agg(F.max_by("run", key).alias("run"), F.max(key)["nmi"].alias("nmi"))
 
 
+def best_of_all(runs: DataFrame, folder: Column | None = None) -> DataFrame:
+    """The best run of all by NMI, a missing one counting 0, or of each folder; of equals the earliest, then the first model by name.
+    (folder, model_id, run, nmi)"""
+    rows = runs.select((folder if folder is not None else F.lit(None).cast("string")).alias("folder"), "model_id", "run", F.coalesce("nmi", F.lit(0.0)).alias("nmi"))
+    return rows.groupBy("folder").agg(F.min_by(F.struct("model_id", "run", "nmi"), F.struct((-F.col("nmi")).alias("less"), "run", "model_id")).alias("best")).select("folder", "best.*")
+
+
 def latest(runs: DataFrame) -> DataFrame:
     return runs.groupBy("model_id").agg(F.max("run").alias("run"))
 

@@ -355,3 +355,11 @@ def test_density_by_cells_is_the_whole_sum(spark):
         total = sum(1 / (d + 1) for d, _ in near)
         want = sum(1 / (d + 1) / total * math.exp(-0.5 * ((row.depth - b) / 0.7) ** 2) / (math.sqrt(2 * math.pi) * 0.7) for d, t in near for u, b in points if u == t)
         assert abs(row.density - want) < 1e-12
+
+
+def test_best_run_of_all_and_of_each_folder(spark):
+    rows = [("m1", "r1", 0.4, "a/x"), ("m1", "r3", 0.9, "a/x"), ("m2", "r2", 0.9, "b/y"), ("m3", "r2", None, "b/y"), ("m4", "r4", -0.2, "c")]
+    df = spark.createDataFrame(rows, "model_id string, run string, nmi double, input string")
+    assert [tuple(r) for r in runs.best_of_all(df).collect()] == [(None, "m2", "r2", 0.9)]
+    got = {tuple(r) for r in runs.best_of_all(df, F.substring_index("input", "/", 1)).collect()}
+    assert got == {("a", "m1", "r3", 0.9), ("b", "m2", "r2", 0.9), ("c", "m4", "r4", -0.2)}
