@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from profseg.plans.queries import QUERIES
 
-HEADLINE = ("series_stats", "feat_summary", "asof_unit", "adaptive_kappa", "segment_graph", "match_boundaries", "feat_stft", "bocpd_univariate", "bocpd_hazard_spec", "bocpd_grid")
+HEADLINE = ("series_stats", "feat_summary", "asof_unit", "adaptive_kappa", "segment_graph", "match_boundaries", "feat_stft", "bocpd_univariate", "bocpd_hazard_spec", "bocpd_grid", "bocpd_long_profiles", "feat_fft")
 
 
 def main() -> None:
