@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).parent.parent
@@ -35,7 +36,7 @@ def rows_of(frame) -> list[tuple]:
     names = sorted(frame.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return float(v) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "-") in "iufb" else v
 
