@@ -30,6 +30,11 @@ def log1p_positive(x: Column) -> Column:
     return F.when(x > 0, F.log1p(x))
 
 
+def log1p_from_zero(x: Column) -> Column:
+    """log1p of values from 0 on, NULL for others."""
+    return F.when(x >= 0, F.log1p(x))
+
+
 def log1p_clipped(x: Column) -> Column:
     """log1p with negatives counted as 0."""
     return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import friction_ratio, log1p_clipped, log1p_positive, relative_depth
+from ..functions.scalars import friction_ratio, log1p_clipped, log1p_from_zero, log1p_positive, relative_depth
 from .clean import gradient_depth
 
 KEYS = ("target", "segment_id")
@@ -62,16 +62,17 @@ def depth_derivatives(rows: DataFrame, sensors: list[str]) -> DataFrame:
     return own.withColumns(cols).groupBy(*KEYS).agg(*out)
 
 
-def engineered(rows: DataFrame, cone: str = "SCPT_RES", sleeve: str = "SCPT_FRES", ratio: str = "SCPT_NQT", friction: str = "SCPT_NFR") -> DataFrame:
-    """Statistics of the friction ratio, the logarithm of the cone resistance and logarithms of the normalised pair; NULL
-    where `rows` lacks a column that they need."""
+def engineered(rows: DataFrame, cone: str = "SCPT_RES", sleeve: str = "SCPT_FRES", ratio: str = "SCPT_NQT", friction: str = "SCPT_NFR", zeros: bool = False) -> DataFrame:
+    """Statistics of the friction ratio, the logarithm of the cone resistance and logarithms of the normalised pair (positive values
+    of it; with `zeros` those of 0 too); NULL where `rows` lacks a column that they need."""
+    normalised = log1p_from_zero if zeros else log1p_positive
     there = lambda *c: all(x in rows.columns for x in c)
     none = F.lit(None).cast("double")
     made = {
         "Rf": friction_ratio(F.col(sleeve), F.col(cone)) if there(cone, sleeve) else none,
         "log_qc": log1p_clipped(F.col(cone)) if there(cone) else none,
-        f"log_{ratio}": log1p_positive(F.col(ratio)) if there(ratio) else none,
-        f"log_{friction}": log1p_positive(F.col(friction)) if there(friction) else none,
+        f"log_{ratio}": normalised(F.col(ratio)) if there(ratio) else none,
+        f"log_{friction}": normalised(F.col(friction)) if there(friction) else none,
     }
     own = rows.select(*KEYS, *[v.alias(f"_{k}") for k, v in made.items()])
     q = lambda c, p: F.percentile(f"_{c}", F.lit(p))
