@@ -229,7 +229,8 @@ def refine_sweep(df: DataFrame, truth: DataFrame, cfg: Detection, step: float =
     for radius, sizes in SMOOTHINGS.items():
         for w in sizes:
             own.setdefault(w, []).append(variant(f"r{radius}_argmax_sw{w}", {"radius": radius}))
-    moved = [refine.snap_variants(raw, samples[w], vs).select("variant", "target", F.explode("indexes").alias("i")) for w, vs in own.items()]
+    # each part is written by itself: one plan of them all, with its broadcasts, would be held by the driver at once
+    moved = [settled(refine.snap_variants(raw, samples[w], vs).select("variant", "target", F.explode("indexes").alias("i"))) for w, vs in own.items()]
     # other sets of points, all under the small radius
     points = raw.select("target", "i", "p_change")
     sets = [(f"r0.3_argmax_conf_q{q:.2f}", refine.confident(points, "p_change", q).select("target", "i")) for q in QUANTILES]
@@ -238,11 +239,11 @@ def refine_sweep(df: DataFrame, truth: DataFrame, cfg: Detection, step: float =
     for name, some in sets:
         part = some.select(F.lit(name).alias("set"), "target", F.col("i").cast("long").alias("i"))
         others = part if others is None else others.unionByName(part)
-    moved.append(refine.snap_variants(settled(others), samples[SMOOTH], [variant("", small)], ["set"]).select(F.col("set").alias("variant"), "target", F.explode("indexes").alias("i")))
+    moved.append(settled(refine.snap_variants(settled(others), samples[SMOOTH], [variant("", small)], ["set"]).select(F.col("set").alias("variant"), "target", F.explode("indexes").alias("i"))))
     for ratio in RATIOS:
         far = refine.two_radii(points, samples[SMOOTH], size(TWO_RADII[0]), size(TWO_RADII[1]), ratio)
         kept = far.groupBy("target").agg(refine.separate(F.array_sort(F.collect_set("j")), size(SEPARATION)).alias("indexes"))
-        moved.append(kept.select(F.lit(f"hybrid_r03_r07_ratio{ratio}").alias("variant"), "target", F.explode("indexes").alias("i")))
+        moved.append(settled(kept.select(F.lit(f"hybrid_r03_r07_ratio{ratio}").alias("variant"), "target", F.explode("indexes").alias("i"))))
     found = moved[0]
     for more in moved[1:]:
         found = found.unionByName(more)
