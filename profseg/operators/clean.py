@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+from functools import cache
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,6 +64,28 @@ def step_of(df: DataFrame) -> DataFrame:
     return gaps.groupBy("target").agg(F.coalesce(F.percentile("gap", F.lit(0.5)), F.lit(DEFAULT_STEP)).alias("step"))
 
 
+def between(low: Column, high: Column, share: Column) -> Column:
+    """low * (1 - share) + high * share with the first product not rounded by itself (its error and that of the sum are added), as SQL
+    engines with a fused multiply-add have it: a threshold between two values that differ in their last place falls alike."""
+    rest = 1 - share
+    halves = lambda v: (v * 134217729.0 - (v * 134217729.0 - v), v - (v * 134217729.0 - (v * 134217729.0 - v)))
+    (a, b), (c, d) = halves(low), halves(rest)
+    p, q = low * rest, high * share
+    lost = ((a * c - p) + a * d + b * c) + b * d
+    total = p + q
+    part = total - p
+    return F.when(low == high, low).otherwise(total + (((p - (total - part)) + (q - part)) + lost))
+
+
+def with_quantile(df: DataFrame, x: str, q: float, name: str) -> DataFrame:
+    """Rows with that quantile of `x` in their profile, between() the two values around it by rank."""
+    whole = Window.partitionBy("target")
+    ranked = df.withColumns({"_r": F.row_number().over(whole.orderBy(F.col(x).asc_nulls_last())) - 1, "_at": F.lit(q) * (F.count(x).over(whole) - 1)})
+    of_rank = lambda rank: F.max(F.when(F.col("_r") == rank, F.col(x))).over(whole)
+    ends = ranked.withColumns({"_l": of_rank(F.floor("_at")), "_h": of_rank(F.ceil("_at"))})
+    return ends.withColumn(name, between(F.col("_l"), F.col("_h"), F.col("_at") - F.floor("_at"))).drop("_r", "_at", "_l", "_h")
+
+
 def surface_tops(strata: DataFrame, include_bottom: bool = False) -> DataFrame:
     """(target, boundaries): sorted distinct tops below the surface; with the deepest bottom, if asked for."""
     tops = F.array_sort(F.collect_set(F.when(F.col("top") > 0, F.col("top"))))
@@ -78,11 +105,30 @@ def depths_at(df: DataFrame, indexes: DataFrame) -> DataFrame:
     return indexes.join(numbered, ["target", "index"])
 
 
+@cache
 def moving_polynomial(size: int, degree: int = 3) -> np.ndarray:
-    """Weights of a window's samples in the value that its least-squares polynomial has at each of its places."""
-    powers = np.vander(np.arange(size) - size // 2, min(degree, size - 1) + 1, increasing=True).astype(float)
-    q, _ = np.linalg.qr(powers)
-    return q @ q.T
+    """Weights of a window's samples in the value that its least-squares polynomial has at each of its places: in fractions, each
+    rounded once, so that sums over few-digit samples tie where they should."""
+    basis: list[list[int]] = []
+    for power in range(min(degree, size - 1) + 1):
+        v = [Fraction(i - size // 2) ** power for i in range(size)]
+        for b in basis:
+            share = sum(a * c for a, c in zip(v, b, strict=True)) / sum(c * c for c in b)
+            v = [a - share * c for a, c in zip(v, b, strict=True)]
+        whole = math.lcm(*[a.denominator for a in v])
+        basis.append([int(a * whole) for a in v])
+    norms = [sum(c * c for c in b) for b in basis]
+    below = math.lcm(*norms)
+    parts = [(b, below // n) for b, n in zip(basis, norms, strict=True)]
+    return np.array([[sum(b[at] * b[i] * times for b, times in parts) / below for i in range(size)] for at in range(size)])
+
+
+def _weights(spark: SparkSession, window: int) -> DataFrame:
+    """(_size, _place, _own): moving_polynomial() of all odd windows up to `window`. A table, since so many literals would burden each
+    plan."""
+    rows = [(size, place, own) for size in range(3, window + 1, 2) for place, own in enumerate(moving_polynomial(size).tolist())]
+    kinds = (pa.int32(), pa.int32(), pa.list_(pa.float64()))
+    return spark.createDataFrame(pa.table({c: pa.array(v, kind) for c, v, kind in zip(("_size", "_place", "_own"), zip(*rows, strict=True), kinds, strict=True)}))
 
 
 def smoothed(df: DataFrame, x: str, window: int, name: str | None = None) -> DataFrame:
@@ -93,17 +139,17 @@ def smoothed(df: DataFrame, x: str, window: int, name: str | None = None) -> Dat
     if window < 3:
         return df.withColumn(name, F.col(x))
     window += 1 - window % 2
-    weights = F.array(*[F.array(*[F.array(*map(F.lit, row)) for row in moving_polynomial(size).tolist()]) for size in range(3, window + 1, 2)])
     rows = df.withColumns({"_w": F.collect_list(x).over(by_depth().rowsBetween(1 - window, window - 1)), "_i": F.row_number().over(by_depth()) - 1, "_n": F.count("*").over(Window.partitionBy("target"))})
     size = F.least(F.lit(window), F.col("_n") - 1 + F.col("_n") % 2).cast("int")
     half = F.shiftright("_size", 1)
     place = F.when(F.col("_i") < half, F.col("_i")).when(F.col("_i") >= F.col("_n") - half, F.col("_size") - F.col("_n") + F.col("_i")).otherwise(half).cast("int")
     rows = rows.withColumn("_size", size).withColumn("_place", place)
+    rows = rows.join(F.broadcast(_weights(df.sparkSession, window)), ["_size", "_place"], "left")
     first = F.col("_i") - F.col("_place") - F.greatest(F.lit(0), F.col("_i") - (window - 1))
     near = F.slice("_w", (first + 1).cast("int"), F.greatest(F.col("_size"), F.lit(1)))
-    own = F.get(F.get(weights, (F.shiftright("_size", 1) - 1).cast("int")), F.col("_place"))
-    total = F.aggregate(F.zip_with(near, own, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rows.withColumn(name, F.when(F.col("_size") >= 3, total).otherwise(F.col(x))).drop("_w", "_i", "_n", "_size", "_place")
+    total = F.aggregate(F.zip_with(near, F.col("_own"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    value = F.when(F.col("_size") >= 3, total).otherwise(F.col(x)).alias(name)
+    return rows.select(*[value if c == name else F.col(c) for c in df.columns], *[value] * (name not in df.columns))
 
 
 def gradient_uniform(x: str, step: Column, order: Window | None = None) -> Column:
