@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import settled
-from .clean import by_depth, gradient_uniform, smoothed, step_of
+from .clean import by_depth, gradient_uniform, smoothed, step_of, with_quantile
 
 LARGEST = 1.0 - 1e-12
 
@@ -92,9 +92,9 @@ KAPPA = {"base": 0.6, "least": 0.5, "most": 2.5, "quantile": 0.8, "weights": (0.
 def kappa_inputs(df: DataFrame, x: str, quantile: float = KAPPA["quantile"], smooth: int = 0) -> DataFrame:
     """(target, step, n, iqr, g75, spacing, n_strong): what a profile's thickness prior is blended of, by its signal smoothed over
     at most so many samples (odd, an even number counts as one less)."""
-    w, whole = by_depth(), Window.partitionBy("target")
+    w = by_depth()
     rows = smoothed(df, x, smooth - 1 + smooth % 2).join(step_of(df), "target").withColumn("_g", F.abs(gradient_uniform(x, F.col("step"))))
-    rows = rows.withColumns({"_q": F.percentile("_g", F.lit(quantile)).over(whole), "_b": F.lag("_g").over(w), "_a": F.lead("_g").over(w)})
+    rows = with_quantile(rows, "_g", quantile, "_q").withColumns({"_b": F.lag("_g").over(w), "_a": F.lead("_g").over(w)})
     strong = (F.col("_g") > F.col("_b")) & (F.col("_g") >= F.col("_a")) & (F.col("_g") >= F.col("_q"))
     # the depth of the strong peak before, without a second pass over the samples
     before = F.last(F.when(strong, F.col("depth")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))

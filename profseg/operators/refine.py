@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .clean import by_depth, gradient_uniform, smoothed
+from .clean import between, by_depth, gradient_uniform, smoothed, with_quantile
 
 
 def with_gradient(df: DataFrame, x: str, step: Column, smooth: int = 0) -> DataFrame:
@@ -73,13 +73,12 @@ def linear_quantile(ordered: Column, q: Column) -> Column:
     at = q * (F.size(ordered) - 1)
     low = F.get(ordered, F.floor(at).cast("int"))
     high = F.get(ordered, F.ceil(at).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
+    return between(low, high, at - F.floor(at))
 
 
 def confident(points: DataFrame, probability: str, quantile: float) -> DataFrame:
     """Change points whose probability reaches that quantile of their profile's."""
-    floor = F.percentile(probability, F.lit(quantile)).over(Window.partitionBy("target"))
-    return points.withColumn("_f", floor).filter(F.col(probability) >= F.col("_f")).drop("_f")
+    return with_quantile(points, probability, quantile, "_f").filter(F.col(probability) >= F.col("_f")).drop("_f")
 
 
 def two_radii(points: DataFrame, samples: DataFrame, small: int, large: int, ratio: float) -> DataFrame:
@@ -94,8 +93,7 @@ def two_radii(points: DataFrame, samples: DataFrame, small: int, large: int, rat
 def augment(points: DataFrame, samples: DataFrame, quantile: float, distance: int) -> DataFrame:
     """(target, i): the points, and peaks at that quantile of all peaks or steeper that are `distance` samples from every
     point."""
-    floor = samples.filter("peak").groupBy("target").agg(F.percentile("g", F.lit(quantile)).alias("floor"))
-    steep = samples.filter("peak").join(floor, "target").filter(F.col("g") >= F.col("floor")).select("target", "i")
+    steep = with_quantile(samples.filter("peak"), "g", quantile, "floor").filter(F.col("g") >= F.col("floor")).select("target", "i")
     # steep samples and points in order: the point before and the one behind tell the distance
     marks = points.select("target", "i", F.lit(True).alias("mark"))
     both = marks.unionByName(steep.withColumn("mark", F.lit(False)))
