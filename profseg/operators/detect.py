@@ -11,12 +11,14 @@ with its length times the runs that are left. What is dropped at one sample is l
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .clean import spread
@@ -270,6 +272,97 @@ def detect(x: np.ndarray, model, hazard: np.ndarray, least_run: int = 0, factors
     return Detection(np.array(recursion.boundaries(), np.int64), p_change, runs, recursion.evidence)
 
 
+#: Samples times runs that are held for profiles at once: enough to spread numpy's cost a call, little enough for a cache.
+TOGETHER = 1 << 14
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """_log_sum() of each row."""
+    top = x.max(axis=1)
+    safe = np.where(top > -np.inf, top, 0.0)
+    return np.where(top > -np.inf, safe + np.log(np.exp(x - safe[:, None]).sum(axis=1)), -np.inf)
+
+
+def _detect_rows(signals: list[np.ndarray], bases: list[np.ndarray], means: np.ndarray, prior: tuple[float, float, float], least_run: int) -> list[Detection]:
+    """detect() of scalar profiles, the longest first, under one least run: each sample is a step of all profiles that have it. Runs
+    are never dropped, so that at every sample all have the same ones, and a row's arithmetic is that of Recursion."""
+    kappa, alpha, beta = prior
+    lengths = np.array([len(x) for x in signals])
+    count, n = len(signals), int(lengths[0])
+    table = ScalarModel(n, 0.0, kappa, alpha, beta)
+    values, hazard = np.zeros((n, count)), np.zeros((n, count))
+    for i, (x, h) in enumerate(zip(signals, bases, strict=True)):
+        values[: len(x), i], hazard[: len(x), i] = x, h
+    log_hazard, log_rest = np.log(hazard), np.log1p(-hazard)
+    mean, scale = np.empty((count, n + 1)), np.full((count, n + 1), beta)
+    mean[:] = means[:, None]
+    log_run, before, origin = np.zeros((count, n + 1)), np.full((count, n + 1), -np.inf), np.zeros((count, n + 1), np.int64)
+    p_change, runs = np.zeros((count, n)), np.zeros((count, n), np.int64)
+    last, evidence = np.zeros(count), np.zeros(count)
+    for z in range(1, n + 1):
+        a = int(np.searchsorted(-lengths, -z, "right"))  # profiles with a sample here
+        at = np.arange(a)
+        x, m, b = values[z - 1, :a, None], mean[:a, :z], scale[:a, :z]
+        own_kappa, own_alpha = table.kappa[z - 1 :: -1], table.alpha[z - 1 :: -1]
+        off = x - m
+        logs = log_run[:a, :z]
+        logs += table.fixed[z - 1 :: -1] - 0.5 * np.log(b) - (own_alpha + 0.5) * np.log1p(off**2 / (table.grown[z - 1 :: -1] * b))
+        able = z - min(least_run, z) if least_run else z
+        fresh = _row_sums(logs[:, :able]) + log_hazard[z - 1, :a] if able else np.full(a, -np.inf)
+        logs[:, :able] += log_rest[z - 1, :a, None]
+        log_run[:a, z] = fresh
+        evidence[:a] = _row_sums(log_run[:a, : z + 1])
+        share = np.exp(log_run[:a, : z + 1] - evidence[:a, None])
+        p_change[:a, z - 1], runs[:a, z - 1] = share[:, -1], share[:, ::-1].argmax(axis=1)
+        logs = np.log(share)
+        best = logs[:, 0].copy()
+        if z > 1:
+            paths = logs[:, 1:z] + before[:a, 1:z]
+            j = paths.argmax(axis=1)
+            found = paths[at, j]
+            cut = (found >= best) & (found > -np.inf)
+            best[cut] = found[cut]
+            origin[:a, z] = np.where(cut, j + 1, 0)
+        before[:a, z] = logs[:, z] + last[:a]
+        last[:a] = best
+        off /= own_kappa + 1
+        b += 0.5 * own_kappa * (own_kappa + 1) * off * off
+        m += off
+    out = []
+    for i, size in enumerate(lengths.tolist()):
+        at, z = [], size
+        while z > 0 and origin[i, z]:
+            at.append(int(origin[i, z]) - 1)
+            z = at[-1]
+        out.append(Detection(np.array(at[::-1], np.int64), p_change[i, :size].copy(), runs[i, :size].copy(), float(evidence[i])))
+    return out
+
+
+def detect_all(signals: list[np.ndarray], means: list[float], hazards: list[np.ndarray], least_runs: list[int], factors: list[tuple[np.ndarray, ...]], prior: tuple[float, float, float]) -> list[Detection]:
+    """detect() of many profiles of one sensor, in their order: those of one least run and about one length go together."""
+    bases = []
+    for h, more in zip(hazards, factors, strict=True):
+        base = np.clip(h, 0.0, LARGEST)
+        for f in more:
+            base = np.clip(base * f, 0.0, LARGEST)
+        bases.append(base)
+    order = sorted(range(len(signals)), key=lambda i: (least_runs[i], -len(signals[i])))
+    found: list[Detection] = [Detection(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), 0.0)] * len(signals)
+    start = 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        while start < len(order):
+            first = order[start]
+            most = max(1, TOGETHER // max(1, len(signals[first])))
+            some = [i for i in order[start : start + most] if least_runs[i] == least_runs[first]]
+            start += len(some)
+            if len(signals[first]):
+                some = [i for i in some if len(signals[i])]
+                done = _detect_rows([signals[i] for i in some], [bases[i] for i in some], np.array([means[i] for i in some]), prior, least_runs[first])
+                for i, d in zip(some, done, strict=True):
+                    found[i] = d
+    return found
+
+
 def drops(run: np.ndarray, least_drop: int = 5) -> list[int]:
     """Samples where the most probable run length falls by so much."""
     return (np.flatnonzero(run[:-1] - run[1:] >= least_drop) + 1).tolist() if len(run) > 1 else []
@@ -360,25 +453,76 @@ class Profile:
         return float(np.median(np.diff(self.depth))) if len(self.depth) > 1 else 0.02
 
 
-def run_profile(p: Profile, sensors: list[str], mean_from_signal: bool, kappa: float, alpha: float, beta: float, smooth: str | None, posterior=None, least_share: float = 0.0) -> Detection:
-    """The detection of one profile: one sensor by its signal, several as standardised vectors."""
+def _signal(p: Profile, sensor: str, smooth: str | None) -> np.ndarray:
+    x = fill(p.columns[sensor])
+    return adaptive_smooth(x, p.step, smooth) if smooth else x
+
+
+def _hazards(p: Profile) -> tuple[np.ndarray, int, tuple[np.ndarray, ...]]:
+    """Hazard (NULL: 1 / n), least run and factors of a profile."""
     n = len(p.depth)
-    signals = np.stack([fill(p.columns[s]) for s in sensors], axis=1)
     h = p.columns.get("h", np.full(n, np.nan))
-    h = np.where(np.isfinite(h), h, 1 / max(n, 1))
     least = int(p.columns["least_run"][0]) if "least_run" in p.columns else 0
-    factors = (p.columns["factor"],) if "factor" in p.columns else ()
+    return np.where(np.isfinite(h), h, 1 / max(n, 1)), least, (p.columns["factor"],) if "factor" in p.columns else ()
+
+
+def run_profile(p: Profile, sensors: list[str], mean_from_signal: bool, kappa: float, alpha: float, beta: float, smooth: str | None, posterior=None, least_share: float = 0.0) -> Detection:
+    """The detection of one profile: one sensor by its signal, several as standardised vectors."""
+    n = len(p.depth)
+    h, least, factors = _hazards(p)
     if len(sensors) == 1:
-        x = signals[:, 0]
-        x = adaptive_smooth(x, p.step, smooth) if smooth else x
+        x = _signal(p, sensors[0], smooth)
         model = ScalarModel(n, float(np.median(x)) if mean_from_signal else 0.0, kappa, alpha, beta)
     else:
-        x = standard(signals)
+        x = standard(np.stack([fill(p.columns[s]) for s in sensors], axis=1))
         spread_ = (np.cov(x, rowvar=False) if n > 1 else np.zeros((x.shape[1],) * 2)) + 1e-6 * np.eye(x.shape[1])
         model = VectorModel(n, np.zeros(x.shape[1]), spread_, kappa)
     return detect(x, model, h, least, factors, posterior, least_share)
 
 
+def run_profiles(profiles: list[Profile], sensors: list[str], mean_from_signal: bool, kappa: float, alpha: float, beta: float, smooth: str | None, least_share: float = 0.0) -> list[Detection]:
+    """run_profile() of many: those of one sensor that keep all runs go through the recursion together."""
+    if len(sensors) > 1 or least_share:
+        return [run_profile(p, sensors, mean_from_signal, kappa, alpha, beta, smooth, None, least_share) for p in profiles]
+    signals = [_signal(p, sensors[0], smooth) for p in profiles]
+    means = [float(np.median(x)) if mean_from_signal else 0.0 for x in signals]
+    specs = [_hazards(p) for p in profiles]
+    return detect_all(signals, means, [h for h, _, _ in specs], [least for _, least, _ in specs], [f for _, _, f in specs], (kappa, alpha, beta))
+
+
+#: Samples of whole profiles that a task holds at once, or one profile's.
+HELD_ROWS = 1 << 16
+
+
+def profile_batches(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("target",)) -> Iterator[list[pa.Table]]:
+    """Whole profiles from a partition's rows sorted by `keys`, a few at a time."""
+    rest, held, size = [], [], 0
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        named = [batch.column(k) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in named:
+            new[1:] |= ~np.asarray(pc.equal(c.slice(1), c.slice(0, batch.num_rows - 1)).fill_null(False))
+        bounds = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in itertools.pairwise(bounds):
+            key = tuple(c[a].as_py() for c in named)
+            if rest and key != last:
+                held.append(pa.Table.from_batches(rest))
+                rest = []
+                if size >= HELD_ROWS:
+                    yield held
+                    held, size = [], 0
+            rest.append(batch.slice(a, b - a))
+            size += b - a
+            last = key
+    if rest:
+        held.append(pa.Table.from_batches(rest))
+    if held:
+        yield held
+
+
 def _spec(df: DataFrame, sensors: list[str]) -> DataFrame:
     columns = [c for c in ("h", "least_run", "factor") if c in df.columns]
     return spread(df.select("target", df["depth"].cast("double").alias("depth"), *[df[s].cast("double").alias(s) for s in sensors], *columns), "target")
@@ -392,16 +536,18 @@ def change_points(df: DataFrame, sensors: list[str], mean_from_signal: bool = Tr
     least_run behind one that is kept are left out. One shuffle by target.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        p = Profile.of(table)
-        found = run_profile(p, sensors, mean_from_signal, kappa, alpha, beta, smooth, None, least_share)
-        least = int(p.columns["least_run"][0]) if "least_run" in p.columns else 1
-        at = separated(found.boundaries.tolist() if method == "map" else drops(found.run), max(min_separation, least, 1))
-        rows = [(p.target, i, float(p.depth[i]), float(found.p_change[i]), len(p.depth), found.log_evidence) for i in at] or [(p.target, None, None, None, len(p.depth), found.log_evidence)]
-        kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
-        return pa.table({c.split()[0]: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(zip(RESULT.split(", "), kinds, strict=True))})
-
-    return _spec(df, sensors).groupBy("target").applyInArrow(run, RESULT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tables in profile_batches(batches):
+            profiles = [Profile.of(t) for t in tables]
+            rows = []
+            for p, found in zip(profiles, run_profiles(profiles, sensors, mean_from_signal, kappa, alpha, beta, smooth, least_share), strict=True):
+                least = int(p.columns["least_run"][0]) if "least_run" in p.columns else 1
+                at = separated(found.boundaries.tolist() if method == "map" else drops(found.run), max(min_separation, least, 1))
+                rows += [(p.target, i, float(p.depth[i]), float(found.p_change[i]), len(p.depth), found.log_evidence) for i in at] or [(p.target, None, None, None, len(p.depth), found.log_evidence)]
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_pydict({c.split()[0]: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(zip(RESULT.split(", "), kinds, strict=True))})
+
+    return _spec(df, sensors).sortWithinPartitions("target").mapInArrow(run, RESULT)
 
 
 def posteriors(df: DataFrame, sensors: list[str], floor: float = 1e-6, **settings) -> DataFrame:

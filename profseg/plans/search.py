@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import product
 
@@ -77,31 +79,41 @@ def _detections(rows: DataFrame, settings: list[dict], pairs: list[tuple[float,
     chunks = -(-len(settings) // CHUNK)
     dealt = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
-    def run(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        thick = np.array(table.column("thick")[0].as_py(), float)
-        p = detect.Profile.of(table.select(["target", "depth", "x", "contrast", "step", "strength"]))
-        step, strength, n = float(p.columns["step"][0]), float(p.columns["strength"][0]), len(p.depth)
-        x, smoothed = detect.fill(p.columns["x"]), {}
-        centre = float(np.median(x))
-        out: list[tuple[int, int]] = []
+    def chunk_of(tables: list[pa.Table], chunk: int) -> pa.RecordBatch:
+        thick = [np.array(t.column("thick")[0].as_py(), float) for t in tables]
+        profiles = [detect.Profile.of(t.select(["target", "depth", "x", "contrast", "step", "strength"])) for t in tables]
+        steps, strengths = ([float(p.columns[c][0]) for p in profiles] for c in ("step", "strength"))
+        signals = [detect.fill(p.columns["x"]) for p in profiles]
+        centres = [float(np.median(x)) for x in signals]
+        smoothed: dict[tuple, list[np.ndarray]] = {}
+        numbers, targets, places = [], [], []
         for at in range(chunk * CHUNK, min(len(settings), (chunk + 1) * CHUNK)):
             s = settings[at]
             key = (s["smooth"], s["weight"])
             if key not in smoothed:
-                smoothed[key] = detect.adaptive_smooth(x, step, s["smooth"], s["weight"]) if s["smooth"] else x
-            prior_thickness = thick[pairs.index((s["soft"], s["hard"]))]
+                smoothed[key] = [detect.adaptive_smooth(x, step, s["smooth"], s["weight"]) for x, step in zip(signals, steps, strict=True)] if s["smooth"] else signals
+            priors = [float(t[pairs.index((s["soft"], s["hard"]))]) for t in thick]
             if s["base"] == "const":
-                h = np.full(n, 1 / max(prior_thickness / step, 1.0))
+                hazard = [np.full(len(p.depth), 1 / max(prior_thickness / step, 1.0)) for p, prior_thickness, step in zip(profiles, priors, steps, strict=True)]
             else:
-                h = np.clip(step / np.maximum(0.5 * unit, prior_thickness + GROWTH * p.depth), 1e-12, detect.LARGEST)
-            factors = (_factor(p.columns["contrast"], strength),) if s["contrast"] and strength > 0 else ()
-            least = max(1, round(s["hard"] * unit / step))
-            found = detect.detect(smoothed[key], detect.ScalarModel(n, centre, **prior), h, round(s["hard"] * unit / step), factors)
-            out += [(at, i) for i in detect.separated(found.boundaries.tolist(), least)]
-        return pa.table({"setting": pa.array([a for a, _ in out], pa.int32()), "target": pa.array([p.target] * len(out), pa.string()), "i": pa.array([i for _, i in out], pa.int32())})
-
-    return clean.spread(dealt, "target", "chunk").groupBy("target", "chunk").applyInArrow(run, "setting int, target string, i int")
+                hazard = [np.clip(step / np.maximum(0.5 * unit, prior_thickness + GROWTH * p.depth), 1e-12, detect.LARGEST) for p, prior_thickness, step in zip(profiles, priors, steps, strict=True)]
+            factors = [(_factor(p.columns["contrast"], strength),) if s["contrast"] and strength > 0 else () for p, strength in zip(profiles, strengths, strict=True)]
+            runs = [round(s["hard"] * unit / step) for step in steps]
+            for p, least, found in zip(profiles, runs, detect.detect_all(smoothed[key], centres, hazard, runs, factors, of_prior), strict=True):
+                for i in detect.separated(found.boundaries.tolist(), max(1, least)):
+                    numbers.append(at)
+                    targets.append(p.target)
+                    places.append(i)
+        return pa.RecordBatch.from_pydict({"setting": pa.array(numbers, pa.int32()), "target": pa.array(targets, pa.string()), "i": pa.array(places, pa.int32())})
+
+    of_prior = (prior.get("kappa", 1.0), prior.get("alpha", 1.0), prior.get("beta", 0.1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tables in detect.profile_batches(batches, ("chunk", "target")):
+            for chunk, own in itertools.groupby(tables, lambda t: t.column("chunk")[0].as_py()):
+                yield chunk_of(list(own), chunk)
+
+    return clean.spread(dealt, "target", "chunk").sortWithinPartitions("chunk", "target").mapInArrow(run, "setting int, target string, i int")
 
 
 def grid_search(df: DataFrame, sensor: str, truth: DataFrame, axes: Axes, step: float = 0.02, unit: float = 1.0, tolerances: tuple[float, ...] = TOLERANCES, **prior: float) -> DataFrame:

@@ -5,12 +5,13 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 from profseg.functions import scalars
-from profseg.operators import clean, features, refine
+from profseg.operators import clean, detect, features, refine
 
 
 def near_ties(k: int, seed: int) -> pd.DataFrame:
@@ -56,3 +57,27 @@ def test_logarithms_of_zero_count_where_asked_for(spark):
     assert features.engineered(df, ratio="ratio").first().log_ratio_mean == 1.0
     assert features.engineered(df, ratio="ratio", zeros=True).first().log_ratio_mean == 0.5
     assert df.select(scalars.log1p_from_zero(F.col("ratio")).alias("v")).filter("v = 0").count() == 1
+
+
+def test_profiles_through_the_recursion_together_are_as_each_by_itself():
+    rng = np.random.default_rng(5)
+    signals = [np.concatenate([rng.normal(level, 0.1, rng.integers(1, 40)) for level in rng.uniform(1, 4, 3)]) for _ in range(60)] + [np.zeros(0), np.ones(1), np.ones(50)]
+    hazards = [np.full(len(x), 0.03) if i % 3 else np.linspace(0.0, 0.2, len(x)) for i, x in enumerate(signals)]
+    least = [int(v) for v in rng.integers(0, 7, len(signals))]
+    factors = [(rng.uniform(0.2, 3, len(x)),) if i % 2 else () for i, x in enumerate(signals)]
+    means = [float(np.median(x)) if len(x) else 0.0 for x in signals]
+    for together in (1, 200, detect.TOGETHER):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(detect, "TOGETHER", together)
+            found = detect.detect_all(signals, means, hazards, least, factors, (1.0, 1.0, 0.1))
+        for x, m, h, r, f, got in zip(signals, means, hazards, least, factors, found, strict=True):
+            want = detect.detect(x, detect.ScalarModel(len(x), m), h, r, f)
+            assert got.boundaries.tolist() == want.boundaries.tolist() and got.run.tolist() == want.run.tolist()
+            assert np.allclose(got.p_change, want.p_change, rtol=1e-9, atol=1e-300) and math.isclose(got.log_evidence, want.log_evidence, rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_profiles_are_whole_whatever_the_batches():
+    table = pa.table({"target": ["a"] * 5 + ["b"] + ["c"] * 4, "depth": [float(i) for i in range(10)]})
+    for size in (1, 3, 10):
+        found = [t for some in detect.profile_batches(iter(table.to_batches(size))) for t in some]
+        assert [t.column("depth").to_pylist() for t in found] == [[0.0, 1.0, 2.0, 3.0, 4.0], [5.0], [6.0, 7.0, 8.0, 9.0]]
