@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import settled
 from .clean import by_depth, fill_by_index, gradient_uniform, step_of
 from .refine import linear_quantile
 
@@ -166,15 +167,30 @@ def diagnosis(n_pred: Column, n_true: Column, precision: Column, recall: Column,
     return F.when(F.size(found) == 0, rest).otherwise(found)
 
 
+def spread_ranks(df: DataFrame, x: str, keys: list[str], name: str) -> DataFrame:
+    """(keys, x, name): the average rank of each distinct value among its keys' rows, no key in one task: values are dealt by ranges, and
+    what lies in the ranges before is a sum a range."""
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    counts = df.groupBy(*keys, x).agg(F.count("*").alias("_n"))
+    dealt = settled(counts.repartitionByRange(ranges, *keys, x).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_range", F.coalesce(F.sum("_in").over(earlier(Window.partitionBy(*keys).orderBy("_range"))), F.lit(0)).alias("_ranges"))
+    inside = F.coalesce(F.sum("_n").over(earlier(Window.partitionBy(*keys, "_range").orderBy(x))), F.lit(0))
+    placed = dealt.withColumn("_inside", inside).join(F.broadcast(sums), [*keys, "_range"])
+    return placed.select(*keys, x, (F.col("_ranges") + F.col("_inside") + (F.col("_n") + 1) / 2).alias(name))
+
+
 def score_correlations(df: DataFrame, score: str, columns: list[str], n: int = 10) -> DataFrame:
     """(column, rho, n): Spearman's rho of columns with a score over the profiles that have both; the n strongest. Columns
-    with fewer than three distinct values have none. A column's ranking is one task: a table of profiles."""
+    with fewer than three distinct values have none."""
     values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(F.col(score).cast("double").alias("y"), F.explode(values).alias("v")).select("v.column", "v.x", "y")
-    distinct = F.size(F.collect_set("x").over(Window.partitionBy("column")))
     # enough distinct values of the column decide, whatever the score
-    rows = long.withColumn("_k", distinct).filter("_k >= 3 and x is not null and y is not null")
-    ranked = rows.withColumn("_a", average_rank("x", ["column"])).withColumn("_b", average_rank("y", ["column"]))
+    enough = long.filter("x is not null").groupBy("column", "x").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("_k")).filter("_k >= 3").select("column")
+    rows = settled(long.join(F.broadcast(enough), "column", "left_semi").filter("x is not null and y is not null"))
+    ranked = rows.join(spread_ranks(rows, "x", ["column"], "_a"), ["column", "x"]).join(spread_ranks(rows, "y", ["column"], "_b"), ["column", "y"])
     out = ranked.groupBy("column").agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("n")).filter(F.col("rho").isNotNull() & ~F.isnan("rho"))
     return out.orderBy(F.desc(F.abs("rho")), "column").limit(n)
 

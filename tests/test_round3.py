@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from profseg.functions import scalars
-from profseg.operators import clean, detect, features, refine
+from profseg.operators import clean, detect, features, refine, stats
 
 
 def near_ties(k: int, seed: int) -> pd.DataFrame:
@@ -81,3 +81,14 @@ def test_profiles_are_whole_whatever_the_batches():
     for size in (1, 3, 10):
         found = [t for some in detect.profile_batches(iter(table.to_batches(size))) for t in some]
         assert [t.column("depth").to_pylist() for t in found] == [[0.0, 1.0, 2.0, 3.0, 4.0], [5.0], [6.0, 7.0, 8.0, 9.0]]
+
+
+def test_correlations_rank_no_column_in_one_task(spark):
+    rng = np.random.default_rng(6)
+    rows = pd.DataFrame({"y": rng.integers(0, 40, 500).astype(float), "a": rng.integers(0, 9, 500).astype(float), "b": rng.normal(0, 1, 500), "c": 1.0})
+    df = spark.createDataFrame(rows)
+    ranks = {r.y: r.rank for r in stats.spread_ranks(df.withColumn("k", F.lit(1)), "y", ["k"], "rank").collect()}
+    assert ranks == dict(zip(rows["y"], rows["y"].rank(), strict=True))
+    found = stats.score_correlations(df, "y", ["a", "b", "c"])
+    assert {r.column: round(r.rho, 9) for r in found.collect()} == {c: round(rows[c].rank().corr(rows["y"].rank()), 9) for c in "ab"}
+    assert "collect_set" not in found._jdf.queryExecution().analyzed().treeString()
