@@ -50,7 +50,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item; empty ones contain none."""
-    return decontam.clean(docs, read(spark, sf_dir, "benchmark"), split=True)
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"), split=True, most_items=0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
