@@ -1,7 +1,8 @@
 """Connected parts of graphs, and smoothing of labels over a graph by iterated conditional modes in row order.
 
 A sweep visits the nodes in row order; each takes the label that is cheapest given its neighbours, of which the earlier ones have
-been visited already. Large parts of a graph are cut into blocks of neighbouring rows. A block may take its next sweep when its
+been visited already. Parts are told apart by targets and swept whole, each in one task, which reads its edges once and numbers
+them itself. Only parts of too many rows are cut into blocks of neighbouring rows. A block may take its next sweep when its
 earlier neighbour blocks have taken it and its later ones the one before, so that blocks apart from each other are swept at
 once, several sweeps are under way in one part, and the labels are those of one sweep after the other, whatever the blocks.
 """
@@ -13,6 +14,8 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,24 @@ TASK_NODES = 20_000
 def connected(edges: DataFrame) -> DataFrame:
     """(node, region) of the nodes of `edges` (u, v): the smallest node that each can reach. Each turn every node takes the
     smallest label around it and the label of its label, and is written; turns grow with the logarithm of a path's length."""
+    low, edges = _drawn_together(edges)
+    regions = _joined(edges)
+    return low.join(regions.withColumnRenamed("node", "low"), "low", "left").select("node", F.coalesce("region", "low").alias("region"))
+
+
+def _drawn_together(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, low): the smallest of each node and its neighbours, and the edges between these, of which a dense graph has few."""
+    pairs = settled(edges.select("u", "v").distinct())
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = settled(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("low")))
+    ends = [low.select(F.col("node").alias(end), F.col("low").alias(f"{end}_low")) for end in ("u", "v")]
+    between = settled(pairs.join(ends[0], "u").join(ends[1], "v").select(F.col("u_low").alias("u"), F.col("v_low").alias("v")).filter("u <> v").distinct())
+    dropped(pairs)
+    return low, between
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """connected() by turns."""
     both = settled(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = settled(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("region")))
     while True:
@@ -38,21 +59,34 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def sweep(unary: np.ndarray, near: list[list[tuple[int, float]]], strength: float, labels: np.ndarray, sweeps: int) -> int:
-    """Change labels in row order; rows beyond those of `unary` are fixed. The number of the last sweep that changed one, or -1."""
+def beside(n: int, u: np.ndarray, v: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The neighbours of n nodes one node after the other: where each node's begin, the neighbours in order, the weights."""
+    order = np.lexsort((v, u))
+    return np.searchsorted(u[order], np.arange(n + 1)), v[order], weights[order]
+
+
+def sweep(unary: np.ndarray, near: tuple[np.ndarray, np.ndarray, np.ndarray], strength: float, labels: np.ndarray, sweeps: int) -> int:
+    """Change labels in row order; rows beyond those of `unary` are fixed. The number of the last sweep that changed one, or -1.
+    A node none of whose neighbours has changed since it was visited would keep its label and is passed over."""
+    starts, others, weights = near
+    n, k = unary.shape
+    weights = strength * weights
+    starts, open_ = starts.tolist(), np.zeros(len(labels), bool)
+    open_[:n] = np.diff(starts) > 0
     last = -1
     for turn in range(sweeps):
         changed = False
-        for i, neighbours in enumerate(near):
-            if not neighbours:
+        for i in range(n):
+            if not open_[i]:
                 continue
-            cost = unary[i].copy()
-            for j, w in neighbours:
-                cost += strength * w
-                cost[labels[j]] -= strength * w
-            best = int(cost.argmin())
-            changed |= best != labels[i]
-            labels[i] = best
+            open_[i] = False
+            beside_ = others[starts[i] : starts[i + 1]]
+            # each label costs the weights of the neighbours that have another: all weights but those that agree
+            best = int((unary[i] - np.bincount(labels[beside_], weights[starts[i] : starts[i + 1]], k)).argmin())
+            if best != labels[i]:
+                labels[i] = best
+                open_[beside_] = True
+                changed = True
         if not changed:
             break
         last = turn
@@ -61,15 +95,47 @@ def sweep(unary: np.ndarray, near: list[list[tuple[int, float]]], strength: floa
 
 def smooth_labels(unary: np.ndarray, edges: list[tuple[int, int, float]], strength: float, sweeps: int = 20) -> np.ndarray:
     """Iterated conditional modes in memory: labels in row order, each the first that is cheapest given its neighbours."""
-    near: list[list[tuple[int, float]]] = [[] for _ in unary]
-    for a, b, w in edges:
-        near[a].append((b, w))
-        near[b].append((a, w))
+    a, b, w = (np.array([e[i] for e in edges], kind) for i, kind in enumerate((np.int64, np.int64, float)))
     labels = unary.argmin(axis=1)
-    sweep(unary, near, strength, labels, sweeps)
+    sweep(unary, beside(len(unary), np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])), strength, labels, sweeps)
     return labels
 
 
+def _swept_whole(nodes: DataFrame, edges: DataFrame, strength: float, sweeps: int) -> DataFrame:
+    """Parts (region, target, segment_id, cost, label) with their edges (part, a, a_segment, b, b_segment, weight), all sweeps:
+    target, segment_id, label, moved (the last sweep that changed a label)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        targets = pc.unique(left["target"])
+        targets = targets.take(pc.sort_indices(targets))
+        numbers = lambda column: pc.fill_null(pc.index_in(column, targets), -1).to_numpy().astype(np.int64)
+        t, segment = numbers(left["target"]), left["segment_id"].to_numpy().astype(np.int64)
+        order = np.lexsort((segment, t))
+        least = segment.min(initial=0)
+        width = segment.max(initial=0) - least + 1
+        ids = (t * width + segment - least)[order]
+        ends, there = [], np.ones(len(right), bool)
+        for end in ("a", "b"):
+            key, at = numbers(right[end]), right[f"{end}_segment"].to_numpy() - least
+            there &= (key >= 0) & (at >= 0) & (at < width)
+            key = key * width + at
+            place = np.minimum(np.searchsorted(ids, key), max(len(ids) - 1, 0))
+            there &= ids[place] == key if len(ids) else False
+            ends.append(place)
+        a, b = (x[there] for x in ends)
+        w = right["weight"].to_numpy()[there]
+        left = left.take(pa.array(order))
+        cost = left["cost"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(left), -1)
+        labels = left["label"].to_numpy().astype(np.int64)
+        last = -1
+        if len(a):
+            last = sweep(cost, beside(len(left), np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])), strength, labels, sweeps)
+        return pa.table({"target": left["target"], "segment_id": left["segment_id"], "label": pa.array(labels, pa.int32()), "moved": pa.array(np.full(len(left), last), pa.int32())})
+
+    schema = f"target {nodes.schema['target'].dataType.simpleString()}, segment_id int, label int, moved int"
+    return nodes.groupBy("region").cogroup(edges.groupBy("part")).applyInArrow(run, schema)
+
+
 def _blocks(rows: DataFrame, regions: DataFrame, task_nodes: int) -> DataFrame:
     """(node, at, part, chunk, cost, label) of the rows of the graph: at numbers them in row order, a chunk is a run of them."""
     known = rows.join(regions, "node")
@@ -97,9 +163,7 @@ def _swept(work: DataFrame, sides: DataFrame, strength: float, sweeps: int) -> D
         place = lambda values: order[np.searchsorted(names[order], values)]
         u, v = place(right["u"].to_numpy()), place(right["v"].to_numpy())
         labels[v] = right["v_label"].to_numpy()
-        near: list[list[tuple[int, float]]] = [[] for _ in ids]
-        for i, j, w in sorted(zip(u.tolist(), v.tolist(), right["weight"].to_numpy().tolist(), strict=True)):
-            near[i].append((j, w))
+        near = beside(len(ids), u, v, right["weight"].to_numpy())
         done = int(left["done"].iloc[0])
         turns = 1 if len(outside) else sweeps - done
         last = sweep(np.stack(left["cost"].to_numpy()), near, strength, labels, turns)
@@ -115,17 +179,34 @@ def smooth_segments(p: DataFrame, graph: DataFrame, strength: float, sweeps: int
     Connected parts of the graph don't meet; within one the order is that of target and segment. Segments without neighbours keep
     the most probable cluster. Labels that the last of `sweeps` still changed are warned of.
     """
-    node = lambda a, b: F.struct(F.col(a).alias("target"), F.col(b).cast("int").alias("segment_id"))
     unary = F.transform("p", lambda x: -F.log(F.least(F.greatest(x, F.lit(1e-10)), F.lit(1.0))))
     first = F.array_position(F.col("cost"), F.array_min("cost")).cast("int") - 1
-    rows = settled(p.select(node("target", "segment_id").alias("node"), unary.alias("cost")).withColumn("label", first))
-    edges = graph.select(node("a", "a_segment").alias("u"), node("b", "b_segment").alias("v"), F.col("weight").cast("double").alias("weight"))
-    for end in ("u", "v"):
-        edges = edges.join(rows.select(F.col("node").alias(end)), end, "left_semi")
-    edges = settled(edges)
-    regions = connected(edges)
+    rows = settled(p.select("target", F.col("segment_id").cast("int").alias("segment_id"), unary.alias("cost")).withColumn("label", first))
+    edges = settled(graph.select("a", F.col("a_segment").cast("int").alias("a_segment"), "b", F.col("b_segment").cast("int").alias("b_segment"), F.col("weight").cast("double").alias("weight")))
+    # targets that are linked share a part; so their segments do, linked or not
+    regions = settled(connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "target"))
+    sizes = rows.join(regions, "target").groupBy("region").agg(F.count("*").alias("n"))
+    regions = settled(regions.join(sizes.select("region", (F.col("n") > task_nodes).alias("large")), "region"))
+    alone = rows.join(regions, "target", "left_anti").select("target", "segment_id", "label")
+    parts = [(rows.join(r, "target"), edges.join(r.select(F.col("target").alias("a"), F.col("region").alias("part")), "a")) for r in (regions.filter(large).drop("large") for large in ("not large", "large"))]
+    swept = settled(_swept_whole(*parts[0], strength, sweeps))
+    out = alone.unionByName(swept.drop("moved"))
+    late = not swept.filter(F.col("moved") == sweeps - 1).isEmpty()
+    if not regions.filter("large").isEmpty():
+        smoothed, more = _smoothed_in_blocks(*parts[1], strength, sweeps, task_nodes)
+        out, late = out.unionByName(smoothed), late or more
+    if late:
+        warnings.warn(f"labels still changed in the last of {sweeps} sweeps", stacklevel=2)
+    return out.withColumnRenamed("label", "cluster_id")
+
+
+def _smoothed_in_blocks(nodes: DataFrame, links: DataFrame, strength: float, sweeps: int, task_nodes: int) -> tuple[DataFrame, bool]:
+    """(target, segment_id, label) of large parts, and whether the last sweep still changed labels."""
+    node = lambda a, b: F.struct(F.col(a).alias("target"), F.col(b).alias("segment_id"))
+    rows = settled(nodes.select(node("target", "segment_id").alias("node"), "region", "cost", "label"))
+    regions, rows = rows.select("node", "region"), rows.drop("region")
+    edges = settled(links.select(node("a", "a_segment").alias("u"), node("b", "b_segment").alias("v"), "weight"))
     placed = _blocks(rows, regions, task_nodes)
-    alone = rows.join(regions, "node", "left_anti").select("node", "label")
     labels = placed.select("at", "part", "chunk", "cost", "label")
     ends = [placed.select(F.col("node").alias(e), F.col("at").alias(f"{e}_at"), F.col("part"), F.col("chunk").alias(f"{e}_chunk")) for e in ("u", "v")]
     sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")).join(ends[0], "u").join(ends[1].drop("part"), "v")
@@ -153,7 +234,5 @@ def smooth_segments(p: DataFrame, graph: DataFrame, strength: float, sweeps: int
         if old[0].inputFiles() != placed.inputFiles():
             dropped(old[0])
         dropped(old[1], turn, out)
-    if not blocks.filter(F.col("moved") == sweeps - 1).isEmpty():
-        warnings.warn(f"labels still changed in the last of {sweeps} sweeps", stacklevel=2)
-    smoothed = placed.select("node", "at").join(labels.select("at", "label"), "at").select("node", "label")
-    return alone.unionByName(smoothed).select("node.target", "node.segment_id", F.col("label").alias("cluster_id"))
+    smoothed = placed.select("node", "at").join(labels.select("at", "label"), "at").select("node.target", "node.segment_id", "label")
+    return smoothed, not blocks.filter(F.col("moved") == sweeps - 1).isEmpty()
