@@ -39,7 +39,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lm.documents_of(read(spark, sf_dir, "documents"))
     held_out = remainder(F.col("doc_id"), 7) == 2
-    return lm.score(docs, held_out, lm.train(docs, ~held_out))
+    return lm.train_and_score(docs, ~held_out, held_out)
 
 
 def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
