@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Filter, drop_written, pick, words_of, written
 
@@ -247,11 +248,6 @@ class Deal:
     def of_part(self, x: np.ndarray, part: np.ndarray) -> np.ndarray:
         return ((np.cumsum(self.parts) - self.parts)[x] + part) % self.buckets
 
-    def slices(self) -> list[tuple[int, int]]:
-        """Each very frequent symbol with each of its buckets."""
-        own = [(x, self.of_part(np.full(self.parts[x], x), np.arange(self.parts[x]))) for x in range(1, self.heavy + 1)]
-        return [(x, int(b)) for x, found in own for b in np.unique(found)]
-
 
 @dataclass
 class Block:
@@ -316,19 +312,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], symbols: Symbols, hashes: np.ndar
 
 
 def _beside(shared):
-    """Texts to what buckets can't count by themselves: (x, bucket, w, n), pairs of a very frequent symbol x and the next one, w, in
-    training texts, and with x = 0 the rare words w of a bucket."""
+    """Texts to what buckets can't count by themselves: (x, bucket, w, n), pairs of a very frequent symbol x and the next one, w, and
+    how often training texts have them, and with x = 0 the rare words w of a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, deal, maybe = shared.value
         for block in _blocks(batches, symbols, deal.hashes, maybe):
             x, before, *_ = block.before()
-            at = np.flatnonzero((x > 0) & (x <= deal.heavy) & block.by_place(np.asarray(block.rows.column("learns"))))
-            pairs, n = np.unique(x[at].astype(np.int64) << 32 | block.ids[at], return_counts=True)
+            at = np.flatnonzero((x > 0) & (x <= deal.heavy))
+            own = deal.bucket(block.ids[at], x[at], before[at], block.hashes)
+            pairs, n = np.unique((x[at].astype(np.int64) * deal.buckets + own) << 32 | block.ids[at], return_inverse=True)
+            n = np.bincount(n, block.by_place(np.asarray(block.rows.column("learns")))[at], len(pairs)).astype(np.int64)
             at = np.flatnonzero(block.ids >= len(deal.hashes))
             rare = np.unique(deal.bucket(block.ids[at], x[at], before[at], block.hashes) << 32 | block.ids[at])
-            kind = np.concatenate([pairs >> 32, np.zeros(len(rare), np.int64)]).astype(np.int32)
-            bucket = np.concatenate([np.full(len(pairs), -1), rare >> 32]).astype(np.int32)
+            kind = np.concatenate([(pairs >> 32) // deal.buckets, np.zeros(len(rare), np.int64)]).astype(np.int32)
+            bucket = np.concatenate([(pairs >> 32) % deal.buckets, rare >> 32]).astype(np.int32)
             w = block.hashes[np.concatenate([pairs, rare]) & 0xFFFFFFFF]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (kind, bucket, w, np.concatenate([n, np.zeros(len(rare), np.int64)]))], ["x", "bucket", "w", "n"])
 
@@ -658,9 +656,12 @@ def deal(rows: DataFrame, corpus: Corpus, scored: bool) -> Dealt:
     shared = context.broadcast((corpus.symbols, dealt, Filter.of(rare, FILTER_BITS)))
     every = corpus.words.select(F.xxhash64("word").alias("w"), F.col("n").alias("occurs"))
     every = every.unionByName(spark.createDataFrame([(END_HASH, corpus.ends)] if corpus.ends else [], "w long, occurs long"))
-    beside = rows.select("learns", "text").mapInArrow(_beside(shared), "x int, bucket int, w long, n long").groupBy("x", "bucket", "w").agg(F.sum("n").alias("n"))
+    beside = rows.select("learns", "text").mapInArrow(_beside(shared), "x int, bucket int, w long, n long").repartition("w").groupBy("w", "x", "bucket").agg(F.sum("n").alias("n"))
+    # a bucket hears only of pairs and words that it has itself
+    same = Window.partitionBy("w", "x")
+    beside = beside.select("x", "bucket", "w", F.sum("n").over(same).alias("n"), (F.min("bucket").over(same) == F.col("bucket")).alias("once"))
     beside = written(beside.filter((F.col("x") == 0) | (F.col("n") >= LEAST)).join(every, "w"), "lm-beside")
-    pairs = beside.filter("x > 0").select("x", "w", "n", ((F.col("occurs") - corpus.discount) / float(max(1, corpus.n_tokens))).alias("below"))
+    pairs = beside.filter("x > 0 and once").select("x", "w", "n", ((F.col("occurs") - corpus.discount) / float(max(1, corpus.n_tokens))).alias("below"))
     left, keep = np.ones(dealt.heavy + 1), np.zeros(dealt.heavy + 1, bool)
     for r in pairs.groupBy("x").agg(F.sum("n").alias("told"), F.count("*").alias("symbols"), F.sum("below").alias("below"), F.sum(F.col("n") * F.log(F.col("n") / F.col("below"))).alias("gain")).collect():
         total = int(corpus.symbols.counts[r.x])
@@ -668,8 +669,7 @@ def deal(rows: DataFrame, corpus: Corpus, scored: bool) -> Dealt:
         gain = r.gain - r.told * math.log(total) + (rest * math.log(rest / total / rest_below) if rest > 0 and rest_below > 1e-12 else 0.0)
         left[r.x], keep[r.x] = (rest + DISCOUNT * r.symbols) / total, gain >= LEAST_GAIN + GAIN_A_SYMBOL * r.symbols
     root = Root(dealt.hashes, corpus.symbols.counts, corpus.n_tokens, corpus.n_distinct, corpus.discount, left, keep)
-    slices = F.broadcast(spark.createDataFrame(dealt.slices(), "x int, bucket int"))
-    names = beside.filter("x = 0").select("bucket", "x", "w", F.col("occurs").alias("n")).unionByName(pairs.join(slices, "x").select("bucket", "x", "w", "n"))
+    names = beside.select("bucket", "x", "w", F.when(F.col("x") == 0, F.col("occurs")).otherwise(F.col("n")).alias("n"))
     places = rows.select("doc_id", "held_out", "learns", "text").mapInArrow(_places(shared, scored), PLACES)
     both = [t.repartition(dealt.buckets, "bucket").groupBy("bucket") for t in (places, names)]
     found = both[0].cogroup(both[1]).applyInArrow(_in_bucket(context.broadcast(root), scored), SUMS if scored else GRAMS)
