@@ -151,6 +151,7 @@ class Block:
             for j in np.flatnonzero(closed & possible.any(axis=0)).tolist():
                 members = np.flatnonzero(possible[:, j])
                 scores = self.whole[members] @ asked[j]
+                members, scores = members[scores >= bars[open_[j]]], scores[scores >= bars[open_[j]]]
                 for m in np.lexsort((self.ids[members], -scores))[:k]:
                     yield int(query_ids[open_[j]]), int(self.ids[members[m]]), int(scores[m])
             if closed.all():
