@@ -25,11 +25,12 @@ def separate(indexes: Column, least: Column | int) -> Column:
 
 def _near(points: DataFrame, samples: DataFrame, radius: int | Column, most: int) -> DataFrame:
     """Points with the samples (j, g, peak) at most `radius` (never above `most`) from them. The window is spread over index
-    cells, so that a point meets the samples around it, not its whole profile."""
+    cells, so that a point meets the samples around it, not its whole profile. Both sides are shuffled: the planner takes the copies of
+    points, one a variant and cell, for no more than the points and would broadcast them all."""
     width = 2 * most + 1
     s = samples.select("target", F.col("i").alias("j"), "g", "peak", F.floor(F.col("i") / width).alias("cell"))
     cells = points.withColumn("cell", F.explode(F.sequence(F.floor((F.col("i") - most) / width), F.floor((F.col("i") + most) / width))))
-    return cells.join(s, ["target", "cell"]).filter(F.abs(F.col("i") - F.col("j")) <= radius).drop("cell")
+    return cells.hint("merge").join(s, ["target", "cell"]).filter(F.abs(F.col("i") - F.col("j")) <= radius).drop("cell")
 
 
 def snap(points: DataFrame, samples: DataFrame, radius: int, strength: float | None = None, drop_quantile: float | Column | None = None, nearest: bool = False, separation: int = 0) -> DataFrame:

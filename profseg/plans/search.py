@@ -230,7 +230,7 @@ def refine_sweep(df: DataFrame, truth: DataFrame, cfg: Detection, step: float =
     written; so are the gradients of each smoothing, and all refinements by one of these are one pass over the points."""
     raw = settled(detect_profiles(df, replace(cfg, refine_radius=0.0), step, with_probability=True))
     rows = df.select(F.col("target").cast("string").alias("target"), F.col("depth").cast("double").alias("depth"), F.col(cfg.feature).cast("double").alias("x"))
-    stepped = settled(rows.join(clean.step_of(rows), "target"))
+    stepped = settled(rows.hint("merge").join(clean.step_of(rows), "target"))
     windows = sorted({w for own in SMOOTHINGS.values() for w in own} | {SMOOTH})
     samples = {w: settled(refine.with_gradient(stepped, "x", F.col("step"), w).withColumn("i", F.col("i").cast("long"))) for w in windows}
     size = lambda length: max(1, round(length * unit / step))
@@ -259,7 +259,8 @@ def refine_sweep(df: DataFrame, truth: DataFrame, cfg: Detection, step: float =
     found = moved[0]
     for more in moved[1:]:
         found = found.unionByName(more)
-    placed = found.join(samples[SMOOTH].select("target", "i", F.col("depth").alias("boundary")), ["target", "i"])
+    # many rows in few bytes of Parquet: they would be broadcast
+    placed = found.hint("merge").join(samples[SMOOTH].select("target", "i", F.col("depth").alias("boundary")), ["target", "i"])
     parts = settled(raw.select(F.lit("base_no_refine").alias("variant"), "target", "boundary").unionByName(placed.select("variant", "target", "boundary")))
     names = ["base_no_refine", *[v["name"] for vs in own.values() for v in vs], *[name for name, _ in sets], *[f"hybrid_r03_r07_ratio{r}" for r in RATIOS]]
     true = truth.select(F.col("target").cast("string").alias("target"), "boundary")
