@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from ..sources.shared import settled
 from .linkage import agglomerate, squares, ward
 from .selection import percentiles
-from .smoothing import connected, smooth_labels, smooth_segments
+from .smoothing import connected, smooth_labels, smooth_near, smooth_segments
 
-__all__ = ["agglomerate", "connected", "smooth_labels", "smooth_segments", "ward"]
+__all__ = ["agglomerate", "connected", "smooth_labels", "smooth_near", "smooth_segments", "ward"]
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:

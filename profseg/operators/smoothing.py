@@ -5,6 +5,10 @@ been visited already. Parts are told apart by targets and swept whole, each in o
 them itself. Only parts of too many rows are cut into blocks of neighbouring rows. A block may take its next sweep when its
 earlier neighbour blocks have taken it and its later ones the one before, so that blocks apart from each other are swept at
 once, several sweeps are under way in one part, and the labels are those of one sweep after the other, whatever the blocks.
+
+Where the graph is that of overlapping segments of near targets, its edges are never written (smooth_near): a task holds the
+segments of a part, in order of place, and weighs a target's neighbours when it visits it. Rows kept grow with the segments, not
+with their pairs; the time of a sweep grows with the pairs.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, settled
+from .intervals import segment_graph
 
-#: Nodes that one task sweeps; it changes no label.
-TASK_NODES = 20_000
+#: Nodes that one task sweeps; it changes no label. Without edges a task holds more.
+TASK_NODES, NEAR_NODES = 20_000, 1_000_000
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -173,15 +178,20 @@ def _swept(work: DataFrame, sides: DataFrame, strength: float, sweeps: int) -> D
     return work.groupBy("part", "chunk").cogroup(sides.groupBy("part", "chunk")).applyInPandas(run, schema)
 
 
+def _with_costs(p: DataFrame) -> DataFrame:
+    """target, segment_id, cost, label: the first that is cheapest by itself."""
+    unary = F.transform("p", lambda x: -F.log(F.least(F.greatest(x, F.lit(1e-10)), F.lit(1.0))))
+    first = F.array_position(F.col("cost"), F.array_min("cost")).cast("int") - 1
+    return p.select("target", F.col("segment_id").cast("int").alias("segment_id"), unary.alias("cost")).withColumn("label", first)
+
+
 def smooth_segments(p: DataFrame, graph: DataFrame, strength: float, sweeps: int = 20, task_nodes: int = TASK_NODES) -> DataFrame:
     """(target, segment_id, cluster_id) by iterated conditional modes over the segment graph. p: target, segment_id, p.
 
     Connected parts of the graph don't meet; within one the order is that of target and segment. Segments without neighbours keep
     the most probable cluster. Labels that the last of `sweeps` still changed are warned of.
     """
-    unary = F.transform("p", lambda x: -F.log(F.least(F.greatest(x, F.lit(1e-10)), F.lit(1.0))))
-    first = F.array_position(F.col("cost"), F.array_min("cost")).cast("int") - 1
-    rows = settled(p.select("target", F.col("segment_id").cast("int").alias("segment_id"), unary.alias("cost")).withColumn("label", first))
+    rows = settled(_with_costs(p))
     edges = settled(graph.select("a", F.col("a_segment").cast("int").alias("a_segment"), "b", F.col("b_segment").cast("int").alias("b_segment"), F.col("weight").cast("double").alias("weight")))
     # targets that are linked share a part; so their segments do, linked or not
     regions = settled(connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "target"))
@@ -236,3 +246,116 @@ def _smoothed_in_blocks(nodes: DataFrame, links: DataFrame, strength: float, swe
         dropped(old[1], turn, out)
     smoothed = placed.select("node", "at").join(labels.select("at", "label"), "at").select("node.target", "node.segment_id", "label")
     return smoothed, not blocks.filter(F.col("moved") == sweeps - 1).isEmpty()
+
+
+def sweep_near(cost: np.ndarray, labels: np.ndarray, spans: np.ndarray, first: np.ndarray, place: np.ndarray, at: np.ndarray, radius: float, sigma: float, strength: float, sweeps: int) -> int:
+    """As sweep(), over the graph of segment_graph(), whose edges are weighed where they are needed. Nodes are in row order, with their
+    spans (top, bottom); first[t] is the first node of target t, and one beyond the last; place[i] is the target that lies at at[i]."""
+    axis = int(np.argmax(np.ptp(at, axis=0))) if len(at) else 0
+    order = np.argsort(at[:, axis], kind="stable")
+    place, at = place[order], at[order]
+    u, size = at[:, axis], np.diff(first)
+    begins = np.concatenate([[0], np.cumsum(size[place])])
+    nodes = np.repeat(first[place] - begins[:-1], size[place]) + np.arange(begins[-1])  # of the places one after the other
+    top, bottom = spans[nodes].T.copy()
+    thick = bottom - top
+    one = np.eye(cost.shape[1])[labels[nodes]]
+    own = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place, minlength=len(size)))[:-1])
+    reach = radius + 1e-9 * (radius + np.abs(u).max(initial=0.0))
+    lows, highs = np.searchsorted(u, u - reach, "left"), np.searchsorted(u, u + reach, "right")
+    open_, last = np.ones(len(size), bool), -1
+    for turn in range(sweeps):
+        changed = False
+        for t in np.flatnonzero(size > 0).tolist():
+            if not open_[t]:
+                continue
+            open_[t] = False
+            here = slice(first[t], first[t + 1])
+            gain = np.zeros((size[t], cost.shape[1]))
+            low, high = spans[here].T[:, :, None]
+            for i in own[t].tolist():
+                a, b = lows[i], highs[i]
+                d = np.hypot(at[a:b, 0] - at[i, 0], at[a:b, 1] - at[i, 1])
+                factor = np.where((d <= radius) & (place[a:b] != t), np.exp(-d * d / (2 * sigma * sigma)), 0.0)
+                beside_ = slice(begins[a], begins[b])
+                overlap = np.minimum(high, bottom[beside_]) - np.maximum(low, top[beside_])
+                weight = np.zeros_like(overlap)
+                np.divide(overlap, np.maximum(high - low, thick[beside_]), out=weight, where=overlap > 0)
+                weight *= np.repeat(factor, size[place[a:b]])
+                weight[weight <= 1e-6] = 0.0
+                gain += weight @ one[beside_]
+            best = (cost[here] - strength * gain).argmin(axis=1)
+            new = np.flatnonzero(best != labels[here])
+            if not len(new):
+                continue
+            labels[here] = best
+            for i in own[t].tolist():
+                one[begins[i] + new] = 0.0
+                one[begins[i] + new, best[new]] = 1.0
+                open_[place[lows[i] : highs[i]]] = True
+            open_[t], changed = False, True
+        if not changed:
+            break
+        last = turn
+    return last
+
+
+def near_parts(places: DataFrame, radius: float) -> DataFrame:
+    """(target, region): targets in different regions are more than `radius` apart. Of places (target, x, y) only cells of that
+    width and the boxes around their places are linked, and the cells of one target."""
+    at = settled(places.withColumns({c: F.floor(F.col(p) / radius) for c, p in (("cx", "x"), ("cy", "y"))}).withColumn("cell", F.xxhash64("cx", "cy")))
+    ends = [f(c).alias(f"{c}_{name}") for c in ("x", "y") for name, f in (("low", F.min), ("high", F.max))]
+    cells = settled(at.groupBy("cx", "cy", "cell").agg(*ends))
+    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))"))
+    others = cells.select(F.col("cell").alias("v"), *[F.col(c).alias(f"{c}2") for c in ("x_low", "x_high", "y_low", "y_high")], "cx", "cy", around.alias("o"))
+    others = others.withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")})
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}_low2") - F.col(f"{c}_high"), F.col(f"{c}_low") - F.col(f"{c}_high2"))
+    linked = cells.join(others, ["cx", "cy"]).filter((F.col("cell") < F.col("v")) & (F.hypot(gap("x"), gap("y")) <= radius)).select(F.col("cell").alias("u"), "v")
+    first = settled(at.groupBy("target").agg(F.min("cell").alias("node")))
+    same = at.join(first.withColumnRenamed("node", "u"), "target").filter("u <> cell").select("u", F.col("cell").alias("v"))
+    regions = connected(linked.unionByName(same))
+    return first.join(regions, "node", "left").select("target", F.coalesce("region", "node").alias("region"))
+
+
+def smooth_near(p: DataFrame, segs: DataFrame, places: DataFrame, radius: float, sigma: float, strength: float, sweeps: int = 20, task_nodes: int = NEAR_NODES) -> DataFrame:
+    """smooth_segments() over segment_graph(segs, places, radius, sigma), whose edges are not made. Only parts of more than
+    `task_nodes` segments have them written."""
+    keys = ["target", "segment_id"]
+    rows = settled(_with_costs(p))
+    spans = segs.select("target", F.col("segment_id").cast("int").alias("segment_id"), F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"))
+    known = places.select("target", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    regions = settled(near_parts(known, radius))
+    held = known.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("places"))
+    nodes = settled(rows.hint("merge").join(spans, keys).hint("merge").join(held, "target").hint("merge").join(regions, "target"))
+    sizes = settled(nodes.groupBy("region").agg(F.count("*").alias("n")))
+    large = nodes.join(sizes.filter(F.col("n") > task_nodes).select("region"), "region", "left_semi").select(*keys)
+
+    def run(part: pa.Table) -> pa.Table:
+        targets = pc.unique(part["target"])
+        targets = targets.take(pc.sort_indices(targets))
+        t, segment = pc.index_in(part["target"], targets).to_numpy(), part["segment_id"].to_numpy()
+        order = np.lexsort((segment, t))
+        part, t = part.take(pa.array(order)), t[order]
+        first = np.searchsorted(t, np.arange(len(targets) + 1))
+        lists = part["places"].combine_chunks().take(pa.array(first[:-1]))
+        at = np.stack([lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], 1)
+        place = np.repeat(np.arange(len(targets)), lists.value_lengths().to_numpy())
+        cost = part["cost"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+        labels = part["label"].to_numpy().astype(np.int64)
+        spans = np.stack([part[c].to_numpy() for c in ("top", "bottom")], 1).astype(float)
+        last = sweep_near(cost, labels, spans, first, place, at, radius, sigma, strength, sweeps)
+        return pa.table({"target": part["target"], "segment_id": part["segment_id"], "label": pa.array(labels, pa.int32()), "moved": pa.array(np.full(len(part), last), pa.int32())})
+
+    # few rows and much work: dealt to an explicit number of partitions
+    parts = max(1, min(4 * sizes.count(), 16 * rows.sparkSession.sparkContext.defaultParallelism))
+    small = nodes.join(sizes.filter(F.col("n") <= task_nodes).select("region"), "region", "left_semi").repartition(parts, "region")
+    swept = settled(small.groupBy("region").applyInArrow(run, f"target {nodes.schema['target'].dataType.simpleString()}, segment_id int, label int, moved int"))
+    out = rows.join(nodes.select(*keys), keys, "left_anti").select(*keys, "label").unionByName(swept.drop("moved"))
+    if not swept.filter(F.col("moved") == sweeps - 1).isEmpty():
+        warnings.warn(f"labels still changed in the last of {sweeps} sweeps", stacklevel=2)
+    out = out.withColumnRenamed("label", "cluster_id")
+    if not large.isEmpty():
+        own = settled(large)
+        graph = segment_graph(segs.join(own.select("target").distinct(), "target", "left_semi"), known, radius, sigma)
+        out = out.unionByName(smooth_segments(p.join(own, keys, "left_semi"), graph, strength, sweeps))
+    return out

@@ -227,8 +227,7 @@ def run_clustering(df: DataFrame, strata: DataFrame, boundaries: DataFrame, cfg:
         bic = float(fit.bic)
         labels = model.predict(x, fit, probabilities=cfg.smoothing is not None)
         if cfg.smoothing is not None and places is not None:
-            graph = intervals.segment_graph(segs, places, cfg.radius, cfg.sigma)
-            labels = model.smooth_segments(labels.drop("cluster_id"), graph, cfg.smoothing)
+            labels = model.smooth_near(labels.drop("cluster_id"), segs, places, cfg.radius, cfg.sigma, cfg.smoothing)
     labels = tables.settled(labels.select(*keys, "cluster_id"))
     measured = intervals.with_labels(intervals.asof_unit(rows, strata).withColumnRenamed("unit", "reference_unit"), labels)
     named = evaluate.name_clusters(measured.withColumnRenamed("reference_unit", "unit"))
